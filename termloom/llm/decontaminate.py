@@ -165,7 +165,7 @@ class Matcher:
                 at = text.find(self.text[i], start + low, start + high)
                 hit = (0, at - start - low, at - start - low + len(self.text[i])) if at >= 0 else align(self.items[i], region, int(self.k[i]))
                 if hit:
-                    row = (self.ids[i], start + low + hit[1], start + low + hit[2], hit[0])
+                    row = (self.ids[i], int(start + low + hit[1]), int(start + low + hit[2]), int(hit[0]))
                     key = (i, row[2])
                     if key not in found or row[3] < found[key][3]:
                         found[key] = row

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import langid, quality, toxicity
+from termloom.llm import decontaminate, langid, pieces, quality, simhash, token_ids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,38 @@ def _fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; ``TERMLOOM_TOKENIZERS`` names another folder."""
+    if folder := os.environ.get("TERMLOOM_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.read_ids(token_ids.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("passages") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct("passages.item_id")).alias("item_ids"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"]).alias("n_passage_chars"),
+    )
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, _fold(4) != 2)
@@ -37,6 +70,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_language_id, op8_toxicity, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op3_token_ids,
+        op4_decontaminate,
+        op6_simhash,
+        op7_language_id,
+        op8_toxicity,
+        op9_quality_rules,
+    )
+
 }
 ORACLE_SQL: dict[str, str] = {}
