@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, langid, pieces, quality, simhash, token_ids, toxicity
+from termloom.llm import decontaminate, langid, pieces, quality, simhash, substrings, token_ids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read_ids(token_ids.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece,
+        op2_substring_dedup,
         op3_token_ids,
         op4_decontaminate,
         op6_simhash,
@@ -82,4 +88,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13
+), k AS (
+  SELECT doc_id, p, sha256(array_to_string(ws[p : p + 12], ' ')) AS h FROM s
+), o AS (
+  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS origin FROM k
+), r AS (
+  SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM o WHERE origin < doc_id) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string([x FOR x, i IN ws IF gone IS NULL OR NOT list_contains(gone, i)], ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+""",
+}
