@@ -8,14 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, langid, pieces, quality, simhash, substrings, token_ids, toxicity
+from termloom.llm import decontaminate, html_text, langid, licenses, pieces, quality, simhash, substrings, token_ids, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(modulus: int) -> Column:
+def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
@@ -52,21 +52,25 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.fit(docs, _fold(4) != 2)
-    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    model = langid.fit(docs, fold(4) != 2)
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
-    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -74,6 +78,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files ``source/lang/doc_id``."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), *found.columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_substring_dedup,
         op3_token_ids,
         op4_decontaminate,
+        op5_html_text,
         op6_simhash,
         op7_language_id,
         op8_toxicity,
         op9_quality_rules,
+        op10_licenses,
     )
 
 }

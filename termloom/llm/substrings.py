@@ -29,6 +29,7 @@ each other; texts shorter than a window keep everything.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -95,9 +96,12 @@ def _numbers(n: int, kind) -> list:
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep_layout: bool = False
 ) -> DataFrame:
-    """doc_id, n_words, n_removed and text (kept words joined by one space)."""
+    """doc_id, n_words, n_removed, text (kept words joined by one space) and digest (md5 of the text as it was).
+
+    With ``keep_layout`` a text that loses no word stays as it was, white space included.
+    """
     rows = common.documents(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     known = rows.filter("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -147,23 +151,24 @@ def dedup_substrings(
     origins = by_window.mapInArrow(_origins, "shard int, k long, origin long")
 
     def cleaned(key, left, right):
-        return _clean_shard(left, right, window)
+        return _clean_shard(left, right, window, keep_layout)
 
-    schema = "doc_id long, n_words long, n_removed long, text string"
+    schema = "doc_id long, n_words long, n_removed long, text string, digest string"
     kept = texts.groupBy("shard").cogroup(origins.groupBy("shard")).applyInArrow(cleaned, schema)
 
     # the other copies, and rows without id, need no text of others
     words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    plain = rows.select("doc_id", F.md5("text").alias("digest"), words.alias("words"))
+    plain = rows.select("doc_id", F.md5("text").alias("digest"), words.alias("words"), "text")
     n = F.size("words").cast("long")
-    short = F.when((n < window) | F.col("doc_id").isNull(), F.array_join("words", " ")).otherwise(F.lit(""))
-    plain = plain.select("doc_id", "digest", n.alias("n_words"), short.alias("text"))
+    whole = F.col("text") if keep_layout else F.array_join("words", " ")
+    kept_text = F.when((n < window) | F.col("doc_id").isNull(), whole).otherwise(F.lit(""))
+    plain = plain.select("doc_id", n.alias("n_words"), kept_text.alias("text"), "digest")
     least = known.groupBy(F.md5("text").alias("digest_")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")).filter("n_copies > 1")
     copies = plain.filter("doc_id is not null").join(least, F.col("digest") == F.col("digest_")).filter("doc_id > least")
     copies = copies.groupBy("doc_id", "digest").agg(F.first("n_words").alias("n_words"), F.first("text").alias("text"))
     removed = F.when(F.col("n_words") >= window, F.col("n_words")).otherwise(F.lit(0)).cast("long")
-    copies = copies.select("doc_id", "n_words", removed.alias("n_removed"), "text")
-    unnamed = plain.filter("doc_id is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "text")
+    copies = copies.select("doc_id", "n_words", removed.alias("n_removed"), "text", "digest")
+    unnamed = plain.filter("doc_id is null").dropDuplicates(["digest"]).withColumn("n_removed", F.lit(0).cast("long"))
     return kept.unionByName(copies).unionByName(unnamed)
 
 
@@ -229,20 +234,24 @@ def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shard[later]), pa.array(k[later]), pa.array(own[later])], names=["shard", "k", "origin"])
 
 
-def _clean_shard(left: pa.Table, right: pa.Table, window: int) -> pa.Table:
+def _clean_shard(left: pa.Table, right: pa.Table, window: int, keep_layout: bool) -> pa.Table:
     ids = left.column("doc_id").to_pylist()
-    texts = [b" ".join(x.split()).decode() for x in left.column("text").cast(pa.binary()).to_pylist()]
+    originals = left.column("text").cast(pa.binary()).to_pylist()
+    texts = [b" ".join(x.split()).decode() for x in originals]
     automaton = _compile(ids, texts, right.column("k").to_numpy(), right.column("origin").to_numpy(), window)
-    out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "text": []}
-    for doc_id, text in zip(ids, texts, strict=True):
+    out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "text": [], "digest": []}
+    for doc_id, text, original in zip(ids, texts, originals, strict=True):
         words = text.split(" ") if text else []
         covered = _covered(automaton, doc_id, text, words) if automaton is not None and len(words) >= window else None
-        out["n_words"].append(len(words))
-        out["n_removed"].append(0 if covered is None else int(covered.sum()))
-        if covered is not None and out["n_removed"][-1]:
+        n = 0 if covered is None else int(covered.sum())
+        if n:
             text = " ".join([words[i] for i in np.flatnonzero(~covered).tolist()])
-        out["text"].append(text)
-    return pa.table(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())]))
+        elif keep_layout:
+            text = original.decode()
+        for name, value in (("n_words", len(words)), ("n_removed", n), ("text", text), ("digest", hashlib.md5(original).hexdigest())):
+            out[name].append(value)
+    kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "text": pa.string(), "digest": pa.string()}
+    return pa.table(out, pa.schema(list(kinds.items())))
 
 
 def _compile(ids: list[int], texts: list[str], k: np.ndarray, origin: np.ndarray, window: int):
