@@ -1,0 +1 @@
+"""Termloom: text-retrieval analytics on PySpark."""
