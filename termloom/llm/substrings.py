@@ -35,7 +35,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +44,39 @@ WINDOW = 13
 SEED_WORDS = 6
 #: Text bytes of a shard, which one task holds with its automaton.
 SHARD_BYTES = 6 << 20
-#: Remembered hashes of words of a worker, some 150 bytes each.
-CACHE_WORDS = 300_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _NONE = np.iinfo(np.int64).max
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+#: A factor for each place of a byte in its word.
+_PLACES = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_INSIDE = np.ones(256, bool)
+_INSIDE[list(common.WORD_SPACE)] = False
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit number for each word of a text, from its bytes and their places."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    b = np.frombuffer(text, np.uint8)
+    inside = _INSIDE[b]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.concatenate(([0], edges))
+    if inside[-1]:
+        edges = np.concatenate((edges, [len(b)]))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    shift = np.repeat(np.cumsum(lengths) - lengths, lengths)  # place among all bytes of words, less that in the word
+    place = np.arange(len(shift)) - shift
+    value = b[inside].astype(np.uint64)
+    value += np.uint64(1)
+    value *= _PLACES[place & 4095]
+    sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
+    sums ^= sums >> np.uint64(32)
+    return sums * _C
 
 
 def _rolled(h: np.ndarray, n: int, by: np.uint64) -> np.ndarray:
@@ -115,9 +128,9 @@ def dedup_substrings(
     def seeds(batch: pa.RecordBatch) -> dict:
         found, owners, shards = _numbers(1, np.uint64), _numbers(1, np.int64), _numbers(1, np.int32)
         for text, doc_id, shard in zip(common.byte_texts(batch), batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), strict=True):
-            words = text.split()
-            if len(words) >= window:
-                own = np.unique(window_seeds(word_hashes(words), window))
+            h = word_hashes(text)
+            if len(h) >= window:
+                own = np.unique(window_seeds(h, window))
                 found.append(own)
                 owners.append(np.full(len(own), doc_id, np.int64))
                 shards.append(np.full(len(own), shard, np.int32))
@@ -131,10 +144,9 @@ def dedup_substrings(
         wanted.sort()
         parts: list[list[np.ndarray]] = [[], [], []]
         for text, doc_id in zip(left.column("text").cast(pa.binary()).to_pylist(), left.column("doc_id").to_pylist(), strict=True):
-            words = text.split()
-            if len(words) < window or not len(wanted):
+            h = word_hashes(text) if len(wanted) else wanted
+            if len(h) < window:
                 continue
-            h = word_hashes(words)
             at = _within(window_seeds(h, window), wanted)
             if at.any():
                 k, k2 = window_keys(h, window)
@@ -262,32 +274,34 @@ def _compile(ids: list[int], texts: list[str], k: np.ndarray, origin: np.ndarray
     origin = origin[at]
     automaton = ahocorasick.Automaton()
     for doc_id, text in zip(ids, texts, strict=True):
-        words = text.encode().split(b" ")
-        if len(words) < window:
+        h = word_hashes(text.encode())
+        if len(h) < window:
             continue
-        keys, _ = window_keys(word_hashes(words), window)
+        keys, _ = window_keys(h, window)
         slot = np.searchsorted(k, keys)
         slot[slot == len(k)] = 0
         first = np.where(k[slot] == keys, origin[slot], _NONE)
         first[first >= doc_id] = _NONE
+        if (first == _NONE).all():
+            continue
+        words = text.split(" ")
         edge = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True])))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if first[a] != _NONE:
-                passage = " " + b" ".join(words[a : b + window - 1]).decode() + " "
-                automaton.add_word(passage, (b - a + window - 1, int(first[a])))
+                automaton.add_word(" " + " ".join(words[a : b + window - 1]) + " ", (b - a + window - 1, int(first[a])))
     if not len(automaton):
         return None
     automaton.make_automaton()
     return automaton
 
 
-def _covered(automaton, doc_id: int, text: str, words: list[str]) -> np.ndarray:
-    """Words of a document that lie in passages of smaller documents."""
+def _covered(automaton, doc_id: int, text: str, words: list[str]) -> np.ndarray | None:
+    """Words of a document that lie in passages of smaller documents; nothing if there are none."""
+    found = [(end, n) for end, (n, origin) in automaton.iter(" " + text + " ") if origin < doc_id]
+    if not found:
+        return None
+    end, n = np.array(found).T
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # place of the space behind each word
-    step = np.zeros(len(words) + 1, np.int64)
-    for end, (n, origin) in automaton.iter(" " + text + " "):
-        if origin < doc_id:
-            last = int(np.searchsorted(ends, end))
-            step[last + 1 - n] += 1
-            step[last + 1] -= 1
+    last = np.searchsorted(ends, end) + 1
+    step = np.bincount(last - n, minlength=len(words) + 1) - np.bincount(last, minlength=len(words) + 1)
     return np.cumsum(step[:-1]) > 0
