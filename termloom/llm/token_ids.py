@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,11 +36,37 @@ from termloom.llm import common, packing
 END_ID = 2
 #: Text bytes of a shard.
 SHARD_BYTES = 24 << 20
+#: Documents that are split and looked up together.
+DOCS = 256
 #: Remembered pieces of a worker, some 200 bytes each.
-CACHE_PIECES = 300_000
-#: Splitting pattern of this tokenizer family (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_OTHER = re.compile("[^\x00-\x1b\x20-ԯ]")
+CACHE_PIECES = 600_000
+#: Code points up to here have had their letters and numbers fixed for long.
+_PLAIN = 0x52F
+_OTHER = re.compile(f"[^\x00-\x1b\x20-{chr(_PLAIN)}]")
+
+
+def _is_plain(text: str) -> bool:
+    """Whether both pattern engines surely see the same letters, numbers and white space."""
+    if text.isascii():
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _OTHER.search(text) is None
+
+
+def _of_category(first: str) -> str:
+    """The plain code points whose general category begins with ``first``, as ranges of a character class."""
+    points = [c for c in range(_PLAIN + 1) if unicodedata.category(chr(c))[0] == first]
+    starts = [c for c in points if c - 1 not in points]
+    ends = [c for c in points if c + 1 not in points]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
+
+
+def splitter() -> re.Pattern:
+    """The splitting pattern of this tokenizer family (fixed value), its classes written out for plain code points."""
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    letters, numbers = _of_category("L"), _of_category("N")
+    for old, new in ((r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]")):
+        pattern = pattern.replace(old, new)
+    return re.compile(pattern)
 
 
 class Encoder:
@@ -49,23 +75,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.find = regex.compile(PATTERN).findall
+        self.find = splitter().findall
         self.cache: dict[str, bytes] = {}
         plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.by_piece = plain and not self.tokenizer.pre_tokenizer.add_prefix_space
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.n_ids = self.tokenizer.get_vocab_size()
+        self.n_bytes = np.zeros(self.n_ids, np.int64)  # that an id stands for: in this alphabet a character each
+        for token, i in self.tokenizer.get_vocab().items():
+            self.n_bytes[i] = len(token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        whole = [not self.by_piece or bool(_OTHER.search(x)) or bool(self.special and self.special.search(x)) for x in texts]
+        whole = [not (self.by_piece and _is_plain(x)) or any(s in x for s in self.special) for x in texts]
         pieces = [[] if w else self.find(x) for x, w in zip(texts, whole, strict=True)]
         cache = self.cache
         if len(cache) > CACHE_PIECES:
             cache.clear()
-        if new := list(set().union(*pieces).difference(cache)):
-            cache.update(zip(new, self._direct(new), strict=True))
+        if new := set().union(*pieces).difference(cache):
+            # a space before a character begins a piece wherever it stands, so such pieces can be encoded in a row
+            joint = [x for x in new if len(x) > 1 and x[0] == " " and not x[1].isspace()]
+            alone = list(new.difference(joint))
+            cache.update(zip(alone, self._direct(alone), strict=True))
+            for start in range(0, len(joint), 500):
+                cache.update(self._in_a_row(joint[start : start + 500]))
         get = cache.__getitem__
         return [self._direct([x])[0] if w else b"".join(map(get, p)) for x, w, p in zip(texts, whole, pieces, strict=True)]
 
@@ -73,6 +106,19 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _in_a_row(self, row: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of all pieces at once, parted where each piece's bytes end."""
+        ids = np.frombuffer(self._direct(["".join(row)])[0], "<u4")
+        ends = np.cumsum([len(x.encode()) for x in row])
+        reach = np.cumsum(self.n_bytes[ids])
+        cuts = np.searchsorted(reach, ends) + 1
+        if (reach[cuts - 1] != ends).any():
+            raise ValueError("an id spans two pieces")
+        data, at = ids.tobytes(), 0
+        for piece, cut in zip(row, (4 * cuts).tolist(), strict=True):
+            yield piece, data[at:cut]
+            at = cut
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -101,8 +147,8 @@ def write_ids(
         writer = sink = None
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), common.texts(batch)
-            for start in range(0, len(ids), 64):
-                for doc_id, data in zip(ids[start : start + 64], own.encode(texts[start : start + 64]), strict=True):
+            for start in range(0, len(ids), DOCS):
+                for doc_id, data in zip(ids[start : start + DOCS], own.encode(texts[start : start + DOCS]), strict=True):
                     if writer is None:
                         sink = fs.open_output_stream(name)
                         writer = packing.Writer(sink, bits)
