@@ -34,8 +34,7 @@ from termloom.llm import common
 
 MARK = "▁"
 #: Remembered words of a worker, some 250 bytes each.
-CACHE_WORDS = 200_000
-#: Characters of a word that are merged at once at most; the rules need no more (pieces are shorter by far).
+CACHE_WORDS = 450_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -123,26 +122,31 @@ class Pieces:
 
     def viterbi(self, word: str) -> list[int]:
         n = len(word)
-        if (i := self.id.get(word)) is not None and self.kind == "bpe" and self._stands_alone(i):
-            return [i]
-        best: list[float | None] = [None] * (n + 1)
-        best[0] = 0.0
-        last = [-1] * (n + 1)
+        last = [-1] * (n + 1)  # piece that ends the best path at each position
         if self.kind == "bpe":
+            if (i := self.id.get(word)) is not None and self._stands_alone(i):
+                return [i]
+            known, n_pieces = self.pairs.get, self.n
             for end, (i, size) in self.automaton.iter(word):
-                end += 1
-                if best[end] is None:
-                    begin = end - size
-                    if best[begin] is not None and (self._stands_alone(i) if begin == 0 else self._follows(last[begin], i)):
-                        best[end], last[end] = 0.0, i
+                if last[end + 1] < 0:  # no better path can come: a step is worth 0 or nothing
+                    begin = end + 1 - size
+                    if begin:
+                        if (left := last[begin]) < 0:
+                            continue
+                        good = known(left * n_pieces + i)
+                        if good is None:
+                            good = self._follows(left, i)
+                    else:
+                        good = self._stands_alone(i)
+                    if good:
+                        last[end + 1] = i
         else:
+            best = [0.0] + [float("-inf")] * n
             for end, (i, size) in self.automaton.iter(word):
-                end += 1
-                if (from_ := best[end - size]) is not None:
-                    value = from_ + self.score[i]
-                    if best[end] is None or value > best[end]:
-                        best[end], last[end] = value, i
-        if best[n] is None:
+                value = best[end + 1 - size] + self.score[i]
+                if value > best[end + 1]:
+                    best[end + 1], last[end + 1] = value, i
+        if n and last[n] < 0:
             return self._without_path(word)
         out: list[int] = []
         while n > 0:
