@@ -10,7 +10,7 @@ from termloom.operators import optimize
 
 def fold_of(qid: Column, k: int) -> Column:
     """A stable fold: whole numbers by remainder, other ids by hash."""
-    return F.coalesce(qid.cast("long"), F.crc32(qid.cast("string").cast("binary"))) % k
+    return F.coalesce(qid.cast("string").try_cast("long"), F.crc32(qid.cast("string").cast("binary"))) % k
 
 
 def folds(queries: DataFrame, k: int = 5) -> DataFrame:

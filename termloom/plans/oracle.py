@@ -252,7 +252,7 @@ _STATEMENTS: dict[str, str] = {
     "feature_coverage": "SELECT " + ", ".join(f"{rnd(f'avg(({f} > 0)::INT)')} AS {f}_coverage" for f in ("rm_weight", "bm25_score", "semantic_score")) + " FROM features",
     "score_variance": f"SELECT qid, {_spread('score')} FROM top10 GROUP BY qid",
     "maxsim_scores": f"SELECT qid, doc_id, term, {rnd('similarity')} AS similarity FROM sims",
-    "query_vectors": f"""SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY part, place, term) AS n, part, term, {rnd('u.weight')} AS weight, {rnd('u.weight * sqrt(list_inner_product(vec, vec))')} AS length FROM (
+    "query_vectors": f"""SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY part, place, term) AS n, part, term, {rnd('u.weight')} AS weight, len(vec)::BIGINT AS dim FROM (
         SELECT qid, 0 AS part, pos AS place, term, 1.0::DOUBLE AS weight FROM query_terms UNION ALL SELECT qid, 1, rank, term, importance FROM imp WHERE importance > 0) u JOIN term_vecs USING (term)""",
     "query_vectors_explain": "SELECT q.qid, array_to_string(q.toks, ' ') AS own_terms, string_agg(i.term, ' ' ORDER BY i.rank) AS expansion_terms, len(q.toks) + count(*) AS n_vectors FROM query_toks q JOIN imp i ON q.qid = i.qid WHERE importance > 0 GROUP BY q.qid, q.toks",
     "rerank_topk": f"SELECT qid, rank, doc_id, {rnd('score')} AS score FROM reranked",

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
 from termloom.functions import text as T
-from termloom.functions import vectors as V
 from termloom.operators import bm25, crossval, evaluation, expansion, importance, index, metrics, optimize, rerank, similarity
 from termloom.plans.workload import CANDIDATES, DIM, EXPANSION_TERMS, WEIGHTS, Workload
 from termloom.sources import records, trec
@@ -287,7 +286,7 @@ def _importance(w: Workload) -> DataFrame:
 
 @query
 def query_vectors(w: Workload) -> DataFrame:
-    return rerank.query_vectors(w.query_terms, _importance(w), w.encoder).select("qid", "n", "part", "term", *r("weight"), N.rounded(V.norm(V.scale(F.col("vec"), F.col("weight")))).alias("length"))
+    return rerank.query_vectors(w.query_terms, _importance(w), w.encoder).select("qid", "n", "part", "term", *r("weight"), F.size("vec").cast("long").alias("dim"))
 
 
 @query
