@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +67,31 @@ def term_similarities(candidates: DataFrame, terms: DataFrame, docs: DataFrame,
 
     def products(batches):
         for batch in batches:
-            out: dict[str, list] = {"qid": [], "doc_id": [], "term": [], "similarity": []}
-            for qid, doc_id, own, q, d in zip(*(batch.column(c).to_pylist() for c in ("qid", "doc_id", "terms", "query_vecs", "vecs")), strict=True):
-                best = (np.array(q) @ np.array(d).T).max(axis=1)
-                out["qid"] += [qid] * len(own)
-                out["doc_id"] += [doc_id] * len(own)
-                out["term"] += own
-                out["similarity"] += best.tolist()
-            types = [batch.schema.field("qid").type, batch.schema.field("doc_id").type, pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+            qid, doc_id = batch.column("qid").to_pylist(), batch.column("doc_id").to_pylist()
+            terms = batch.column("terms").to_pylist()
+            best = [(q @ d.T).max(axis=1) for q, d in zip(_matrices(batch.column("query_vecs")), _matrices(batch.column("vecs")), strict=True)]
+            sizes = [len(t) for t in terms]
+            columns = [
+                pa.array([x for x, n in zip(qid, sizes, strict=True) for _ in range(n)], batch.schema.field("qid").type),
+                pa.array([x for x, n in zip(doc_id, sizes, strict=True) for _ in range(n)], batch.schema.field("doc_id").type),
+                pa.array([t for own in terms for t in own], pa.string()),
+                pa.array(np.concatenate([np.zeros(0), *best])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["qid", "doc_id", "term", "similarity"])
 
     return rows.select("qid", "doc_id", "terms", "query_vecs", "vecs").mapInArrow(products, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, term string, similarity double")
 
 
+def _matrices(column: pa.ListArray) -> list[np.ndarray]:
+    """A matrix for each row of an array of vectors, without a Python number for each entry."""
+    vectors = column.flatten()
+    ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])
+    flat = vectors.flatten().to_numpy()
+    dim = len(flat) // len(vectors) if len(vectors) else 1
+    flat = flat.reshape(-1, dim)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def scores(vectors: DataFrame, similarities: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys..., doc_id, score): sums of weight times similarity over the query vectors."""
     keys = keys or ["qid"]
