@@ -233,9 +233,8 @@ def find_passages(
 
     A passage has item_id, start and end (in the normalised text) and its edits.
     """
-    schema = "doc_id long, n_chars long, passages array<struct<item_id:long,start:long,end:long,edits:long>>"
-    rows = common.documents(docs, id_col, text_col)
-    out: DataFrame | None = None
+    kind = "array<struct<item_id:long,start:long,end:long,edits:long>>"
+    rows = common.documents(docs, id_col, text_col).withColumn("passages", F.array().cast(kind))
     for block in item_blocks(benchmark, item_col, item_text_col):
         holder: list[Matcher] = []
 
@@ -243,17 +242,13 @@ def find_passages(
             if not holder:
                 holder.append(Matcher(block, edit_rate, q))
             names = ("item_id", "start", "end", "edits")
-            texts = [normalise(x) for x in batch.column("text").to_pylist()]
-            found = [[dict(zip(names, p, strict=True)) for p in holder[0].find(x)] for x in texts]
-            return {"doc_id": batch.column("doc_id"), "n_chars": [len(x) for x in texts], "passages": found}
-
-        part = common.map_batches(rows, search, schema)
-        # blocks of a large benchmark: one row for each document and block, gathered by the caller
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        empty = F.array().cast("array<struct<item_id:long,start:long,end:long,edits:long>>")
-        out = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), empty.alias("passages"))
-    return out
+            found = [[dict(zip(names, p, strict=True)) for p in holder[0].find(normalise(x))] for x in batch.column("text").to_pylist()]
+            before = batch.column("passages").to_pylist()
+            return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "passages": [x + y for x, y in zip(before, found, strict=True)]}
+
+        # each block adds to the rows as they pass; nothing is shuffled
+        rows = common.map_batches(rows, search, f"doc_id long, text string, passages {kind}")
+    return rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "passages")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edit_rate: float = EDIT_RATE, q: int = Q) -> DataFrame:

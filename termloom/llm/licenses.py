@@ -86,9 +86,10 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     lines = F.filter(F.split("text", "\n"), _has_trigger)
     parts = F.when(F.col("named"), F.array("text")).otherwise(lines)
     total = F.size(_words(F.col("text"))).cast("long")
-    sections = lowered.select("path", "named", total.alias("n_words"), F.posexplode(parts).alias("section", "part"))
+    # a path that comes more than once is one file, with the longest and then greatest of its contents
+    content = lowered.select("path", F.struct(total.alias("n_words"), parts.alias("parts"), "named").alias("c"))
+    sections = content.groupBy("path").agg(F.max("c").alias("c")).select("path", "c.named", "c.n_words", F.posexplode("c.parts").alias("section", "part"))
     words = sections.select("path", "named", "n_words", "section", F.explode(_words(F.col("part"))).alias("word"))
-    # repeated paths are one file: their counts and sizes grow alike, which leaves the cosine as it is
     counts = words.groupBy("path", "named", "section", "word").agg(F.count("*").alias("tf"), F.max("n_words").alias("n_words"))
 
     templates = template_weights(files)

@@ -11,7 +11,7 @@ starts in a document with a smaller doc_id is removed.
    least doc_id of a group is its origin.
 3. *Automata.* Documents are dealt into shards of bounded size by a hash of their
    text. A shard gets the confirmed windows that occur in it, joins neighbouring ones
-   of one origin to passages, compiles an automaton over the passages' characters and
+   of one origin to passages, compiles an automaton over the passages' words and
    streams all its documents through it. An occurrence in a document later than the
    passage's origin removes its words.
 
@@ -46,6 +46,10 @@ SEED_WORDS = 6
 SHARD_BYTES = 6 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _NONE = np.iinfo(np.int64).max
+#: Windows of a pattern at most, which bounds the automaton's depth.
+CHUNK = 64
+#: Letters of a word that no passage has.
+_OTHER_WORD = "\0\0\0"
 
 
 #: A factor for each place of a byte in its word.
@@ -249,59 +253,74 @@ def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _clean_shard(left: pa.Table, right: pa.Table, window: int, keep_layout: bool) -> pa.Table:
     ids = left.column("doc_id").to_pylist()
     originals = left.column("text").cast(pa.binary()).to_pylist()
-    texts = [b" ".join(x.split()).decode() for x in originals]
-    automaton = _compile(ids, texts, right.column("k").to_numpy(), right.column("origin").to_numpy(), window)
+    passages = Passages(ids, originals, right.column("k").to_numpy(), right.column("origin").to_numpy(), window)
     out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "text": [], "digest": []}
-    for doc_id, text, original in zip(ids, texts, originals, strict=True):
-        words = text.split(" ") if text else []
-        covered = _covered(automaton, doc_id, text, words) if automaton is not None and len(words) >= window else None
+    for doc_id, original in zip(ids, originals, strict=True):
+        words = original.split()
+        covered = passages.covered(doc_id, words)
         n = 0 if covered is None else int(covered.sum())
         if n:
-            text = " ".join([words[i] for i in np.flatnonzero(~covered).tolist()])
-        elif keep_layout:
-            text = original.decode()
-        for name, value in (("n_words", len(words)), ("n_removed", n), ("text", text), ("digest", hashlib.md5(original).hexdigest())):
+            words_left = [words[i] for i in np.flatnonzero(~covered).tolist()]
+        text = b" ".join(words_left if n else words) if n or not keep_layout else original
+        for name, value in (("n_words", len(words)), ("n_removed", n), ("text", text.decode()), ("digest", hashlib.md5(original).hexdigest())):
             out[name].append(value)
     kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "text": pa.string(), "digest": pa.string()}
     return pa.table(out, pa.schema(list(kinds.items())))
 
 
-def _compile(ids: list[int], texts: list[str], k: np.ndarray, origin: np.ndarray, window: int):
-    """The automaton over the passages of a shard; a passage carries its number of words and its origin."""
-    if not len(k):
-        return None
-    k, at = np.unique(k, return_index=True)  # a window has one origin
-    origin = origin[at]
-    automaton = ahocorasick.Automaton()
-    for doc_id, text in zip(ids, texts, strict=True):
-        h = word_hashes(text.encode())
-        if len(h) < window:
-            continue
-        keys, _ = window_keys(h, window)
-        slot = np.searchsorted(k, keys)
-        slot[slot == len(k)] = 0
-        first = np.where(k[slot] == keys, origin[slot], _NONE)
-        first[first >= doc_id] = _NONE
-        if (first == _NONE).all():
-            continue
-        words = text.split(" ")
-        edge = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True])))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if first[a] != _NONE:
-                automaton.add_word(" " + " ".join(words[a : b + window - 1]) + " ", (b - a + window - 1, int(first[a])))
-    if not len(automaton):
-        return None
-    automaton.make_automaton()
-    return automaton
-
-
-def _covered(automaton, doc_id: int, text: str, words: list[str]) -> np.ndarray | None:
-    """Words of a document that lie in passages of smaller documents; nothing if there are none."""
-    found = [(end, n) for end, (n, origin) in automaton.iter(" " + text + " ") if origin < doc_id]
-    if not found:
-        return None
-    end, n = np.array(found).T
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # place of the space behind each word
-    last = np.searchsorted(ends, end) + 1
-    step = np.bincount(last - n, minlength=len(words) + 1) - np.bincount(last, minlength=len(words) + 1)
-    return np.cumsum(step[:-1]) > 0
+class Passages:
+    """The automaton over a shard's confirmed passages.
+
+    Its letters are digits of word numbers, three a word, each place with digits of its
+    own, so that matches begin and end at words, no node has many children, and the
+    depth depends on the number of words only, however long they are. A passage of more
+    windows than ``CHUNK`` is several patterns; together they cover the same words.
+    """
+
+    def __init__(self, ids: list[int], texts: list[bytes], k: np.ndarray, origin: np.ndarray, window: int):
+        self.automaton = None
+        if not len(k):
+            return
+        k, at = np.unique(k, return_index=True)  # a window has one origin
+        origin = origin[at]
+        found: dict[tuple[bytes, ...], int] = {}
+        for doc_id, text in zip(ids, texts, strict=True):
+            h = word_hashes(text)
+            if len(h) < window:
+                continue
+            keys, _ = window_keys(h, window)
+            slot = np.searchsorted(k, keys)
+            slot[slot == len(k)] = 0
+            first = np.where(k[slot] == keys, origin[slot], _NONE)
+            first[first >= doc_id] = _NONE
+            if (first == _NONE).all():
+                continue
+            words = text.split()
+            edge = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True]))).tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if first[a] != _NONE:
+                    for start in range(a, b, CHUNK):
+                        found[tuple(words[start : min(b, start + CHUNK) + window - 1])] = int(first[a])
+        distinct = dict.fromkeys(w for passage in found for w in passage)
+        base = int(len(distinct) ** (1 / 3)) + 2
+        self.letters = {w: chr(1 + i % base) + chr(5001 + i // base % base) + chr(10001 + i // base // base) for i, w in enumerate(distinct)}
+        if not found:
+            return
+        self.automaton = ahocorasick.Automaton()
+        for passage, first_doc in found.items():
+            self.automaton.add_word("".join(map(self.letters.__getitem__, passage)), (len(passage), first_doc))
+        self.automaton.make_automaton()
+
+    def covered(self, doc_id: int, words: list[bytes]) -> np.ndarray | None:
+        """Words of a document that lie in passages of smaller documents; nothing if there are none."""
+        if self.automaton is None:
+            return None
+        get = self.letters.get
+        stream = "".join([get(w, _OTHER_WORD) for w in words])
+        found = [(end, n) for end, (n, origin) in self.automaton.iter(stream) if origin < doc_id]
+        if not found:
+            return None
+        end, n = np.array(found).T
+        last = end // 3 + 1
+        step = np.bincount(last - n, minlength=len(words) + 1) - np.bincount(last, minlength=len(words) + 1)
+        return np.cumsum(step[:-1]) > 0
