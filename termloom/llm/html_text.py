@@ -72,6 +72,7 @@ class Lines(HTMLParser):
         self.skipping = 0
         self.links = 0
         self.sections = 0
+        self.in_article: set[int] = set()  # sections that are, or lie in, an article or the main part
         self.line = Line(self.path)
 
     def _break(self) -> None:
@@ -126,6 +127,8 @@ class Lines(HTMLParser):
             if tag in SECTIONS and not skipped:
                 self.sections += 1
                 number = self.sections
+                if tag in ("article", "main") or self.path[-1] in self.in_article:
+                    self.in_article.add(number)
                 self.path = (*self.path, number)
                 self.line.path = self.path
         self.open.append((tag, number, skipped))
@@ -241,7 +244,9 @@ def main_text(html: str, sigma: float = SIGMA) -> str:
                 depth[section] = d
     total = mass.get(0, 0)
     region = max((s for s, n in mass.items() if n >= REGION_SHARE * total), key=lambda s: (depth[s], -s))
-    out = [text for text, x in lines if region in x.path and not (x.linked >= 0.9 * len(text) and len(text) < 80)]
+    # outside an article a short line of nothing but links is navigation
+    whole = region in parser.in_article
+    out = [text for text, x in lines if region in x.path and (whole or x.linked < 0.9 * len(text) or len(text) >= 80)]
     return "\n".join(out)
 
 

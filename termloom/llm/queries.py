@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import decontaminate, html_text, langid, licenses, pieces, quality, simhash, substrings, token_ids, toxicity
+from termloom.llm.oracle import ORACLE_SQL  # noqa: F401  the SQL beside the queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    found = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return found.withColumn("char_distance", F.round("char_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,21 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 
 }
-ORACLE_SQL: dict[str, str] = {
-    "op2_substring_dedup": r"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
-), s AS (
-  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13
-), k AS (
-  SELECT doc_id, p, sha256(array_to_string(ws[p : p + 12], ' ')) AS h FROM s
-), o AS (
-  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS origin FROM k
-), r AS (
-  SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM o WHERE origin < doc_id) GROUP BY doc_id
-)
-SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-       sha256(coalesce(array_to_string([x FOR x, i IN ws IF gone IS NULL OR NOT list_contains(gone, i)], ' '), '')) AS kept_sha256
-FROM w LEFT JOIN r USING (doc_id)
-""",
-}
