@@ -13,6 +13,9 @@ The fit uses bounded samples: ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED``
 unlabelled documents, chosen by a hash of id and text. Of the 2^18 word bins only
 ``N_FEATURES`` with the largest margin between both samples get a weight.
 
+The bias is then moved so that ``CALLED_SHARE`` of the prior's part of the unlabelled
+sample scores at least 0.5.
+
 Defined cases: null or empty texts have no features and get the score of the bias
 alone (below 0.5); without positives every score is 0. Repeated rows are scored alike.
 """
@@ -33,6 +36,8 @@ MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
 N_FEATURES = 512
 STEPS = 1500
+#: Of the documents that are toxic by the class prior this share is called toxic.
+CALLED_SHARE = 0.95
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), *range(0x80, 256)]] = False
@@ -88,6 +93,23 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = STEPS, rate:
     return w[:-1], float(w[-1])
 
 
+def decision(z: np.ndarray, bias: float, prior: float, share: float = CALLED_SHARE) -> float:
+    """Where to part unlabelled documents: ``share`` of the prior's part lies above, and always some evidence.
+
+    The risk settles the direction well, but its sigmoid loss leaves the level of the
+    bias to the documents with much evidence; the class prior says how many are positive.
+    """
+    z = np.sort(z)[::-1]
+    least = bias + 1e-6  # a document without any feature is not called toxic
+    k = int(share * prior * len(z))
+    above = z[z > least]
+    if not len(above):
+        return max(0.0, least)
+    if k >= len(above):
+        return max(least, float(above[-1]) - 1e-6)
+    return max(least, float(z[max(k - 1, 0)] + z[k]) / 2)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, toxic_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED
 ) -> ToxicityModel:
@@ -122,6 +144,7 @@ def fit(
         return none
     xp, xu = (np.array([np.isin(features, x, assume_unique=True) for x in rows_], float) for rows_ in (positive, unlabelled))
     w, bias = nnpu(xp, xu, n_toxic / n)
+    bias -= decision(xu @ w + bias, bias, n_toxic / n)
     weights = np.zeros(1 << BITS)
     weights[features] = w
     return ToxicityModel(weights, bias, True)
