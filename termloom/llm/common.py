@@ -9,47 +9,21 @@ lost executor costs only its running tasks.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.sources.shared import drop_path, materialize, new_path, shared_dir  # noqa: F401
+
 #: Rows of an Arrow batch: with texts of some KB each a few MB.
 BATCH_ROWS = 1000
 #: ASCII white space that separates words; ``bytes.split()`` uses the same set.
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only if none is set."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="termloom-")
-        spark.sparkContext.setCheckpointDir(f"file://{folder}")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder once and return what was written, with its path."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *extra: Column) -> DataFrame:
     """Only the columns that an operator uses, so that others cannot clash with its own."""
     return docs.select(
@@ -81,6 +55,11 @@ def as_array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def joined(known: dict, keys: list) -> bytes:
+    """The remembered bytes of all keys in a row; KeyError if one is not known."""
+    return b"".join(itemgetter(*keys)(known)) if len(keys) > 1 else b"".join([known[k] for k in keys])
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; null is empty."""
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]

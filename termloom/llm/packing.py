@@ -25,6 +25,9 @@ MAGIC = b"TLIDS1\0\0"
 BLOCK_IDS = 1 << 16
 _TRAILER = struct.Struct("<QQQQII")
 
+#: Widths that numpy has a type for.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
 
 def bits_for(n_ids: int) -> int:
     """Fewest bits that hold the ids 0 to n_ids - 1."""
@@ -36,6 +39,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
         raise ValueError(f"an id needs more than {bits} bits")
     rows = np.zeros(-(-len(ids) // 64) * 64, np.uint64)
     rows[: len(ids)] = ids
+    if bits in _WHOLE:  # the same bytes, without shifts
+        return rows.astype(_WHOLE[bits]).tobytes()
     rows = rows.reshape(-1, 64)
     out = np.zeros((len(rows), bits), np.uint64)
     for j in range(64):
@@ -47,6 +52,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
+    if bits in _WHOLE:
+        return np.frombuffer(data, _WHOLE[bits], n).astype(np.uint32)
     words = np.frombuffer(data, "<u8").reshape(-1, bits)
     out = np.empty((len(words), 64), np.uint32)
     mask = np.uint64((1 << bits) - 1)

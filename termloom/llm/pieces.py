@@ -34,7 +34,9 @@ from termloom.llm import common
 
 MARK = "▁"
 #: Remembered words of a worker, some 250 bytes each.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 300_000
+#: Remembered pairs of pieces of a worker, some 100 bytes each.
+CACHE_PAIRS = 500_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -95,14 +97,14 @@ class Pieces:
         cache = self.cache
         words = self.words(text)
         try:
-            return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4")
+            return np.frombuffer(common.joined(cache, words), "<i4")
         except KeyError:
             pass
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in set(words).difference(cache):
             cache[w] = np.array(self.encode_word(w), "<i4").tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<i4")
+        return np.frombuffer(common.joined(cache, words), "<i4")
 
     def encode_word(self, word: str) -> list[int]:
         """Parts without unknown characters by the automaton, others by bytes."""
@@ -169,7 +171,7 @@ class Pieces:
     def _follows(self, left: int, right: int) -> bool:
         key = left * self.n + right
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             a, b = self.piece[left], self.piece[right]
             known = self.pairs[key] = self.merge(a + b) == [a, b]

@@ -99,8 +99,7 @@ class Encoder:
             cache.update(zip(alone, self._direct(alone), strict=True))
             for start in range(0, len(joint), 500):
                 cache.update(self._in_a_row(joint[start : start + 500]))
-        get = cache.__getitem__
-        return [self._direct([x])[0] if w else b"".join(map(get, p)) for x, w, p in zip(texts, whole, pieces, strict=True)]
+        return [self._direct([x])[0] if w else common.joined(cache, p) for x, w, p in zip(texts, whole, pieces, strict=True)]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

@@ -229,7 +229,7 @@ def test_pages_without_text(html):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<li>", "<nav>", "</nav>", "text ", "&amp;", "&#0;", "<br>", "<td>", "</article>", "<article>", "<!-- x", "-->", "<script>", "</script>"]), max_size=40))
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<li>", "<nav>", "</nav>", "text ", "&amp;", "&#0;", "<br>", "<td>", "</article>", "<article>", "<div>" * 3000, "<!-- x", "-->", "<script>", "</script>"]), max_size=40))
 def test_broken_markup_does_not_crash(parts):
     assert isinstance(html_text.main_text("".join(parts)), str)
 
@@ -239,3 +239,14 @@ def test_extract_frames(spark):
     rows = html_text.extract(pages).collect()
     assert sorted((r.page_id, r.text[:5]) for r in rows) == [(1, "A ä b"), (1, "A ä b"), (2, ""), (3, "word ")]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_whole_widths_have_the_bytes_of_shifted_ones(monkeypatch):
+    rng = np.random.default_rng(1)
+    for bits in (8, 16, 32):
+        ids = rng.integers(0, 1 << bits, 200, dtype=np.uint64).astype(np.uint32)
+        plain = packing.pack(ids, bits)
+        with monkeypatch.context() as m:
+            m.setattr(packing, "_WHOLE", {})
+            assert packing.pack(ids, bits) == plain and (packing.unpack(plain, bits, 200) == ids).all()
+        assert (packing.unpack(plain, bits, 200) == ids).all()
