@@ -22,6 +22,7 @@ space inside a block is one space; blocks are joined by one line break.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,6 +35,8 @@ from termloom.llm import common
 SIGMA = 1.5
 #: Share of the voting text that the region must hold.
 REGION_SHARE = 0.9
+#: Sections inside deeper ones count as their parents.
+MAX_DEPTH = 200
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -68,6 +71,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, int, bool]] = []  # element, number of its section or -1, whether it is skipped
+        self.count: Counter[str] = Counter()  # of open elements by name
         self.path: tuple[int, ...] = (0,)
         self.skipping = 0
         self.links = 0
@@ -85,7 +89,7 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = self.count["article"] + self.count["main"] > 0
         if tag == "header" and not inside:
             return True
         for name, value in attrs:
@@ -124,7 +128,7 @@ class Lines(HTMLParser):
         number = -1
         if tag in BLOCKS and not self.skipping:
             self._break()
-            if tag in SECTIONS and not skipped:
+            if tag in SECTIONS and not skipped and len(self.path) < MAX_DEPTH:
                 self.sections += 1
                 number = self.sections
                 if tag in ("article", "main") or self.path[-1] in self.in_article:
@@ -132,6 +136,7 @@ class Lines(HTMLParser):
                 self.path = (*self.path, number)
                 self.line.path = self.path
         self.open.append((tag, number, skipped))
+        self.count[tag] += 1
         if skipped:
             self.skipping += 1
         elif not self.skipping:
@@ -142,6 +147,8 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self._close_to(at)
@@ -151,12 +158,16 @@ class Lines(HTMLParser):
                 return
 
     def _close_head(self) -> None:
+        if not self.count["head"]:
+            return
         for at, (tag, _, _) in enumerate(self.open):
             if tag == "head":
                 self._close_to(at)
                 return
 
     def _close_p(self) -> None:
+        if not self.count["p"]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == "p":
                 self._close_to(at)
@@ -165,6 +176,8 @@ class Lines(HTMLParser):
                 return
 
     def _close_like(self, tag: str) -> None:
+        if not self.count[tag] and tag not in ("dd", "dt"):
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag or (tag in ("dd", "dt") and self.open[at][0] in ("dd", "dt")):
                 self._close_to(at)
@@ -175,6 +188,7 @@ class Lines(HTMLParser):
     def _close_to(self, at: int) -> None:
         while len(self.open) > at:
             tag, number, skipped = self.open.pop()
+            self.count[tag] -= 1
             if skipped:
                 self.skipping -= 1
                 continue

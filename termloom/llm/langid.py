@@ -16,6 +16,7 @@ language is null are not learned from; without any training row everything is ``
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ N_BINS = 4096
 #: Bound of the sample from which centroids are fitted, by language.
 SAMPLE_PER_LANG = 400
 CENTROIDS = 4
+#: Languages whose counts a task holds at once.
+HELD_LANGS = 64
 #: A document may be this share less similar than the least similar of the sample's 99 % nearest.
 MARGIN = 0.5
 #: Code points handled at once, so that one very long text needs little memory.
@@ -107,31 +110,42 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", sample_per_lang:
     """Learn from the rows of ``docs`` where ``train`` holds and the language is known."""
     rows = common.documents(docs.filter(train & F.col(lang_col).isNotNull()), "doc_id", "text", F.col(lang_col).cast("string").alias("lang"))
 
-    def frequencies(batch: pa.RecordBatch) -> dict:
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each language of a task; languages beyond ``HELD_LANGS`` make it send what it has."""
         df: dict[str, np.ndarray] = {}
         n: dict[str, int] = {}
-        for text, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
-            if _LETTER.search(text):
-                df[lang] = df.get(lang, 0) + (gram_counts(text) > 0)
-                n[lang] = n.get(lang, 0) + 1
-        return {"lang": list(df), "n": list(n.values()), "df": [x.astype("<i8").tobytes() for x in df.values()]}
-
-    def added(key, table):
-        total = sum(np.frombuffer(x, "<i8") for x in table["df"].to_pylist())
-        return pa.table({"lang": [key[0].as_py()], "n": [sum(table["n"].to_pylist())], "df": [total.astype("<i8").tobytes()]})
-
-    schema = "lang string, n long, df binary"
-    # a row for each batch and language: the group of one language in one task is small
-    counts = common.map_batches(rows, frequencies, schema).groupBy("lang").applyInArrow(added, schema).collect()  # a row for each language
-    langs = sorted(r["lang"] for r in counts)
+
+        def rows_of() -> pa.RecordBatch:
+            kinds = {"lang": pa.string(), "n": pa.int64(), "df": pa.list_(pa.int64())}
+            values = (list(df), [n[x] for x in df], [x.tolist() for x in df.values()])
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds.values(), strict=True)], names=list(kinds))
+
+        for batch in batches:
+            for text, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
+                if _LETTER.search(text):
+                    df[lang] = df.get(lang, 0) + (gram_counts(text) > 0)
+                    n[lang] = n.get(lang, 0) + 1
+                    if len(df) > HELD_LANGS:
+                        yield rows_of()
+                        df.clear()
+        if df:
+            yield rows_of()
+
+    partial = rows.mapInArrow(frequencies, "lang string, n long, df array<long>")
+    bins = F.posexplode(F.concat("df", F.array("n")))  # the last is the number of documents
+    summed = partial.select("lang", bins.alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    found: dict[str, np.ndarray] = {}
+    for row in summed.collect():  # the bins of each language
+        found.setdefault(row["lang"], np.zeros(N_BINS + 1, np.int64))[row["bin"]] = row["n"]
+    langs = sorted(found)
     if not langs:
         return LanguageModel(np.ones(N_BINS, np.float32), np.zeros((0, N_BINS), np.float32), [], {})
-    n_docs = sum(r["n"] for r in counts)
-    df = sum(np.frombuffer(r["df"], "<i8") for r in counts)
+    total = sum(found.values())
+    n_docs, df = int(total[-1]), total[:-1]
     idf = (np.log((1 + n_docs) / (1 + df)) + 1).astype(np.float32)
 
     slots = 1 << 20
-    share = {r["lang"]: min(slots, sample_per_lang * slots // r["n"] + 1) for r in counts}
+    share = {x: min(slots, sample_per_lang * slots // int(c[-1]) + 1) for x, c in found.items()}
     wanted = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
     sampled = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)) < wanted)
 
