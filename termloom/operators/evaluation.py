@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
-from termloom.operators import importance, metrics, rerank
+from termloom.operators import expansion, importance, metrics, rerank
 from termloom.operators.similarity import Encoder
 
 
@@ -51,6 +51,14 @@ def ablation(features: DataFrame, weights: DataFrame, candidates: DataFrame, que
     return compare(metrics.evaluate(both, qrels, names, ["run_name", "qid"]), baseline)
 
 
+def simple_ablation(queries: DataFrame, candidates: DataFrame, query_terms: DataFrame, docs: DataFrame, qrels: DataFrame, encoder: Encoder, names: list[str], top_k: int = 100) -> DataFrame:
+    """Without features or feedback: the first words of a query with equal weights, against the first stage."""
+    own = expansion.simple_expansion(queries).select("qid", "rank", "term", F.col("weight").alias("importance"))
+    runs = rerank.rerank(candidates, query_terms, own, docs, encoder, top_k).withColumn("run_name", F.lit("uniform_simple"))
+    both = runs.unionByName(candidates.select("qid", "rank", "doc_id", "score", F.lit("first_stage").alias("run_name")))
+    return compare(metrics.evaluate(both, qrels, names, ["run_name", "qid"]), "first_stage")
+
+
 def similarities_of(features: DataFrame, candidates: DataFrame, query_terms: DataFrame, docs: DataFrame, encoder: Encoder) -> DataFrame:
     terms = query_terms.select("qid", "term").unionByName(features.select("qid", "term"))
     return rerank.term_similarities(candidates, terms, docs, encoder)

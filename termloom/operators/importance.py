@@ -43,6 +43,21 @@ def combined(alpha="alpha", beta="beta", gamma="gamma"):
     return a * F.coalesce("rm_weight", F.lit(0.0)) + b * F.coalesce("bm25_score", F.lit(0.0)) + g * F.coalesce("semantic_score", F.lit(0.0))
 
 
+def with_feature(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Adds a feature of one's own from (term, value) or (qid, term, value); missing ones are 0."""
+    keys = ["qid", "term"] if "qid" in values.columns else ["term"]
+    joined = rows.join(values.select(*keys, F.col("value").alias(name)), keys, "left")
+    return joined.withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def with_custom(rows: DataFrame, weights: dict[str, float], alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.0) -> DataFrame:
+    """The weighted importance plus weighted features of one's own."""
+    extra = combined(alpha, beta, gamma)
+    for name, weight in weights.items():
+        extra = extra + F.lit(float(weight)) * F.col(name)
+    return rows.withColumn("importance", extra)
+
+
 def uniform(rows: DataFrame) -> DataFrame:
     return rows.withColumn("importance", F.lit(1.0))
 

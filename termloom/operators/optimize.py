@@ -86,6 +86,17 @@ def best_of(scores: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return scores.withColumn("i", F.row_number().over(order)).filter("i = 1").drop("i")
 
 
+def compare_methods(scores: DataFrame, methods: DataFrame, train: str = "train", test: str = "test") -> DataFrame:
+    """(method, weights_id, train_score, test_score): each method's best weights on ``train``, scored on ``test``.
+
+    ``scores`` has weights_id, group and score; ``methods`` (method, weights_id) the points of each method.
+    """
+    of = lambda g: scores.filter(F.col("group") == g).select("weights_id", F.col("score").alias(f"{g}_score"))
+    rows = methods.join(of(train), "weights_id").withColumn("score", F.col(f"{train}_score"))
+    best = best_of(rows, ["method"]).drop("score")
+    return best.join(of(test), "weights_id").select("method", "weights_id", F.col(f"{train}_score").alias("train_score"), F.col(f"{test}_score").alias("test_score"))
+
+
 @dataclass
 class Result:
     weights: Weights

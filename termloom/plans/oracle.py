@@ -133,6 +133,8 @@ CTES: dict[str, str] = {
     "runs_long": "SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10, avg(ndcg_cut_100) AS ndcg_cut_100, avg(recip_rank) AS recip_rank, avg(recall_100) AS recall_100, avg(\"P_10\") AS \"P_10\", 0.0::DOUBLE AS no_such_metric FROM runs_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10, ndcg_cut_100, recip_rank, recall_100, \"P_10\", no_such_metric))",
     "abl_runs": "SELECT model AS run_name, qid, doc_id, sum(score) AS score FROM (SELECT model, b.qid, doc_id, base AS score FROM base b CROSS JOIN abl_weights UNION ALL SELECT model, s.qid, s.doc_id, importance * similarity FROM abl JOIN sims s USING (qid, term) WHERE importance > 0) GROUP BY ALL UNION ALL SELECT 'first_stage', qid, doc_id, score FROM top20",
     "abl_eval": _evaluated("SELECT * FROM abl_runs", "run_name, qid"),
+    "simple_runs": "SELECT 'uniform_simple' AS run_name, b.qid, b.doc_id, base + sum(similarity) AS score FROM base b JOIN query_terms q ON b.qid = q.qid AND q.pos < 5 JOIN sims s ON s.qid = b.qid AND s.doc_id = b.doc_id AND s.term = q.term GROUP BY b.qid, b.doc_id, base UNION ALL SELECT 'first_stage', qid, doc_id, score FROM top20",
+    "simple_eval": _evaluated("SELECT * FROM simple_runs", "run_name, qid"),
     "grid": _points(_GRID),
     "grid_runs": "SELECT weights_id, qid, doc_id, base + sum((alpha * rm_weight + beta * bm25_score + gamma * semantic_score) * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) CROSS JOIN grid GROUP BY weights_id, qid, doc_id, base",
     "grid_eval": _evaluated("SELECT * FROM grid_runs", "weights_id, qid"),
@@ -287,6 +289,12 @@ _STATEMENTS: dict[str, str] = {
     + ")",
     "paired_significance": f"SELECT count(*) AS n, {rnd('avg(d)')} AS mean_difference, {rnd('CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END')} AS t, sum((d > 0)::INT)::BIGINT AS better, sum((d < 0)::INT)::BIGINT AS worse, sum((d = 0)::INT)::BIGINT AS equal FROM (SELECT round(b.ndcg_cut_10, 9) - round(a.ndcg_cut_10, 9) AS d FROM top20_eval a JOIN reranked_eval b USING (qid))",
     "ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM abl_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
+    "simple_ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM simple_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
+    "custom_feature_importance": f"SELECT qid, rank, i.term, {rnd('coalesce(ln(1.0::DOUBLE + df), 0)')} AS log_df, {rnd('importance - 0.1::DOUBLE * coalesce(ln(1.0::DOUBLE + df), 0)')} AS importance FROM imp i LEFT JOIN term_stats t ON i.term = t.term",
+    "optimizer_comparison": f"""SELECT method, weights_id, {rnd('tr')} AS train_score, {rnd('te')} AS test_score FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY tr DESC, weights_id) AS i FROM (
+        SELECT 'grid' AS method, weights_id FROM grid UNION ALL SELECT 'corners', weights_id FROM grid WHERE 1.55::DOUBLE NOT IN (alpha, beta, gamma) UNION ALL SELECT 'middle', 13) m
+        JOIN (SELECT weights_id, {rnd("avg(CASE WHEN NOT test THEN ndcg_cut_10 END)", 9)} AS tr, {rnd("avg(CASE WHEN test THEN ndcg_cut_10 END)", 9)} AS te FROM (
+          SELECT weights_id, ndcg_cut_10, ('0x' || substr(md5(qid::VARCHAR), 1, 8))::BIGINT % 1000 < 500 AS test FROM grid_eval) GROUP BY weights_id) USING (weights_id)) WHERE i = 1""",
     "grid_search_scores": f"SELECT weights_id, alpha, beta, gamma, {rnd('score')} AS score FROM grid_scores",
     "grid_search_best": f"SELECT weights_id, alpha, beta, gamma, {rnd('score')} AS score FROM grid_scores ORDER BY grid_scores.score DESC, weights_id LIMIT 1",
     "weight_sensitivity": f"SELECT count(*) AS n, {_spread('score')} FROM (SELECT {rnd('avg(ndcg_cut_10)', 9)} AS score FROM sens_eval GROUP BY weights_id)",

@@ -246,6 +246,13 @@ def ablation_importance(w: Workload) -> DataFrame:
     return importance.ablation_importance(w.features, weights).select("model", "qid", "rank", "term", *r("importance"))
 
 
+@query
+def custom_feature_importance(w: Workload) -> DataFrame:
+    rare = w.index.term_stats.select("term", F.log(1.0 + F.col("df")).alias("value"))
+    rows = importance.with_feature(w.features, rare, "log_df")
+    return importance.with_custom(rows, {"log_df": -0.1}, *WEIGHTS).select("qid", "rank", "term", *r("log_df", "importance"))
+
+
 @query
 def term_features(w: Workload) -> DataFrame:
     found = importance.extract_features(w.index, w.expansion, w.query_terms, w.encoder, DIM, "document", _top_doc(w))
@@ -372,6 +379,12 @@ def ablation_eval(w: Workload) -> DataFrame:
     return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
 
 
+@query
+def simple_ablation_eval(w: Workload) -> DataFrame:
+    found = evaluation.simple_ablation(w.queries, w.run(CANDIDATES), w.query_terms, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"])
+    return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
+
+
 # -- weights
 
 
@@ -398,6 +411,15 @@ def weight_sensitivity(w: Workload) -> DataFrame:
     return _objective(w, SENSITIVITY).agg(F.count("*").alias("n"), *N.spread(F.col("score")))
 
 
+@query
+def optimizer_comparison(w: Workload) -> DataFrame:
+    groups = crossval.holdout(w.queries, 0.5).select("qid", F.col("split").alias("group"))
+    ends = [i for i, p in enumerate(GRID) if 1.55 not in p]
+    rows = [("grid", i) for i in range(len(GRID))] + [("corners", i) for i in ends] + [("middle", 13)]
+    methods = w.spark.createDataFrame(rows, "method string, weights_id int")
+    return optimize.compare_methods(_objective(w, GRID, groups=groups), methods).select("method", "weights_id", *r("train_score", "test_score"))
+
+
 @query
 def random_search(w: Workload) -> DataFrame:
     points = optimize.Sampler(((0.1, 5.0),) * 3, 42).points(20)
