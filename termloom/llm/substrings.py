@@ -43,7 +43,7 @@ from termloom.llm import common
 WINDOW = 13
 SEED_WORDS = 6
 #: Text bytes of a shard, which one task holds with its automaton.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _NONE = np.iinfo(np.int64).max
 #: Windows of a pattern at most, which bounds the automaton's depth.
