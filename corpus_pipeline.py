@@ -8,21 +8,38 @@ columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm import common, decontaminate, langid, pieces, queries, simhash, substrings
+from termloom.sources.shared import ship_package
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 ORACLE_SQL = None  # no SQL for hashing, automata and tokenisation; tests hold the stages against brute force
 
 
+def stage(fn: Stage) -> Stage:
+    """Executors get the package before a stage runs, wherever it is called from."""
+
+    @wraps(fn)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, docs, sf_dir)
+
+    return call
+
+
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go."""
     model = langid.fit(docs, queries.fold(4) != 2)
     return langid.accepted(docs, model)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the least doc_id stays; a document without id stays, rows of one id are one."""
     found = simhash.near_duplicates(docs)
@@ -32,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
+@stage
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has go; texts without such words stay as they are."""
     kept = substrings.dedup_substrings(docs, keep_layout=True).select(F.col("doc_id").alias("id_"), F.col("text").alias("text_"), F.col("digest").alias("digest_"))
@@ -41,17 +59,19 @@ def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return joined.select(*docs.columns)
 
 
+@stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids and round_trip of what is left."""
     return pieces.encode(docs, queries.tokenizer_path("piece_bpe_32k.model"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
     ("substrings", drop_repeated_substrings),
@@ -62,6 +82,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs, _ = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, fn in STAGES[:-1]:
+        docs, _ = common.materialize(fn(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
