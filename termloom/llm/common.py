@@ -60,6 +60,30 @@ def joined(known: dict, keys: list) -> bytes:
     return b"".join(itemgetter(*keys)(known)) if len(keys) > 1 else b"".join([known[k] for k in keys])
 
 
+class Memory:
+    """What a worker remembers, in two generations of ``size`` entries.
+
+    A full generation becomes the old one; what is asked for again moves on from there,
+    so frequent keys stay while rare ones go. ``young`` is a plain dict, which sets can
+    be compared with without reading all of it.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys that are in neither generation; those of the old one are taken over."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        new = keys.difference(self.young)
+        old = self.old
+        known = [k for k in new if k in old]
+        self.young.update([(k, old[k]) for k in known])
+        return new.difference(known)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; null is empty."""
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from termloom.llm import common
 
 MARK = "▁"
-#: Remembered words of a worker, some 250 bytes each.
-CACHE_WORDS = 300_000
+#: Remembered words of a generation, some 250 bytes each.
+CACHE_WORDS = 150_000
 #: Remembered pairs of pieces of a worker, some 100 bytes each.
 CACHE_PAIRS = 500_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -65,7 +65,7 @@ class Pieces:
             self.automaton.add_word(p, (i, len(p)))
         if self.id:
             self.automaton.make_automaton()
-        self.cache: dict[str, bytes] = {}
+        self.cache = common.Memory(CACHE_WORDS)
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         blob = [self._bytes_of(i) for i in range(self.n)]
@@ -97,14 +97,12 @@ class Pieces:
         cache = self.cache
         words = self.words(text)
         try:
-            return np.frombuffer(common.joined(cache, words), "<i4")
+            return np.frombuffer(common.joined(cache.young, words), "<i4")
         except KeyError:
             pass
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = np.array(self.encode_word(w), "<i4").tobytes()
-        return np.frombuffer(common.joined(cache, words), "<i4")
+        for w in cache.unknown(set(words)):
+            cache.young[w] = np.array(self.encode_word(w), "<i4").tobytes()
+        return np.frombuffer(common.joined(cache.young, words), "<i4")
 
     def encode_word(self, word: str) -> list[int]:
         """Parts without unknown characters by the automaton, others by bytes."""
