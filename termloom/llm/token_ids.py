@@ -39,7 +39,7 @@ SHARD_BYTES = 24 << 20
 #: Documents that are split and looked up together.
 DOCS = 256
 #: Remembered pieces of a worker, some 200 bytes each.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Code points up to here have had their letters and numbers fixed for long.
 _PLAIN = 0x52F
 _OTHER = re.compile(f"[^\x00-\x1b\x20-{chr(_PLAIN)}]")
@@ -145,9 +145,9 @@ def write_ids(
         name = f"{path}/{shard:08d}-{uuid.uuid4().hex}.ids"
         writer = sink = None
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), common.texts(batch)
-            for start in range(0, len(ids), DOCS):
-                for doc_id, data in zip(ids[start : start + DOCS], own.encode(texts[start : start + DOCS]), strict=True):
+            for start in range(0, batch.num_rows, DOCS):
+                part = batch.slice(start, DOCS)
+                for doc_id, data in zip(part.column("doc_id").to_pylist(), own.encode(common.texts(part)), strict=True):
                     if writer is None:
                         sink = fs.open_output_stream(name)
                         writer = packing.Writer(sink, bits)
