@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termloom.functions import numbers as N
 from termloom.functions import text as T
 from termloom.operators import bm25, crossval, evaluation, expansion, importance, index, metrics, optimize, rerank, similarity
-from termloom.plans.workload import CANDIDATES, DIM, EXPANSION_TERMS, WEIGHTS, Workload
+from termloom.plans.workload import CANDIDATES, DIM, WEIGHTS, Workload
 from termloom.sources import records, trec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
-from termloom.functions import vectors as V
 from termloom.operators import bm25, expansion, importance, index, rerank, similarity
 from termloom.sources import shared
 
