@@ -91,10 +91,11 @@ def test_rm3_holds_query_terms_sorted_and_cut(spark, docs, idx, n):
     query = terms(spark, q="machine learning algorithms")
     rows = expansion.rm3(idx, docs, query, k=n).orderBy("rank").collect()
     assert len(rows) <= n and all(r.weight > 0 for r in rows)
-    assert [r.weight for r in rows] == sorted((r.weight for r in rows), reverse=True)
+    assert [round(r.weight, 9) for r in rows] == sorted((round(r.weight, 9) for r in rows), reverse=True)
     if n > 3:
         assert {"machine", "learning", "algorithms"} <= {r.term for r in rows}
-    assert [tuple(r) for r in rows] == [tuple(r) for r in expansion.rm3(idx, docs, query, k=n).orderBy("rank").collect()]
+    again = expansion.rm3(idx, docs, query, k=n).orderBy("rank").collect()
+    assert [(r.rank, r.term, round(r.weight, 9)) for r in rows] == [(r.rank, r.term, round(r.weight, 9)) for r in again]  # sums may differ in the last bits
 
 
 def test_zero_scores_weigh_nothing_and_logs_are_a_softmax(spark):
