@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.llm import common, decontaminate, langid, pieces, queries, simhash, substrings
+from termloom.llm import common, decontaminate, langid, nearcopies, pieces, queries, substrings
 from termloom.sources.shared import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -42,8 +42,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the least doc_id stays; a document without id stays, rows of one id are one."""
-    found = simhash.near_duplicates(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    found = nearcopies.near_copies(docs)
+    keep = found.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
     named = docs.join(keep, "doc_id", "left_semi").withColumn("row_", F.row_number().over(first)).filter("row_ = 1").drop("row_")
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -345,3 +345,38 @@ def test_query_matches_sql(spark, sf_dir, name):
     show = lambda v: round(v, 5) if isinstance(v, float) else v
     got = sorted(repr(tuple(show(r[c]) for c in columns)) for r in df.collect())
     assert got == sorted(repr(tuple(show(r[names.index(c)]) for c in columns)) for r in cursor.fetchall())
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_copies(texts):
+    """For each text the first one that it reaches over 5-word Jaccard of at least 0.8."""
+    sets, root = [five_words(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_stage_drops_what_is_alike_in_five_word_shingles(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for n in [1, 2, 3, 4, 5, 6] * 6:  # words changed: similarity 0.95 to 0.74
+        w = list(base)
+        for at in rng.sample(range(200), n):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"v{rng.randrange(900)}" for _ in range(n)) for n in (1, 4, 5, 6, 300)] + ["", None, "a b", "A  b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()}
+    root = brute_copies(texts)
+    assert kept == set(root) and len(kept) < len(texts) - 20
+    assert cp.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
