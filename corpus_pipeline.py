@@ -41,11 +41,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least doc_id stays; a document without id stays, rows of one id are one."""
-    found = nearcopies.near_copies(docs)
-    keep = found.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(keep, "doc_id", "left_semi").withColumn("row_", F.row_number().over(first)).filter("row_ = 1").drop("row_")
+    """Of each group the document with the least doc_id stays; a document without id stays, equal rows are one.
+
+    Documents are told apart by id and text, so different texts under one id are different documents.
+    """
+    found = nearcopies.near_copies(docs).filter("doc_id is not null")
+    keep = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.key").alias("key_"))
+    first = Window.partitionBy("doc_id", "key_").orderBy("text")
+    named = docs.withColumn("key_", nearcopies.text_key()).join(keep, ["doc_id", "key_"], "left_semi")
+    named = named.withColumn("row_", F.row_number().over(first)).filter("row_ = 1")
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

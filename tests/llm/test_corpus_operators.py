@@ -380,3 +380,14 @@ def test_stage_drops_what_is_alike_in_five_word_shingles(spark):
     root = brute_copies(texts)
     assert kept == set(root) and len(kept) < len(texts) - 20
     assert cp.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    a, b = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (1, b), (1, b + " more"), (2, a), (3, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 2 and {i for i, _ in got} == {1} and {t[0] for _, t in got} == {"a", "b"}
