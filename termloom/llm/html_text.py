@@ -8,7 +8,9 @@
    paragraph between long ones keeps up and a lone long line sinks.
 4. Two clusters of the smoothed ratios (1-dimensional 2-means) set the threshold. The
    lines above it vote by their text for the innermost section that holds nearly all
-   of that text: this section is the content region, and all its lines are the text.
+   of that text. The content region is the outermost article around that section, or
+   main where there is no article, or else the innermost section that holds all lines
+   above the threshold; all lines of the region are the text.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, reader comments,
 scripts, styles and hidden parts never become lines: they are known by element, role,
@@ -77,6 +79,7 @@ class Lines(HTMLParser):
         self.links = 0
         self.sections = 0
         self.in_article: set[int] = set()  # sections that are, or lie in, an article or the main part
+        self.kind: dict[int, str] = {}  # of the sections that are an article or the main part
         self.line = Line(self.path)
 
     def _break(self) -> None:
@@ -133,6 +136,8 @@ class Lines(HTMLParser):
                 number = self.sections
                 if tag in ("article", "main") or self.path[-1] in self.in_article:
                     self.in_article.add(number)
+                if tag in ("article", "main"):
+                    self.kind[number] = tag
                 self.path = (*self.path, number)
                 self.line.path = self.path
         self.open.append((tag, number, skipped))
@@ -250,14 +255,22 @@ def main_text(html: str, sigma: float = SIGMA) -> str:
     ratio = smooth(free / np.array([1 + x.tags for _, x in lines]), sigma)
     chosen = ratio >= two_means(ratio) if len(lines) > 1 else np.ones(1, bool)
     mass: dict[int, float] = {}
+    votes: Counter[int] = Counter()
     depth: dict[int, int] = {}
     for (_, x), n, take in zip(lines, free, chosen, strict=True):
         if take:
             for d, section in enumerate(x.path):
                 mass[section] = mass.get(section, 0) + n
+                votes[section] += 1
                 depth[section] = d
     total = mass.get(0, 0)
     region = max((s for s, n in mass.items() if n >= REGION_SHARE * total), key=lambda s: (depth[s], -s))
+    if region in parser.in_article:
+        path = next(x.path for _, x in lines if region in x.path)
+        around = path[: path.index(region) + 1]
+        region = min((s for s in around if s in parser.kind), key=lambda s: (parser.kind[s] != "article", around.index(s)))
+    else:
+        region = max((s for s, n in votes.items() if n == votes[0]), key=lambda s: depth[s])
     # outside an article a short line of nothing but links is navigation
     whole = region in parser.in_article
     out = [text for text, x in lines if region in x.path and (whole or x.linked < 0.9 * len(text) or len(text) >= 80)]

@@ -223,6 +223,21 @@ def test_main_text_of_a_page():
     ])
 
 
+LONG, SHORT = "long words of a story " * 90, "A second section of few words."
+MENU = "<nav><a href=/>Home</a></nav>"
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f"<body>{MENU}<article><h1>T</h1><p>lead</p><div class=entry><p>{LONG}</p></div></article></body>", ["T", "lead", LONG]),
+    (f"<body>{MENU}<main><article><section><p>{LONG}</p></section><section><p>{SHORT}</p></section></article><div><p>{SHORT}</p></div></main></body>", [LONG, SHORT]),
+    (f"<body>{MENU}<main><h1>T</h1><div><p>{LONG}</p></div></main><div><p>{SHORT}</p></div></body>", ["T", LONG]),
+    (f"<body>{MENU}<article><p>lead</p><article><p>{LONG}</p></article></article></body>", ["lead", LONG]),
+    (f"<body>{MENU}<div id=a><div>{f'<p>{LONG}</p>' * 19}</div><div><p>{LONG}</p></div></div></body>", [LONG] * 20),
+])
+def test_main_text_is_the_whole_article(html, want):
+    assert html_text.main_text(html) == "\n".join(" ".join(t.split()) for t in want)
+
+
 @pytest.mark.parametrize("html", ["", "   ", "<p></p>", "<script>x</script>", "<nav><a>x</a></nav>", "<", "&", "<p", "</p></div>"])
 def test_pages_without_text(html):
     assert html_text.main_text(html).strip() in ("", "<", "&", "<p")
