@@ -29,14 +29,20 @@ def _text(value: str) -> str:
 
 
 def _op9() -> str:
-    vocabulary = sorted({w for words in quality.COMMON_WORDS.values() for w in words})
     classes = ["a-z", "A-Z", "0-9", r".,;:!?''\"()\-", "#*$%&|<>"]
     of = lambda chars: f"length(regexp_replace(coalesce(text, ''), '[^{chars}]', '', 'g'))"
     beyond = r"length(regexp_replace(coalesce(text, ''), '[\x00-\x7F]', '', 'g'))"
-    languages = ", ".join(_text(x) for x in sorted(quality.COMMON_WORDS))
+    plain = f"translate(trim(x, '{quality.PUNCTUATION}'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH d AS (
   SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents
+), langs AS (
+  SELECT lang AS ref FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality.MIN_DOCS}
+), own AS (
+  SELECT doc_id, lang, {plain} AS w, count(*)::DOUBLE AS n FROM (SELECT doc_id, lang, unnest(ws) AS x FROM d) GROUP BY ALL
+), top AS (
+  SELECT ref, w FROM (
+    SELECT ref, w, row_number() OVER (PARTITION BY ref ORDER BY count(*) DESC, w) AS i FROM own JOIN langs ON lang = ref WHERE w <> '' GROUP BY ref, w) WHERE i <= {quality.COMMON}
 ), tri AS (
   SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (
     SELECT doc_id, p, array_to_string(ws[p : p + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d WHERE len(ws) >= 3))
@@ -50,28 +56,31 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+), pairs AS (
+  SELECT doc_id, ref, lang, base_failed, n_words FROM judged JOIN langs ON lang = ref OR lang IS NULL
 ), c AS (
   SELECT doc_id, word_chars, [{', '.join(of(x) for x in classes)}] AS five, {beyond} AS beyond FROM base
+), cc AS (
+  SELECT doc_id, unnest(range(7))::VARCHAR AS bin, unnest([five[1], five[2], five[3], five[4], five[5], word_chars - list_sum(five) - beyond, beyond])::DOUBLE AS n FROM c
+), wc AS (
+  SELECT doc_id, ref, own.w AS bin, n FROM pairs JOIN own USING (doc_id) JOIN top USING (ref, w)
 ), h AS (
-  SELECT doc_id, 'c' AS kind, bin::VARCHAR AS bin, n FROM (
-    SELECT doc_id, unnest(range(7)) AS bin, unnest([five[1], five[2], five[3], five[4], five[5], word_chars - list_sum(five) - beyond, beyond])::DOUBLE AS n FROM c)
-  UNION ALL
-  SELECT doc_id, 'w', CASE WHEN w IN ({', '.join(_text(x) for x in vocabulary)}) THEN w ELSE '*' END, count(*)::DOUBLE FROM (
-    SELECT doc_id, translate(trim(x, '.,;:!?'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT doc_id, unnest(ws) AS x FROM base)) GROUP BY ALL
+  SELECT doc_id, ref, 'c' AS kind, bin, n FROM pairs JOIN cc USING (doc_id)
+  UNION ALL SELECT doc_id, ref, 'w', bin, n FROM wc
+  UNION ALL SELECT doc_id, ref, 'w', '', n_words - coalesce(s, 0) FROM pairs LEFT JOIN (SELECT doc_id, ref, sum(n) AS s FROM wc GROUP BY ALL) USING (doc_id, ref)
 ), p AS (
-  SELECT doc_id, kind, bin, n / greatest(sum(n) OVER (PARTITION BY doc_id, kind), 1) AS p FROM h
+  SELECT doc_id, ref, kind, bin, n / greatest(sum(n) OVER (PARTITION BY doc_id, ref, kind), 1) AS p FROM h
 ), q AS (
-  SELECT lang AS ref, kind, bin, s / sum(s) OVER (PARTITION BY lang, kind) AS q FROM (
-    SELECT lang, kind, bin, sum(p) AS s FROM p JOIN judged USING (doc_id) WHERE NOT base_failed AND lang IN ({languages}) GROUP BY ALL)
+  SELECT ref, kind, bin, s / sum(s) OVER (PARTITION BY ref, kind) AS q FROM (
+    SELECT ref, kind, bin, sum(p) AS s FROM p JOIN pairs USING (doc_id, ref) WHERE lang = ref AND NOT base_failed GROUP BY ALL)
+), bins AS (
+  SELECT ref, 'c' AS kind, unnest(range(7))::VARCHAR AS bin FROM (SELECT DISTINCT ref FROM q)
+  UNION ALL SELECT ref, 'w', w FROM top WHERE ref IN (SELECT ref FROM q) UNION ALL SELECT DISTINCT ref, 'w', '' FROM q
 ), js AS (
-  SELECT j.doc_id, r.ref, r.kind, sqrt(greatest(least(sum(
-      CASE WHEN coalesce(p.p, 0) > 0 THEN p.p * log2(p.p / ((p.p + r.q) / 2)) ELSE 0 END + CASE WHEN r.q > 0 THEN r.q * log2(r.q / ((coalesce(p.p, 0) + r.q) / 2)) ELSE 0 END
-    ) / 2 + any_value(coalesce(x.lost, 0)) / 2, 1), 0)) AS dist
-  FROM judged j JOIN q r ON r.ref = j.lang OR j.lang IS NULL OR j.lang NOT IN (SELECT ref FROM q)
-  LEFT JOIN p ON p.doc_id = j.doc_id AND p.kind = r.kind AND p.bin = r.bin
-  LEFT JOIN (SELECT p.doc_id, f.ref, p.kind, sum(p.p) AS lost FROM p JOIN (SELECT DISTINCT ref FROM q) f ON TRUE
-             LEFT JOIN q ON q.ref = f.ref AND q.kind = p.kind AND q.bin = p.bin WHERE q.q IS NULL GROUP BY ALL) x ON x.doc_id = j.doc_id AND x.ref = r.ref AND x.kind = r.kind
-  GROUP BY ALL
+  SELECT doc_id, ref, kind, sqrt(greatest(least(sum(
+      CASE WHEN coalesce(p.p, 0) > 0 THEN p.p * log2(p.p / ((p.p + coalesce(q.q, 0)) / 2)) ELSE 0 END + CASE WHEN coalesce(q.q, 0) > 0 THEN q.q * log2(q.q / ((coalesce(p.p, 0) + q.q) / 2)) ELSE 0 END
+    ) / 2, 1), 0)) AS dist
+  FROM pairs JOIN bins USING (ref) LEFT JOIN p USING (doc_id, ref, kind, bin) LEFT JOIN q USING (ref, kind, bin) GROUP BY ALL
 ), far AS (
   SELECT doc_id, arg_min(dc, dc + dw) AS dc, arg_min(dw, dc + dw) AS dw FROM (
     SELECT doc_id, ref, max(CASE WHEN kind = 'c' THEN dist END) AS dc, max(CASE WHEN kind = 'w' THEN dist END) AS dw FROM js GROUP BY ALL) GROUP BY doc_id

@@ -1,36 +1,44 @@
 """Quality rules: distribution divergence of a document from its language.
 
-For each document two histograms are made: the character classes of its words and
-its common (function) words, with one bin for all other words. The reference of a
-language is the mean histogram of all its documents that pass the base rules. A
-document is kept if the Jensen-Shannon distances (square root, base 2, so 0 to 1)
-of both histograms stay within their bounds. Short documents have noisy
-histograms, so each test has a guard: it says nothing below a least number of
-characters or words.
-
-Defined cases: null or empty text has no words and fails the base rules; a null
-language, or one without reference, is compared with every reference and the
-nearest counts; with no reference at all only the base rules speak.
+For each document two histograms are made: the character classes of its words, and the
+common words of its language with one bin for all other words. Both sides of the
+comparison are learned from the corpus, for whatever languages it has:
+
+1. The common words of a language are the ``COMMON`` words that occur in most of its
+   documents (ties: the least word).
+2. The reference of a language is the mean histogram of all its documents that pass the
+   base rules.
+
+A document is kept if the Jensen-Shannon distances (square root, base 2, so 0 to 1) of
+both histograms stay within their bounds. Guards: short documents have noisy histograms,
+so each test says nothing below a least number of characters or words; few documents
+give a noisy reference, so a language with fewer than ``MIN_DOCS`` documents has none.
+
+Defined cases: null or empty text has no words and fails the base rules; a null language
+is compared with every reference and the nearest counts; for a language without
+reference only the base rules speak, and so they do for all where there is none; rows
+that repeat each count and each get their verdict; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm import common
 
-#: Function words by language (fixed values; any lists can be passed instead).
-COMMON_WORDS = {
-    "en": "the of and to in is that it for was on are as with be by this at from an or".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par pas au sur avec".split(),
-    "es": "de la que el en y los se del las un por con no una su para es al lo".split(),
-}
+#: Common words of a language.
+COMMON = 20
+#: Documents that a language needs for a reference.
+MIN_DOCS = 30
+#: Words of languages that a task holds before it sends their counts.
+HELD_WORDS = 200_000
+PUNCTUATION = ".,;:!?"
 MAX_CHAR_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.29
 MIN_CHARS = 200
@@ -72,14 +80,18 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def measure(text: bytes, slots: dict[bytes, int], n_slots: int) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts, common-word counts."""
+_EDGE = PUNCTUATION.encode()
+
+
+def measure(text: bytes, slots: dict[bytes, int]) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class counts, and the common words' slots and counts."""
     words = text.split()
     lines = Counter(x for x in text.split(b"\n") if x.strip())
     classes = np.bincount(_TABLE[np.frombuffer(text, np.uint8)], minlength=8)[:7]
-    common_words = np.zeros(n_slots + 1, np.int64)
+    found: Counter[int] = Counter()
     for w, n in Counter(words).items():
-        common_words[slots.get(w.strip(b".,;:!?").lower(), n_slots)] += n
+        if (slot := slots.get(w.strip(_EDGE).lower())) is not None:
+            found[slot] += n
     return (
         len(words),
         len(text.translate(None, _NO_CHARACTER)),
@@ -87,7 +99,8 @@ def measure(text: bytes, slots: dict[bytes, int], n_slots: int) -> tuple:
         sum(lines.values()) - len(lines),
         repeated_words(words),
         classes,
-        common_words,
+        list(found),
+        list(found.values()),
     )
 
 
@@ -102,73 +115,114 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
+def common_words(rows: DataFrame, n: int = COMMON, min_docs: int = MIN_DOCS) -> dict[str, list[bytes]]:
+    """The words of each language (of rows lang, text) that most of its documents have."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def sent() -> pa.RecordBatch:
+            flat = [(x, w, c) for x, found in held.items() for w, c in found.items()]
+            kinds = {"lang": pa.string(), "word": pa.binary(), "n": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*flat, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), common.byte_texts(batch), strict=True):
+                own = {w.strip(_EDGE) for w in set(text.lower().split())}
+                own.add(b"")  # counts the documents
+                held.setdefault(lang, Counter()).update(own)
+                if sum(map(len, held.values())) > HELD_WORDS:
+                    yield sent()
+                    held.clear()
+        if held:
+            yield sent()
+
+    # partial counts are added up before and after the shuffle; the first n of each part go on
+    totals = rows.filter("lang is not null").mapInArrow(counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")  # the empty word, which all documents have, is the first
+    best = totals.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= n + 1)
+    out: dict[str, list[bytes]] = {}
+    for r in best.filter((F.col("word") != b"") | (F.col("n") >= min_docs)).orderBy("lang", "i").collect():  # n + 1 rows a language
+        if not r["word"]:
+            out[r["lang"]] = []
+        elif r["lang"] in out:
+            out[r["lang"]].append(bytes(r["word"]))
+    return out
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    common_words: dict[str, list[str]] | None = None,
+    words: dict[str, list[bytes]] | None = None,
     max_char_distance: float = MAX_CHAR_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_WORDS,
+    n_common: int = COMMON,
+    min_docs: int = MIN_DOCS,
 ) -> DataFrame:
     """One row per document: counts, base_failed, both distances and kept.
 
-    The texts are read once; what later steps need (some ninety counts per
+    The texts are read twice: for the common words (unless ``words`` gives them by
+    language) and for the counts; what later steps need (some tens of numbers per
     document) is written to the shared folder. The references are sums over all
     documents, added up within each task before they are shuffled.
     """
-    lists = common_words or COMMON_WORDS
-    vocabulary = sorted({w.encode() for words in lists.values() for w in words})
-    slots, n_slots = {w: i for i, w in enumerate(vocabulary)}, len(vocabulary)
-    langs = sorted(lists)
+    rows = common.documents(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
+    lists = common_words(rows.select("lang", "text"), n_common, min_docs) if words is None else words
+    vocabulary = sorted({w for x in lists.values() for w in x})
+    slots, width = {w: i for i, w in enumerate(vocabulary)}, max(map(len, lists.values()), default=0) + 1
+    # for each language the bin of each slot; the last bin is that of other words
+    bins = {x: np.full(len(vocabulary), width - 1) for x in lists}
+    for x, own in lists.items():
+        bins[x][[slots[w] for w in own]] = np.arange(len(own))
 
     def counts(batch: pa.RecordBatch) -> dict:
-        rows = [measure(x, slots, n_slots) for x in common.byte_texts(batch)]
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "commons")
-        columns = dict(zip(names, zip(*rows, strict=True), strict=True))
-        return columns | {"doc_id": batch.column("doc_id"), "lang": batch.column("lang")}
+        found = [measure(x, slots) for x in common.byte_texts(batch)]
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "slots", "hits")
+        return dict(zip(names, zip(*found, strict=True), strict=True)) | {"doc_id": batch.column("doc_id"), "lang": batch.column("lang")}
 
-    rows = common.documents(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted, _ = common.materialize(
-        common.map_batches(rows, counts, schema + ", classes array<long>, commons array<long>").withColumn("base_failed", base), "quality"
+        common.map_batches(rows, counts, schema + ", classes array<long>, slots array<int>, hits array<long>").withColumn("base_failed", base), "quality"
     )
 
     def sums(batch: pa.RecordBatch) -> dict | None:
         out: dict[str, list] = {"lang": [], "histogram": []}
         lang = np.array(batch.column("lang").to_pylist(), object)
-        classes, commons = _matrix(batch, "classes"), _matrix(batch, "commons")
-        for x in langs:
+        classes = _classes(batch)
+        for x in bins:
             if (at := lang == x).any():
-                shares = [m[at] / np.maximum(m[at].sum(axis=1, keepdims=True), 1) for m in (classes, commons)]
+                shares = [m / np.maximum(m.sum(axis=1, keepdims=True), 1) for m in (classes[at], _commons(batch, at, bins[x], width))]
                 out["lang"].append(x)
-                out["histogram"].append(np.concatenate([s.sum(axis=0) for s in shares]))
+                out["histogram"].append(np.concatenate([m.sum(axis=0) for m in shares]))
         return out
 
-    n = len(CLASSES) + n_slots + 1
     totals = (
         common.map_batches(counted.filter(~F.col("base_failed")), sums, "lang string, histogram array<double>")
         .groupBy("lang")
-        .agg(*(F.sum(F.col("histogram")[i]).alias(f"h{i}") for i in range(n)))
-        .collect()  # a row for each listed language
+        .agg(*(F.sum(F.col("histogram")[i]).alias(f"h{i}") for i in range(len(CLASSES) + width)))
+        .collect()  # a row for each language with common words
     )
     references = {r["lang"]: np.array(r[1:], float) for r in totals}
 
     def verdicts(batch: pa.RecordBatch) -> dict:
-        classes, commons = _matrix(batch, "classes"), _matrix(batch, "commons")
-        lang = batch.column("lang").to_pylist()
-        distances = {
-            x: (js_distance(classes, r[: len(CLASSES)]), js_distance(commons, r[len(CLASSES) :])) for x, r in references.items()
-        }
-        far = []
-        for i, x in enumerate(lang):
-            use = [x] if x in distances else list(distances)
-            far.append(min(((distances[y][0][i], distances[y][1][i]) for y in use), key=sum, default=(0.0, 0.0)))
+        classes = _classes(batch)
+        lang = np.array(batch.column("lang").to_pylist(), object)
+        far = np.full((batch.num_rows, 2), np.inf)
+        for x in sorted(references):
+            at = np.flatnonzero((lang == x) | (lang == None))  # noqa: E711
+            if len(at):
+                r = references[x]
+                d = np.stack([js_distance(classes[at], r[: len(CLASSES)]), js_distance(_commons(batch, at, bins[x], width), r[len(CLASSES) :])], axis=1)
+                nearer = d.sum(axis=1) < far[at].sum(axis=1)
+                far[at[nearer]] = d[nearer]
+        far[np.isinf(far)] = 0
         names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-        return {c: batch.column(c) for c in names} | {"char_distance": [x[0] for x in far], "word_distance": [x[1] for x in far]}
+        return {c: batch.column(c) for c in names} | {"char_distance": far[:, 0], "word_distance": far[:, 1]}
 
     char_ok = (F.col("word_chars") < min_chars) | (F.col("char_distance") <= max_char_distance)
     word_ok = (F.col("n_words") < min_words) | (F.col("word_distance") <= max_word_distance)
@@ -176,6 +230,17 @@ def quality_rules(
     return common.map_batches(counted, verdicts, judged).withColumn("kept", ~F.col("base_failed") & char_ok & word_ok)
 
 
-def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    flat = batch.column(name).flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(batch.num_rows, -1).astype(float)
+def _classes(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("classes").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+
+
+def _commons(batch: pa.RecordBatch, at: np.ndarray, bins: np.ndarray, width: int) -> np.ndarray:
+    """Counts of a language's common words, and of all others, in the chosen documents."""
+    lists = batch.column("slots")
+    row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    place = bins[lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] if len(bins) else np.zeros(0, np.int64)
+    hits = batch.column("hits").flatten().to_numpy(zero_copy_only=False)
+    out = np.bincount(row * width + place, weights=hits, minlength=batch.num_rows * width).reshape(-1, width)[at]
+    out[:, -1] = 0
+    out[:, -1] = batch.column("n_words").to_numpy()[at] - out.sum(axis=1)
+    return out

@@ -260,6 +260,24 @@ def test_quality_counts_and_divergence(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_every_language_is_measured_by_its_own_documents(spark):
+    rng = random.Random(8)
+    spoken = {"ru": ("и в не на я что он с как это", "абвгдежз"), "en": ("the of and to in is that it was for", "abcdefgh"), "xx": ("ein der", "abcdefgh")}
+
+    def prose(lang):
+        common_, letters = spoken[lang]
+        return " ".join(rng.choice(common_.split()) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(160))
+
+    rows = [(i, prose(x), x) for i, x in enumerate(["ru"] * 40 + ["en"] * 40 + ["xx"] * 5)]
+    rows += [(100, prose("ru"), "en"), (101, prose("en"), "ru"), (102, prose("ru"), None), (103, " ".join(f"#{i}$" for i in range(200)), "ru"), (104, None, "ru"), (105, "а" * 100_000, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, slots string, n long")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(got[i].kept for i in range(85)) and got[102].kept
+    assert not any(got[i].kept for i in (100, 101, 103, 104, 105))
+    assert got[80].char_distance == got[80].word_distance == 0  # too few documents for a reference
+    assert set(quality.common_words(docs.select("lang", "text"), 5)) == {"ru", "en"}
+
+
 def test_js_distance():
     p = np.array([[1, 0], [1, 1], [0, 2], [0, 0]])
     d = quality.js_distance(p, np.array([1.0, 1.0]))
