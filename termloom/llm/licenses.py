@@ -1,11 +1,15 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-*Headers* are the lines of a file that hold one of ``TRIGGERS``; a *licence file* has a
-name that says so (``LICENSE``, ``COPYING``, ...) and counts as one section, or is a
-file of which at least half of the words are a header that was recognised. A section
-takes the template with the largest cosine if that is at least ``MIN_COSINE``; weights
-are term frequency times ln((1 + N) / (1 + df)) + 1 over the N templates, and words of
-no template have df 0. A file takes its best section (ties: template order).
+*Sections* of a file are its headers: each run of adjoining lines that hold one of
+``TRIGGERS``, and each paragraph (blank or ornamental lines part them) that holds one. A
+*licence file* has a name that says so (``LICENSE``, ``COPYING``, ...); its sections are
+its whole text, too, and all its paragraphs. A file of which at least half of the words
+are a section that was recognised is a licence file as well. Templates are short notices,
+the titles of long licences, and the whole texts of short ones.
+
+A section takes the template with the largest cosine if that is at least ``MIN_COSINE``;
+weights are term frequency times ln((1 + N) / (1 + df)) + 1 over the N templates, and
+words of no template have df 0. A file takes its best section (ties: template order).
 
 A file without a licence of its own takes that of the nearest ancestor directory (its
 own first) that holds a licence file; of several the best cosine, then the least path.
@@ -26,7 +30,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_COSINE = 0.6
-#: Short notices and key sentences of well-known licences (fixed values).
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_TWO = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU = "it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Notices, titles and texts of well-known licences (fixed values).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License"),
@@ -47,10 +74,79 @@ TEMPLATES = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
+    # whole texts
+    (
+        "MIT",
+        "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS,
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        'and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("BSD-2-Clause", "BSD 2-Clause License Copyright (c) All rights reserved. " + _BSD + _BSD_TWO + _BSD_END),
+    ("BSD-3-Clause", "BSD 3-Clause License Copyright (c) All rights reserved. " + _BSD + _BSD_TWO + _BSD_THIRD + _BSD_END),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright "
+        "laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit "
+        "of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all "
+        "present and future rights to this software under copyright law. " + _AS_IS,
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
+        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must "
+        "be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    # titles of long texts
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    # notices in source files
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    ),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify " + _GNU.format("General Public License", 3)),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify " + _GNU.format("General Public License", 2)),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify " + _GNU.format("Affero General Public License", 3)),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify " + _GNU.format("Lesser General Public License", 3)),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify " + _GNU.format("Lesser General Public License", 2.1)),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
 ]
+#: Identifiers of the short form, with the licence that each stands for (fixed values).
+IDENTIFIERS = {
+    "MIT": "MIT", "ISC": "ISC", "Zlib": "Zlib", "Unlicense": "Unlicense", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause",
+    "MPL-2.0": "MPL-2.0", "EPL-2.0": "EPL-2.0", "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+    **{f"{x}-{v}{e}": f"{x}-{v}" for x, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for e in ("", "-only", "-or-later")},
+}
+TEMPLATES += [(x, f"SPDX-License-Identifier: {name}") for name, x in IDENTIFIERS.items()]
 TRIGGERS = ["licens", "licenc", "copyright", "rights reserved", "hereby granted", "redistribut", "public domain", "public license"]
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|copyright|notice|unlicense)([._-].*)?$"
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: A line break, a line without letters or digits (as comments have them between paragraphs), and its break.
+PARAGRAPH = r"\n[ \t\r#*/;%!<>=-]*\n"
+#: Stands for the lines without a trigger.
+GAP = "\x01"
 
 
 def _has_trigger(text: Column) -> Column:
@@ -64,6 +160,12 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def runs(text: Column) -> Column:
+    """The runs of adjoining lines with a trigger; lines of a run are joined by a space."""
+    marked = F.transform(F.split(text, "\n"), lambda line: F.when(_has_trigger(line), F.concat(line, F.lit(" "))).otherwise(F.lit(GAP)))
+    return F.transform(F.filter(F.split(F.array_join(marked, ""), GAP + "+"), _has_trigger), F.trim)
+
+
 def template_weights(df: DataFrame) -> DataFrame:
     """template, license, word, weight and norm of the templates; some two hundred rows."""
     spark = df.sparkSession
@@ -83,8 +185,9 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     name = F.element_at(F.split("path", "/"), -1)
     named = F.coalesce(name.rlike(FILE_NAMES), F.lit(False))
     lowered = rows.select("path", F.lower("text").alias("text"), named.alias("named")).filter("path is not null").filter(F.col("named") | _has_trigger(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), _has_trigger)
-    parts = F.when(F.col("named"), F.array("text")).otherwise(lines)
+    paragraphs = F.split("text", PARAGRAPH)
+    headers = F.array_distinct(F.concat(runs(F.col("text")), F.filter(paragraphs, _has_trigger)))
+    parts = F.when(F.col("named"), F.array_distinct(F.concat(F.array("text"), paragraphs))).otherwise(headers)
     total = F.size(_words(F.col("text"))).cast("long")
     # a path that comes more than once is one file, with the longest and then greatest of its contents
     content = lowered.select("path", F.struct(total.alias("n_words"), parts.alias("parts"), "named").alias("c"))

@@ -109,7 +109,9 @@ WITH t AS (
   SELECT doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), doc_id::VARCHAR) AS path, concat_ws('/', coalesce(source, ''), coalesce(lang, '')) AS dir, lower(text) AS text FROM documents
 ), s AS (
   SELECT doc_id, len({found('text')}) AS n_words, unnest(range(len(parts))) AS section, unnest(parts) AS part FROM (
-    SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: {has('x')}) AS parts FROM f WHERE {has('text')})
+    SELECT doc_id, text, list_distinct(list_concat(
+      list_transform(list_filter(regexp_split_to_array(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN {has('x')} THEN x || ' ' ELSE chr(1) END), ''), '\\x01+'), lambda x: {has('x')}), lambda x: trim(x, ' ')),
+      list_filter(regexp_split_to_array(text, {_text(licenses.PARAGRAPH)}), lambda x: {has('x')}))) AS parts FROM f WHERE {has('text')})
 ), wc AS (
   SELECT doc_id, n_words, section, word, count(*) AS tf FROM (SELECT doc_id, n_words, section, unnest({found('part')}) AS word FROM s) GROUP BY ALL
 ), ww AS (

@@ -307,6 +307,33 @@ def test_licences_are_found_and_inherited(spark):
     assert not re.search("Python|Pandas|MapInArrow|Cartesian", plan)
 
 
+def test_whole_texts_titles_and_split_headers(spark):
+    text = dict((x, t) for x, t in licenses.TEMPLATES if len(t) > 600)
+    half = len(text["MIT"]) // 2
+    rows = {
+        "mit/LICENSE": f"MIT License\n\nCopyright (c) 2024 Jane Q. Public\n\n{text['MIT'][26:half]}\n\n{text['MIT'][half:]}\n",
+        "mit/src/a.py": "print(1)",
+        "bsd3/COPYING": "Copyright (c) 2001, Some Company and its friends\nAll rights reserved.\n\n" + text["BSD-3-Clause"].split("reserved. ", 1)[1].replace(". ", ".\n\n"),
+        "bsd2/LICENSE.md": "BSD 2-Clause License\n\nCopyright (c) 2019, Someone\n\n" + text["BSD-2-Clause"].split("reserved. ", 1)[1],
+        "isc/LICENSE": "Copyright 2020 Someone <a@example.org>\n\n" + text["ISC"],
+        "apache/LICENSE": "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n"
+        + "   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n" + "\n\n".join(f"   {i}. Some long section about grants of rights, Contributors and Derivative Works number {i}." for i in range(40)),
+        "gpl/COPYING": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "\n\n".join(f"Paragraph {i} of many words on conveying covered works." for i in range(90)),
+        "gpl/a.c": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 2 of the License, or\n// (at your option) any later version.\nint main() {}\n",
+        "apache/a.go": '// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\npackage a\n',
+        "x/s.rs": "// SPDX-License-Identifier: GPL-3.0-or-later\nfn main() {}",
+        "x/t.py": "# SPDX-License-Identifier: SomethingElse-9\n",
+        "x/u.py": "word " * 300_000,
+    }
+    files = spark.createDataFrame(list(rows.items()), "path string, text string")
+    got = {r.path: (r.license, r.license_source) for r in licenses.scan_licenses(files).collect()}
+    assert got == {
+        "mit/LICENSE": ("MIT", "file"), "mit/src/a.py": ("MIT", "inherited"), "bsd3/COPYING": ("BSD-3-Clause", "file"), "bsd2/LICENSE.md": ("BSD-2-Clause", "file"),
+        "isc/LICENSE": ("ISC", "file"), "apache/LICENSE": ("Apache-2.0", "file"), "gpl/COPYING": ("GPL-3.0", "file"), "gpl/a.c": ("GPL-2.0", "file"),
+        "apache/a.go": ("Apache-2.0", "file"), "x/s.rs": ("GPL-3.0", "file"), "x/t.py": ("GPL-3.0", "inherited"), "x/u.py": ("GPL-3.0", "inherited"),
+    }
+
+
 # -- the pipeline
 
 
