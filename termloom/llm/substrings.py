@@ -6,9 +6,11 @@ starts in a document with a smaller doc_id is removed.
 
 1. *Candidates.* Of the 8 overlapping 6-word seeds of a window the one with the least
    hash stands for it. Equal windows have equal seeds, so a window can recur only if
-   its seed does; about a quarter of the positions is shuffled, two numbers each.
-2. *Confirmation.* Windows with a recurring seed are grouped by 96 bits of hash; the
-   least doc_id of a group is its origin.
+   its seed does. About a quarter of the positions is shuffled, a row for each seed, shard
+   and batch, with the least and the greatest doc_id.
+2. *Confirmation.* Windows with a recurring seed are grouped by 128 bits of hash, from two
+   hashes of each word that share no factor; a shard sends a row for each of its windows,
+   with the least and the greatest doc_id. The least of a group is its origin.
 3. *Automata.* Documents are dealt into shards of bounded size by a hash of their
    text. A shard gets the confirmed windows that occur in it, joins neighbouring ones
    of one origin to passages, compiles an automaton over the passages' words and
@@ -16,8 +18,10 @@ starts in a document with a smaller doc_id is removed.
    passage's origin removes its words.
 
 No document meets an automaton that cannot match it, so the work grows in proportion
-to the input. Streams of equal keys are sorted and read in batches; of a key only the
-first document is held, however many there are. Copies (equal texts) are reduced to
+to the input. A frequent seed or window is one row a shard, however many documents have
+it; its sorted rows are read in batches and only the first is held. A task holds one shard
+at a time, so the number of partitions does not depend on that of shards: it is bounded by
+``MAX_PARTITIONS``. Copies (equal texts) are reduced to
 their least doc_id before anything else, in each batch and again in the shard: all
 windows of the others start in a smaller document.
 
@@ -44,6 +48,10 @@ WINDOW = 13
 SEED_WORDS = 6
 #: Text bytes of a shard, which one task holds with its automaton.
 SHARD_BYTES = 4 << 20
+#: Text bytes of a partition: many shards, one after the other.
+PARTITION_BYTES = 128 << 20
+#: Partitions at most; beyond that they grow.
+MAX_PARTITIONS = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _NONE = np.iinfo(np.int64).max
 #: Windows of a pattern at most, which bounds the automaton's depth.
@@ -52,13 +60,23 @@ CHUNK = 64
 _OTHER_WORD = "\0\0\0"
 
 
-#: A factor for each place of a byte in its word.
-_PLACES = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INSIDE = np.ones(256, bool)
 _INSIDE[list(common.WORD_SPACE)] = False
+#: Factors of the places of a byte in its word, for each of two hashes; later places have theirs computed.
+_TABLES = [np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20, 21)]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def _factors(place: np.ndarray, longest: int, table: int) -> np.ndarray:
+    """An odd factor for each place; none comes back after any number of places."""
+    if longest <= 4096:
+        return _TABLES[table][place]
+    x = place.astype(np.uint64) + np.uint64(table << 60)
+    for by in (_A, _B):
+        x = (x ^ (x >> np.uint64(30))) * by
+    return np.where(place < 4096, _TABLES[table][place & 4095], (x ^ (x >> np.uint64(31))) | np.uint64(1))
+
+
+def word_hashes(text: bytes, table: int = 0) -> np.ndarray:
     """A 64-bit number for each word of a text, from its bytes and their places."""
     if not text:
         return np.zeros(0, np.uint64)
@@ -77,7 +95,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     place = np.arange(len(shift)) - shift
     value = b[inside].astype(np.uint64)
     value += np.uint64(1)
-    value *= _PLACES[place & 4095]
+    value *= _factors(place, int(lengths.max()), table)
     sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
     sums ^= sums >> np.uint64(32)
     return sums * _C
@@ -103,9 +121,9 @@ def window_seeds(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def window_keys(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and another 32 bits of each window."""
-    return _rolled(h, window, _A).view(np.int64), (_rolled(h ^ (h >> np.uint64(29)), window, _B) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def window_keys(text: bytes, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each window in two numbers; ``h`` are the text's first word hashes."""
+    return _rolled(h, window, _A).view(np.int64), _rolled(word_hashes(text, 1), window, _B).view(np.int64)
 
 
 def _numbers(n: int, kind) -> list:
@@ -123,24 +141,27 @@ def dedup_substrings(
     known = rows.filter("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = int(total // shard_bytes) + 1
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = min(n_shards, MAX_PARTITIONS, max(partitions, int(total // PARTITION_BYTES) + 1))
 
     # equal texts meet in a shard; of those in one batch only the least id goes there
     sharded = common.map_batches(known, _least_of_equals, "doc_id long, text string")
     sharded = sharded.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n_shards)).cast("int"))
-    texts = sharded.repartition(n_shards, "shard").groupBy("shard", "text").agg(F.min("doc_id").alias("doc_id"))
+    texts = sharded.repartition(partitions, "shard").groupBy("shard", "text").agg(F.min("doc_id").alias("doc_id"))
 
     def seeds(batch: pa.RecordBatch) -> dict:
-        found, owners, shards = _numbers(1, np.uint64), _numbers(1, np.int64), _numbers(1, np.int32)
+        found, owners, shards = _numbers(1, np.int64), _numbers(1, np.int64), _numbers(1, np.int32)
         for text, doc_id, shard in zip(common.byte_texts(batch), batch.column("doc_id").to_pylist(), batch.column("shard").to_pylist(), strict=True):
             h = word_hashes(text)
             if len(h) >= window:
-                own = np.unique(window_seeds(h, window))
+                own = np.unique(window_seeds(h, window)).view(np.int64)
                 found.append(own)
                 owners.append(np.full(len(own), doc_id, np.int64))
                 shards.append(np.full(len(own), shard, np.int32))
-        return {"seed": pa.array(np.concatenate(found).view(np.int64)), "doc_id": pa.array(np.concatenate(owners)), "shard": pa.array(np.concatenate(shards))}
+        (seed, shard), low, high = _least_and_greatest([np.concatenate(found), np.concatenate(shards)], np.concatenate(owners))
+        return {"seed": pa.array(seed), "low": pa.array(low), "high": pa.array(high), "shard": pa.array(shard)}
 
-    by_seed = common.map_batches(texts, seeds, "seed long, doc_id long, shard int").repartition("seed").sortWithinPartitions("seed", "doc_id")
+    by_seed = common.map_batches(texts, seeds, "seed long, low long, high long, shard int").repartition(partitions, "seed").sortWithinPartitions("seed")
     recurring = by_seed.mapInArrow(_recurring, "shard int, seed long")
 
     def candidates(key, left, right):
@@ -153,18 +174,17 @@ def dedup_substrings(
                 continue
             at = _within(window_seeds(h, window), wanted)
             if at.any():
-                k, k2 = window_keys(h, window)
-                k, first = np.unique(k[at], return_index=True)
-                for part, x in zip(parts, (k, k2[at][first], np.full(len(k), doc_id, np.int64)), strict=True):
+                k, k2 = window_keys(text, h, window)
+                for part, x in zip(parts, (k[at], k2[at], np.full(int(at.sum()), doc_id, np.int64)), strict=True):
                     part.append(x)
-        kinds = (np.int64, np.int32, np.int64)
-        columns = [pa.array(np.concatenate([*_numbers(1, t), *p])) for p, t in zip(parts, kinds, strict=True)]
-        shard = pa.array(np.full(len(columns[0]), key[0].as_py(), np.int32))
-        return pa.Table.from_arrays([*columns, shard], names=["k", "k2", "doc_id", "shard"])
+        k, k2, doc = (np.concatenate([*_numbers(1, np.int64), *p]) for p in parts)
+        keys, low, high = _least_and_greatest([k, k2], doc)
+        shard = pa.array(np.full(len(low), key[0].as_py(), np.int32))
+        return pa.Table.from_arrays([*map(pa.array, (*keys, low, high)), shard], names=["k", "k2", "low", "high", "shard"])
 
-    windows = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(candidates, "k long, k2 int, doc_id long, shard int")
-    by_window = windows.repartition("k", "k2").sortWithinPartitions("k", "k2", "doc_id")
-    origins = by_window.mapInArrow(_origins, "shard int, k long, origin long")
+    windows = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(candidates, "k long, k2 long, low long, high long, shard int")
+    by_window = windows.repartition(partitions, "k", "k2").sortWithinPartitions("k", "k2", "low")
+    origins = by_window.mapInArrow(_origins, "shard int, k long, k2 long, origin long")
 
     def cleaned(key, left, right):
         return _clean_shard(left, right, window, keep_layout)
@@ -202,22 +222,32 @@ def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[slot] == values
 
 
+def _least_and_greatest(keys: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct keys with the least and the greatest document of each."""
+    if not len(doc):
+        return keys, doc, doc
+    order = np.lexsort(keys[::-1])
+    keys, doc = [k[order] for k in keys], doc[order]
+    first = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))))
+    return [k[first] for k in keys], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+
+
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by seed and doc_id those whose seed is in two documents or more.
+    """From rows sorted by seed those whose seed is in two documents or more.
 
     Between batches the last run waits: whole while it has one document, else by one row.
     """
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     told = False  # whether the rows of the held run are out already
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [batch.column(c).to_numpy() for c in ("seed", "doc_id", "shard")]
+        new = [batch.column(c).to_numpy() for c in ("seed", "low", "high", "shard")]
         n_held = len(held[0])
-        seed, doc, shard = (np.concatenate(x) for x in zip(held, new, strict=True))
+        seed, low, high, shard = (np.concatenate(x) for x in zip(held, new, strict=True))
         first = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
         size = np.diff(np.append(first, len(seed)))
-        many = doc[first + size - 1] != doc[first]
+        many = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
         if told:
             many[0] = True
         out = np.repeat(many, size)
@@ -227,33 +257,33 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shard[out]), pa.array(seed[out])], names=["shard", "seed"])
         told = bool(many[-1])
         keep = slice(len(seed) - 1, None) if told else slice(int(first[-1]), None)
-        held = [x[keep].copy() for x in (seed, doc, shard)]
+        held = [x[keep].copy() for x in (seed, low, high, shard)]
 
 
 def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by window and doc_id, for each later document's shard the window and its first doc_id."""
+    """From rows sorted by window and least document, for each shard with a later document the window and its first document."""
     k_, k2_, origin_ = None, None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, k2, doc, shard = (batch.column(c).to_numpy() for c in ("k", "k2", "doc_id", "shard"))
+        k, k2, low, high, shard = (batch.column(c).to_numpy() for c in ("k", "k2", "low", "high", "shard"))
         start = np.concatenate(([True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])))
         run = np.cumsum(start) - 1
-        origin = doc[start]
+        origin = low[start]
         if k[0] == k_ and k2[0] == k2_:
             origin = origin.copy()
             origin[0] = origin_
         k_, k2_, origin_ = k[-1], k2[-1], origin[-1]
         own = origin[run]
-        later = doc > own
+        later = high > own
         if later.any():
-            yield pa.RecordBatch.from_arrays([pa.array(shard[later]), pa.array(k[later]), pa.array(own[later])], names=["shard", "k", "origin"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (shard, k, k2, own)], names=["shard", "k", "k2", "origin"])
 
 
 def _clean_shard(left: pa.Table, right: pa.Table, window: int, keep_layout: bool) -> pa.Table:
     ids = left.column("doc_id").to_pylist()
     originals = left.column("text").cast(pa.binary()).to_pylist()
-    passages = Passages(ids, originals, right.column("k").to_numpy(), right.column("origin").to_numpy(), window)
+    passages = Passages(ids, originals, *(right.column(c).to_numpy() for c in ("k", "k2", "origin")), window)
     out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "text": [], "digest": []}
     for doc_id, original in zip(ids, originals, strict=True):
         words = original.split()
@@ -277,21 +307,28 @@ class Passages:
     windows than ``CHUNK`` is several patterns; together they cover the same words.
     """
 
-    def __init__(self, ids: list[int], texts: list[bytes], k: np.ndarray, origin: np.ndarray, window: int):
+    def __init__(self, ids: list[int], texts: list[bytes], k: np.ndarray, k2: np.ndarray, origin: np.ndarray, window: int):
         self.automaton = None
         if not len(k):
             return
-        k, at = np.unique(k, return_index=True)  # a window has one origin
-        origin = origin[at]
+        order = np.lexsort((k2, k))  # a window has one origin
+        k, k2, origin = k[order], k2[order], origin[order]
         found: dict[tuple[bytes, ...], int] = {}
         for doc_id, text in zip(ids, texts, strict=True):
             h = word_hashes(text)
             if len(h) < window:
                 continue
-            keys, _ = window_keys(h, window)
+            keys = _rolled(h, window, _A).view(np.int64)
             slot = np.searchsorted(k, keys)
             slot[slot == len(k)] = 0
-            first = np.where(k[slot] == keys, origin[slot], _NONE)
+            same = k[slot] == keys
+            if not same.any():
+                continue
+            keys2 = _rolled(word_hashes(text, 1), window, _B).view(np.int64)
+            while (more := np.flatnonzero(same & (k2[slot] != keys2))).size:  # windows that share the first half only
+                slot[more] = np.minimum(slot[more] + 1, len(k) - 1)
+                same[more] = (k[slot[more]] == keys[more]) & ((k2[slot[more]] == keys2[more]) | (slot[more] < len(k) - 1))
+            first = np.where(same, origin[slot], _NONE)
             first[first >= doc_id] = _NONE
             if (first == _NONE).all():
                 continue
