@@ -7,29 +7,44 @@ budget keeps at least t = m - q + 1 - k * q of them, and they lie on diagonals
 (document position less item position) that are at most k apart. Hence:
 
 1. each document's q-grams are looked up in the index of the items' q-grams;
-2. hits are counted in overlapping diagonal bands of width 2 (k + 1), which leave no
-   interval of k + 1 diagonals undivided; bands below t cannot hold a passage;
-3. the others are verified by an alignment banded around those diagonals.
+2. the item's places that are hit are counted in overlapping diagonal bands of width
+   2 (k + 1), which leave no interval of k + 1 diagonals undivided; a band with fewer than
+   t places cannot hold a passage;
+3. bands that touch are one region; each is verified by an alignment that computes only
+   the cells within k diagonals of it.
 
 Items too short for the lemma (t < 1) use a smaller q, down to 1 with their own t.
 The filter compares one byte per character (equal characters have equal bytes, so it
 loses nothing); the alignment compares characters.
 
-The items are a stated query set: they are indexed in blocks of at most
-``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, and each block meets all
-documents, so what is sent to a task has a fixed bound.
+Hits are counted in slices of at most ``SLICE_HITS``, and sorted by band once, so a text
+that repeats itself (a table of zeros, a separator line) takes time in proportion to its
+length times the item's, and memory of one slice.
+
+The items are a stated query set. The driver indexes them in blocks of at most
+``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, one at a time, and writes each to a
+file that Spark hands to the executors. Workers map the files into memory, so they share
+them, and take a batch of documents through all blocks.
 
 Defined cases: null or empty texts hold nothing; null, empty and blank items are
-ignored; equal items each count; repeated documents are judged alike.
+ignored; equal items each count; repeated documents are judged alike; very long texts
+are searched in overlapping parts; an empty table on either side gives its plain result
+(no rows, or no passages).
 """
 
 from __future__ import annotations
 
+import os
+import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +56,8 @@ BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 8 << 20
 #: Characters of a document that are looked up at once; parts overlap by the longest passage.
 PART = 1 << 18
+#: Hits that are held at once.
+SLICE_HITS = 1 << 21
 _TABLE_BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,31 +90,44 @@ def budget(m: int, edit_rate: float, q: int) -> tuple[int, int, int]:
     return k, q, m - q + 1 - k * q
 
 
-def align(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
+def align(item: np.ndarray, text: np.ndarray, k: int, low: int | None = None, high: int | None = None) -> tuple[int, int, int] | None:
     """Fewest edits (at most k) that turn the item into a part of ``text``, and that part's bounds.
 
-    Rows are the text's positions as far as the band of the region reaches; the item
-    may begin at any of them. Ties go to the leftmost end.
+    Only diagonals (text position less item position) from ``low`` to ``high`` are
+    computed, all by default. A row is a text position; of it, the cells of the item's
+    positions in the band. The item may begin at any position. Ties go to the leftmost end.
     """
     m, n = len(item), len(text)
-    steps = np.arange(m + 1)
-    cost = steps.copy()
+    low, high = -m if low is None else low, n if high is None else high
+    far = m + n + 1
+    cost = np.full(m + 1, far)
     begin = np.zeros(m + 1, np.int64)
+    a, z = max(0, -high), min(m, -low)  # cells of the row before the first character
+    if a <= z:
+        cost[a : z + 1] = np.arange(a, z + 1)  # item characters left out before the text begins
+    steps = np.arange(m + 1)
     best = (k + 1, 0, 0)
-    for j in range(n):
-        take = cost[:-1] + (item != text[j])
-        drop = cost[1:] + 1
-        new, first = np.empty(m + 1, np.int64), np.empty(m + 1, np.int64)
-        new[0], first[0] = 0, j + 1
-        new[1:] = np.minimum(take, drop)
-        first[1:] = np.where(take <= drop, begin[:-1], begin[1:])
+    if z == m and cost[m] < best[0]:
+        best = (int(cost[m]), 0, 0)
+    for j in range(max(1, low), min(n, high + m) + 1):  # cells of row j: j - high <= i <= j - low
+        a, z = max(0, j - high), min(m, j - low)
+        first = max(a, 1)
+        take = cost[first - 1 : z] + (item[first - 1 : z] != text[j - 1])
+        drop = cost[first : z + 1] + 1
+        new = np.minimum(take, drop)
+        start = np.where(take <= drop, begin[first - 1 : z], begin[first : z + 1])
+        if a == 0:
+            new, start = np.concatenate(([0], new)), np.concatenate(([j], start))
         # an item's character without partner: running minimum of cost less steps
-        slack = new - steps
+        own = steps[a : z + 1]
+        slack = new - own
         least = np.minimum.accumulate(slack)
-        source = np.maximum.accumulate(np.where(slack == least, steps, 0))
-        cost, begin = least + steps, first[source]
-        if cost[-1] < best[0]:
-            best = (int(cost[-1]), int(begin[-1]), j + 1)
+        source = np.maximum.accumulate(np.where(slack == least, own, a)) - a
+        if a:
+            cost[a - 1] = far
+        cost[a : z + 1], begin[a : z + 1] = least + own, start[source]
+        if z == m and cost[m] < best[0]:
+            best = (int(cost[m]), int(begin[m]), j)
     return best if best[0] <= k else None
 
 
@@ -122,10 +152,10 @@ class Index:
         numbers, first = np.unique(flat[order], return_index=True)
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[(numbers * _MULT) >> np.uint64(64 - _TABLE_BITS)] = True
-        return cls(q, numbers, np.append(first, len(flat)), item[order], place[order], table)
+        return cls(q, numbers, np.append(first, len(flat)), item[order].astype(np.int32), place[order].astype(np.int32), table)
 
-    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, diagonal, place in the item) of each pair of equal q-grams."""
+    def hits(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, diagonal, place in the item) of each pair of equal q-grams, in slices of the text."""
         g = grams(c, self.q)
         at = np.flatnonzero(self.table[(g * _MULT) >> np.uint64(64 - _TABLE_BITS)])
         g = g[at]
@@ -134,10 +164,15 @@ class Index:
         same = self.numbers[slot] == g
         at, slot = at[same], slot[same]
         n = self.offsets[slot + 1] - self.offsets[slot]
-        total = int(n.sum())
-        inner = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        source = np.repeat(self.offsets[slot], n) + inner
-        return self.item[source], np.repeat(at, n) - self.place[source], self.place[source]
+        ends = np.cumsum(n)
+        start = 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_HITS, "right")))
+            size = n[start:stop]
+            source = np.arange(int(size.sum())) + np.repeat(self.offsets[slot[start:stop]] - (np.cumsum(size) - size), size)
+            place = self.place[source].astype(np.int64)
+            yield self.item[source].astype(np.int64), np.repeat(at[start:stop], size) - place, place
+            start = stop
 
 
 class Matcher:
@@ -154,47 +189,57 @@ class Matcher:
         self.longest = max((len(c) + k for c, k in zip(self.items, self.k, strict=True)), default=0)
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of the passages in a normalised text."""
+        """(item id, start, end, edits) of the passages in a normalised text, the best of each region."""
         c = codes(text)
         found: dict[tuple[int, int], tuple] = {}
         for start in range(0, max(1, len(c)), PART):
             part = c[start : start + PART + 2 * self.longest]
             for i, low, high in self._regions(part):
-                low, high = max(0, low), min(len(part), high)
-                region = part[low:high]
-                at = text.find(self.text[i], start + low, start + high)
-                hit = (0, at - start - low, at - start - low + len(self.text[i])) if at >= 0 else align(self.items[i], region, int(self.k[i]))
+                k, m = int(self.k[i]), len(self.items[i])
+                first, last = max(0, low - k), min(len(part), high + m + k)
+                at = text.find(self.text[i], start + first, start + last)
+                hit = (0, at - start - first, at - start - first + m) if at >= 0 else align(self.items[i], part[first:last], k, low - k - first, high + k - first)
                 if hit:
-                    row = (self.ids[i], int(start + low + hit[1]), int(start + low + hit[2]), int(hit[0]))
+                    row = (self.ids[i], int(start + first + hit[1]), int(start + first + hit[2]), int(hit[0]))
                     key = (i, row[2])
                     if key not in found or row[3] < found[key][3]:
                         found[key] = row
         return sorted(found.values())
 
     def _regions(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end) where a band holds enough shared q-grams; touching ones of an item are joined."""
+        """(item, least, greatest diagonal) where bands hold enough places of the item; bands that touch are joined."""
+        base = len(c) + self.longest + 2
         for index in self.indexes:
-            item, diagonal, place = index.hits(c)
-            if not len(item):
+            cells, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for item, diagonal, place in index.hits(c):
+                cell = item * (2 * base) + diagonal // (self.k[item] + 1) + base
+                if len(cell) > len(c):  # a text that repeats itself: each place of a band once
+                    both = np.unique(cell * self.longest + place)
+                    cell, place = both // self.longest, both % self.longest
+                cells.append(cell)
+                places.append(place)
+            cell, place = np.concatenate(cells), np.concatenate(places)
+            if not len(cell):
                 continue
-            band = diagonal // (self.k[item] + 1)
-            base = len(c) + self.longest + 2
-            cell = item * (2 * base) + band + base
             key, n = np.unique(cell, return_counts=True)
             owner = key // (2 * base)
             with_next = n.copy()
             follows = key[1:] == key[:-1] + 1
             with_next[:-1] += np.where(follows, n[1:], 0)
             good = np.flatnonzero(with_next >= self.t[owner])
+            if not len(good):
+                continue
+            order = np.argsort(cell, kind="stable")
+            place, ends = place[order], np.cumsum(n)
             last: tuple[int, int, int] | None = None
-            for first in good.tolist():
-                i, b = int(owner[first]), int(key[first] % (2 * base)) - base
-                k = int(self.k[i])
-                inside = (cell == key[first]) | (cell == key[first] + 1)
-                if len(np.unique(place[inside])) < self.t[i]:  # a repeated q-gram of the text counts once
+            for at in good.tolist():
+                i, b = int(owner[at]), int(key[at] % (2 * base)) - base
+                stop = ends[at + 1] if at < len(follows) and follows[at] else ends[at]
+                if len(np.unique(place[ends[at] - n[at] : stop])) < self.t[i]:  # a repeated q-gram of the text counts once
                     continue
-                low, high = b * (k + 1) - k, (b + 2) * (k + 1) + len(self.items[i]) + k
-                if last and last[0] == i and low <= last[1] + 2 * (k + 1):  # neighbouring bands of one passage
+                k = int(self.k[i])
+                low, high = b * (k + 1), (b + 2) * (k + 1) - 1
+                if last and last[0] == i and low <= last[2] + 1:
                     last = (i, last[1], high)
                 else:
                     if last:
@@ -204,6 +249,69 @@ class Matcher:
                 yield last
 
 
+@dataclass
+class Block:
+    """A matcher whose large arrays lie in a file: what a plan carries is a few numbers for each."""
+
+    name: str
+    arrays: list[tuple[str, int, int]]  #: type, offset and length of each
+    rest: int  #: offset of what is pickled
+
+    @classmethod
+    def write(cls, matcher: Matcher, path: str) -> Block:
+        arrays = []
+        with open(path, "wb") as out:
+            for index in matcher.indexes:
+                for name in ("numbers", "offsets", "item", "place", "table"):
+                    x = getattr(index, name)
+                    out.write(b"\0" * (-out.tell() % 64))
+                    arrays.append((x.dtype.str, out.tell(), len(x)))
+                    out.write(x.tobytes())
+                    setattr(index, name, None)
+            rest = out.tell()
+            pickle.dump(matcher, out)
+        return cls(os.path.basename(path), arrays, rest)
+
+    def open(self) -> Matcher:
+        path = SparkFiles.get(self.name)
+        with open(path, "rb") as source:
+            source.seek(self.rest)
+            matcher = pickle.load(source)
+        views = iter(np.memmap(path, np.dtype(kind), "r", at, (n,)) if n else np.zeros(0, kind) for kind, at, n in self.arrays)
+        for index in matcher.indexes:
+            for name in ("numbers", "offsets", "item", "place", "table"):
+                setattr(index, name, np.asarray(next(views)))
+        return matcher
+
+
+#: Folders from which the driver serves the files to executors, late ones included, until it ends.
+_served: list[tempfile.TemporaryDirectory] = []
+
+
+@lru_cache(maxsize=64)
+def _opened(name: str, arrays: tuple, rest: int) -> Matcher:
+    return Block(name, list(arrays), rest).open()
+
+
+def index_blocks(benchmark: DataFrame, id_col: str, text_col: str, edit_rate: float, q: int) -> list[Block]:
+    """Index the items block by block; the driver holds one at a time, executors get the files."""
+    context = benchmark.sparkSession.sparkContext
+    folder = tempfile.TemporaryDirectory(prefix="termloom-items-")
+    _served.append(folder)
+    out = []
+    for items in item_blocks(benchmark, id_col, text_col):
+        path = os.path.join(folder.name, f"items-{uuid.uuid4().hex}")
+        out.append(Block.write(Matcher(items, edit_rate, q), path))
+        context.addFile(path)
+    return out
+
+
+def search_all(blocks: list[Block], text: str | None) -> Iterator[tuple[int, int, int, int]]:
+    plain = normalise(text)
+    for block in blocks if plain else ():
+        yield from _opened(block.name, tuple(block.arrays), block.rest).find(plain)
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of bounded size; the driver holds one block at a time."""
     block: list[tuple[int, str]] = []
@@ -234,36 +342,26 @@ def find_passages(
     A passage has item_id, start and end (in the normalised text) and its edits.
     """
     kind = "array<struct<item_id:long,start:long,end:long,edits:long>>"
-    rows = common.documents(docs, id_col, text_col).withColumn("passages", F.array().cast(kind))
-    for block in item_blocks(benchmark, item_col, item_text_col):
-        holder: list[Matcher] = []
+    blocks = index_blocks(benchmark, item_col, item_text_col, edit_rate, q)
+    names = ("item_id", "start", "end", "edits")
 
-        def search(batch: pa.RecordBatch, block=block, holder=holder) -> dict:
-            if not holder:
-                holder.append(Matcher(block, edit_rate, q))
-            names = ("item_id", "start", "end", "edits")
-            found = [[dict(zip(names, p, strict=True)) for p in holder[0].find(normalise(x))] for x in batch.column("text").to_pylist()]
-            before = batch.column("passages").to_pylist()
-            return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "passages": [x + y for x, y in zip(before, found, strict=True)]}
+    def search(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("text").to_pylist()
+        found = [[dict(zip(names, p, strict=True)) for p in search_all(blocks, x)] for x in texts]
+        return {"doc_id": batch.column("doc_id"), "n_chars": [len(x or "") for x in texts], "passages": found}
 
-        # each block adds to the rows as they pass; nothing is shuffled
-        rows = common.map_batches(rows, search, f"doc_id long, text string, passages {kind}")
-    return rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "passages")
+    return common.map_batches(common.documents(docs, id_col, text_col), search, f"doc_id long, n_chars long, passages {kind}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edit_rate: float = EDIT_RATE, q: int = Q) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
-    for block in item_blocks(benchmark, "item_id", "text"):
-        holder: list[Matcher] = []
-
-        def keep(batches, block=block, holder=holder):
-            for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                for start in range(0, batch.num_rows, common.BATCH_ROWS):
-                    if not holder:
-                        holder.append(Matcher(block, edit_rate, q))
-                    part = batch.slice(start, common.BATCH_ROWS)
-                    yield part.filter(pa.array([not holder[0].find(normalise(x)) for x in part.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    blocks = index_blocks(benchmark, "item_id", "text", edit_rate, q)
+
+    def keep(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for start in range(0, batch.num_rows, common.BATCH_ROWS):
+                part = batch.slice(start, common.BATCH_ROWS)
+                yield part.filter(pa.array([next(search_all(blocks, x), None) is None for x in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -175,6 +175,64 @@ def test_align_agrees_with_brute_force():
         assert got is not None and got[0] == brute_distance(item, text)
 
 
+def test_a_band_gives_what_its_diagonals_hold():
+    rng = random.Random(6)
+    for _ in range(300):
+        m, n = rng.randrange(1, 12), rng.randrange(0, 25)
+        item, text = ("".join(rng.choice("ab") for _ in range(x)) for x in (m, n))
+        low = rng.randrange(-m, n + 1)
+        high = rng.randrange(low, n + 1)
+        inside = lambda i, j: low <= j - i <= high
+        cost = {}
+        for j in range(n + 1):
+            for i in range(m + 1):
+                if inside(i, j):
+                    options = [0] if i == 0 else []
+                    if j == 0:
+                        options.append(i)
+                    if i and j and (i - 1, j - 1) in cost:
+                        options.append(cost[i - 1, j - 1] + (item[i - 1] != text[j - 1]))
+                    if j and (i, j - 1) in cost:
+                        options.append(cost[i, j - 1] + 1)
+                    if i and (i - 1, j) in cost:
+                        options.append(cost[i - 1, j] + 1)
+                    if options:
+                        cost[i, j] = min(options)
+        want = min((cost[m, j] for j in range(n + 1) if (m, j) in cost), default=None)
+        got = D.align(D.codes(item), D.codes(text), m, low, high)
+        assert (got[0] if got else None) == (want if want is not None and want <= m else None)
+        if got:
+            assert brute_distance(item, text[got[1] : got[2]]) <= got[0]
+
+
+@pytest.mark.parametrize(("item", "unit"), [("ab " * 30, "ab "), ("0" * 300, "0"), ("-=" * 100, "-=")])
+def test_repetitive_texts_take_linear_time(item, unit):
+    import time
+
+    matcher = D.Matcher([(1, D.normalise(item))], 0.1, 8)
+    took = []
+    for n in (40_000, 160_000):
+        text = D.normalise("some words before " + unit * (n // len(unit)) + " and after")
+        start = time.perf_counter()
+        found = matcher.find(text)
+        took.append(time.perf_counter() - start)
+        assert found and found[0][3] == 0
+    assert took[1] < 12 * took[0] + 1 and took[1] < 60
+
+
+def test_repetitive_texts_within_the_budget_of_edits():
+    rng = random.Random(9)
+    for seed in range(30):
+        item = "ab " * rng.randrange(6, 12) + rng.choice(["", "xyz ", "ba "]) + "ab " * 5
+        item = D.normalise(item)
+        text = D.normalise("q " * rng.randrange(0, 9) + edits("ab " * rng.randrange(5, 30), rng.randrange(0, 8), seed) + " end")
+        found = D.Matcher([(1, item)], 0.1, 8).find(text)
+        distance = brute_distance(item, text)
+        assert bool(found) == (distance <= int(0.1 * len(item)))
+        if found:
+            assert min(f[3] for f in found) == distance
+
+
 def test_short_items_use_smaller_grams():
     for m in range(1, 60):
         k, q, t = D.budget(m, 0.1, 8)
