@@ -14,7 +14,12 @@
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, reader comments,
 scripts, styles and hidden parts never become lines: they are known by element, role,
-or the words of their class and id.
+or the words of their class and id. Inside an article or the main part names say less:
+there only block elements that are no headings, code or quotes are judged by them, a
+name counts only if all of its words are of this kind or neutral (not ``related-work``
+or ``social-impact``), and where they can also mean content (``header``, ``menu``,
+``notice``, ...) the element's text-to-tag ratio decides: it goes if the mean ratio of
+its lines lies below the threshold.
 
 Defined cases: null, empty and text-free pages have an empty text; broken markup is
 read as far as the parser understands it; character references are decoded; white
@@ -45,25 +50,36 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SECTIONS = frozenset("html body article main section div td".split())
 SKIPPED = frozenset(
-    "script style noscript template head title nav aside footer form button select option textarea label svg math canvas iframe object menu dialog audio video".split()
+    "script style noscript template head title nav aside footer form button select option textarea svg canvas iframe object menu dialog audio video".split()
 )
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SKIPPED_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of these the words that inside an article tell of nothing but themselves.
+SURE_WORDS = frozenset(
+    "ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comments consent cookie cookies disqus newsletter navbar pager pagination promo promotion replies respond sharing sidebar signup sponsor sponsored subscribe".split()
+)
+#: Words that add nothing to a name.
+NEUTRAL_WORDS = frozenset(
+    "a all area articles bar block body bottom box button buttons center class col column container content count element entry first footer form frame global google grid group header heading icon icons id inline inner item items last layout left level link links list main message mid middle module my nav net new outer page panel part post posts primary right row secondary section side site slot small stories sub text thread title top ui unit user view wrap wrapper area-1 js".split()
+)
+#: Elements that a name inside an article can take out; headings, code, quotes and inline elements it cannot.
+NAMED = frozenset("section div ul ol dl p table tr td figure details summary center address header main".split())
 #: Class names such as has-sidebar tell of the page's layout, not of the element.
 LAYOUT_WORDS = frozenset("has with without no".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Line:
-    __slots__ = ("text", "linked", "tags", "path")
+    __slots__ = ("text", "linked", "tags", "path", "suspects")
 
-    def __init__(self, path: tuple[int, ...]):
+    def __init__(self, path: tuple[int, ...], suspects: tuple[int, ...]):
         self.text: list[str] = []
         self.linked = 0
         self.tags = 0
         self.path = path
+        self.suspects = suspects
 
 
 class Lines(HTMLParser):
@@ -72,7 +88,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool]] = []  # element, number of its section or -1, whether it is skipped
+        self.open: list[tuple[str, int, bool, bool]] = []  # element, number of its section or -1, whether it is skipped, whether suspect
         self.count: Counter[str] = Counter()  # of open elements by name
         self.path: tuple[int, ...] = (0,)
         self.skipping = 0
@@ -80,14 +96,17 @@ class Lines(HTMLParser):
         self.sections = 0
         self.in_article: set[int] = set()  # sections that are, or lie in, an article or the main part
         self.kind: dict[int, str] = {}  # of the sections that are an article or the main part
-        self.line = Line(self.path)
+        self.suspects: tuple[int, ...] = ()  # open elements whose names may mean content
+        self.n_suspects = 0
+        self.line = Line(self.path, self.suspects)
 
     def _break(self) -> None:
         if self.line.text:
             self.lines.append(self.line)
-        self.line = Line(self.path)
+        self.line = Line(self.path, self.suspects)
 
-    def _skipped(self, tag: str, attrs: list) -> bool:
+    def _skipped(self, tag: str, attrs: list) -> bool | None:
+        """Whether an element goes; None if its lines have to decide."""
         if tag in SKIPPED:
             return True
         if tag in ("html", "body", "article", "main"):
@@ -95,6 +114,7 @@ class Lines(HTMLParser):
         inside = self.count["article"] + self.count["main"] > 0
         if tag == "header" and not inside:
             return True
+        suspect = False
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
@@ -108,9 +128,15 @@ class Lines(HTMLParser):
                 for token in value.split():
                     words = {w.lower() for w in _NAME.findall(token)}
                     told = words & SKIPPED_WORDS
-                    if told and not words & LAYOUT_WORDS and not (inside and told == {"header"}):
+                    if not told or words & LAYOUT_WORDS:
+                        continue
+                    if not inside:
                         return True
-        return False
+                    if tag in NAMED and all(w in SKIPPED_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+                        if told & SURE_WORDS:
+                            return True
+                        suspect = suspect or told != {"header"}
+        return None if suspect else False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -127,10 +153,15 @@ class Lines(HTMLParser):
             self._close_p()
         elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._close_like(tag)
-        skipped = self._skipped(tag, attrs)
+        verdict = self._skipped(tag, attrs)
+        skipped, suspect = bool(verdict), verdict is None and tag in BLOCKS and not self.skipping
         number = -1
         if tag in BLOCKS and not self.skipping:
             self._break()
+            if suspect:
+                self.n_suspects += 1
+                self.suspects = (*self.suspects, self.n_suspects)
+                self.line.suspects = self.suspects
             if tag in SECTIONS and not skipped and len(self.path) < MAX_DEPTH:
                 self.sections += 1
                 number = self.sections
@@ -140,7 +171,7 @@ class Lines(HTMLParser):
                     self.kind[number] = tag
                 self.path = (*self.path, number)
                 self.line.path = self.path
-        self.open.append((tag, number, skipped))
+        self.open.append((tag, number, skipped, suspect))
         self.count[tag] += 1
         if skipped:
             self.skipping += 1
@@ -165,7 +196,7 @@ class Lines(HTMLParser):
     def _close_head(self) -> None:
         if not self.count["head"]:
             return
-        for at, (tag, _, _) in enumerate(self.open):
+        for at, (tag, *_) in enumerate(self.open):
             if tag == "head":
                 self._close_to(at)
                 return
@@ -192,7 +223,7 @@ class Lines(HTMLParser):
 
     def _close_to(self, at: int) -> None:
         while len(self.open) > at:
-            tag, number, skipped = self.open.pop()
+            tag, number, skipped, suspect = self.open.pop()
             self.count[tag] -= 1
             if skipped:
                 self.skipping -= 1
@@ -200,6 +231,8 @@ class Lines(HTMLParser):
             if self.skipping:
                 continue
             if tag in BLOCKS:
+                if suspect:
+                    self.suspects = self.suspects[:-1]
                 self._break()
                 if number >= 0:
                     self.path = self.path[:-1]
@@ -252,8 +285,20 @@ def main_text(html: str, sigma: float = SIGMA) -> str:
     if not lines:
         return ""
     free = np.array([max(0, len(text) - x.linked) for text, x in lines], float)
-    ratio = smooth(free / np.array([1 + x.tags for _, x in lines]), sigma)
-    chosen = ratio >= two_means(ratio) if len(lines) > 1 else np.ones(1, bool)
+    raw = free / np.array([1 + x.tags for _, x in lines])
+    ratio = smooth(raw, sigma)
+    threshold = two_means(ratio) if len(lines) > 1 else 0.0
+    chosen = ratio >= threshold
+    doubted: dict[int, list[float]] = {}
+    for (_, x), r in zip(lines, raw, strict=True):
+        for element in x.suspects:
+            doubted.setdefault(element, []).append(r)
+    if gone := {element for element, ratios in doubted.items() if sum(ratios) / len(ratios) < threshold}:
+        stays = np.array([gone.isdisjoint(x.suspects) for _, x in lines])
+        if stays.any():
+            lines, free, chosen = [x for x, s in zip(lines, stays, strict=True) if s], free[stays], chosen[stays]
+    if not chosen.any():
+        chosen[:] = True
     mass: dict[int, float] = {}
     votes: Counter[int] = Counter()
     depth: dict[int, int] = {}

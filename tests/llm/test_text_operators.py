@@ -296,6 +296,50 @@ def test_main_text_is_the_whole_article(html, want):
     assert html_text.main_text(html) == "\n".join(" ".join(t.split()) for t in want)
 
 
+PROSE = "<p>" + "Plain words of the article that go on for a while. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(("part", "kept"), [
+    ('<section id="social-impact"><h2>Impact</h2><p>It changed how people talk to each other and what they read.</p></section>', "Impact\nIt changed how people talk to each other and what they read."),
+    ('<h2 id="related-work">Related work</h2>', "Related work"),
+    ('<h2 class="header">Part two</h2>', "Part two"),
+    ('<pre><code>x = 1 <span class="token comment"># one</span></code></pre>', "x = 1 # one"),
+    ("<p>Here <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is a sum.</p>", "Here a+b is a sum."),
+    ("<p>The <label>left column</label> has names.</p>", "The left column has names."),
+    ('<div class="notice"><p>' + "This notice is a part of the story and is told in as many words as the rest of the article. " * 4 + "</p></div>", " ".join(["This notice is a part of the story and is told in as many words as the rest of the article."] * 4)),
+    ('<div class="comment-list comments"><p>' + "A reader says a great many things here. " * 5 + "</p></div>", None),
+    ('<div class="ad">Buy now, the best offer of the year, only today!</div>', None),
+    ('<div class="menu"><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></div>', None),
+    ('<ul class="share-buttons social"><li><a href=x>Post it</a><li><a href=y>Mail it</a></ul>', None),
+    ('<div class="newsletter-signup"><p>Get the best stories by mail every week, free of charge.</p></div>', None),
+    ('<aside class="pull">Other stories</aside>', None),
+    ("<form><label>Name</label><input></form>", None),
+])
+def test_what_names_take_out_of_an_article(part, kept):
+    own = " ".join("Plain words of the article that go on for a while." for _ in range(6))
+    for around in ("article", "main"):
+        got = html_text.main_text(f"<body>{MENU}<{around}>{PROSE * 3}{part}{PROSE}</{around}><footer>end</footer></body>")
+        assert got == "\n".join([own] * 3 + ([kept] if kept else []) + [own])
+
+
+def test_pages_against_a_plain_reading_of_their_articles(spark, sf_dir):
+    """The pages of the tables have one article each; here it is cut out by patterns."""
+    import html as entities
+    import re
+
+    n = 0
+    for r in queries.op5_html_text(spark, sf_dir).join(queries.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").collect():
+        found = re.search(r"<article[^>]*>(.*?)</article>", r.html or "", re.S)
+        if not found:
+            continue
+        text = re.sub(r"(?s)<!--.*?-->|<(script|style|aside|nav|form|footer|header)\b.*?</\1>", "", found[1])
+        text = re.sub(r'(?s)<(div|ul|section|p)[^>]*class="[^"]*"[^>]*>.*?</\1>', "", text)
+        blocks = re.split(r"</?(?:p|h[1-6]|li|ul|ol|div|section|blockquote|table|tr|td|pre)\b[^>]*>", text)
+        blocks = [" ".join(entities.unescape(re.sub(r"<br\b[^>]*>", " ", b).replace("\x00", "")).split()) for b in (re.sub(r"<(?!br\b)[^>]*>", "", x) for x in blocks)]
+        n += r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+    assert n >= 0.98 * queries.table(spark, sf_dir, "pages").count()
+
+
 @pytest.mark.parametrize("html", ["", "   ", "<p></p>", "<script>x</script>", "<nav><a>x</a></nav>", "<", "&", "<p", "</p></div>"])
 def test_pages_without_text(html):
     assert html_text.main_text(html).strip() in ("", "<", "&", "<p")
