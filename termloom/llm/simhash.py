@@ -5,17 +5,24 @@ lower-cased, 3-word shingles are hashed with XXH64 (seed 42), and a bit is 1 if
 set in over half the hashes.
 
 Links (at most 3 differing bits): such fingerprints differ in at most 3 of their 8
-bytes, so they share at least 5 positional bytes, the guaranteed minimum. Posting
-lists of one positional byte hold 1/256 of all rows, and pairs drawn from them grow
-with the square of the input. The index is therefore kept by the 56 sets of 5
-positions: a pair shares a whole list of at least one set exactly when its tally of
-shared bytes reaches 5. Within a list the tally is completed and the pair verified by
-its differing bits.
-
-Only distinct fingerprints enter the index, so copies cost one entry, and a list
-can hold at most 2^24 of them (the 3 bytes left), which bounds a task. A list yields
-links that span it (each fingerprint to the least one it reaches there), not all its
-pairs; dense lists find their links by flipping up to 3 of the 24 free bits.
+bytes, so they share at least 5 positional bytes, the guaranteed minimum.
+
+1. *Inverted index.* A posting list of one positional byte holds 1/256 of all rows, and
+   pairs drawn from it would grow with the square of the input. By the prefix rule of
+   count filtering a pair with 5 of 8 shared bytes has at least 4 of them among the first
+   7 positions, so the index is kept by the 35 sets of 4 of these: an entry of a list
+   stands for 4 shared bytes.
+2. *Tally.* Within a list the postings of the other positions complete the count. Lists of
+   up to ``SMALL`` entries tally each pair; in longer ones the entries that share a further
+   positional byte, and so reach the minimum, are found by sorting. Further positions come
+   after the list's own, so a set of 5 shared bytes is met in one list only.
+3. *Verification.* Pairs that reach the minimum are compared by their differing bits.
+
+Only distinct fingerprints enter the index, so copies cost one entry. What shares 5 bytes
+has 3 left, so a group holds at most 2^24 entries; it yields links that span it (each
+fingerprint to the least one it reaches there), not all its pairs. In groups of ``DENSE``
+entries or more the links are found by flipping up to 3 of the 24 free bits, which gives
+the same roots as comparing, with work in proportion to the entries.
 
 Defined cases: null and empty texts have fingerprint 0 and are linked like others; a
 null doc_id keeps its fingerprint and gets the component of the others with it (null
@@ -39,9 +46,13 @@ from termloom.llm.components import components
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: The positions that the lists of one set share.
-SETS = list(combinations(range(8), 8 - MAX_BITS))
-#: From this many entries a list is searched by flipped bits rather than by its pairs.
+#: Positional bytes that linked fingerprints share at least.
+MIN_SHARED = 8 - MAX_BITS
+#: The positions that the lists of one set share: all but one of the minimum, of all positions but the last.
+SETS = list(combinations(range(7), MIN_SHARED - 1))
+#: Up to this many entries a list's pairs are tallied one by one.
+SMALL = 8
+#: From this many entries the links of a group are found by flipped bits.
 DENSE = 3000
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -110,28 +121,45 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _found(*map(np.concatenate, zip(*held, strict=True)))
 
 
+def tally(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many positional bytes the fingerprints of two columns share."""
+    return ((x ^ y).astype("<u8")[..., None].view(np.uint8) == 0).sum(axis=-1)
+
+
 def _found(s: np.ndarray, b: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    fp = fp.view(np.uint64)
     first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (b[1:] != b[:-1]))))
     size = np.diff(np.append(first, len(fp)))
     left, right = [], []
-    two = first[size == 2]  # most lists with more than one entry
-    x, y = fp[two], fp[two + 1]
-    close = np.bitwise_count((x ^ y).view(np.uint64)) <= MAX_BITS
-    left.append(x[close])
-    right.append(y[close])
-    for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+    for n in range(2, SMALL + 1):
+        rows = fp[first[size == n][:, None] + np.arange(n)]  # the lists of n entries
+        for i, j in combinations(range(n), 2):
+            x, y = rows[:, i], rows[:, j]
+            close = tally(x, y) >= MIN_SHARED
+            x, y = x[close], y[close]
+            close = np.bitwise_count(x ^ y) <= MAX_BITS
+            left.append(x[close])
+            right.append(y[close])
+    for at, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         own = fp[at : at + n]
-        root = _roots(own.view(np.uint64), SETS[int(s[at])])
-        other = root != np.arange(n)
-        left.append(own[root[other]])
-        right.append(own[other])
-    a, b = np.concatenate(left), np.concatenate(right)
+        for p in range(max(SETS[int(s[at])]) + 1, 8):  # the postings of a further position
+            byte = (own >> np.uint64(8 * p)) & np.uint64(0xFF)
+            order = np.argsort(byte, kind="stable")
+            edges = np.flatnonzero(np.concatenate(([True], byte[order][1:] != byte[order][:-1], [True])))
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if z - a > 1:
+                    group = own[order[a:z]]
+                    root = _roots(group, (*SETS[int(s[at])], p))
+                    other = root != np.arange(len(group))
+                    left.append(group[root[other]])
+                    right.append(group[other])
+    a, b = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (left, right))
     if len(a):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _roots(fp: np.ndarray, shared: tuple[int, ...]) -> np.ndarray:
-    """For each entry of a list the first entry that it reaches over links within the list."""
+    """For each entry of a group with 5 shared bytes the first entry that it reaches over links within the group."""
     n = len(fp)
     if n < DENSE:
         return _roots_by_pairs(fp)

@@ -170,6 +170,44 @@ def test_links_lose_none_between_near_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize("small", [1, 3, 8])
+def test_tallies_find_every_link_of_crowded_lists(small, monkeypatch):
+    """Fingerprints that crowd the same lists: links by tally and by postings against all pairs."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(small)
+    fps = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        for _ in range(60):
+            x = base
+            for b in rng.sample(range(64), rng.randrange(0, 5)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    links = set()
+    for i, positions in enumerate(simhash.SETS):
+        mask = np.uint64(simhash._mask(positions) % (1 << 64))
+        own = np.array(fps, np.uint64)
+        rows = sorted(zip((own & mask).view(np.int64).tolist(), own.view(np.int64).tolist()))
+        keys, values = (np.array(x, np.int64) for x in zip(*rows))
+        for out in simhash._found(np.full(len(keys), i, np.int8), keys, values):
+            links |= {(int(a) % (1 << 64), int(b) % (1 << 64)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    want = brute_components(fps)
+    group = lambda of: sorted(sorted(g) for g in {r: [f for f in fps if of(f) == r] for r in map(of, fps)}.values())
+    assert group(find) == group(want.get)
+    x, y = np.array([0x1122334455667788, 0], np.uint64), np.array([0x1122004455660088, 0], np.uint64)
+    assert simhash.tally(x, y).tolist() == [6, 8]
+
+
 def test_dense_lists_give_the_same_roots(monkeypatch):
     rng = np.random.default_rng(4)
     shared = (0, 2, 3, 5, 7)
