@@ -1,13 +1,15 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard decides.
+"""Near copies at a similarity of five-word shingles: SimHash, completed by MinHash, decided exactly.
 
 Words are those of ``simhash``; the shingles of a text are its runs of ``SHINGLE`` words
 (a shorter text is one shingle), as XXH64 hashes. Two texts are linked if the Jaccard
 similarity of their shingle sets is at least ``MIN_JACCARD``.
 
-A radius of differing SimHash bits does not serve for this: at similarity 0.8 a pair
-differs in 10 of 64 bits on average, and one in twelve shares no byte at all. Instead
-``BANDS`` bands of ``ROWS`` minima are compared: a pair of similarity s shares a band
-with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99994 at 0.8 and more above.
+Candidates come from the SimHash operator: fingerprints of these shingles, linked through
+its byte-position index at 3 or fewer differing bits. This alone does not give right
+results at 0.8: such a pair differs in 10 of 64 bits on average, and one in twelve shares
+no byte at all, so no count of shared bytes can retain it. So ``BANDS`` bands of ``ROWS``
+MinHash minima over the same hashes complete the candidates: a pair of similarity s shares
+a band with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99994 at 0.8 and more above.
 
 Texts are known by 64 bits of hash, so equal texts are one entry. A band's list yields
 a star, not its pairs, so candidates are linear in the input. The components of the
@@ -15,7 +17,8 @@ stars hold all links found; within each the shingle sets are compared exactly, b
 first: an entry is compared once with all that are not reached yet. Only texts that
 share a list with another one are shipped, once.
 
-Defined cases: null and empty texts are equal; a null doc_id takes part in links.
+Defined cases: null and empty texts are equal; a null doc_id takes part in links; rows that
+repeat get the same component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm import common
+from termloom.llm import common, simhash
 from termloom.llm.components import components
 
 SHINGLE = 5
@@ -43,8 +46,8 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct hashes of the shingles of a text, sorted."""
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The hashes of the shingles of a text, repeats included."""
     words = text.lower().split()
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
@@ -53,7 +56,12 @@ def shingles(text: bytes) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - SHINGLE + 1].tolist()
     stops = (ends - 1)[SHINGLE - 1 :].tolist()
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(shingle_hashes(text))
 
 
 def band_hashes(hashes: np.ndarray) -> list[int]:
@@ -136,18 +144,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found()
 
 
+def _simhash_edges(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) between the keys of linked fingerprints; a fingerprint is known by its least key."""
+    owners = distinct.groupBy("fp").agg(F.min("key").alias("least"))
+    same = distinct.select("key", "fp").join(owners, "fp").filter("key > least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    links, _ = common.materialize(simhash.links(owners.select("fp")), "simhash-links")
+    names = (owners.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_key")) for c in ("a", "b"))
+    joined = links.distinct()
+    for name, c in zip(names, ("a", "b"), strict=True):
+        joined = joined.join(name, c)
+    return same.unionByName(joined.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (hash of the text) and component (least key that is reachable) of every row."""
     texts = common.documents(docs, id_col, text_col, text_key(text_col).alias("key"))
 
     def made(batch: pa.RecordBatch) -> dict:
-        bands = [band_hashes(shingles(x)) for x in common.byte_texts(batch)]
-        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "bands": bands}
+        hashes = [shingle_hashes(x) for x in common.byte_texts(batch)]
+        fp = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": fp, "bands": [band_hashes(np.unique(h)) for h in hashes]}
 
-    rows, _ = common.materialize(common.map_batches(texts, made, "doc_id long, key long, bands array<long>"), "bands")
-    distinct = rows.groupBy("key").agg(F.first("bands").alias("bands"))
+    rows, _ = common.materialize(common.map_batches(texts, made, "doc_id long, key long, fp long, bands array<long>"), "bands")
+    distinct = rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     lists = distinct.select("key", F.explode("bands").alias("band")).repartition("band").sortWithinPartitions("band", "key")
-    candidates = components(lists.mapInArrow(_stars, "a long, b long")).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    stars = lists.mapInArrow(_stars, "a long, b long")
+    candidates = components(stars.unionByName(_simhash_edges(distinct))).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     shipped = texts.select("key", "text").join(candidates, "key").groupBy("cluster", "key").agg(F.first("text").alias("text"))
     links = shipped.repartition("cluster").sortWithinPartitions("cluster", "key").mapInArrow(_verify, "a long, b long")
     links, _ = common.materialize(links, "near-copies")

@@ -67,14 +67,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return digest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
-    counts = np.zeros(64, np.int64)
     n = len(words) - shingle + 1
     stops = (ends - 1)[shingle - 1 :].tolist()
-    starts = starts[:n].tolist()
-    for at in range(0, n, 1 << 14):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 14)], stops[at : at + (1 << 14)], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(((2 * counts > n).astype(np.uint64) << _BITS).sum())
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(((2 * counts > len(hashes)).astype(np.uint64) << _BITS).sum())
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

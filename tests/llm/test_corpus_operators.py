@@ -414,7 +414,7 @@ def test_pipeline_stages(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for name, stage in cp.STAGES:
         before = {r.doc_id for r in docs.collect()}
-        docs = cp.common.materialize(stage(spark, docs, sf_dir), "test-stage")[0]
+        docs = components.common.materialize(stage(spark, docs, sf_dir), "test-stage")[0]
         rows = docs.collect()
         after = {r.doc_id for r in rows}
         assert after <= before
@@ -423,10 +423,11 @@ def test_pipeline_stages(spark, sf_dir):
         if name == "language":
             assert 9001 not in after and len(after) > 0.95 * len(before)
         elif name == "near_duplicates":
-            root = brute_components({brute_fingerprint(texts[i]) for i in before})
+            ids = sorted(before - {None})
+            every = [texts[i] for i in ids] + [texts[None]]  # a document without id can link others
             groups = {}
-            for i in before - {None}:
-                groups.setdefault(root[brute_fingerprint(texts[i])], set()).add(i)
+            for i, root in zip(ids, brute_copies(every)):
+                groups.setdefault(root, set()).add(i)
             assert after - {None} == {min(g) for g in groups.values()} and None in after
         elif name == "substrings":
             want = {i: t for i, _, _, t in brute_dedup([(i, texts[i]) for i in before], 13)}
@@ -491,6 +492,42 @@ def test_stage_drops_what_is_alike_in_five_word_shingles(spark):
     assert cp.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("columns", [("text_", "digest_", "id_", "row_", "key_", "least_"), ("KEY_", "Row_", "row__", "component", "shard", "passages")])
+def test_stages_with_clashing_columns_nulls_and_empty_tables(spark, sf_dir, columns):
+    import corpus_pipeline as cp
+
+    source = queries.table(spark, sf_dir, "documents").drop("n_chars").limit(40)
+    item = queries.table(spark, sf_dir, "benchmark").first().text
+    extra = [(None, None, None, None), (9001, None, "en", "s"), (9002, "", None, "s"), (9003, f"A {item} b", "en", "s"), (9004, "long words of the text " * 30_000, "en", None), (None, f"B {item} c", "en", "s")]
+    docs = source.unionByName(spark.createDataFrame(extra + extra[1:3], source.schema))
+    for i, c in enumerate(columns):
+        docs = docs.withColumn(c, queries.F.lit(i))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert rows and all(r[c] == i for r in rows for i, c in enumerate(columns)) if name != "sentencepiece" else len(rows) == docs.count()
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+        if name == "substrings":
+            assert len(rows) == docs.count()
+        if name == "benchmark":
+            assert not {r.doc_id for r in rows} & {9003} and {9001, 9002, 9004} <= {r.doc_id for r in rows}
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.columns == out.columns and empty.count() == 0
+
+
+def test_run_leaves_no_table_but_the_last(spark, tmp_path):
+    import corpus_pipeline as cp
+    from termloom.sources import shared
+
+    shared.drop_all(spark)
+    docs = spark.createDataFrame([(i, f"the house number {i} and the garden of it " * 3, "en", "s", 1) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of this is there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).count() > 0
+    assert [p.rsplit("/", 1)[1][:18] for p in shared._made[spark.sparkContext.applicationId]] == ["pipeline-benchmark"]
+
+
 def test_stage_keeps_different_texts_of_one_id(spark):
     import corpus_pipeline as cp
 
