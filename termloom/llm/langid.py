@@ -147,13 +147,15 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", sample_per_lang:
     slots = 1 << 20
     share = {x: min(slots, sample_per_lang * slots // int(c[-1]) + 1) for x, c in found.items()}
     wanted = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
-    sampled = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)) < wanted)
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots))
+    sampled = rows.withColumn("slot", slot).filter(F.col("slot") < wanted)
 
     def vectors(batch: pa.RecordBatch) -> dict:
-        return {"lang": batch.column("lang"), "x": [gram_counts(x).astype("<u4").tobytes() if _LETTER.search(x) else None for x in common.texts(batch)]}
+        return {"lang": batch.column("lang"), "slot": batch.column("slot"), "x": [gram_counts(x).astype("<u4").tobytes() if _LETTER.search(x) else None for x in common.texts(batch)]}
 
     limit = 2 * sample_per_lang * len(langs)
-    sample = common.map_batches(sampled.limit(limit), vectors, "lang string, x binary").filter("x is not null").collect()
+    found_vectors = common.map_batches(sampled, vectors, "lang string, slot long, x binary").filter("x is not null")
+    sample = found_vectors.orderBy("slot", "x").limit(limit).collect()  # the same rows in every run
     centroids, owners, least = [], [], {}
     for lang in langs:
         own = sorted(r["x"] for r in sample if r["lang"] == lang)

@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from termloom.llm import common, packing
 
 END_ID = 2
-#: Text bytes of a shard.
+#: Text bytes of a shard, as long as they are fewer than ``MAX_SHARDS``; then shards grow.
 SHARD_BYTES = 24 << 20
+#: Range bounds come from a sample of at most a million rows, some 20 for each of so many shards.
+MAX_SHARDS = 50_000
 #: Documents that are split and looked up together.
 DOCS = 256
 #: Remembered pieces of a worker, some 200 bytes each.
@@ -111,8 +113,9 @@ class Encoder:
         ends = np.cumsum([len(x.encode()) for x in row])
         reach = np.cumsum(self.n_bytes[ids])
         cuts = np.searchsorted(reach, ends) + 1
-        if (reach[cuts - 1] != ends).any():
-            raise ValueError("an id spans two pieces")
+        if cuts[-1] > len(ids) or (reach[cuts - 1] != ends).any():  # an id spans two pieces: each on its own
+            yield from zip(row, self._direct(row), strict=True)
+            return
         data, at = ids.tobytes(), 0
         for piece, cut in zip(row, (4 * cuts).tolist(), strict=True):
             yield piece, data[at:cut]
@@ -124,6 +127,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that Spark knows by this URI, and the path in it.
+
+    Arrow has local, HDFS (``viewfs`` too), S3, GCS and Azure file systems; the connectors
+    that Spark uses for some of them have schemes of their own. Others raise.
+    """
+    scheme, mark, rest = uri.partition("://")
+    known = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs"}
+    if uri.startswith("file:") and not mark:
+        return pyarrow.fs.LocalFileSystem(), uri[5:]
+    return pyarrow.fs.FileSystem.from_uri(known.get(scheme, scheme) + mark + rest if mark else uri)
+
+
 def write_ids(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
@@ -131,15 +147,15 @@ def write_ids(
     spark = docs.sparkSession
     rows = common.documents(docs, id_col, text_col).filter("doc_id is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = total // shard_bytes + 1
+    n_shards = min(total // shard_bytes + 1, MAX_SHARDS)
     folder = common.new_path(spark, "token-ids")
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     bits = packing.bits_for(max(encoder(tokenizer_path).n_ids, end_id + 1))
     tail = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, path = file_system(folder)
         own = encoder(tokenizer_path)
         shard = TaskContext.get().partitionId()
         name = f"{path}/{shard:08d}-{uuid.uuid4().hex}.ids"
@@ -171,7 +187,7 @@ def read_ids(manifest: DataFrame, folder_uri: str | None = None) -> DataFrame:
     base = folder_uri or common.shared_dir(manifest.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pyarrow.fs.FileSystem.from_uri(base)
+        fs, _ = file_system(base)
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with fs.open_input_file(path) as source:

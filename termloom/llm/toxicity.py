@@ -128,11 +128,13 @@ def fit(
     slots = 1 << 20
     # the filter on ids comes before the join with texts, so few texts are shuffled
     share = min(slots, max_positive * slots // n_toxic + 1)
-    chosen = known.filter("toxic = 1").filter(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share).select("doc_id").limit(max_positive)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    chosen = known.filter("toxic = 1").filter(slot < share).orderBy(slot, "doc_id").limit(max_positive).select("doc_id")
     total = docs.count()
     share = min(slots, max_unlabelled * slots // max(total, 1) + 1)
-    positive = _bins(rows.join(chosen, "doc_id", "left_semi"))
-    unlabelled = _bins(rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)) < share).limit(2 * max_unlabelled))
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots))
+    positive = _bins(rows.join(chosen, "doc_id", "left_semi").withColumn("slot", slot))
+    unlabelled = _bins(rows.withColumn("slot", slot).filter(F.col("slot") < share), 2 * max_unlabelled)
     if not positive or not unlabelled:
         return none
     rates = [np.bincount(np.concatenate(x), minlength=1 << BITS) / len(x) for x in (positive, unlabelled)]
@@ -150,12 +152,15 @@ def fit(
     return ToxicityModel(weights, bias, True)
 
 
-def _bins(df: DataFrame) -> list[np.ndarray]:
-    """The word bins of a bounded sample, in an order that does not depend on the partitions."""
+def _bins(df: DataFrame, limit: int | None = None) -> list[np.ndarray]:
+    """The word bins of a bounded sample, in an order that does not depend on the partitions; the first by hash if they are too many."""
     def found(batch: pa.RecordBatch) -> dict:
-        return {"x": [word_bins(t).astype("<u4").tobytes() for t in common.byte_texts(batch)]}
+        return {"slot": batch.column("slot"), "x": [word_bins(t).astype("<u4").tobytes() for t in common.byte_texts(batch)]}
 
-    return [np.frombuffer(x, "<u4") for x in sorted(r["x"] for r in common.map_batches(df, found, "x binary").collect())]
+    rows = common.map_batches(df, found, "slot long, x binary")
+    if limit is not None:
+        rows = rows.orderBy("slot", "x").limit(limit)
+    return [np.frombuffer(x, "<u4") for x in sorted(r["x"] for r in rows.collect())]
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -261,6 +261,58 @@ def test_a_rejected_language():
     assert [r[2] for r in model.predict(["the house and garden", "zzz qqq xxx", None])] == [False, True, True]
 
 
+def test_grams_and_nearest_centroids_against_brute_force():
+    def plain_counts(text):
+        spaced, out = [], np.zeros(langid.N_BINS, int)
+        for c in text.lower():
+            if "a" <= c <= "z" or ord(c) >= 192:
+                spaced.append(c)
+            elif not spaced or spaced[-1] != " ":
+                spaced.append(" ")
+        if spaced and spaced[0] == " ":
+            spaced = spaced[1:]
+        wide, k = 1 << 32, [int(x) for x in langid._K]
+        for n in (1, 2, 3):
+            for i in range(len(spaced) - n + 1):
+                h = ord(spaced[i]) * k[0] % wide
+                for j in range(1, n):
+                    h = ((h ^ (h >> 15)) * k[j] + ord(spaced[i + j]) * k[0]) % wide
+                out[h >> 20] += 1
+        return out
+
+    texts = ["The house, and 12 gardens!", "Über die Straße", "été", "a", "x  y"]
+    for t in texts:
+        assert (langid.gram_counts(t) == plain_counts(t)).all()
+    rng = np.random.default_rng(0)
+    idf = rng.uniform(1, 3, langid.N_BINS).astype(np.float32)
+    centres = langid.normalised(rng.integers(0, 3, (6, langid.N_BINS)), idf)
+    model = langid.LanguageModel(idf, centres, ["a", "a", "b", "b", "c", "c"], dict.fromkeys("abc", 0.0))
+    for t, (lang, score, _) in zip(texts, model.predict(texts), strict=True):
+        v = [np.log1p(n) * w for n, w in zip(plain_counts(t), idf, strict=True)]
+        size = sum(x * x for x in v) ** 0.5
+        cosines = [sum(x * y for x, y in zip(v, c, strict=True)) / size for c in centres]
+        assert score == pytest.approx(max(cosines), abs=1e-4) and lang == model.langs[int(np.argmax(cosines))]
+
+
+def plain_risk(w, b, xp, xu, prior):
+    sigmoid = lambda x: [1 / (1 + np.exp(-(x_ @ w + b))) for x_ in x]
+    p, u = sigmoid(xp), sigmoid(xu)
+    return prior * np.mean([1 - s for s in p]) + max(0.0, np.mean(u) - prior * np.mean(p))
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.3])
+def test_nnpu_reaches_the_least_risk_of_a_grid(prior):
+    rng = np.random.default_rng(1)
+    xp = (rng.random((60, 2)) < (0.9, 0.3)).astype(float)
+    n = int(400 * prior)
+    xu = np.vstack([(rng.random((n, 2)) < (0.9, 0.3)), (rng.random((400 - n, 2)) < (0.05, 0.3))]).astype(float)
+    w, b = toxicity.nnpu(xp, xu, prior)
+    grid = [(x, y, z) for x in np.linspace(-8, 8, 9) for y in np.linspace(-8, 8, 9) for z in np.linspace(-8, 8, 9)]
+    least = min(plain_risk(np.array([x, y]), z, xp, xu, prior) for x, y, z in grid)
+    assert plain_risk(w, b, xp, xu, prior) <= least + 0.02
+    assert w[0] > abs(w[1])
+
+
 def auc(pairs):
     pos, neg = ([s for s, y in pairs if y == k] for k in (1, 0))
     return np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
