@@ -6,11 +6,11 @@ starts in a document with a smaller doc_id is removed.
 
 1. *Candidates.* Of the 8 overlapping 6-word seeds of a window the one with the least
    hash stands for it. Equal windows have equal seeds, so a window can recur only if
-   its seed does. About a quarter of the positions is shuffled, a row for each seed, shard
-   and batch, with the least and the greatest doc_id.
-2. *Confirmation.* Windows with a recurring seed are grouped by 128 bits of hash, from two
-   hashes of each word that share no factor; a shard sends a row for each of its windows,
-   with the least and the greatest doc_id. The least of a group is its origin.
+   its seed does. About a quarter of the positions is shuffled; of the documents of a seed
+   in one batch only the least and the greatest.
+2. *Confirmation.* Windows with a recurring seed are grouped by 96 bits of hash, from two
+   hashes of each word that share no factor; of the documents of a window a shard sends
+   the least and the greatest. The least of a group is its origin.
 3. *Automata.* Documents are dealt into shards of bounded size by a hash of their
    text. A shard gets the confirmed windows that occur in it, joins neighbouring ones
    of one origin to passages, compiles an automaton over the passages' words and
@@ -18,7 +18,7 @@ starts in a document with a smaller doc_id is removed.
    passage's origin removes its words.
 
 No document meets an automaton that cannot match it, so the work grows in proportion
-to the input. A frequent seed or window is one row a shard, however many documents have
+to the input. A frequent seed or window is two rows a shard, however many documents have
 it; its sorted rows are read in batches and only the first is held. A task holds one shard
 at a time, so the number of partitions does not depend on that of shards: it is bounded by
 ``MAX_PARTITIONS``. Copies (equal texts) are reduced to
@@ -122,8 +122,12 @@ def window_seeds(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def window_keys(text: bytes, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each window in two numbers; ``h`` are the text's first word hashes."""
-    return _rolled(h, window, _A).view(np.int64), _rolled(word_hashes(text, 1), window, _B).view(np.int64)
+    """64 and another 32 bits of each window; ``h`` are the text's first word hashes."""
+    return _rolled(h, window, _A).view(np.int64), _second_keys(text, window)
+
+
+def _second_keys(text: bytes, window: int) -> np.ndarray:
+    return (_rolled(word_hashes(text, 1), window, _B) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _numbers(n: int, kind) -> list:
@@ -158,10 +162,10 @@ def dedup_substrings(
                 found.append(own)
                 owners.append(np.full(len(own), doc_id, np.int64))
                 shards.append(np.full(len(own), shard, np.int32))
-        (seed, shard), low, high = _least_and_greatest([np.concatenate(found), np.concatenate(shards)], np.concatenate(owners))
-        return {"seed": pa.array(seed), "low": pa.array(low), "high": pa.array(high), "shard": pa.array(shard)}
+        seed, shard, doc = _least_and_greatest([np.concatenate(found), np.concatenate(shards)], np.concatenate(owners))
+        return {"seed": pa.array(seed), "doc_id": pa.array(doc), "shard": pa.array(shard)}
 
-    by_seed = common.map_batches(texts, seeds, "seed long, low long, high long, shard int").repartition(partitions, "seed").sortWithinPartitions("seed")
+    by_seed = common.map_batches(texts, seeds, "seed long, doc_id long, shard int").repartition(partitions, "seed").sortWithinPartitions("seed", "doc_id")
     recurring = by_seed.mapInArrow(_recurring, "shard int, seed long")
 
     def candidates(key, left, right):
@@ -177,14 +181,14 @@ def dedup_substrings(
                 k, k2 = window_keys(text, h, window)
                 for part, x in zip(parts, (k[at], k2[at], np.full(int(at.sum()), doc_id, np.int64)), strict=True):
                     part.append(x)
-        k, k2, doc = (np.concatenate([*_numbers(1, np.int64), *p]) for p in parts)
-        keys, low, high = _least_and_greatest([k, k2], doc)
-        shard = pa.array(np.full(len(low), key[0].as_py(), np.int32))
-        return pa.Table.from_arrays([*map(pa.array, (*keys, low, high)), shard], names=["k", "k2", "low", "high", "shard"])
+        k, k2, doc = (np.concatenate([*_numbers(1, t), *p]) for p, t in zip(parts, (np.int64, np.int32, np.int64), strict=True))
+        columns = _least_and_greatest([k, k2], doc)
+        shard = np.full(len(columns[0]), key[0].as_py(), np.int32)
+        return pa.Table.from_arrays([pa.array(x) for x in (*columns, shard)], names=["k", "k2", "doc_id", "shard"])
 
-    windows = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(candidates, "k long, k2 long, low long, high long, shard int")
-    by_window = windows.repartition(partitions, "k", "k2").sortWithinPartitions("k", "k2", "low")
-    origins = by_window.mapInArrow(_origins, "shard int, k long, k2 long, origin long")
+    windows = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(candidates, "k long, k2 int, doc_id long, shard int")
+    by_window = windows.repartition(partitions, "k", "k2").sortWithinPartitions("k", "k2", "doc_id")
+    origins = by_window.mapInArrow(_origins, "shard int, k long, k2 int, origin long")
 
     def cleaned(key, left, right):
         return _clean_shard(left, right, window, keep_layout)
@@ -222,32 +226,35 @@ def _within(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[slot] == values
 
 
-def _least_and_greatest(keys: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct keys with the least and the greatest document of each."""
+def _least_and_greatest(keys: list[np.ndarray], doc: np.ndarray) -> list[np.ndarray]:
+    """Rows (keys and document) of the least and the greatest document of each key; one row if they are the same."""
     if not len(doc):
-        return keys, doc, doc
-    order = np.lexsort(keys[::-1])
-    keys, doc = [k[order] for k in keys], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))))
-    return [k[first] for k in keys], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+        return [*keys, doc]
+    order = np.lexsort((doc, *keys[::-1]))
+    rows = [x[order] for x in (*keys, doc)]
+    new = np.logical_or.reduce([x[1:] != x[:-1] for x in rows])
+    rows = [x[np.concatenate(([True], new))] for x in rows]
+    change = np.logical_or.reduce([x[1:] != x[:-1] for x in rows[:-1]])
+    ends = np.concatenate(([True], change)) | np.concatenate((change, [True]))
+    return [x[ends] for x in rows]
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by seed those whose seed is in two documents or more.
+    """From rows sorted by seed and doc_id those whose seed is in two documents or more.
 
     Between batches the last run waits: whole while it has one document, else by one row.
     """
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     told = False  # whether the rows of the held run are out already
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [batch.column(c).to_numpy() for c in ("seed", "low", "high", "shard")]
+        new = [batch.column(c).to_numpy() for c in ("seed", "doc_id", "shard")]
         n_held = len(held[0])
-        seed, low, high, shard = (np.concatenate(x) for x in zip(held, new, strict=True))
+        seed, doc, shard = (np.concatenate(x) for x in zip(held, new, strict=True))
         first = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
         size = np.diff(np.append(first, len(seed)))
-        many = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
+        many = doc[first + size - 1] != doc[first]
         if told:
             many[0] = True
         out = np.repeat(many, size)
@@ -257,25 +264,25 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shard[out]), pa.array(seed[out])], names=["shard", "seed"])
         told = bool(many[-1])
         keep = slice(len(seed) - 1, None) if told else slice(int(first[-1]), None)
-        held = [x[keep].copy() for x in (seed, low, high, shard)]
+        held = [x[keep].copy() for x in (seed, doc, shard)]
 
 
 def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by window and least document, for each shard with a later document the window and its first document."""
+    """From rows sorted by window and doc_id, for each later document's shard the window and its first document."""
     k_, k2_, origin_ = None, None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, k2, low, high, shard = (batch.column(c).to_numpy() for c in ("k", "k2", "low", "high", "shard"))
+        k, k2, doc, shard = (batch.column(c).to_numpy() for c in ("k", "k2", "doc_id", "shard"))
         start = np.concatenate(([True], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])))
         run = np.cumsum(start) - 1
-        origin = low[start]
+        origin = doc[start]
         if k[0] == k_ and k2[0] == k2_:
             origin = origin.copy()
             origin[0] = origin_
         k_, k2_, origin_ = k[-1], k2[-1], origin[-1]
         own = origin[run]
-        later = high > own
+        later = doc > own
         if later.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (shard, k, k2, own)], names=["shard", "k", "k2", "origin"])
 
@@ -324,7 +331,7 @@ class Passages:
             same = k[slot] == keys
             if not same.any():
                 continue
-            keys2 = _rolled(word_hashes(text, 1), window, _B).view(np.int64)
+            keys2 = _second_keys(text, window)
             while (more := np.flatnonzero(same & (k2[slot] != keys2))).size:  # windows that share the first half only
                 slot[more] = np.minimum(slot[more] + 1, len(k) - 1)
                 same[more] = (k[slot[more]] == keys[more]) & ((k2[slot[more]] == keys2[more]) | (slot[more] < len(k) - 1))

@@ -87,12 +87,12 @@ def test_windows_that_share_half_of_their_hash_are_told_apart(spark, monkeypatch
     rolled = substrings._rolled
     monkeypatch.setattr(substrings, "_rolled", lambda h, n, by: rolled(h, n, by) % np.uint64(3) if by == substrings._A else rolled(h, n, by))
     texts = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(30)).encode()) for i in range(12)]
-    keys = {i: (substrings._rolled(substrings.word_hashes(t), 5, substrings._A).view(np.int64), rolled(substrings.word_hashes(t, 1), 5, substrings._B).view(np.int64)) for i, t in texts}
+    keys = {i: (substrings._rolled(substrings.word_hashes(t), 5, substrings._A).view(np.int64), substrings._second_keys(t, 5)) for i, t in texts}
     least = {}
     for i, (k, k2) in keys.items():
         for pair in zip(k.tolist(), k2.tolist()):
             least[pair] = min(least.get(pair, i), i)
-    k, k2 = (np.array([p[j] for p in least], np.int64) for j in (0, 1))
+    k, k2 = (np.array([p[j] for p in least], t) for j, t in ((0, np.int64), (1, np.int32)))
     passages = substrings.Passages([i for i, _ in texts], [t for _, t in texts], k, k2, np.array(list(least.values()), np.int64), 5)
     want = {i: n for i, _, n, _ in brute_dedup([(i, t.decode()) for i, t in texts], 5)}
     for i, t in texts:
