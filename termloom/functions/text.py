@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def analyzed(text: Column, stopwords: Sequence[str] | None = STOPWORDS) -> Column:
+    """The tokens that an index and its queries are made of: without stop words."""
+    found = tokens(text)
+    return F.filter(found, lambda t: ~t.isin(list(stopwords))) if stopwords else found
+
+
+def counted(found: Column) -> Column:
+    """Distinct tokens with their number of occurrences, as an array of (term, tf), from an array of tokens."""
+    ordered = F.array_sort(found)
+    places = F.sequence(F.lit(1), F.size(ordered))
+    starts = F.filter(places, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(ordered) + 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    return F.when(F.size(found) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def whitespace_tokens(text: Column) -> Column:
     """Lower-cased words between spaces."""
     return F.filter(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+"), lambda t: t != "")
@@ -25,9 +43,9 @@ def first(array: Column, n: int) -> Column:
     return F.slice(array, 1, n)
 
 
-def token_rows(df: DataFrame, key: str, text_col: str = "text", limit: int | None = None) -> DataFrame:
-    """(key, pos, term), positions from 0."""
-    found = tokens(F.col(text_col))
+def token_rows(df: DataFrame, key: str, text_col: str = "text", limit: int | None = None, analyze: bool = False) -> DataFrame:
+    """(key, pos, term), positions from 0; ``analyze`` leaves out stop words."""
+    found = analyzed(F.col(text_col)) if analyze else tokens(F.col(text_col))
     return df.select(F.col(key), F.posexplode(found if limit is None else first(found, limit)).alias("pos", "term"))
 
 

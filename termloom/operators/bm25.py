@@ -1,7 +1,8 @@
 """BM25: ln(1 + (N - df + 0.5) / (df + 0.5)) * tf / (tf + k1 * (1 - b + b * dl / avgdl)).
 
 Document lengths are exact. Scores are ranked after rounding to 9 places, ties by the
-smaller doc_id, so that the order does not depend on how sums were grouped.
+smaller doc_id, so that the order does not depend on how sums were grouped. Terms are
+those of the index's analyser: a stop word is in no posting and scores 0.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.functions.stem import stems
 from termloom.operators.index import Index
 
 K1, B = 1.2, 0.75
@@ -44,11 +46,13 @@ def search(index: Index, query_terms: DataFrame, k: int = 10, k1: float = K1, b:
 def document_term_scores(index: Index, requests: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc_id, term, score) for requests (qid, doc_id, term).
 
-    A term is analysed; one without tokens, or of which a token is missing in the
-    document, scores 0; several tokens score their sum.
+    A term is analysed; one without tokens (a stop word, punctuation), or of which a token
+    is missing in the document, scores 0; several tokens score their sum.
     """
     asked = requests.select("qid", "doc_id", "term").distinct()
-    parts = asked.select("qid", "doc_id", "term", F.explode_outer(T.tokens(F.col("term"))).alias("token"))
+    parts = asked.select("qid", "doc_id", "term", F.explode_outer(T.analyzed(F.col("term"))).alias("token"))
+    if index.stemmed:
+        parts = parts.withColumn("token", stems(F.col("token")))
     scores = term_scores(index, parts.select(F.col("token").alias("term")), k1, b).select(F.col("term").alias("token"), "doc_id", F.col("score").alias("part"))
     joined = parts.join(scores, ["token", "doc_id"], "left")
     all_there = F.count("part") == F.count("token")
@@ -71,7 +75,7 @@ def token_scores(index: Index, docs: DataFrame, requests: DataFrame, max_length:
     words = requests.select("qid", "doc_id", F.explode(T.whitespace_tokens(F.col("text"))).alias("term")).distinct()
     scores = document_term_scores(index, words).filter("score > 0")
     wanted = docs.join(requests.select("doc_id").distinct(), "doc_id", "left_semi")
-    places = T.token_rows(wanted, "doc_id", limit=max_length)
+    places = T.token_rows(wanted, "doc_id", limit=max_length)  # positions among all words
     return scores.join(places, ["doc_id", "term"]).select("qid", "doc_id", "pos", "score")
 
 
@@ -82,9 +86,14 @@ def dense_scores(sparse: DataFrame, max_length: int = 512) -> DataFrame:
 
 
 def parameter_sweep(index: Index, query_terms: DataFrame, k1s: list[float], bs: list[float], k: int = 10) -> DataFrame:
-    """(k1, b, qid, rank, doc_id, score) of every pair of parameters in one plan; the postings are read once."""
-    pairs = F.array(*(F.struct(F.lit(float(x)).alias("k1"), F.lit(float(y)).alias("b")) for x in k1s for y in bs))
-    found = index.of_terms(query_terms).crossJoin(F.broadcast(index.collection)).withColumn("p", F.explode(pairs))
-    scored = found.select("term", "doc_id", "p.k1", "p.b", formula(F.col("p.k1"), F.col("p.b")).alias("score"))
-    summed = query_terms.join(scored, "term").groupBy("k1", "b", "qid", "doc_id").agg(F.sum("score").alias("score"))
-    return ranked(summed, ["k1", "b", "qid"], k).select("k1", "b", "qid", "rank", "doc_id", "score")
+    """(k1, b, qid, rank, doc_id, score) of every pair of parameters in one plan.
+
+    The postings are read once, and one grouping by query and document makes the sums of
+    all pairs; only these are laid out in rows.
+    """
+    pairs = [(float(x), float(y)) for x in k1s for y in bs]
+    weighted = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
+    found = index.of_terms(query_terms).crossJoin(F.broadcast(index.collection)).join(weighted, "term")
+    sums = found.groupBy("qid", "doc_id").agg(*(F.sum(F.col("times") * formula(x, y)).alias(f"s{i}") for i, (x, y) in enumerate(pairs)))
+    rows = F.inline(F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.col(f"s{i}").alias("score")) for i, (x, y) in enumerate(pairs))))
+    return ranked(sums.select("qid", "doc_id", rows), ["k1", "b", "qid"], k).select("k1", "b", "qid", "rank", "doc_id", "score")

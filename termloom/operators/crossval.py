@@ -55,6 +55,16 @@ def best_weights_by_fold(scores: DataFrame) -> DataFrame:
     return optimize.best_of(scores.withColumnRenamed("group", "fold"), ["fold"])
 
 
+def test_runs(parts: DataFrame, split: DataFrame, best: DataFrame) -> DataFrame:
+    """(fold, qid, doc_id, score): every test query scored with the weights of its own fold.
+
+    ``parts`` are those of ``rerank.score_parts``, ``split`` the folds, ``best`` a row of weights a fold.
+    """
+    own = split.filter("split = 'testing'").select("fold", "qid").join(F.broadcast(best.select("fold", "alpha", "beta", "gamma")), "fold")
+    sums = F.col("alpha") * F.col("rm_weight") + F.col("beta") * F.col("bm25_score") + F.col("gamma") * F.col("semantic_score")
+    return parts.join(own, "qid").select("fold", "qid", "doc_id", F.coalesce(F.col("base") + sums, F.col("first_score")).alias("score"))
+
+
 def aggregated_run(test_runs: DataFrame, top_k: int = 1000) -> DataFrame:
     """One run from the test runs of all folds: ranks by score, queries in order."""
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "doc_id")

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
+from termloom.functions import text as T
 from termloom.operators import expansion, importance, metrics, rerank
+from termloom.operators.index import Index
 from termloom.operators.similarity import Encoder
+from termloom.sources import shared
 
 
 def compare(results: DataFrame, baseline: str) -> DataFrame:
@@ -39,18 +42,34 @@ def original_and_reranked(original: DataFrame, reranked: DataFrame, qrels: DataF
     return a.join(b, "metric").withColumn("difference", F.col("reranked") - F.col("original"))
 
 
-def ablation(features: DataFrame, weights: DataFrame, candidates: DataFrame, query_terms: DataFrame, docs: DataFrame, qrels: DataFrame, encoder: Encoder, names: list[str], top_k: int = 100, baseline: str = "first_stage") -> DataFrame:
+def ablation(features: DataFrame, weights: DataFrame, candidates: DataFrame, query_terms: DataFrame, docs: DataFrame, qrels: DataFrame, encoder: Encoder, names: list[str], top_k: int = 100, baseline: str = "first_stage", similarities: DataFrame | None = None) -> DataFrame:
     """All models of ``weights`` in one plan: rerank, evaluate, compare with the first stage.
 
     The vectors meet the documents once; the cap on query vectors is drawn by model,
     because a weight of 0 drops terms and frees places for later ones.
     """
     own = importance.ablation_importance(features, weights)
-    runs = rerank.rerank(candidates, query_terms, own, docs, encoder, top_k, ["model", "qid"], similarities_of(features, candidates, query_terms, docs, encoder))
+    if similarities is None:
+        similarities = similarities_of(features, candidates, query_terms, docs, encoder)
+    runs = rerank.rerank(candidates, query_terms, own, docs, encoder, top_k, ["model", "qid"], similarities)
     both = runs.withColumnRenamed("model", "run_name").unionByName(candidates.select(F.lit(baseline).alias("run_name"), "qid", "rank", "doc_id", "score"))
     return compare(metrics.evaluate(both, qrels, names, ["run_name", "qid"]), baseline)
 
 
+def ablation_from_feedback(queries: DataFrame, feedback: DataFrame, index: Index, weights: DataFrame, candidates: DataFrame, docs: DataFrame, qrels: DataFrame, encoder: Encoder, dim: int, names: list[str], terms: int = 15, top_k: int = 100) -> DataFrame:
+    """All models without features at hand: expansion and features come from the feedback (qid, doc_id, score).
+
+    Queries without feedback are left out, as they have no expansion to weigh.
+    """
+    query_terms, tokens = index.query_terms(queries), T.token_rows(queries, "qid")
+    model = expansion.relevance_model(feedback, docs, stemmed=index.stemmed)
+    fed = feedback.select("qid").distinct()
+    expanded = expansion.top_terms(expansion.with_query_terms(model, query_terms.join(fed, "qid", "left_semi")), terms)
+    expanded, _ = shared.materialize(expanded, "ablation-expansion")
+    features, _ = shared.materialize(importance.extract_features(index, expanded, tokens, encoder, dim), "ablation-features")
+    return ablation(features, weights, candidates.join(fed, "qid", "left_semi"), tokens, docs, qrels, encoder, names, top_k)
+
+
 def simple_ablation(queries: DataFrame, candidates: DataFrame, query_terms: DataFrame, docs: DataFrame, qrels: DataFrame, encoder: Encoder, names: list[str], top_k: int = 100) -> DataFrame:
     """Without features or feedback: the first words of a query with equal weights, against the first stage."""
     own = expansion.simple_expansion(queries).select("qid", "rank", "term", F.col("weight").alias("importance"))

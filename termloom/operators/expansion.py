@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
 from termloom.functions import text as T
+from termloom.functions.stem import stems
 from termloom.operators import bm25
 from termloom.operators.index import Index
 
@@ -30,15 +31,18 @@ def document_weights(feedback: DataFrame) -> DataFrame:
     return feedback.withColumn("top_", top).withColumn("doc_weight", F.when(log_scores, soft).otherwise(plain)).drop("top_")
 
 
-def relevance_model(feedback: DataFrame, docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def relevance_model(feedback: DataFrame, docs: DataFrame, max_tokens: int = MAX_TOKENS, stemmed: bool = False) -> DataFrame:
     """(qid, term, weight) from feedback (qid, doc_id, score): sum of doc weight * tf / length.
 
     Documents are narrowed to those asked for before they are tokenised; of each the
-    first ``max_tokens`` tokens count.
+    first ``max_tokens`` tokens count, as the index's analyser gives them.
     """
     wanted = docs.select("doc_id", "text").join(feedback.select("doc_id").distinct(), "doc_id", "left_semi")
-    tokens = wanted.select("doc_id", T.first(T.tokens(F.col("text")), max_tokens).alias("tokens"))
-    shares = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    tokens = wanted.select("doc_id", T.first(T.analyzed(F.col("text")), max_tokens).alias("tokens"))
+    rows = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
+    if stemmed:
+        rows = rows.withColumn("term", stems(F.col("term")))
+    shares = rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
     weighted = document_weights(feedback).join(shares, "doc_id")
     return weighted.groupBy("qid", "term").agg(F.sum(F.col("doc_weight") * F.col("tf") / F.col("n")).alias("weight"))
 
@@ -68,12 +72,12 @@ def without_query_terms(model: DataFrame, query_terms: DataFrame) -> DataFrame:
 
 
 def rm1(index: Index, docs: DataFrame, query_terms: DataFrame, feedback_docs: int = FEEDBACK_DOCS, k: int = TERMS, drop_query_terms: bool = False) -> DataFrame:
-    model = relevance_model(bm25.search(index, query_terms, feedback_docs), docs)
+    model = relevance_model(bm25.search(index, query_terms, feedback_docs), docs, stemmed=index.stemmed)
     return top_terms(without_query_terms(model, query_terms) if drop_query_terms else model, k)
 
 
 def rm3(index: Index, docs: DataFrame, query_terms: DataFrame, feedback_docs: int = FEEDBACK_DOCS, k: int = TERMS) -> DataFrame:
-    return top_terms(with_query_terms(relevance_model(bm25.search(index, query_terms, feedback_docs), docs), query_terms), k)
+    return top_terms(with_query_terms(relevance_model(bm25.search(index, query_terms, feedback_docs), docs, stemmed=index.stemmed), query_terms), k)
 
 
 MODELS: dict[str, Callable[..., DataFrame]] = {"rm1": rm1, "rm3": rm3}
@@ -124,8 +128,7 @@ def simple_expansion(queries: DataFrame, n: int = 5) -> DataFrame:
 
 def frequent_terms(expansion: DataFrame, index: Index, min_docs: int = 2) -> DataFrame:
     """Only terms that occur in at least ``min_docs`` documents of the collection."""
-    df = index.postings.join(expansion.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    return expansion.join(df.filter(F.col("df") >= min_docs), "term")
+    return expansion.join(index.term_stats.filter(F.col("df") >= min_docs).select("term", "df"), "term")
 
 
 def merged(parts: DataFrame, k: int = TERMS) -> DataFrame:

@@ -1,59 +1,126 @@
-"""The inverted index: three tables and two numbers.
+"""The inverted index: ``postings(bucket, term, doc_id, tf, dl)``, ``terms(bucket, term, df, cf)``, ``doc_stats(doc_id, dl)``.
 
-``postings(term, doc_id, tf)``, ``doc_stats(doc_id, dl)``, ``term_stats(term, df, cf)``
-and ``collection(n, avgdl)``. Written, postings are range-partitioned and sorted by
-term, so that a search reads only the row groups of its terms (min/max statistics),
-and a very frequent term is spread over several files because doc_id is part of the key.
+A document is tokenised once and its terms are counted within its own row, so building
+shuffles postings only to sort them. Written, postings lie in a folder for each bucket (a
+hash of the term), sorted by term and document: a search reads only the folders of its
+terms, and in them the row groups whose range holds them. A very frequent term is spread
+over several files because doc_id is part of the sort key. Postings carry the document's
+length, and the terms their document frequency, so scoring reads the postings once.
+
+The analyser leaves out stop words; stemming is an option, and an index remembers which
+analyser it was built with, so that queries take the same.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.functions.stem import stems
+from termloom.sources import shared
+
+#: Folders of an index. An index of 100 TB has files of some 256 MB with 65,536 of them.
+BUCKETS = 64
+
+
+def bucket_of(term: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass
 class Index:
     postings: DataFrame
     doc_stats: DataFrame
+    terms: DataFrame | None = None
+    buckets: int = 0  #: of the folders; 0 where postings have none
+    stemmed: bool = False
 
     @property
     def term_stats(self) -> DataFrame:
+        if self.terms is not None:
+            return self.terms.select("term", "df", "cf")
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     @property
     def collection(self) -> DataFrame:
         return self.doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
-    def of_terms(self, terms: DataFrame) -> DataFrame:
-        """Postings of some terms with df and dl: (term, doc_id, tf, df, dl). The terms prune before anything else is joined."""
-        own = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        df = own.groupBy("term").agg(F.count("*").alias("df"))
-        return own.join(df, "term").join(self.doc_stats, "doc_id")
-
+    def query_terms(self, queries: DataFrame, key: str = "qid", text_col: str = "text") -> DataFrame:
+        """(key, pos, term) of the queries by the index's own analyser."""
+        rows = T.token_rows(queries, key, text_col, analyze=True)
+        return rows.withColumn("term", stems(F.col("term"))) if self.stemmed else rows
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None) -> Index:
-    """Tokenise once per table; counting is combined within each partition before the shuffle."""
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """Postings of some terms with df and dl: (term, doc_id, tf, df, dl).
+
+        Where postings lie in folders, those of the terms are named in the plan: at most
+        as many numbers as there are folders come to the driver.
+        """
+        asked = terms.select("term").distinct()
+        if not self.buckets:
+            own = self.postings.join(asked, "term", "left_semi")
+            df = own.groupBy("term").agg(F.count("*").alias("df"))
+            return own.join(df, "term").select("term", "doc_id", "tf", "df", "dl")
+        asked = asked.withColumn("bucket", bucket_of("term", self.buckets))
+        wanted = [r[0] for r in asked.select("bucket").distinct().collect() if r[0] is not None]
+        here = F.col("bucket").isin(wanted) if len(wanted) < self.buckets else F.lit(True)
+        found = self.terms.filter(here).join(asked, ["bucket", "term"]).select("bucket", "term", "df")
+        return self.postings.filter(here).join(found, ["bucket", "term"]).select("term", "doc_id", "tf", "df", "dl")
+
+
+def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS) -> DataFrame:
+    """(doc_id, dl, counts): the terms of each document, counted in its row. A null text is no document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     if max_docs is not None:
         rows = rows.orderBy("doc_id").limit(max_docs)
-    tokenised = rows.select("doc_id", T.tokens(F.col("text")).alias("tokens"))
-    postings = tokenised.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return Index(postings, tokenised.select("doc_id", F.size("tokens").cast("long").alias("dl")))
+    found = rows.select("doc_id", T.analyzed(F.col("text"), stopwords).alias("tokens"))
+    return found.select("doc_id", F.size("tokens").cast("long").alias("dl"), T.counted(F.col("tokens")).alias("counts"))
+
 
+def _of_forward(documents: DataFrame, stemmed: bool) -> Index:
+    postings = documents.select("doc_id", "dl", F.inline("counts")).select("term", "doc_id", "tf", "dl")
+    if stemmed:
+        postings = postings.withColumn("term", stems(F.col("term"))).groupBy("term", "doc_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "dl")
+    return Index(postings, documents.select("doc_id", "dl"), stemmed=stemmed)
 
-def write_index(index: Index, path: str) -> None:
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS, stemmed: bool = False) -> Index:
+    """An index that is not written: its tables are computed when they are used."""
+    return _of_forward(forward(docs, id_col, text_col, max_docs, stopwords), stemmed)
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS, stemmed: bool = False, buckets: int = BUCKETS) -> Index:
+    """Build and write an index and open it. Texts are read once; the sort reads the counted terms."""
+    spark = docs.sparkSession
+    documents, scratch = shared.materialize(forward(docs, id_col, text_col, max_docs, stopwords), "forward")
+    built = _of_forward(documents, stemmed)
+    built.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    placed = built.postings.withColumn("bucket", bucket_of("term", buckets))
+    order = ["bucket", "term", "doc_id"]
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    written = spark.read.parquet(f"{path}/postings")
+    terms = written.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    settings = spark.range(1, numPartitions=1).select(F.lit(buckets).alias("buckets"), F.lit(stemmed).alias("stemmed"))
+    settings.write.mode("overwrite").parquet(f"{path}/settings")
+    shared.drop_path(spark, scratch)
+    return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """Raises Spark's own error if there is no index at ``path``."""
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
+    settings = spark.read.parquet(f"{path}/settings").first()
+    part = "bucket int"
+    postings = spark.read.schema(f"term string, doc_id {_id_type(spark, path)}, tf long, dl long, {part}").parquet(f"{path}/postings")
+    terms = spark.read.schema(f"term string, df long, cf long, {part}").parquet(f"{path}/terms")
+    return Index(postings, spark.read.parquet(f"{path}/doc_stats"), terms, settings["buckets"], settings["stemmed"])
+
+
+def _id_type(spark: SparkSession, path: str) -> str:
+    return spark.read.parquet(f"{path}/doc_stats").schema["doc_id"].dataType.simpleString()
 
 
 def index_name(collection: str, model: str) -> str:
@@ -67,6 +134,14 @@ def index_statistics(index: Index) -> DataFrame:
     return docs.crossJoin(terms)  # one row each
 
 
+def index_settings(spark: SparkSession, path: str, k1: float, b: float) -> DataFrame:
+    """One row: size_mb of the files, folders, whether terms are stemmed, and the scoring parameters k1 and b."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    own = spark.read.parquet(f"{path}/settings")
+    return own.select(F.lit(round(size / 2**20, 3)).alias("size_mb"), "buckets", "stemmed", F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
+
+
 def validate_index(index: Index) -> DataFrame:
     """One row: documents there, token counts agree, no null or empty terms."""
     bad = F.sum((F.col("term").isNull() | (F.col("term") == "")).cast("long"))

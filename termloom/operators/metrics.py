@@ -90,6 +90,23 @@ def per_query(run: DataFrame, qrels: DataFrame, keys: list[str] | None = None, c
     return g.select(*keys, *out)
 
 
+def ndcg_cut(run: DataFrame, qrels: DataFrame, keys: list[str], k: int, top_k: int | None = None) -> DataFrame:
+    """(keys..., ndcg_cut_k) alone: only the k first of a query pass on, so many runs cost little.
+
+    ``top_k`` is the depth of the run, which is ranked by scores of nine decimals.
+    """
+    evaluated = run.join(qrels.select("qid").distinct(), "qid", "left_semi")
+    if top_k is not None:
+        depth = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), "doc_id")
+        evaluated = evaluated.withColumn("depth_", F.row_number().over(depth)).filter(F.col("depth_") <= top_k).drop("depth_")
+    order = Window.partitionBy(*keys).orderBy(F.round("score", 6).desc(), F.col("doc_id").cast("string").desc())
+    first = evaluated.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    rows = first.join(qrels.select("qid", "doc_id", "rel"), ["qid", "doc_id"], "left")
+    gain = F.when(F.col("rel") > 0, F.col("rel")).otherwise(0) / F.log2(F.col("rank") + 1.0)
+    sums = rows.groupBy(*keys).agg(F.sum(gain).alias("dcg"))
+    return sums.join(ideal(qrels, (k,)).select("qid", f"ideal_{k}"), "qid").select(*keys, _over(F.col("dcg"), F.col(f"ideal_{k}")).alias(f"ndcg_cut_{k}"))
+
+
 def supported(cuts: tuple[int, ...] = CUTS) -> list[str]:
     names = ["num_ret", "num_rel", "num_rel_ret", "map", "gm_map", "recip_rank", "ndcg", "Rprec", "bpref", "set_P", "set_recall", "set_F", "11pt_avg"]
     return names + [f"{m}_{k}" for k in cuts for m in ("P", "recall", "ndcg_cut", "map_cut", "success")] + [f"iprec_at_recall_{x:.2f}".replace(".", "_") for x in LEVELS]

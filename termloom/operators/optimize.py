@@ -1,9 +1,10 @@
 """Finding weights: grid, random and quasi-Newton search over a black-box objective.
 
-The retrieval objective is a plan over a *frame of weights*: similarities are computed
-once and each weight vector is a weighted sum of them, so a whole grid or sample is one
-job. The quasi-Newton search runs on the driver and asks for one batch of points
-(a point and its neighbours) a step.
+The retrieval objective is a plan over a *frame of weights*: the parts of a score
+(``rerank.score_parts``) are computed once and each weight vector is a weighted sum of
+them, so a whole grid or sample is one job. The quasi-Newton search runs on the driver
+and asks for the objective at a batch of points, a point's neighbours or the lengths of a
+step, which is one job, too.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
-from termloom.operators import importance, metrics, rerank
+from termloom.operators import metrics
 
 Weights = tuple[float, float, float]
 Objective = Callable[[Weights], float]
+BatchObjective = Callable[[Sequence[Weights]], list[float]]
 
 
 def weights_frame(spark: SparkSession, points: Sequence[Weights]) -> DataFrame:
@@ -46,37 +48,39 @@ class Sampler:
         return [tuple(map(float, p)) for p in self.random.uniform(low, high, (n, len(self.bounds)))]
 
 
-def objective_scores(features: DataFrame, weights: DataFrame, candidates: DataFrame, query_terms: DataFrame, similarities: DataFrame, qrels: DataFrame, metric: str = "ndcg_cut_10", top_k: int = 1000, groups: DataFrame | None = None) -> DataFrame:
+def objective_scores(parts: DataFrame, weights: DataFrame, qrels: DataFrame, metric: str = "ndcg_cut_10", top_k: int | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(weights_id, alpha, beta, gamma, [group,] score) of every row of ``weights`` in one job.
 
-    Importance is positive for positive weights, so the vectors are those of all features
-    and a document's score is the query's own part plus importance times similarity.
-    ``groups`` (qid, group) splits the mean by group.
+    ``parts`` are those of ``rerank.score_parts``, a row a query and candidate; the weights
+    are few numbers and go to every task. ``groups`` (qid, group) splits the mean by group.
     """
-    sims = candidates.select("qid", "doc_id", F.col("score").alias("first_score")).join(similarities, ["qid", "doc_id"])
-    own = query_terms.select("qid", "pos", "term").join(sims, ["qid", "term"])
-    first = Window.partitionBy("qid", "doc_id").orderBy("pos")
-    own = own.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= rerank.MAX_VECTORS // 2)
-    base = own.groupBy("qid", "doc_id").agg(F.sum("similarity").alias("base"), F.count("*").alias("n_own"))
-    rows = sims.join(features, ["qid", "term"]).crossJoin(F.broadcast(weights)).withColumn("importance", importance.combined()).filter("importance > 0")
-    order = Window.partitionBy("weights_id", "qid", "doc_id").orderBy("rank", "term")
-    placed = rows.withColumn("i", F.row_number().over(order)).join(base, ["qid", "doc_id"], "left")
-    kept = placed.filter(F.col("i") + F.coalesce("n_own", F.lit(0)) <= rerank.MAX_VECTORS)
-    added = kept.groupBy("weights_id", "qid", "doc_id").agg(F.sum(F.col("importance") * F.col("similarity")).alias("added"))
-    every = candidates.select("qid", "doc_id", F.col("score").alias("first_score")).crossJoin(F.broadcast(weights.select("weights_id")))
-    joined = every.join(base, ["qid", "doc_id"], "left").join(added, ["weights_id", "qid", "doc_id"], "left")
-    new = F.coalesce("base", F.lit(0.0)) + F.coalesce("added", F.lit(0.0))
-    runs = joined.withColumn("score", F.when(F.col("base").isNull() & F.col("added").isNull(), F.col("first_score")).otherwise(new))
+    sums = sum((F.col(w) * F.col(f) for w, f in (("beta", "bm25_score"), ("gamma", "semantic_score"))), F.col("alpha") * F.col("rm_weight"))
+    runs = parts.crossJoin(F.broadcast(weights)).withColumn("score", F.coalesce(F.col("base") + sums, F.col("first_score")))
     cuts = tuple(int(x) for x in [metric.rsplit("_", 1)[-1]] if x.isdigit()) or (10,)
-    order = Window.partitionBy("weights_id", "qid").orderBy(F.round("score", 9).desc(), "doc_id")
-    top = runs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    by_query = metrics.per_query(top.select("weights_id", "qid", "doc_id", "score"), qrels, ["weights_id", "qid"], cuts)
+    if metric == f"ndcg_cut_{cuts[0]}":
+        by_query = metrics.ndcg_cut(runs.select("weights_id", "qid", "doc_id", "score"), qrels, ["weights_id", "qid"], cuts[0], top_k)
+    else:
+        if top_k is not None:
+            order = Window.partitionBy("weights_id", "qid").orderBy(F.round("score", 9).desc(), "doc_id")
+            runs = runs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+        by_query = metrics.per_query(runs.select("weights_id", "qid", "doc_id", "score"), qrels, ["weights_id", "qid"], cuts)
     keys = ["weights_id"]
     if groups is not None:
         by_query, keys = by_query.join(groups, "qid"), ["weights_id", "group"]
     return by_query.groupBy(*keys).agg(N.rounded(F.avg(metric), 9).alias("score")).join(F.broadcast(weights), "weights_id")
 
 
+def batch_objective(parts: DataFrame, qrels: DataFrame, metric: str = "ndcg_cut_10") -> BatchObjective:
+    """The objective as a function of a list of points, a job each call."""
+    spark = parts.sparkSession
+
+    def values(points: Sequence[Weights]) -> list[float]:
+        found = {r["weights_id"]: r["score"] for r in objective_scores(parts, weights_frame(spark, points), qrels, metric).collect()}  # a number a point
+        return [float(found.get(i, float("-inf"))) for i in range(len(points))]
+
+    return values
+
+
 def best_of(scores: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """The best row (of each group); of equals the first."""
     groups = groups or []
@@ -156,27 +160,45 @@ class LimitedMemoryBFGS:
     start: Weights = (1.0, 1.0, 1.0)
 
     def optimize_weights(self, objective: Objective, start: Weights | None = None) -> Result:
+        return self.optimize_batches(lambda points: [_safe(objective, p) for p in points], start)
+
+    def optimize_batches(self, objective: BatchObjective, start: Weights | None = None) -> Result:
+        """The search over an objective of lists of points; each list is asked for at once."""
         low, high = np.array(self.bounds, float).T
         x = np.clip(np.array(start or self.start, float), low, high)
         history: list[tuple[Weights, float]] = []
+        known: dict[Weights, float] = {}
+
+        def ask(points: list[np.ndarray]) -> list[float]:
+            keys = [tuple(map(float, p)) for p in points]
+            if new := [p for p in dict.fromkeys(keys) if p not in known]:
+                known.update(zip(new, objective(new), strict=True))
+                history.extend((p, known[p]) for p in new)
+            return [known[p] for p in keys]
 
-        def value(p: np.ndarray) -> float:
-            point = tuple(map(float, p))
-            history.append((point, _safe(objective, point)))
-            return history[-1][1]
+        def around(p: np.ndarray) -> list[np.ndarray]:
+            out = []
+            for i in range(len(p)):
+                for sign in (1, -1):
+                    q = p.copy()
+                    q[i] = np.clip(p[i] + sign * self.step, low[i], high[i])
+                    out.append(q)
+            return out
 
         def gradient(p: np.ndarray) -> np.ndarray:
+            points = around(p)
+            values = ask(points)
             out = np.zeros(len(p))
             for i in range(len(p)):
-                up, down = p.copy(), p.copy()
-                up[i], down[i] = min(high[i], p[i] + self.step), max(low[i], p[i] - self.step)
-                if up[i] > down[i]:
-                    a, b = value(up), value(down)
-                    out[i] = (a - b) / (up[i] - down[i]) if np.isfinite(a) and np.isfinite(b) else 0.0
+                width = points[2 * i][i] - points[2 * i + 1][i]
+                up, down = values[2 * i], values[2 * i + 1]
+                if width > 0 and np.isfinite(up) and np.isfinite(down):
+                    out[i] = (up - down) / width
             return out
 
+        ask([x, *around(x)])
         inverse = np.eye(len(x))
-        best, g = value(x), gradient(x)
+        best, g = ask([x])[0], gradient(x)
         for _ in range(self.max_iterations):
             free = ~(((x <= low) & (g < 0)) | ((x >= high) & (g > 0)))
             direction = np.where(free, inverse @ np.where(free, g, 0), 0)
@@ -184,15 +206,12 @@ class LimitedMemoryBFGS:
                 inverse, direction = np.eye(len(x)), np.where(free, g, 0)
             if np.abs(direction).max(initial=0) < 1e-12:
                 break
-            t, new, new_value = 1.0, x, best
-            while t > 1e-4:
-                new = np.clip(x + t * direction, low, high)
-                new_value = value(new)
-                if new_value > best:
-                    break
-                t /= 2
-            if new_value <= best:
+            line = [np.clip(x + 0.5**k * direction, low, high) for k in range(14)]
+            values = ask(line)
+            at = next((k for k, v in enumerate(values) if v > best), None)
+            if at is None:
                 break
+            new, new_value = line[at], values[at]
             s, gain = new - x, new_value - best
             new_g = gradient(new)
             y = g - new_g
@@ -204,10 +223,10 @@ class LimitedMemoryBFGS:
                 break
         size = 10 * self.step
         while size >= self.step:
-            around = [np.clip(x + size * np.array(d), low, high) for d in product((-1, 0, 1), repeat=len(x)) if any(d)]
-            values = [value(p) for p in around]
+            near = [np.clip(x + size * np.array(d), low, high) for d in product((-1, 0, 1), repeat=len(x)) if any(d)]
+            values = ask(near)
             if max(values) > best:
-                best, x = max(values), around[int(np.argmax(values))]
+                best, x = max(values), near[int(np.argmax(values))]
             else:
                 size /= 2
         return Result(tuple(map(float, x)), best, len(history), history)

@@ -99,6 +99,30 @@ def scores(vectors: DataFrame, similarities: DataFrame, keys: list[str] | None =
     return joined.groupBy(*keys, "doc_id").agg(F.sum(F.col("weight") * F.col("similarity")).alias("score"))
 
 
+def score_parts(candidates: DataFrame, query_tokens: DataFrame, features: DataFrame, similarities: DataFrame, max_vectors: int = MAX_VECTORS) -> DataFrame:
+    """(qid, doc_id, first_score, base, rm_weight, bm25_score, semantic_score) of the candidates.
+
+    A score is ``base`` plus the weights times the three sums, for all weights not below 0:
+    importance is linear in them, and terms whose importance is 0 add nothing. The first
+    half of the vectors is the query's, so that many terms always have a place; features
+    beyond them raise, as which of these have one depends on the weights.
+    """
+    sims = candidates.select("qid", "doc_id").join(similarities, ["qid", "doc_id"])
+    half = max_vectors // 2
+    own = query_tokens.select("qid", "pos", "term").join(sims, ["qid", "term"])
+    first = Window.partitionBy("qid", "doc_id").orderBy("pos")
+    base = own.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= half).groupBy("qid", "doc_id").agg(F.sum("similarity").alias("base"))
+    beyond = F.raise_error(F.lit(f"a query has more than {half} expansion terms"))
+    names = ("rm_weight", "bm25_score", "semantic_score")
+    values = (F.sum(F.coalesce(n, F.lit(0.0)) * F.col("similarity")).alias(n) for n in names)
+    sums = sims.join(features, ["qid", "term"]).groupBy("qid", "doc_id").agg(*values, F.count("*").alias("n_terms"))
+    sums = sums.withColumn("base_", F.when(F.col("n_terms") > half, beyond.cast("double")).otherwise(F.lit(0.0)))
+    joined = candidates.select("qid", "doc_id", F.col("score").alias("first_score")).join(base, ["qid", "doc_id"], "left").join(sums, ["qid", "doc_id"], "left")
+    known = F.col("base").isNotNull() | F.col("base_").isNotNull()
+    total = F.when(known, F.coalesce("base", F.lit(0.0)) + F.coalesce("base_", F.lit(0.0)))
+    return joined.select("qid", "doc_id", "first_score", total.alias("base"), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
+
+
 def rerank(candidates: DataFrame, query_terms: DataFrame, importance: DataFrame, docs: DataFrame, encoder: Encoder, top_k: int = 100, keys: list[str] | None = None, similarities: DataFrame | None = None) -> DataFrame:
     """(keys..., rank, doc_id, score) of the candidates (qid, doc_id, score).
 

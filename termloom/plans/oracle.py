@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 
 from termloom.functions.text import STOPWORDS
+from termloom.operators import optimize
 from termloom.operators.metrics import LEVELS
 from termloom.plans.workload import WEIGHTS
 
 A, B, G = WEIGHTS
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_STOP = ", ".join(repr(x) for x in STOPWORDS)
+_ANALYZED = f"list_filter({_TOKENS}, lambda x: x NOT IN ({_STOP}))"
 _BM25 = "ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + {k1}::DOUBLE * (1.0::DOUBLE - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl))"
 _SLOT = "(('0x' || substr(md5(term), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings))"
 
@@ -40,12 +43,12 @@ _ABLATION = [
     ("bm25_semantic", 0, B, G, 0),
     ("our_method", A, B, G, 0),
 ]
-_GRID = [(x, y, z) for x in (0.1, 1.55, 3.0) for y in (0.1, 1.55, 3.0) for z in (0.1, 1.55, 3.0)]
+_GRID, _SAMPLES = optimize.grid(), optimize.Sampler(((0.1, 5.0),) * 3, 42).points(1000)
 _SENSITIVITY = [(1, 1, 1), (2, 1, 1), (1, 2, 1), (1, 1, 2), (0.1, 1, 1), (1, 0.1, 1), (1, 1, 0.1)]
 
 
 def _points(points: list) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE)" for i, (a, b, g) in enumerate(points)) + ") v(weights_id, alpha, beta, gamma)"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {g!r}::DOUBLE)" for i, (a, b, g) in enumerate(points)) + ") v(weights_id, alpha, beta, gamma)"
 
 
 def _evaluated(source: str, keys: str) -> str:
@@ -81,15 +84,26 @@ def _evaluated(source: str, keys: str) -> str:
   )"""
 
 
+def _ndcg(points: str) -> str:
+    """(weights_id, qid, ndcg_cut_10) of the candidates under every row of a table of weights."""
+    return f"""SELECT weights_id, qid, CASE WHEN any_value(ideal_10) > 0 THEN sum(greatest(coalesce(rel, 0), 0) / log2(rank + 1.0::DOUBLE)) / any_value(ideal_10) ELSE 0 END AS ndcg_cut_10 FROM (
+        SELECT weights_id, qid, doc_id, row_number() OVER (PARTITION BY weights_id, qid ORDER BY round(score, 6) DESC, doc_id::VARCHAR DESC) AS rank FROM (
+          SELECT weights_id, qid, doc_id, base + alpha * pr + beta * pb + gamma * ps AS score FROM parts JOIN ideal USING (qid) CROSS JOIN {points}) QUALIFY rank <= 10)
+        JOIN ideal USING (qid) LEFT JOIN qrels USING (qid, doc_id) GROUP BY weights_id, qid"""
+
+
 CTES: dict[str, str] = {
-    "docs_tok": f"SELECT doc_id, text, {_TOKENS} AS toks FROM documents WHERE text IS NOT NULL",
+    "docs_tok": f"SELECT doc_id, text, {_ANALYZED} AS toks FROM documents WHERE text IS NOT NULL",
+    "docs_raw": f"SELECT doc_id, {_TOKENS} AS toks FROM documents WHERE text IS NOT NULL",
     "doc_stats": "SELECT doc_id, len(toks)::BIGINT AS dl FROM docs_tok",
     "postings": "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM docs_tok) GROUP BY ALL",
     "term_stats": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term",
     "coll": "SELECT count(*) AS n, avg(dl) AS avgdl FROM doc_stats",
-    "query_toks": f"SELECT item_id AS qid, list_slice({_TOKENS}, 1, 8) AS toks FROM benchmark",
+    "query_toks": f"SELECT item_id AS qid, {_ANALYZED} AS toks FROM benchmark",
+    "query_raw": f"SELECT item_id AS qid, {_TOKENS} AS toks FROM benchmark",
+    "query_tokens": "SELECT qid, i AS pos, toks[i + 1] AS term FROM (SELECT qid, toks, unnest(range(len(toks))) AS i FROM query_raw)",
     "query_terms": "SELECT qid, i AS pos, toks[i + 1] AS term FROM (SELECT qid, toks, unnest(range(len(toks))) AS i FROM query_toks)",
-    "wide": "SELECT p.term, p.doc_id, tf, df, dl, n, avgdl FROM postings p JOIN term_stats t ON p.term = t.term JOIN doc_stats d ON p.doc_id = d.doc_id CROSS JOIN coll",
+    "wide": "SELECT p.term, p.doc_id, tf, df, dl, n, avgdl FROM postings p JOIN term_stats t ON p.term = t.term JOIN doc_stats d ON p.doc_id = d.doc_id CROSS JOIN coll WHERE p.term IN (SELECT term FROM query_terms)",
     "term_scores": f"SELECT term, doc_id, {_BM25.format(k1=1.2, b=0.75)} AS score FROM wide",
     "summed": "SELECT qid, doc_id, sum(score) AS score FROM query_terms JOIN term_scores USING (term) GROUP BY ALL",
     "ranked": f"SELECT qid, doc_id, score, {best('qid')} AS rank FROM summed",
@@ -98,11 +112,10 @@ CTES: dict[str, str] = {
     "top100": "SELECT * FROM ranked WHERE rank <= 100",
     "short100": f"SELECT * FROM (SELECT *, {best('qid')} AS rank FROM (SELECT qid, doc_id, sum({_BM25.format(k1=0.9, b=0.4)}) AS score FROM query_terms JOIN wide USING (term) GROUP BY ALL)) WHERE rank <= 100",
     "qrels": """SELECT qid, doc_id, CASE WHEN phrase THEN 2 ELSE 1 END AS rel FROM (
-        SELECT q.qid, p.doc_id, shared, wanted, shared = wanted AND contains(' ' || array_to_string(d.toks, ' ') || ' ', ' ' || array_to_string(k.toks, ' ') || ' ') AS phrase
+        SELECT q.qid, p.doc_id, shared = wanted AND contains(' ' || array_to_string(d.toks, ' ') || ' ', ' ' || array_to_string(k.toks, ' ') || ' ') AS phrase
         FROM (SELECT qid, doc_id, count(*) AS shared FROM (SELECT DISTINCT qid, term FROM query_terms) JOIN postings USING (term) GROUP BY ALL) p
-        JOIN (SELECT qid, count(DISTINCT term) AS wanted FROM query_terms GROUP BY qid) q ON p.qid = q.qid
-        JOIN docs_tok d ON p.doc_id = d.doc_id JOIN query_toks k ON k.qid = p.qid WHERE shared >= 6 OR shared = wanted
-      ) WHERE phrase OR shared >= 6""",
+        JOIN (SELECT qid, count(DISTINCT term) AS wanted FROM query_terms GROUP BY qid) q ON p.qid = q.qid AND 4 * shared >= 3 * wanted
+        JOIN docs_tok d ON p.doc_id = d.doc_id JOIN query_toks k ON k.qid = p.qid)""",
     "ideal": "SELECT qid, sum((rel >= 1)::INT) AS n_rel, sum((rel < 1)::INT) AS n_nonrel, sum(g) AS ideal, "
     + ", ".join(f"sum(CASE WHEN place <= {k} THEN g ELSE 0 END) AS ideal_{k}" for k in (1, 5, 10, 100))
     + " FROM (SELECT qid, rel, place, greatest(rel, 0) / log2(place + 1.0::DOUBLE) AS g FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS place FROM qrels)) GROUP BY qid",
@@ -111,19 +124,27 @@ CTES: dict[str, str] = {
     "rm": "SELECT qid, term, sum(doc_weight * tf / n) AS weight FROM weights10 JOIN shares USING (doc_id) GROUP BY ALL",
     "rm3": "SELECT qid, term, sum(weight) AS weight FROM (SELECT * FROM rm UNION ALL SELECT DISTINCT qid, term, 1.0::DOUBLE FROM query_terms) GROUP BY ALL",
     "expansion": f"SELECT * FROM (SELECT *, {best('qid', 'weight', 'term')} AS rank FROM rm3) WHERE rank <= 15",
-    "coll_scores": f"SELECT term, avg(score) AS score FROM (SELECT *, {best('term')} AS i FROM term_scores) WHERE i <= 10 GROUP BY term",
-    "every_term": "SELECT term FROM term_stats UNION SELECT term FROM query_terms",
-    "term_vecs": f"SELECT term, embedding::DOUBLE[] AS vec FROM every_term JOIN embeddings ON vec_id = {_SLOT}",
-    "query_vecs": "SELECT qid, list(s ORDER BY d) AS vec FROM (SELECT qid, d, sum(x) AS s FROM (SELECT qid, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM query_terms JOIN term_vecs USING (term)) GROUP BY ALL) GROUP BY qid",
-    "semantic": "SELECT e.qid, e.term, greatest(0.0::DOUBLE, list_inner_product(q.vec, t.vec) / (sqrt(list_inner_product(q.vec, q.vec)) * sqrt(list_inner_product(t.vec, t.vec)))) AS similarity FROM expansion e JOIN term_vecs t ON e.term = t.term JOIN query_vecs q ON e.qid = q.qid",
+    "own_terms": "SELECT term FROM query_tokens UNION SELECT term FROM expansion",
+    "own_scores": f"SELECT term, doc_id, {_BM25.format(k1=1.2, b=0.75)} AS score FROM (SELECT p.term, p.doc_id, tf, df, dl, n, avgdl FROM postings p JOIN own_terms USING (term) JOIN term_stats t ON p.term = t.term JOIN doc_stats d ON p.doc_id = d.doc_id CROSS JOIN coll)",
+    "coll_scores": f"SELECT term, avg(score) AS score FROM (SELECT *, {best('term')} AS i FROM own_scores) WHERE i <= 10 GROUP BY term",
+    "own_vecs": f"SELECT term, embedding::DOUBLE[] AS vec FROM own_terms JOIN embeddings ON vec_id = {_SLOT}",
+    "query_term_vecs": f"SELECT term, embedding::DOUBLE[] AS vec FROM (SELECT DISTINCT term FROM query_tokens) JOIN embeddings ON vec_id = {_SLOT}",
+    "query_vecs": "SELECT qid, list(s ORDER BY d) AS vec FROM (SELECT qid, d, sum(vec[d]) AS s FROM query_tokens JOIN query_term_vecs USING (term) CROSS JOIN (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL) GROUP BY qid",
+    "semantic": "SELECT e.qid, e.term, greatest(0.0::DOUBLE, list_inner_product(q.vec, t.vec) / (sqrt(list_inner_product(q.vec, q.vec)) * sqrt(list_inner_product(t.vec, t.vec)))) AS similarity FROM expansion e JOIN own_vecs t ON e.term = t.term JOIN query_vecs q ON e.qid = q.qid",
     "features": "SELECT e.qid, e.rank, e.term, e.weight AS rm_weight, coalesce(c.score, 0) AS bm25_score, coalesce(s.similarity, 0) AS semantic_score FROM expansion e LEFT JOIN coll_scores c ON e.term = c.term LEFT JOIN semantic s ON e.qid = s.qid AND e.term = s.term",
-    "doc_vec_terms": "SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_tok WHERE doc_id IN (SELECT doc_id FROM top20))",
-    "wanted_terms": "SELECT DISTINCT qid, term FROM (SELECT qid, term FROM query_terms UNION ALL SELECT qid, term FROM expansion)",
-    "sims": "SELECT c.qid, c.doc_id, w.term, max(list_inner_product(t.vec, v.vec)) AS similarity FROM top20 c JOIN wanted_terms w ON c.qid = w.qid JOIN term_vecs t ON w.term = t.term JOIN doc_vec_terms d ON c.doc_id = d.doc_id JOIN term_vecs v ON d.term = v.term GROUP BY ALL",
+    "doc_vec_terms": "SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM top20))",
+    "wanted_terms": "SELECT DISTINCT qid, term FROM (SELECT qid, term FROM query_tokens UNION ALL SELECT qid, term FROM expansion)",
+    "doc_slots": f"SELECT DISTINCT doc_id, {_SLOT} AS slot FROM doc_vec_terms",
+    "own_slots": f"SELECT qid, term, {_SLOT} AS slot FROM wanted_terms",
+    "dots": "SELECT a.vec_id AS x, b.vec_id AS y, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot FROM embeddings a JOIN (SELECT DISTINCT slot FROM own_slots) s ON a.vec_id = s.slot CROSS JOIN (SELECT e.* FROM embeddings e JOIN (SELECT DISTINCT slot FROM doc_slots) d ON e.vec_id = d.slot) b",
+    "pair_dots": "SELECT d.doc_id, x AS slot, max(dot) AS similarity FROM doc_slots d JOIN dots ON y = d.slot GROUP BY ALL",
+    "sims": "SELECT c.qid, c.doc_id, w.term, similarity FROM top20 c JOIN own_slots w ON c.qid = w.qid JOIN pair_dots p ON p.doc_id = c.doc_id AND p.slot = w.slot",
+    "doc_vecs": f"SELECT term, embedding::DOUBLE[] AS vec FROM (SELECT DISTINCT term FROM doc_vec_terms) JOIN embeddings ON vec_id = {_SLOT}",
     "abl_weights": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE, {c}::DOUBLE)" for m, a, b, g, c in _ABLATION) + ") v(model, alpha, beta, gamma, constant)",
     "abl": "SELECT model, qid, rank, term, alpha * rm_weight + beta * bm25_score + gamma * semantic_score + constant AS importance FROM features CROSS JOIN abl_weights",
     "imp": f"SELECT *, {A}::DOUBLE * rm_weight + {B}::DOUBLE * bm25_score + {G}::DOUBLE * semantic_score AS importance FROM features",
-    "base": "SELECT qid, doc_id, sum(similarity) AS base FROM query_terms JOIN sims USING (qid, term) GROUP BY ALL",
+    "base": "SELECT qid, doc_id, sum(similarity) AS base FROM query_tokens JOIN sims USING (qid, term) WHERE pos < 32 GROUP BY ALL",
+    "parts": "SELECT qid, doc_id, base, sum(rm_weight * similarity) AS pr, sum(bm25_score * similarity) AS pb, sum(semantic_score * similarity) AS ps FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) GROUP BY qid, doc_id, base",
     "reranked": f"SELECT qid, doc_id, score, {best('qid')} AS rank FROM (SELECT qid, doc_id, base + sum(importance * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN imp USING (qid, term) WHERE importance > 0 GROUP BY qid, doc_id, base)",
     "runs": "SELECT 'bm25' AS run_name, qid, rank, doc_id, score FROM top100 UNION ALL SELECT 'bm25_short', qid, rank, doc_id, score FROM short100 UNION ALL SELECT 'reranked', qid, rank, doc_id, score FROM reranked",
     "runs_eval": _evaluated("SELECT run_name, qid, doc_id, score FROM runs", "run_name, qid"),
@@ -133,19 +154,21 @@ CTES: dict[str, str] = {
     "runs_long": "SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10, avg(ndcg_cut_100) AS ndcg_cut_100, avg(recip_rank) AS recip_rank, avg(recall_100) AS recall_100, avg(\"P_10\") AS \"P_10\", 0.0::DOUBLE AS no_such_metric FROM runs_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10, ndcg_cut_100, recip_rank, recall_100, \"P_10\", no_such_metric))",
     "abl_runs": "SELECT model AS run_name, qid, doc_id, sum(score) AS score FROM (SELECT model, b.qid, doc_id, base AS score FROM base b CROSS JOIN abl_weights UNION ALL SELECT model, s.qid, s.doc_id, importance * similarity FROM abl JOIN sims s USING (qid, term) WHERE importance > 0) GROUP BY ALL UNION ALL SELECT 'first_stage', qid, doc_id, score FROM top20",
     "abl_eval": _evaluated("SELECT * FROM abl_runs", "run_name, qid"),
-    "simple_runs": "SELECT 'uniform_simple' AS run_name, b.qid, b.doc_id, base + sum(similarity) AS score FROM base b JOIN query_terms q ON b.qid = q.qid AND q.pos < 5 JOIN sims s ON s.qid = b.qid AND s.doc_id = b.doc_id AND s.term = q.term GROUP BY b.qid, b.doc_id, base UNION ALL SELECT 'first_stage', qid, doc_id, score FROM top20",
+    "simple_runs": "SELECT 'uniform_simple' AS run_name, b.qid, b.doc_id, base + sum(similarity) AS score FROM base b JOIN query_tokens q ON b.qid = q.qid AND q.pos < 5 JOIN sims s ON s.qid = b.qid AND s.doc_id = b.doc_id AND s.term = q.term GROUP BY b.qid, b.doc_id, base UNION ALL SELECT 'first_stage', qid, doc_id, score FROM top20",
     "simple_eval": _evaluated("SELECT * FROM simple_runs", "run_name, qid"),
     "grid": _points(_GRID),
-    "grid_runs": "SELECT weights_id, qid, doc_id, base + sum((alpha * rm_weight + beta * bm25_score + gamma * semantic_score) * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) CROSS JOIN grid GROUP BY weights_id, qid, doc_id, base",
-    "grid_eval": _evaluated("SELECT * FROM grid_runs", "weights_id, qid"),
+    "grid_eval": _ndcg("grid"),
     "grid_scores": f"SELECT weights_id, any_value(alpha) AS alpha, any_value(beta) AS beta, any_value(gamma) AS gamma, {rnd('avg(ndcg_cut_10)', 9)} AS score FROM grid_eval JOIN grid USING (weights_id) GROUP BY weights_id",
+    "samples": _points(_SAMPLES),
+    "samples_eval": _ndcg("samples"),
     "sens": _points(_SENSITIVITY),
-    "sens_runs": "SELECT weights_id, qid, doc_id, base + sum((alpha * rm_weight + beta * bm25_score + gamma * semantic_score) * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) CROSS JOIN sens GROUP BY weights_id, qid, doc_id, base",
-    "sens_eval": _evaluated("SELECT * FROM sens_runs", "weights_id, qid"),
+    "sens_eval": _ndcg("sens"),
     "folds": "SELECT fold, CASE WHEN fold = item_id % 5 THEN 'testing' ELSE 'training' END AS split, item_id AS qid FROM benchmark CROSS JOIN (SELECT unnest(range(5))::INT AS fold)",
+    "fold_best": f"""SELECT fold, weights_id, score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, weights_id) AS i FROM (
+        SELECT fold, weights_id, {rnd('avg(ndcg_cut_10)', 9)} AS score FROM grid_eval JOIN folds USING (qid) WHERE split = 'training' GROUP BY ALL)) WHERE i = 1""",
     "top_doc": "SELECT qid, doc_id FROM top10 WHERE rank = 1",
     "doc_requests": """SELECT qid, doc_id, term FROM top_doc JOIN (
-        SELECT qid, term FROM query_terms UNION SELECT qid, array_to_string(list_slice(toks, 1, 2), ' ') FROM query_toks UNION SELECT qid, '?' FROM query_toks) USING (qid)""",
+        SELECT qid, term FROM query_tokens UNION SELECT qid, array_to_string(list_slice(toks, 1, 2), ' ') FROM query_raw UNION SELECT qid, '?' FROM query_raw) USING (qid)""",
 }
 
 
@@ -159,7 +182,7 @@ def sql(statement: str) -> str:
                 add(CTES[name])
 
     add(statement)
-    parts = [f"{n} AS (\n{body}\n)" for n, body in CTES.items() if n in need]
+    parts = [f"{n} AS MATERIALIZED (\n{body}\n)" for n, body in CTES.items() if n in need]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + statement
 
 
@@ -189,7 +212,7 @@ def _terms(source: str, k: int = 20) -> str:
 
 _DOC_TERM = f"""SELECT qid, doc_id, term, CASE WHEN count(part) = count(token) THEN coalesce(sum(part), 0) ELSE 0 END AS score FROM (
     SELECT r.qid, r.doc_id, r.term, x.token, s.score AS part FROM doc_requests r
-    LEFT JOIN (SELECT DISTINCT term, unnest(regexp_extract_all(lower(term), '[\\p{{L}}\\p{{N}}]+')) AS token FROM doc_requests) x ON r.term = x.term
+    LEFT JOIN (SELECT DISTINCT term, unnest(list_filter(regexp_extract_all(lower(term), '[\\p{{L}}\\p{{N}}]+'), lambda y: y NOT IN ({_STOP}))) AS token FROM doc_requests) x ON r.term = x.term
     LEFT JOIN term_scores s ON s.term = x.token AND s.doc_id = r.doc_id) GROUP BY ALL"""
 _COMPARED = "SELECT r.run_name, r.metric, {value} AS value, {base} AS baseline_value, {pct} AS improvement_pct, {diff} AS improvement_abs FROM {t} r JOIN (SELECT metric, value AS base FROM {t} WHERE run_name = '{b}') USING (metric) WHERE run_name <> '{b}'"
 
@@ -205,14 +228,14 @@ _STATEMENTS: dict[str, str] = {
     "subword_merge": f"""SELECT key, word_idx, word, (sum(k) OVER (PARTITION BY key ORDER BY word_idx) - k)::BIGINT AS start_pos, (sum(k) OVER (PARTITION BY key ORDER BY word_idx))::BIGINT AS end_pos FROM (
         SELECT key, i::BIGINT AS word_idx, toks[i + 1] AS word, greatest(1, ceil(length(toks[i + 1]) / 4.0))::BIGINT AS k
         FROM (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS key, {_TOKENS} AS toks, unnest(range(len({_TOKENS}))) AS i FROM conversations))""",
-    "collection_scan": "SELECT page_id AS doc_id, url AS text FROM pages WHERE page_id % 3 <> 2",
+    "collection_scan": "SELECT doc_id, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM (SELECT 'd' || doc_id AS doc_id, text FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages) WHERE text <> ''",
     "query_texts": """SELECT p_partkey AS qid, CASE WHEN p_partkey % 3 = 0 AND p_name <> '' THEN p_name
         ELSE concat_ws(' ', CASE WHEN p_partkey % 3 = 1 THEN p_brand END, CASE WHEN p_size > 25 THEN p_type END) END AS text FROM part""",
     "bm25_topk": f"SELECT qid, rank, doc_id, {rnd('score')} AS score FROM top10",
     "bm25_doc_term": f"SELECT qid, doc_id, term, {rnd('score')} AS score FROM ({_DOC_TERM})",
     "bm25_collection_term": f"SELECT q.term, {rnd('coalesce(score, 0)')} AS score FROM (SELECT DISTINCT term FROM query_terms) q LEFT JOIN coll_scores USING (term)",
     "token_scores": f"""SELECT d.qid, d.doc_id, p.pos::BIGINT AS pos, {rnd('s.score')} AS score FROM top_doc d
-        JOIN (SELECT doc_id, unnest(range(least(len(toks), 512))) AS pos, unnest(list_slice(toks, 1, 512)) AS term FROM docs_tok) p ON d.doc_id = p.doc_id
+        JOIN (SELECT doc_id, unnest(range(least(len(toks), 512))) AS pos, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw) p ON d.doc_id = p.doc_id
         JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
     "bm25_param_sweep": f"""SELECT k1, b, qid, rank, doc_id, {rnd('score')} AS score FROM (SELECT *, {best('k1, b, qid')} AS rank FROM (
         SELECT k1, b, qid, doc_id, sum({_BM25.format(k1='k1', b='b')}) AS score FROM query_terms JOIN wide USING (term)
@@ -223,8 +246,8 @@ _STATEMENTS: dict[str, str] = {
     "rm3_filtered": _terms(f"SELECT * FROM rm3 WHERE length(term) BETWEEN 3 AND 12 AND term NOT IN ({', '.join(repr(s) for s in STOPWORDS)})"),
     "expansion_stats": f"SELECT qid, {_describe('weight')} FROM expansion GROUP BY qid",
     "expansion_explain": "SELECT q.qid, array_to_string(q.toks, ' ') AS terms, count(*) AS n_feedback, string_agg(format('{:.4f}', round(score, 4)), ' ' ORDER BY rank) AS scores, bool_or(score < 0) AS log_scores FROM query_toks q JOIN top10 t ON q.qid = t.qid GROUP BY q.qid, q.toks",
-    "simple_expansion": "SELECT qid, pos + 1 AS rank, term, 1.0::DOUBLE AS weight FROM query_terms WHERE pos < 5",
-    "expansion_df_filter": f"SELECT qid, rank, term, {rnd('weight')} AS weight, df FROM expansion JOIN term_stats USING (term) WHERE df >= 5",
+    "simple_expansion": "SELECT qid, pos + 1 AS rank, term, 1.0::DOUBLE AS weight FROM query_tokens WHERE pos < 5",
+    "expansion_df_filter": f"SELECT qid, rank, term, {rnd('weight')} AS weight, df FROM expansion JOIN (SELECT term, count(*) AS df FROM postings JOIN own_terms USING (term) GROUP BY term) USING (term) WHERE df >= 5",
     "expansion_merge": _terms(
         "SELECT qid, term, sum(weight) AS weight FROM ("
         + " UNION ALL ".join(
@@ -239,31 +262,35 @@ _STATEMENTS: dict[str, str] = {
     "dot_pairs": _pairs("list_inner_product(a, b)"),
     "euclidean_pairs": _pairs("list_distance(a, b)"),
     "semantic_term_scores": f"SELECT qid, term, {rnd('similarity')} AS similarity FROM semantic",
-    "similarity_matrix": f"SELECT q.qid, t.term, {rnd('greatest(0, list_inner_product(q.vec, t.vec) / (sqrt(list_inner_product(q.vec, q.vec)) * sqrt(list_inner_product(t.vec, t.vec))))')} AS similarity FROM query_vecs q CROSS JOIN (SELECT DISTINCT term, vec FROM term_vecs WHERE term IN (SELECT term FROM query_terms WHERE pos = 0)) t",
+    "similarity_matrix": f"SELECT q.qid, t.term, {rnd('greatest(0, list_inner_product(q.vec, t.vec) / (sqrt(list_inner_product(q.vec, q.vec)) * sqrt(list_inner_product(t.vec, t.vec))))')} AS similarity FROM query_vecs q CROSS JOIN (SELECT DISTINCT term, vec FROM query_term_vecs WHERE term IN (SELECT term FROM query_tokens WHERE pos = 0)) t",
     "similarity_distribution": f"SELECT qid, {rnd('avg(semantic_score)')} AS mean, {rnd('stddev_pop(semantic_score)')} AS stdev, {rnd('min(semantic_score)')} AS min, {rnd('max(semantic_score)')} AS max, coalesce(string_agg(term, ' ' ORDER BY term) FILTER (semantic_score > 0.3), '') AS high_terms FROM features GROUP BY qid",
     "similarity_quality": f"SELECT {rnd('corr(semantic_score, rm_weight)')} AS pearson, {rnd('avg(semantic_score)')} AS mean_value, {rnd('stddev_pop(semantic_score)')} AS stdev_value, {rnd('avg(rm_weight)')} AS mean_truth, {rnd('stddev_pop(rm_weight)')} AS stdev_truth FROM features",
     "importance_uniform": "SELECT qid, rank, term, 1.0::DOUBLE AS importance FROM expansion",
     "importance_rm_only": f"SELECT qid, rank, term, {rnd('weight')} AS importance FROM expansion",
     "importance_weighted": f"SELECT qid, rank, term, {rnd('importance')} AS importance FROM imp",
     "importance_explain": f"SELECT qid, rank, term, {_columns('rm_weight', 'bm25_score', 'semantic_score')}, {rnd(f'rm_weight * {A}')} AS rm_part, {rnd(f'bm25_score * {B}')} AS bm25_part, {rnd(f'semantic_score * {G}')} AS semantic_part, {rnd('importance')} AS importance FROM imp",
+    "importance_explain_document": f"""SELECT qid, rank, term, {_columns('rm_weight', 'bm25_score', 'semantic_score')}, {rnd(f'rm_weight * {A}')} AS rm_part, {rnd(f'bm25_score * {B}')} AS bm25_part, {rnd(f'semantic_score * {G}')} AS semantic_part,
+        {rnd(f'rm_weight * {A}::DOUBLE + bm25_score * {B}::DOUBLE + semantic_score * {G}::DOUBLE')} AS importance FROM (
+        SELECT e.qid, e.rank, e.term, e.weight AS rm_weight, coalesce(s.score, 0) AS bm25_score, coalesce(m.similarity, 0) AS semantic_score
+        FROM expansion e JOIN top_doc d ON e.qid = d.qid LEFT JOIN own_scores s ON s.term = e.term AND s.doc_id = d.doc_id LEFT JOIN semantic m ON m.qid = e.qid AND m.term = e.term)""",
     "ablation_importance": f"SELECT model, qid, rank, term, {rnd('importance')} AS importance FROM abl",
     "term_features": f"""SELECT e.qid, d.doc_id AS reference_doc_id, e.rank, e.term, {rnd('e.weight')} AS rm_weight, {rnd('coalesce(s.score, 0)')} AS bm25_score, {rnd('coalesce(m.similarity, 0)')} AS semantic_score
-        FROM expansion e JOIN top_doc d ON e.qid = d.qid LEFT JOIN term_scores s ON s.term = e.term AND s.doc_id = d.doc_id LEFT JOIN semantic m ON m.qid = e.qid AND m.term = e.term""",
+        FROM expansion e JOIN top_doc d ON e.qid = d.qid LEFT JOIN own_scores s ON s.term = e.term AND s.doc_id = d.doc_id LEFT JOIN semantic m ON m.qid = e.qid AND m.term = e.term""",
     "feature_stats": f"SELECT feature, count(*) AS n, {rnd('avg(value)')} AS mean, {rnd('coalesce(stddev_samp(value), 0)')} AS stdev, {rnd('min(value)')} AS min, {rnd('max(value)')} AS max FROM (FROM features UNPIVOT (value FOR feature IN (rm_weight, bm25_score, semantic_score))) GROUP BY feature",
     "feature_dataset_stats": f"SELECT count(DISTINCT qid) AS num_queries, count(*) AS num_terms, {rnd('count(*) / count(DISTINCT qid)::DOUBLE')} AS avg_expansion_terms FROM features",
     "feature_coverage": "SELECT " + ", ".join(f"{rnd(f'avg(({f} > 0)::INT)')} AS {f}_coverage" for f in ("rm_weight", "bm25_score", "semantic_score")) + " FROM features",
     "score_variance": f"SELECT qid, {_spread('score')} FROM top10 GROUP BY qid",
     "maxsim_scores": f"SELECT qid, doc_id, term, {rnd('similarity')} AS similarity FROM sims",
     "query_vectors": f"""SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY part, place, term) AS n, part, term, {rnd('u.weight')} AS weight, len(vec)::BIGINT AS dim FROM (
-        SELECT qid, 0 AS part, pos AS place, term, 1.0::DOUBLE AS weight FROM query_terms UNION ALL SELECT qid, 1, rank, term, importance FROM imp WHERE importance > 0) u JOIN term_vecs USING (term)""",
-    "query_vectors_explain": "SELECT q.qid, array_to_string(q.toks, ' ') AS own_terms, string_agg(i.term, ' ' ORDER BY i.rank) AS expansion_terms, len(q.toks) + count(*) AS n_vectors FROM query_toks q JOIN imp i ON q.qid = i.qid WHERE importance > 0 GROUP BY q.qid, q.toks",
+        SELECT qid, 0 AS part, pos AS place, term, 1.0::DOUBLE AS weight FROM query_tokens WHERE pos < 32 UNION ALL SELECT qid, 1, rank, term, importance FROM imp WHERE importance > 0) u JOIN own_vecs USING (term)""",
+    "query_vectors_explain": "SELECT q.qid, array_to_string(q.toks, ' ') AS own_terms, string_agg(i.term, ' ' ORDER BY i.rank) AS expansion_terms, len(q.toks) + count(*) AS n_vectors FROM (SELECT qid, list_slice(toks, 1, 32) AS toks FROM query_raw) q JOIN imp i ON q.qid = i.qid WHERE importance > 0 GROUP BY q.qid, q.toks",
     "rerank_topk": f"SELECT qid, rank, doc_id, {rnd('score')} AS score FROM reranked",
     "rerank_sentence": f"""SELECT qid, {best('qid')} AS rank, doc_id, {rnd('score')} AS score FROM (
         SELECT c.qid, c.doc_id, sum(w.weight * list_inner_product(a.vec, b.vec)) AS score FROM top20 c
-        JOIN (SELECT qid, term, 1.0::DOUBLE AS weight FROM query_terms UNION ALL SELECT qid, term, importance FROM imp WHERE importance > 0) w ON c.qid = w.qid
-        JOIN term_vecs a ON w.term = a.term
+        JOIN (SELECT qid, term, 1.0::DOUBLE AS weight FROM query_tokens WHERE pos < 32 UNION ALL SELECT qid, term, importance FROM imp WHERE importance > 0) w ON c.qid = w.qid
+        JOIN own_vecs a ON w.term = a.term
         JOIN (SELECT doc_id, list(s ORDER BY d) AS vec FROM (SELECT doc_id, d, sum(x) AS s FROM (SELECT doc_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS d
-              FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_tok WHERE doc_id IN (SELECT doc_id FROM top20)) JOIN term_vecs USING (term)) GROUP BY ALL) GROUP BY doc_id) b ON b.doc_id = c.doc_id
+              FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM top20)) JOIN doc_vecs USING (term)) GROUP BY ALL) GROUP BY doc_id) b ON b.doc_id = c.doc_id
         GROUP BY ALL)""",
     "p_at_k": _per_query("P_1", "P_5", "P_10", "P_100"),
     "recall_at_k": _per_query("recall_5", "recall_10", "recall_100"),
@@ -289,21 +316,22 @@ _STATEMENTS: dict[str, str] = {
     + ")",
     "paired_significance": f"SELECT count(*) AS n, {rnd('avg(d)')} AS mean_difference, {rnd('CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END')} AS t, sum((d > 0)::INT)::BIGINT AS better, sum((d < 0)::INT)::BIGINT AS worse, sum((d = 0)::INT)::BIGINT AS equal FROM (SELECT round(b.ndcg_cut_10, 9) - round(a.ndcg_cut_10, 9) AS d FROM top20_eval a JOIN reranked_eval b USING (qid))",
     "ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM abl_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
+    "ablation_from_feedback": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM abl_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
     "simple_ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM simple_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
     "custom_feature_importance": f"SELECT qid, rank, i.term, {rnd('coalesce(ln(1.0::DOUBLE + df), 0)')} AS log_df, {rnd('importance - 0.1::DOUBLE * coalesce(ln(1.0::DOUBLE + df), 0)')} AS importance FROM imp i LEFT JOIN term_stats t ON i.term = t.term",
     "optimizer_comparison": f"""SELECT method, weights_id, {rnd('tr')} AS train_score, {rnd('te')} AS test_score FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY tr DESC, weights_id) AS i FROM (
-        SELECT 'grid' AS method, weights_id FROM grid UNION ALL SELECT 'corners', weights_id FROM grid WHERE 1.55::DOUBLE NOT IN (alpha, beta, gamma) UNION ALL SELECT 'middle', 13) m
-        JOIN (SELECT weights_id, {rnd("avg(CASE WHEN NOT test THEN ndcg_cut_10 END)", 9)} AS tr, {rnd("avg(CASE WHEN test THEN ndcg_cut_10 END)", 9)} AS te FROM (
-          SELECT weights_id, ndcg_cut_10, ('0x' || substr(md5(qid::VARCHAR), 1, 8))::BIGINT % 1000 < 500 AS test FROM grid_eval) GROUP BY weights_id) USING (weights_id)) WHERE i = 1""",
-    "grid_search_scores": f"SELECT weights_id, alpha, beta, gamma, {rnd('score')} AS score FROM grid_scores",
-    "grid_search_best": f"SELECT weights_id, alpha, beta, gamma, {rnd('score')} AS score FROM grid_scores ORDER BY grid_scores.score DESC, weights_id LIMIT 1",
+        SELECT method, weights_id, {rnd("avg(CASE WHEN NOT test THEN ndcg_cut_10 END)", 9)} AS tr, {rnd("avg(CASE WHEN test THEN ndcg_cut_10 END)", 9)} AS te FROM (
+          SELECT method, weights_id, ndcg_cut_10, ('0x' || substr(md5(qid::VARCHAR), 1, 8))::BIGINT % 1000 < 500 AS test FROM (
+            SELECT 'grid' AS method, weights_id, qid, ndcg_cut_10 FROM grid_eval UNION ALL SELECT 'random', {len(_GRID)} + weights_id, qid, ndcg_cut_10 FROM samples_eval)) GROUP BY ALL)) WHERE i = 1""",
+    "grid_search_scores": f"SELECT weights_id, {_columns('alpha', 'beta', 'gamma', 'score')} FROM grid_scores",
+    "grid_search_best": f"SELECT weights_id, {_columns('alpha', 'beta', 'gamma', 'score')} FROM (SELECT * FROM grid_scores ORDER BY score DESC, weights_id LIMIT 1)",
+    "random_search": f"SELECT weights_id, {_columns('alpha', 'beta', 'gamma', 'score')} FROM (SELECT weights_id, any_value(alpha) AS alpha, any_value(beta) AS beta, any_value(gamma) AS gamma, {rnd('avg(ndcg_cut_10)', 9)} AS score FROM samples_eval JOIN samples USING (weights_id) GROUP BY weights_id ORDER BY score DESC, weights_id LIMIT 1)",
     "weight_sensitivity": f"SELECT count(*) AS n, {_spread('score')} FROM (SELECT {rnd('avg(ndcg_cut_10)', 9)} AS score FROM sens_eval GROUP BY weights_id)",
-    "lbfgs_search": f"SELECT {A}::DOUBLE AS alpha, {B}::DOUBLE AS beta, {G}::DOUBLE AS gamma",
-    "boundary_check": "SELECT weights_id, weight, value, (value - 0.1::DOUBLE < 0.01 OR 3.0::DOUBLE - value < 0.01) AS at_bound FROM grid UNPIVOT (value FOR weight IN (alpha, beta, gamma))",
+    "boundary_check": f"SELECT weights_id, weight, {rnd('value')} AS value, (value - 0.1::DOUBLE < 0.01 OR 3.0::DOUBLE - value < 0.01) AS at_bound FROM (SELECT weights_id, alpha, beta, gamma FROM grid_scores ORDER BY grid_scores.score DESC, weights_id LIMIT 1) UNPIVOT (value FOR weight IN (alpha, beta, gamma))",
     "cv_folds": "SELECT * FROM folds",
-    "cv_best_weights": f"""SELECT fold, weights_id, {rnd('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, weights_id) AS i FROM (
-        SELECT fold, weights_id, {rnd('avg(ndcg_cut_10)', 9)} AS score FROM grid_eval JOIN folds USING (qid) WHERE split = 'training' GROUP BY ALL)) WHERE i = 1""",
-    "cv_aggregated_run": f"SELECT qid, rank, doc_id, {rnd('score')} AS score FROM reranked WHERE rank <= 10",
+    "cv_best_weights": f"SELECT fold, weights_id, {rnd('score')} AS score FROM fold_best",
+    "cv_aggregated_run": f"""SELECT qid, {best('qid')} AS rank, doc_id, {rnd('score')} AS score FROM (
+        SELECT qid, doc_id, base + alpha * pr + beta * pb + gamma * ps AS score FROM parts JOIN folds USING (qid) JOIN fold_best USING (fold) JOIN grid USING (weights_id) WHERE split = 'testing')""",
     "holdout_split": "SELECT item_id AS qid, CASE WHEN ('0x' || substr(md5(item_id::VARCHAR), 1, 8))::BIGINT % 1000 < 200 THEN 'test' ELSE 'train' END AS split FROM benchmark",
     "train_alignment": """SELECT qid, missing = '' AS complete, missing FROM (SELECT k.qid, concat_ws(',', CASE WHEN k.qid NOT IN (SELECT qid FROM features) THEN 'features' END, CASE WHEN k.qid NOT IN (SELECT qid FROM qrels) THEN 'qrels' END,
         CASE WHEN k.qid NOT IN (SELECT qid FROM query_toks) THEN 'queries' END, CASE WHEN k.qid NOT IN (SELECT qid FROM top10) THEN 'runs' END) AS missing FROM query_toks k)""",

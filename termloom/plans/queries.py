@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termloom.functions import numbers as N
 from termloom.functions import text as T
 from termloom.operators import bm25, crossval, evaluation, expansion, importance, index, metrics, optimize, rerank, similarity
-from termloom.plans.workload import CANDIDATES, DIM, WEIGHTS, Workload
+from termloom.plans.workload import CANDIDATES, DIM, EXPANSION_TERMS, WEIGHTS, Workload
 from termloom.sources import records, trec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,8 +53,10 @@ def subword_merge(w: Workload) -> DataFrame:
 
 @query
 def collection_scan(w: Workload) -> DataFrame:
-    pages = w.table("pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 3 == 0, F.col("url")).alias("text"), F.when(F.col("page_id") % 3 == 1, F.col("url")).alias("body"))
-    return records.collection(pages)
+    """Every row of documents (its text under ``text``) and of pages (its html under ``body``)."""
+    documents = w.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.lit(None).cast("string").alias("body"))
+    pages = w.table("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("html").alias("body"))
+    return records.collection(documents.unionByName(pages)).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 @query
@@ -77,7 +79,7 @@ def _top_doc(w: Workload) -> DataFrame:
 
 @query
 def bm25_doc_term(w: Workload) -> DataFrame:
-    words = w.query_terms.select("qid", "term")
+    words = w.query_tokens.select("qid", "term")
     pairs = w.queries.select("qid", F.array_join(T.first(F.split("text", " "), 2), " ").alias("term"))
     blank = w.queries.select("qid", F.lit("?").alias("term"))
     asked = _top_doc(w).join(words.unionByName(pairs).unionByName(blank), "qid")
@@ -194,14 +196,14 @@ def euclidean_pairs(w: Workload) -> DataFrame:
 
 @query
 def semantic_term_scores(w: Workload) -> DataFrame:
-    return similarity.term_similarities(w.query_terms, w.expansion, w.encoder, DIM).select("qid", "term", *r("similarity"))
+    return similarity.term_similarities(w.query_tokens, w.expansion, w.encoder, DIM).select("qid", "term", *r("similarity"))
 
 
 @query
 def similarity_matrix(w: Workload) -> DataFrame:
-    terms = w.query_terms.filter("pos = 0").select("term").distinct()
+    terms = w.query_tokens.filter("pos = 0").select("term").distinct()
     every = w.queries.select("qid").crossJoin(terms)  # two small stated sets
-    return similarity.term_similarities(w.query_terms, every, w.encoder, DIM).select("qid", "term", *r("similarity"))
+    return similarity.term_similarities(w.query_tokens, every, w.encoder, DIM).select("qid", "term", *r("similarity"))
 
 
 @query
@@ -240,6 +242,14 @@ def importance_explain(w: Workload) -> DataFrame:
     return importance.explain(w.features, *WEIGHTS).select("qid", "rank", "term", *r(*names))
 
 
+@query
+def importance_explain_document(w: Workload) -> DataFrame:
+    """The explanation with the scores of each query's best document."""
+    names = ("rm_weight", "bm25_score", "semantic_score", "rm_part", "bm25_part", "semantic_part", "importance")
+    rows = importance.extract_features(w.index, w.expansion, w.query_tokens, w.encoder, DIM, "document", _top_doc(w))
+    return importance.explain(rows, *WEIGHTS).select("qid", "rank", "term", *r(*names))
+
+
 @query
 def ablation_importance(w: Workload) -> DataFrame:
     weights = importance.ablation_weights(w.spark, *WEIGHTS)
@@ -255,7 +265,7 @@ def custom_feature_importance(w: Workload) -> DataFrame:
 
 @query
 def term_features(w: Workload) -> DataFrame:
-    found = importance.extract_features(w.index, w.expansion, w.query_terms, w.encoder, DIM, "document", _top_doc(w))
+    found = importance.extract_features(w.index, w.expansion, w.query_tokens, w.encoder, DIM, "document", _top_doc(w))
     return found.join(_top_doc(w), "qid").select("qid", F.col("doc_id").alias("reference_doc_id"), "rank", "term", *r(*importance.FEATURES))
 
 
@@ -293,12 +303,12 @@ def _importance(w: Workload) -> DataFrame:
 
 @query
 def query_vectors(w: Workload) -> DataFrame:
-    return rerank.query_vectors(w.query_terms, _importance(w), w.encoder).select("qid", "n", "part", "term", *r("weight"), F.size("vec").cast("long").alias("dim"))
+    return rerank.query_vectors(w.query_tokens, _importance(w), w.encoder).select("qid", "n", "part", "term", *r("weight"), F.size("vec").cast("long").alias("dim"))
 
 
 @query
 def query_vectors_explain(w: Workload) -> DataFrame:
-    told = rerank.explain(rerank.query_vectors(w.query_terms, _importance(w), w.encoder))
+    told = rerank.explain(rerank.query_vectors(w.query_tokens, _importance(w), w.encoder))
     return told.select("qid", F.array_join("own_terms", " ").alias("own_terms"), F.array_join("expansion_terms", " ").alias("expansion_terms"), "n_vectors")
 
 
@@ -309,7 +319,7 @@ def rerank_topk(w: Workload) -> DataFrame:
 
 @query
 def rerank_sentence(w: Workload) -> DataFrame:
-    found = rerank.rerank_sentences(w.run(CANDIDATES), w.query_terms, _importance(w), w.document_vectors, w.encoder, DIM)
+    found = rerank.rerank_sentences(w.run(CANDIDATES), w.query_tokens, _importance(w), w.document_vectors, w.encoder, DIM)
     return found.select("qid", "rank", "doc_id", *r("score"))
 
 
@@ -375,13 +385,20 @@ def paired_significance(w: Workload) -> DataFrame:
 @query
 def ablation_eval(w: Workload) -> DataFrame:
     weights = importance.ablation_weights(w.spark, *WEIGHTS)
-    found = evaluation.ablation(w.features, weights, w.run(CANDIDATES), w.query_terms, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"])
+    found = evaluation.ablation(w.features, weights, w.run(CANDIDATES), w.query_tokens, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"], similarities=w.similarities)
+    return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
+
+
+@query
+def ablation_from_feedback(w: Workload) -> DataFrame:
+    weights = importance.ablation_weights(w.spark, *WEIGHTS)
+    found = evaluation.ablation_from_feedback(w.items, w.run(10), w.index, weights, w.run(CANDIDATES), w.docs, w.qrels, w.encoder, DIM, ["map", "ndcg_cut_10"], EXPANSION_TERMS)
     return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
 
 
 @query
 def simple_ablation_eval(w: Workload) -> DataFrame:
-    found = evaluation.simple_ablation(w.queries, w.run(CANDIDATES), w.query_terms, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"])
+    found = evaluation.simple_ablation(w.queries, w.run(CANDIDATES), w.query_tokens, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"])
     return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
 
 
@@ -389,21 +406,22 @@ def simple_ablation_eval(w: Workload) -> DataFrame:
 
 
 def _objective(w: Workload, points: list, **options) -> DataFrame:
-    return optimize.objective_scores(w.features, optimize.weights_frame(w.spark, points), w.run(CANDIDATES), w.query_terms, w.similarities, w.qrels, **options)
+    return optimize.objective_scores(w.parts, optimize.weights_frame(w.spark, points), w.qrels, **options)
 
 
-GRID = optimize.grid(0.1, 3.0, 3)
+GRID = optimize.grid()
+SAMPLES = optimize.Sampler(((0.1, 5.0),) * 3, 42).points(1000)
 SENSITIVITY = [(1.0, 1.0, 1.0), (2.0, 1.0, 1.0), (1.0, 2.0, 1.0), (1.0, 1.0, 2.0), (0.1, 1.0, 1.0), (1.0, 0.1, 1.0), (1.0, 1.0, 0.1)]
 
 
 @query
 def grid_search_scores(w: Workload) -> DataFrame:
-    return _objective(w, GRID).select("weights_id", "alpha", "beta", "gamma", *r("score"))
+    return _objective(w, GRID).select("weights_id", *r("alpha", "beta", "gamma", "score"))
 
 
 @query
 def grid_search_best(w: Workload) -> DataFrame:
-    return optimize.best_of(_objective(w, GRID)).select("weights_id", "alpha", "beta", "gamma", *r("score"))
+    return optimize.best_of(_objective(w, GRID)).select("weights_id", *r("alpha", "beta", "gamma", "score"))
 
 
 @query
@@ -413,30 +431,31 @@ def weight_sensitivity(w: Workload) -> DataFrame:
 
 @query
 def optimizer_comparison(w: Workload) -> DataFrame:
+    """Grid and random search: each one's best weights on half of the queries, and their score on the others."""
     groups = crossval.holdout(w.queries, 0.5).select("qid", F.col("split").alias("group"))
-    ends = [i for i, p in enumerate(GRID) if 1.55 not in p]
-    rows = [("grid", i) for i in range(len(GRID))] + [("corners", i) for i in ends] + [("middle", 13)]
+    rows = [("grid", i) for i in range(len(GRID))] + [("random", len(GRID) + i) for i in range(len(SAMPLES))]
     methods = w.spark.createDataFrame(rows, "method string, weights_id int")
-    return optimize.compare_methods(_objective(w, GRID, groups=groups), methods).select("method", "weights_id", *r("train_score", "test_score"))
+    return optimize.compare_methods(_objective(w, GRID + SAMPLES, groups=groups), methods).select("method", "weights_id", *r("train_score", "test_score"))
 
 
 @query
 def random_search(w: Workload) -> DataFrame:
-    points = optimize.Sampler(((0.1, 5.0),) * 3, 42).points(20)
-    return optimize.best_of(_objective(w, points)).select("weights_id", "alpha", "beta", "gamma", *r("score"))
+    return optimize.best_of(_objective(w, SAMPLES)).select("weights_id", *r("alpha", "beta", "gamma", "score"))
 
 
 @query
 def lbfgs_search(w: Workload) -> DataFrame:
-    """A smooth stand-in objective: every step of the search on data would be a job."""
-    target = WEIGHTS
-    found = optimize.LimitedMemoryBFGS().optimize_weights(lambda p: max(0.0, 1 - 0.07 * sum((a - b) ** 2 for a, b in zip(p, target, strict=True))))
-    return optimize.weights_frame(w.spark, [found.weights]).select(*r("alpha", "beta", "gamma", places=1))
+    """The quasi-Newton search on the retrieval objective; every step asks for a batch of points, which is a job."""
+    found = optimize.LimitedMemoryBFGS().optimize_batches(optimize.batch_objective(w.parts, w.qrels))
+    start = found.history[0][1]
+    return optimize.weights_frame(w.spark, [found.weights]).select(*r("alpha", "beta", "gamma"), F.lit(start).alias("start_score"), F.lit(found.score).alias("score"), F.lit(found.evaluations).cast("long").alias("evaluations"))
 
 
 @query
 def boundary_check(w: Workload) -> DataFrame:
-    return optimize.near_bounds(optimize.weights_frame(w.spark, GRID), 0.1, 3.0)
+    """Whether the best weights of the grid lie at its edge."""
+    best = optimize.best_of(_objective(w, GRID))
+    return optimize.near_bounds(best, 0.1, 3.0).withColumn("value", N.rounded(F.col("value")))
 
 
 # -- cross-validation and data checks
@@ -447,16 +466,31 @@ def cv_folds(w: Workload) -> DataFrame:
     return crossval.folds(w.queries, 5)
 
 
+def _best_by_fold(w: Workload) -> DataFrame:
+    groups = crossval.folds(w.queries, 5).filter("split = 'training'").select("qid", F.col("fold").alias("group"))
+    return crossval.best_weights_by_fold(_objective(w, GRID, groups=groups))
+
+
 @query
 def cv_best_weights(w: Workload) -> DataFrame:
-    groups = crossval.folds(w.queries, 5).filter("split = 'training'").select("qid", F.col("fold").alias("group"))
-    return crossval.best_weights_by_fold(_objective(w, GRID, groups=groups)).select("fold", "weights_id", *r("score"))
+    return _best_by_fold(w).select("fold", "weights_id", *r("score"))
 
 
 @query
 def cv_aggregated_run(w: Workload) -> DataFrame:
-    tests = crossval.folds(w.queries, 5).filter("split = 'testing'")
-    return crossval.aggregated_run(w.reranked.drop("rank").join(tests, "qid"), 10).select("qid", "rank", "doc_id", *r("score"))
+    """Every query ranked with the weights that its fold's training queries gave."""
+    runs = crossval.test_runs(w.parts, crossval.folds(w.queries, 5), _best_by_fold(w))
+    return crossval.aggregated_run(runs).select("qid", "rank", "doc_id", *r("score"))
+
+
+@query
+def rerank_for_evaluation(w: Workload) -> DataFrame:
+    """The evaluation recipe at full depth: 1,000 candidates, missing feedback leaves a query's own vectors."""
+    candidates = w.run(1000)
+    own = importance.weighted(w.features, 1.0, 1.0, 1.0)
+    runs = rerank.rerank(candidates, w.query_tokens, own, w.docs, w.encoder, 1000)
+    both = runs.select(F.lit("reranked").alias("run_name"), "qid", "rank", "doc_id", "score").unionByName(candidates.select(F.lit("first_stage").alias("run_name"), "qid", "rank", "doc_id", "score"))
+    return metrics.evaluate(both, w.qrels, metrics.DEFAULT, ["run_name", "qid"]).select("run_name", "metric", *r("value"))
 
 
 @query

@@ -1,8 +1,9 @@
 """The evaluation workload on the test tables: which table plays which part.
 
-``documents`` is the collection, ``benchmark`` the queries (the first 8 tokens of an
-item), and judgments follow from the texts: a document that holds the query's tokens as
-a phrase has rel 2, one with at least 6 of its distinct tokens rel 1.
+``documents`` is the collection, ``benchmark`` the queries (whole texts), and judgments
+follow from the texts: a document that holds the query's terms as a phrase has rel 2, one
+with at least three quarters of its distinct terms rel 1. Index and expansion take the
+analyser's terms, without stop words; vectors take all tokens of a text.
 """
 
 from __future__ import annotations
@@ -16,20 +17,27 @@ from termloom.functions import text as T
 from termloom.operators import bm25, expansion, importance, index, rerank, similarity
 from termloom.sources import shared
 
-QUERY_TOKENS, MIN_SHARED, DIM = 8, 6, 64
+DIM = 64
 CANDIDATES, EXPANSION_TERMS = 20, 15
 WEIGHTS = (1.2, 0.8, 1.5)
 _kept: dict[tuple, DataFrame] = {}
 
 
 def keep(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table of the workload, written once a session and folder: every query would make it anew otherwise."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table of the workload, written once a session and state of the folder: every query would make it anew otherwise."""
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir), name)
     if key not in _kept:
         _kept[key] = shared.materialize(make(), name)[0]
     return _kept[key]
 
 
+def state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 class Workload:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -44,33 +52,41 @@ class Workload:
     @cached_property
     def index(self) -> index.Index:
         """The collection's index, built on first use as one builds it before searching."""
-        built = index.build_index(self.docs)
-        ordered = lambda: built.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        return index.Index(keep(self.spark, self.sf_dir, "postings", ordered), keep(self.spark, self.sf_dir, "doc-stats", lambda: built.doc_stats))
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, state(self.spark, self.sf_dir), "index")
+        if key not in _kept:
+            _kept[key] = index.write_index(self.docs, shared.new_path(self.spark, "index"))
+        return _kept[key]
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self.table("benchmark").select(F.col("item_id").alias("qid"), "text")
 
     @cached_property
     def query_terms(self) -> DataFrame:
-        items = self.table("benchmark").select(F.col("item_id").alias("qid"), "text")
-        return T.token_rows(items, "qid", limit=QUERY_TOKENS)
+        return self.index.query_terms(self.items)
+
+    @cached_property
+    def query_tokens(self) -> DataFrame:
+        """All tokens, stop words too: those of the vectors."""
+        return T.token_rows(self.items, "qid")
 
     @cached_property
     def queries(self) -> DataFrame:
-        tokens = T.first(T.tokens(F.col("text")), QUERY_TOKENS)
-        return self.table("benchmark").select(F.col("item_id").alias("qid"), F.array_join(tokens, " ").alias("text"))
+        return self.items.select("qid", F.array_join(T.tokens(F.col("text")), " ").alias("text"))
 
     @cached_property
     def qrels(self) -> DataFrame:
         def make() -> DataFrame:
             terms = self.query_terms.select("qid", "term").distinct()
-            shared_terms = self.index.postings.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("shared"))
-            wanted = self.query_terms.groupBy("qid").agg(F.countDistinct("term").alias("wanted"))
-            near = shared_terms.join(wanted, "qid").filter((F.col("shared") >= MIN_SHARED) | (F.col("shared") == F.col("wanted")))
-            padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-            phrases = self.queries.select("qid", padded(F.col("text")).alias("phrase"))
+            shared_terms = self.index.of_terms(terms).join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("shared"))
+            wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
+            near = shared_terms.join(wanted, "qid").filter(4 * F.col("shared") >= 3 * F.col("wanted"))
+            padded = lambda c: F.concat(F.lit(" "), F.array_join(T.analyzed(c), " "), F.lit(" "))
+            phrases = self.items.select("qid", padded(F.col("text")).alias("phrase"))
             whole = near.filter(F.col("shared") == F.col("wanted")).select("qid", "doc_id").join(phrases, "qid")
-            texts = self.docs.select("doc_id", padded(F.array_join(T.tokens(F.col("text")), " ")).alias("tokens"))
-            exact = whole.join(texts, "doc_id").filter(F.col("tokens").contains(F.col("phrase"))).select("qid", "doc_id", F.lit(2).alias("rel"))
-            some = near.filter(F.col("shared") >= MIN_SHARED).select("qid", "doc_id", F.lit(1).alias("rel"))
+            texts = self.docs.join(whole.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", padded(F.col("text")).alias("terms"))
+            exact = whole.join(texts, "doc_id").filter(F.col("terms").contains(F.col("phrase"))).select("qid", "doc_id", F.lit(2).alias("rel"))
+            some = near.select("qid", "doc_id", F.lit(1).alias("rel"))
             return exact.unionByName(some).groupBy("qid", "doc_id").agg(F.max("rel").alias("rel"))
 
         return keep(self.spark, self.sf_dir, "qrels", make)
@@ -93,11 +109,11 @@ class Workload:
 
     @cached_property
     def features(self) -> DataFrame:
-        return keep(self.spark, self.sf_dir, "features", lambda: importance.extract_features(self.index, self.expansion, self.query_terms, self.encoder, DIM))
+        return keep(self.spark, self.sf_dir, "features", lambda: importance.extract_features(self.index, self.expansion, self.query_tokens, self.encoder, DIM))
 
     @cached_property
     def similarities(self) -> DataFrame:
-        terms = self.query_terms.select("qid", "term").unionByName(self.features.select("qid", "term"))
+        terms = self.query_tokens.select("qid", "term").unionByName(self.features.select("qid", "term"))
         return keep(self.spark, self.sf_dir, "similarities", lambda: rerank.term_similarities(self.run(CANDIDATES), terms, self.docs, self.encoder))
 
     @cached_property
@@ -117,4 +133,9 @@ class Workload:
     @cached_property
     def reranked(self) -> DataFrame:
         own = importance.weighted(self.features, *WEIGHTS)
-        return rerank.rerank(self.run(CANDIDATES), self.query_terms, own, self.docs, self.encoder, similarities=self.similarities)
+        return keep(self.spark, self.sf_dir, "reranked", lambda: rerank.rerank(self.run(CANDIDATES), self.query_tokens, own, self.docs, self.encoder, similarities=self.similarities))
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        """What every objective over weights is a sum of, by query and candidate."""
+        return keep(self.spark, self.sf_dir, "parts", lambda: rerank.score_parts(self.run(CANDIDATES), self.query_tokens, self.features, self.similarities))

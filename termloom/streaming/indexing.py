@@ -23,5 +23,5 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, id_col: str = "doc
 
 
 def open_parts(spark: SparkSession, path: str) -> Index:
-    """All parts as one index; a document must have come once."""
+    """All parts as one index; a document must have come once. Parts have no folders by term: they are small until compacted."""
     return Index(spark.read.parquet(f"{path}/postings").drop("batch"), spark.read.parquet(f"{path}/doc_stats").drop("batch"))

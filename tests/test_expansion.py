@@ -7,6 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import stem
 from termloom.functions import text as T
 from termloom.operators import bm25, expansion, index
 
@@ -58,10 +59,11 @@ def test_bm25_by_hand(spark):
 
 
 def test_document_scores_need_every_token(spark, idx):
-    asked = spark.createDataFrame([("q", "d1", "machine learning"), ("q", "d2", "machine learning"), ("q", "d1", "..."), ("q", "no", "data")], "qid string, doc_id string, term string")
+    asked = spark.createDataFrame([("q", "d1", "machine learning"), ("q", "d2", "machine learning"), ("q", "d1", "..."), ("q", "no", "data"), ("q", "d4", "and"), ("q", "d4", "the data and")], "qid string, doc_id string, term string")
     got = {(r.doc_id, r.term): r.score for r in bm25.document_term_scores(idx, asked).collect()}
     assert got["d1", "machine learning"] > 0
-    assert got["d2", "machine learning"] == got["d1", "..."] == got["no", "data"] == 0
+    assert got["d2", "machine learning"] == got["d1", "..."] == got["no", "data"] == got["d4", "and"] == 0
+    assert got["d4", "the data and"] > 0  # stop words ask for nothing
 
 
 def test_collection_score_is_the_mean_of_the_best(spark, idx):
@@ -78,12 +80,12 @@ def test_dense_token_scores(spark, docs, idx):
 
 
 def test_relevance_models_by_hand(spark):
-    feedback = expansion.feedback_frame(spark, {"q": ["a b a", "b c"]}, {"q": [3.0, 1.0]})
-    query = terms(spark, q="a")
+    feedback = expansion.feedback_frame(spark, {"q": ["x b the x", "b c"]}, {"q": [3.0, 1.0]})
+    query = terms(spark, q="x")
     rm1 = {r.term: r.weight for r in expansion.expand_from_feedback(query, feedback, "rm1").collect()}
     rm3 = {r.term: r.weight for r in expansion.expand_from_feedback(query, feedback, "rm3").collect()}
-    assert rm1 == pytest.approx({"a": 0.5, "b": 0.375, "c": 0.125}) and sum(rm1.values()) == pytest.approx(1)
-    assert rm3 == pytest.approx({"a": 1.5, "b": 0.375, "c": 0.125})
+    assert rm1 == pytest.approx({"x": 0.5, "b": 0.375, "c": 0.125}) and sum(rm1.values()) == pytest.approx(1)
+    assert rm3 == pytest.approx({"x": 1.5, "b": 0.375, "c": 0.125})
 
 
 @pytest.mark.parametrize("n", [1, 5, 1000])
@@ -124,9 +126,44 @@ def test_no_documents_no_expansion(spark):
 
 
 def test_index_round_trip(spark, docs, idx, tmp_path):
-    index.write_index(idx, str(tmp_path / "i"))
-    again = index.open_index(spark, str(tmp_path / "i"))
+    path = str(tmp_path / "i")
+    again = index.write_index(docs, path, buckets=16)
     assert index.index_statistics(again).first() == index.index_statistics(idx).first()
     assert all(index.validate_index(again).first())
+    query = terms(spark, q="machine data", r="learning learning absent")
+    plain, pruned = (sorted((r.qid, r.rank, r.doc_id, round(r.score, 9)) for r in bm25.search(i, query, 10).collect()) for i in (idx, index.open_index(spark, path)))
+    assert plain == pruned and plain
+    told = index.index_settings(spark, path, 1.2, 0.75).first()
+    assert told.size_mb > 0 and (told.buckets, told.stemmed, told.k1, told.b) == (16, False, 1.2, 0.75)
     with pytest.raises(Exception):
         index.open_index(spark, str(tmp_path / "none"))
+
+
+def test_search_reads_the_folders_of_its_terms_once(spark, docs, tmp_path):
+    own = index.write_index(docs, str(tmp_path / "i"), buckets=64)
+    plan = bm25.search(own, terms(spark, q="machine"), 10)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "FileScan" in x and "tf#" in x]
+    assert len(scans) == 1 and "PartitionFilters: []" not in scans[0] and "bucket" in scans[0]
+
+
+def test_documents_are_counted_in_their_rows(spark):
+    rows = spark.createDataFrame([(1, "b a b The b a"), (2, ""), (3, None), (4, "the of")], "doc_id long, text string")
+    got = {r.doc_id: (r.dl, [tuple(c) for c in r.counts]) for r in index.forward(rows).collect()}
+    assert got == {1: (3, [("b", 3)]), 2: (0, []), 4: (0, [])}  # a is a stop word, too
+
+
+def test_stems_of_published_examples(spark, docs):
+    examples = {
+        "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
+        "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "falling": "fall", "hissing": "hiss", "failing": "fail", "filing": "file", "happy": "happi",
+        "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "digitizer": "digit", "vietnamization": "vietnam", "operator": "oper", "feudalism": "feudal",
+        "hopefulness": "hope", "formaliti": "formal", "triplicate": "triplic", "formative": "form", "electrical": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow",
+        "adjustable": "adjust", "replacement": "replac", "adoption": "adopt", "communism": "commun", "effective": "effect", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll",
+    }
+    assert {w: stem.stem(w) for w in examples} == examples
+    assert stem.stem("größe") == "größe" and stem.stem("is") == "is" and stem.stem("x42s") == "x42s"
+    own = index.build_index(docs, stemmed=True)
+    asked = own.query_terms(spark.createDataFrame([("q", "The network learned")], "qid string, text string"))
+    assert [r.term for r in asked.orderBy("pos").collect()] == ["network", "learn"]
+    assert {r.doc_id for r in bm25.search(own, asked, 10).collect()} == {"d1", "d2", "d3"}
+    assert "learn" in {r.term for r in expansion.rm1(own, docs, asked).collect()}

@@ -27,8 +27,8 @@ def norm(v):
     return v
 
 
-def test_only_random_search_has_no_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"random_search"}
+def test_which_queries_have_no_sql():
+    assert set(QUERIES) - set(ORACLE_SQL) == {"lbfgs_search", "rerank_for_evaluation"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -45,6 +45,12 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
         assert g == pytest.approx(w, abs=2e-5) if all(isinstance(x, float) for x in g) else all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-5) for x, y in zip(g, w, strict=True))
 
 
-def test_random_search_beats_no_point_twice(spark, sf_dir):
-    row = QUERIES["random_search"](spark, sf_dir).first()
-    assert 0 <= row.score <= 1 and 0.1 <= row.alpha <= 5
+def test_quasi_newton_search_on_the_objective(spark, sf_dir):
+    row = QUERIES["lbfgs_search"](spark, sf_dir).first()
+    assert 0 <= row.start_score <= row.score <= 1 and all(0.1 <= row[x] <= 5 for x in ("alpha", "beta", "gamma")) and row.evaluations >= 7
+
+
+def test_reranking_for_evaluation(spark, sf_dir):
+    rows = {(r.run_name, r.metric): r.value for r in QUERIES["rerank_for_evaluation"](spark, sf_dir).collect()}
+    assert len(rows) == 10 and all(0 <= v <= 1 for v in rows.values())
+    assert rows["reranked", "recall_100"] > 0

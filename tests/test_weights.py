@@ -125,6 +125,56 @@ def test_factorised_scores_are_linear_in_importance(spark):
     assert np.allclose(scores(2.0) - scores(1.0), scores(3.0) - scores(2.0))
 
 
+def test_score_parts_give_what_reranking_gives(spark):
+    docs = spark.createDataFrame([(1, "a c"), (2, "b c"), (3, "nothing known")], "doc_id long, text string")
+    tokens = spark.createDataFrame([("q", 0, "a"), ("q", 1, "c")], "qid string, pos int, term string")
+    candidates = spark.createDataFrame([("q", 1, 0.5), ("q", 2, 0.4), ("q", 3, 0.3)], "qid string, doc_id long, score double")
+    rows = spark.createDataFrame([("q", 1, "b", 0.8, 2.1, 0.7), ("q", 2, "c", 0.1, None, 0.5)], SCHEMA)
+    asked = tokens.select("qid", "term").unionByName(rows.select("qid", "term"))
+    sims = rerank.term_similarities(candidates, asked, docs, fixed)
+    parts = rerank.score_parts(candidates, tokens, rows, sims)
+    for weights in (TARGET, (0.0, 1.0, 0.0), (0.1, 5.0, 2.0)):
+        want = {r.doc_id: r.score for r in rerank.rerank(candidates, tokens, importance.weighted(rows, *weights), docs, fixed).collect()}
+        a, b, g = weights
+        got = {r.doc_id: r.first_score if r.base is None else r.base + a * r.rm_weight + b * r.bm25_score + g * r.semantic_score for r in parts.collect()}
+        assert got == pytest.approx(want)
+    many = spark.createDataFrame([("q", i, "abc"[i % 3], 0.1, 0.1, 0.1) for i in range(33)], SCHEMA)
+    with pytest.raises(Exception, match="more than 32"):
+        rerank.score_parts(candidates, tokens, many, sims).collect()
+
+
+def test_objective_and_searches_against_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    parts = [(f"q{q}", d, 0.0, *map(float, rng.random(4))) for q in range(4) for d in range(12)]
+    frame = spark.createDataFrame(parts, "qid string, doc_id long, first_score double, base double, rm_weight double, bm25_score double, semantic_score double")
+    qrels = [(f"q{q}", int(d), int(r)) for q in range(4) for d, r in zip(rng.choice(12, 4, replace=False), (2, 1, 1, 0))]
+    judged = spark.createDataFrame(qrels, "qid string, doc_id long, rel int")
+    rel = {(q, d): r for q, d, r in qrels}
+
+    def plain(point):
+        out = []
+        for q in ("q0", "q1", "q2", "q3"):
+            own = sorted(((round(b + point[0] * x + point[1] * y + point[2] * z, 6), str(d), d) for q_, d, _, b, x, y, z in parts if q_ == q), reverse=True)[:10]
+            dcg = sum(rel.get((q, d), 0) / np.log2(i + 2) for i, (_, _, d) in enumerate(own))
+            best = sorted((r for (q_, _), r in rel.items() if q_ == q), reverse=True)
+            out.append(dcg / sum(r / np.log2(i + 2) for i, r in enumerate(best)))
+        return float(np.mean(out))
+
+    points = optimize.grid(0.1, 3.0, 3)
+    got = {r.weights_id: r.score for r in optimize.objective_scores(frame, optimize.weights_frame(spark, points), judged).collect()}
+    assert [got[i] for i in range(27)] == pytest.approx([plain(p) for p in points], abs=1e-8)
+    general = {r.weights_id: r.score for r in optimize.objective_scores(frame, optimize.weights_frame(spark, points), judged, "recip_rank").collect()}
+    assert len(general) == 27
+    search = optimize.LimitedMemoryBFGS(max_iterations=5)
+    by_jobs, by_hand = search.optimize_batches(optimize.batch_objective(frame, judged)), search.optimize_weights(plain)
+    assert by_jobs.weights == pytest.approx(by_hand.weights) and by_jobs.score == pytest.approx(plain(by_jobs.weights), abs=1e-8)
+    split = crossval.folds(frame.select("qid").distinct(), 2)
+    best = spark.createDataFrame([(0, 1.0, 0.0, 0.0), (1, 0.0, 0.0, 2.0)], "fold int, alpha double, beta double, gamma double")
+    runs = {(r.qid, r.doc_id): r.score for r in crossval.test_runs(frame, split, best).collect()}
+    own = {r.qid: r.fold for r in split.filter("split = 'testing'").collect()}
+    assert runs == pytest.approx({(q, d): b + (x if own[q] == 0 else 2 * z) for q, d, _, b, x, _, z in parts})
+
+
 def test_encoder_from_a_function(spark):
     terms = spark.createDataFrame([("aa",), ("b",), (None,), ("b",)], "term string")
     got = {r.term: r.vec for r in similarity.udf_encoder(lambda ts: [[float(len(t))] for t in ts], 1)(terms).collect()}
