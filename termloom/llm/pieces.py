@@ -59,6 +59,7 @@ class Pieces:
         whole = all(s <= 0 and s == int(s) for s in self.score)
         self.kind = kind or ("bpe" if whole else "unigram")
         self.chars = {c for p in self.id for c in p}
+        self.unknown_score = min((self.score[i] for i in self.id.values()), default=0.0) - 10.0
         self.inner_mark = any(MARK in p.lstrip(MARK) for p in self.id)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for p, i in self.id.items():
@@ -141,19 +142,45 @@ class Pieces:
                     if good:
                         last[end + 1] = i
         else:
-            best = [0.0] + [float("-inf")] * n
-            for end, (i, size) in self.automaton.iter(word):
-                value = best[end + 1 - size] + self.score[i]
-                if value > best[end + 1]:
-                    best[end + 1], last[end + 1] = value, i
+            self._relax(word, last)
         if n and last[n] < 0:
             return self._without_path(word)
         out: list[int] = []
         while n > 0:
-            out.append(last[n])
-            n -= len(self.piece[last[n]])
+            if (i := last[n]) == self.unknown:
+                out += [b for b in self._unknown(word[n - 1])[::-1] if out[-1:] != [self.unknown]]
+                n -= 1
+            else:
+                out.append(i)
+                n -= len(self.piece[i])
         return out[::-1]
 
+    def _relax(self, word: str, last: list[int]) -> None:
+        """Best sums of scores over all positions; a character that is no piece is a step of its own, worth less than any."""
+        best = [0.0] + [float("-inf")] * len(word)
+        alone = [False] * (len(word) + 1)  # positions where a piece of one character ends
+        score, settled = self.score, 0
+
+        def settle(stop: int) -> None:
+            nonlocal settled
+            while settled < stop:
+                settled += 1
+                if not alone[settled] and best[settled - 1] + self.unknown_score > best[settled]:
+                    best[settled], last[settled] = best[settled - 1] + self.unknown_score, self.unknown
+
+        for end, (i, size) in self.automaton.iter(word):
+            settle(end)
+            value = best[end + 1 - size] + score[i]
+            if value > best[end + 1]:
+                best[end + 1], last[end + 1] = value, i
+            if size == 1:
+                alone[end + 1] = True
+        settle(len(word))
+
+    def _unknown(self, c: str) -> list[int]:
+        own = [self.bytes[b] for b in c.encode()]
+        return own if min(own) >= 0 else [self.unknown]
+
     def _without_path(self, word: str) -> list[int]:
         """Where no path ends: characters that are no pieces of their own are written as bytes."""
         symbols = self.merge(word) if self.kind == "bpe" else list(word)

@@ -52,6 +52,64 @@ def test_unigram_paths_have_the_best_sum():
         assert sum(own.score[i] for i in ids) == pytest.approx(brute_viterbi(word, score))
 
 
+def with_model_type(path, kind):
+    """The model file with another number in field 3 of its trainer settings (field 2): 1 is unigram, 2 is BPE."""
+    data = bytearray(open(path, "rb").read())
+
+    def varint(at):
+        value = shift = 0
+        while True:
+            value |= (data[at] & 0x7F) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value, at
+
+    def fields(at, stop):
+        while at < stop:
+            tag, at = varint(at)
+            size = 0
+            if tag & 7 == 2:
+                size, at = varint(at)
+            yield tag >> 3, at, at + size
+            at = at + size if tag & 7 == 2 else varint(at)[1] if tag & 7 == 0 else at + (4 if tag & 7 == 5 else 8)
+
+    for number, a, b in list(fields(0, len(data))):
+        if number == 2:
+            for inner, at, _ in fields(a, b):
+                if inner == 3:
+                    data[at] = kind
+    return bytes(data)
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The same pieces as a unigram model, whose segmentation is the best sum of scores: nothing is trained."""
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(with_model_type(queries.tokenizer_path("piece_bpe_32k.model"), 1))
+    return str(path)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXT)
+def test_unigram_ids_equal_the_library(unigram, text):
+    own = pieces.pieces(unigram, "unigram")
+    assert own.encode(text).tolist() == own.sp.encode(text)
+    assert own.decode(own.encode(text)) == text.replace(pieces.MARK, " ")
+
+
+def test_unigram_paths_of_the_words_of_documents(spark, sf_dir, unigram):
+    """No word gets a path with a smaller sum than the library's, and nearly all get the same path."""
+    own = pieces.pieces(unigram, "unigram")
+    words = {w for r in queries.table(spark, sf_dir, "documents").select("text").collect() for w in (r.text or "").split()}
+    value = lambda ids: sum(own.score[i] for i in ids)
+    same = 0
+    for w in words:
+        ids, theirs = own.encode(w).tolist(), own.sp.encode(w)
+        assert value(ids) >= value(theirs) and own.decode(ids) == own.decode(theirs) == w
+        same += ids == theirs
+    assert same > 0.99 * len(words) > 1000
+
+
 def test_encode_and_decode_frames(spark):
     rows = [(1, "Hello  world\n", "x", 1, "y"), (2, None, None, None, None), (3, "", "", 0, ""), (None, "a", "", 0, ""), (1, "Hello  world\n", "x", 1, "y"), (4, "ab " * 20_000, "", 0, "")]
     docs = spark.createDataFrame(rows, DOCS)
