@@ -31,6 +31,15 @@ def keep(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _kept[key]
 
 
+def forget(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
+    """Drop what this session keeps, except the names given."""
+    own = [k for k in _kept if k[0] == spark.sparkContext.applicationId and k[-1] not in but]
+    for key in own:
+        kept = _kept.pop(key)
+        for path in kept.inputFiles()[:1] if isinstance(kept, DataFrame) else ():
+            shared.drop_path(spark, path.rsplit("/", 1)[0])
+
+
 def state(spark: SparkSession, folder: str) -> tuple:
     """Names, sizes and times of what lies in a folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
