@@ -538,8 +538,13 @@ def test_stage_drops_what_is_alike_in_five_word_shingles(spark):
         texts.append(" ".join(w))
     texts += [" ".join(f"v{rng.randrange(900)}" for _ in range(n)) for n in (1, 4, 5, 6, 300)] + ["", None, "a b", "A  b"]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()}
     root = brute_copies(texts)
+    for bound, chunk in ((200, 3), (3000, 50)):  # clusters that are too large for a task, in small blocks and parts
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(cp.nearcopies, "CLUSTER_BYTES", bound)
+            m.setattr(cp.nearcopies, "CHUNK", chunk)
+            assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()} == set(root)
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(root) and len(kept) < len(texts) - 20
     assert cp.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
