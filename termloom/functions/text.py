@@ -24,14 +24,17 @@ def analyzed(text: Column, stopwords: Sequence[str] | None = STOPWORDS) -> Colum
     return F.filter(found, lambda t: ~t.isin(list(stopwords))) if stopwords else found
 
 
-def counted(found: Column) -> Column:
-    """Distinct tokens with their number of occurrences, as an array of (term, tf), from an array of tokens."""
-    ordered = F.array_sort(found)
+def counted(ordered: Column) -> Column:
+    """Distinct tokens with their number of occurrences, as an array of (term, tf).
+
+    ``ordered`` must be a column of sorted tokens and not an expression that makes one: a
+    lambda computes what it refers to anew for each element.
+    """
     places = F.sequence(F.lit(1), F.size(ordered))
     starts = F.filter(places, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
     ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(ordered) + 1))
     runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
-    return F.when(F.size(found) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+    return F.when(F.size(ordered) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
 def whitespace_tokens(text: Column) -> Column:
