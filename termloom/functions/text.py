@@ -24,17 +24,20 @@ def analyzed(text: Column, stopwords: Sequence[str] | None = STOPWORDS) -> Colum
     return F.filter(found, lambda t: ~t.isin(list(stopwords))) if stopwords else found
 
 
-def counted(ordered: Column) -> Column:
-    """Distinct tokens with their number of occurrences, as an array of (term, tf).
+def counted(df: DataFrame, ordered: str, into: str) -> DataFrame:
+    """``df`` with a column of the distinct tokens and their numbers of occurrences, an array of (term, tf).
 
-    ``ordered`` must be a column of sorted tokens and not an expression that makes one: a
-    lambda computes what it refers to anew for each element.
+    ``ordered`` names a column of sorted tokens. The starts of runs are a column of their
+    own for the same reason as it: lambdas are not compiled, so what is written in one, or
+    more than once, is computed as often.
     """
-    places = F.sequence(F.lit(1), F.size(ordered))
-    starts = F.filter(places, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(ordered) + 1))
-    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
-    return F.when(F.size(ordered) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+    tokens_, starts = F.col(ordered), f"{into}_starts"
+    places = F.sequence(F.lit(1), F.size(tokens_))
+    first_of_run = F.filter(places, lambda i: (i == 1) | (F.get(tokens_, i - 1) != F.get(tokens_, i - 2)))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(tokens_) + 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(tokens_, a - 1).alias("term"), (b - a).cast("long").alias("tf")))
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return df.withColumn(starts, first_of_run).withColumn(into, F.when(F.size(tokens_) > 0, runs).otherwise(none)).drop(starts)
 
 
 def whitespace_tokens(text: Column) -> Column:

@@ -76,8 +76,8 @@ def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     if max_docs is not None:
         rows = rows.orderBy("doc_id").limit(max_docs)
-    found = rows.select("doc_id", F.array_sort(T.analyzed(F.col("text"), stopwords)).alias("ordered"))
-    return found.select("doc_id", F.size("ordered").cast("long").alias("dl"), T.counted(F.col("ordered")).alias("counts"))
+    found = rows.select("doc_id", F.sort_array(T.analyzed(F.col("text"), stopwords)).alias("ordered"))
+    return T.counted(found, "ordered", "counts").select("doc_id", F.size("ordered").cast("long").alias("dl"), "counts")
 
 
 def _of_forward(documents: DataFrame, stemmed: bool) -> Index:
