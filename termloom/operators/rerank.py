@@ -46,14 +46,23 @@ def query_vectors(query_terms: DataFrame, importance: DataFrame, encoder: Encode
     return both.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_vectors).select(*keys, "n", "part", "term", "weight", "vec")
 
 
-def document_matrix(docs: DataFrame, wanted: DataFrame, encoder: Encoder, max_tokens: int = MAX_DOC_TOKENS) -> DataFrame:
-    """(doc_id, vecs): the distinct token vectors of wanted documents; repeats cannot change a maximum."""
+def document_matrix(docs: DataFrame, wanted: DataFrame, encoder: Encoder, max_tokens: int = MAX_DOC_TOKENS, sentences: DataFrame | None = None) -> DataFrame:
+    """(doc_id, vecs): the distinct token vectors of wanted documents; repeats cannot change a maximum.
+
+    A document none of whose tokens has a vector takes its own of ``sentences`` (doc_id,
+    vec) where that is given, and is left out otherwise.
+    """
     own = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     terms = T.token_rows(own, "doc_id", limit=max_tokens).select("doc_id", "term").distinct()
-    return terms.join(encoder(terms), "term").groupBy("doc_id").agg(F.collect_list("vec").alias("vecs"))
+    found = terms.join(encoder(terms), "term").groupBy("doc_id").agg(F.collect_list("vec").alias("vecs"))
+    if sentences is None:
+        return found
+    every = own.select("doc_id").distinct().join(found, "doc_id", "left").join(sentences.select("doc_id", "vec"), "doc_id", "left")
+    lone = F.when(F.col("vec").isNotNull(), F.array("vec"))
+    return every.select("doc_id", F.coalesce("vecs", lone).alias("vecs")).filter("vecs is not null")
 
 
-def term_similarities(candidates: DataFrame, terms: DataFrame, docs: DataFrame, encoder: Encoder, max_tokens: int = MAX_DOC_TOKENS) -> DataFrame:
+def term_similarities(candidates: DataFrame, terms: DataFrame, docs: DataFrame, encoder: Encoder, max_tokens: int = MAX_DOC_TOKENS, sentences: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, term, similarity): the largest dot product of a term's vector with a document's vectors.
 
     ``terms`` is (qid, term). The products of one candidate are one matrix product over
@@ -62,7 +71,7 @@ def term_similarities(candidates: DataFrame, terms: DataFrame, docs: DataFrame,
     asked = terms.select("qid", "term").distinct()
     matrix = asked.join(encoder(asked), "term").groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("vec").alias("query_vecs"))
     wanted = candidates.select("qid", "doc_id")
-    rows = wanted.join(document_matrix(docs, wanted, encoder, max_tokens), "doc_id").join(matrix, "qid")
+    rows = wanted.join(document_matrix(docs, wanted, encoder, max_tokens, sentences), "doc_id").join(matrix, "qid")
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
 
     def products(batches):
@@ -123,16 +132,16 @@ def score_parts(candidates: DataFrame, query_tokens: DataFrame, features: DataFr
     return joined.select("qid", "doc_id", "first_score", total.alias("base"), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
 
 
-def rerank(candidates: DataFrame, query_terms: DataFrame, importance: DataFrame, docs: DataFrame, encoder: Encoder, top_k: int = 100, keys: list[str] | None = None, similarities: DataFrame | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, query_terms: DataFrame, importance: DataFrame, docs: DataFrame, encoder: Encoder, top_k: int = 100, keys: list[str] | None = None, similarities: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
     """(keys..., rank, doc_id, score) of the candidates (qid, doc_id, score).
 
-    A candidate that has no vectors keeps its first-stage score.
+    A candidate that has no vectors, nor one of ``sentences``, keeps its first-stage score.
     """
     keys = keys or ["qid"]
     vectors = query_vectors(query_terms, importance, encoder, keys)
     if similarities is None:
         terms = query_terms.select("qid", "term").unionByName(importance.select("qid", "term"))
-        similarities = term_similarities(candidates, terms, docs, encoder)
+        similarities = term_similarities(candidates, terms, docs, encoder, sentences=sentences)
     new = scores(vectors, similarities, keys)
     base = candidates.select("qid", "doc_id", F.col("score").alias("first_score"))
     if len(keys) > 1:
@@ -158,3 +167,12 @@ def explain(vectors: DataFrame) -> DataFrame:
     pick = lambda part: F.transform(F.filter("r", lambda x: x["part"] == part), lambda x: x["term"])
     weights = F.transform(F.filter("r", lambda x: x["part"] == 1), lambda x: F.round(x["weight"], 6))
     return grouped.select("qid", pick(0).alias("own_terms"), pick(1).alias("expansion_terms"), weights.alias("weights"), F.size("r").alias("n_vectors"))
+
+
+def model_info(vectors: DataFrame, candidates: DataFrame, max_vectors: int = MAX_VECTORS, max_tokens: int = MAX_DOC_TOKENS) -> DataFrame:
+    """One row on what a reranking takes: queries, query vectors, most of one query, candidates, documents and the limits."""
+    per_query = vectors.groupBy("qid").agg(F.count("*").alias("n"))
+    asked = per_query.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_vectors"), F.coalesce(F.max("n"), F.lit(0)).alias("most_vectors"))
+    found = candidates.agg(F.count("*").alias("n_candidates"), F.countDistinct("doc_id").alias("n_documents"))
+    limits = (F.lit(max_vectors).cast("long").alias("max_vectors"), F.lit(max_tokens).cast("long").alias("max_tokens"))
+    return asked.crossJoin(found).select("*", *limits)  # one row each

@@ -344,4 +344,21 @@ _STATEMENTS: dict[str, str] = {
     "id_shape": f"SELECT count(*) AS n, {rnd(chr(97) + 'vg(regexp_matches(id, ' + repr('[A-Za-z]') + ')::INT)')} AS with_letters, {rnd('avg(regexp_matches(id, ' + repr('^[0-9]+$') + ')::INT)')} AS all_digits FROM (SELECT unnest([doc_id::VARCHAR, source, lang]) AS id FROM documents)",
 }
 
+_STATEMENTS["rerank_info"] = f"""SELECT v.*, c.*, 64::BIGINT AS max_vectors, 512::BIGINT AS max_tokens
+    FROM (SELECT count(*) AS n_queries, sum(own_n)::BIGINT AS n_vectors, max(own_n) AS most_vectors FROM (SELECT qid, count(*) AS own_n FROM ({_STATEMENTS['query_vectors']}) GROUP BY qid)) v,
+    (SELECT count(*) AS n_candidates, count(DISTINCT doc_id) AS n_documents FROM top20) c"""
+
 ORACLE_SQL: dict[str, str] = {name: sql(statement) for name, statement in _STATEMENTS.items()}
+
+ORACLE_SQL["subword_ids"] = f"""WITH RECURSIVE known AS (SELECT DISTINCT unnest({_TOKENS}) AS t FROM benchmark),
+    vocabulary AS (SELECT DISTINCT piece, ('0x' || substr(md5(piece), 1, 8))::BIGINT AS id FROM (SELECT CASE WHEN i > 0 THEN '##' ELSE '' END || substr(t, (i * wide + 1)::BIGINT, wide) AS piece
+        FROM (SELECT t, wide, unnest(range(greatest(1, ceil(length(t) / wide::DOUBLE))::BIGINT)) AS i FROM known CROSS JOIN (VALUES (2), (4)) w(wide)))),
+    spoken AS (SELECT key, unnest(range(len(toks))) AS pos, unnest(toks) AS term FROM (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS key, {_TOKENS} AS toks FROM conversations)),
+    words AS (SELECT DISTINCT term FROM spoken WHERE length(term) <= 100),
+    cuts AS (SELECT term, start, unnest(range(1, least(4, length(term) - start + 1) + 1)) AS size FROM (SELECT term, unnest(range(1, length(term) + 1)) AS start FROM words)),
+    longest AS (SELECT term, start, max(size) AS size, arg_max(piece, size) AS piece, arg_max(id, size) AS id
+        FROM cuts JOIN vocabulary ON piece = CASE WHEN start > 1 THEN '##' ELSE '' END || substr(term, start, size) GROUP BY term, start),
+    walk AS (SELECT term, 1::BIGINT AS next, []::VARCHAR[] AS pieces, []::BIGINT[] AS ids FROM words
+        UNION ALL SELECT w.term, w.next + l.size, list_append(w.pieces, l.piece), list_append(w.ids, l.id) FROM walk w JOIN longest l ON l.term = w.term AND l.start = w.next)
+    SELECT key, pos::BIGINT AS pos, term, piece_no::BIGINT AS piece_no, piece, id FROM spoken
+    JOIN (SELECT term, unnest(range(len(pieces))) AS piece_no, unnest(pieces) AS piece, unnest(ids) AS id FROM walk WHERE next = length(term) + 1) USING (term)"""

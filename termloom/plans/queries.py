@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
 from termloom.functions import text as T
-from termloom.operators import bm25, crossval, evaluation, expansion, importance, index, metrics, optimize, rerank, similarity
+from termloom.operators import bm25, crossval, evaluation, expansion, importance, index, metrics, optimize, rerank, similarity, subwords
 from termloom.plans.workload import CANDIDATES, DIM, EXPANSION_TERMS, WEIGHTS, Workload
 from termloom.sources import records, trec
 
@@ -51,6 +51,17 @@ def subword_merge(w: Workload) -> DataFrame:
     return T.merge_subwords(turns, "key").select("key", F.col("word_idx").cast("long").alias("word_idx"), "word", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
 
 
+@query
+def subword_ids(w: Workload) -> DataFrame:
+    """Tokens of conversations in pieces of a vocabulary, which is made of the queries' tokens in pieces of 2 and of 4."""
+    asked = T.token_rows(w.items, "qid").select("term").distinct()
+    made = asked.select(F.explode(F.concat(T.subwords(F.col("term"), 2), T.subwords(F.col("term"), 4))).alias("piece")).distinct()
+    vocabulary = made.withColumn("id", F.conv(F.substring(F.md5("piece"), 1, 8), 16, 10).cast("long"))
+    turns = w.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    found = subwords.encoded(T.token_rows(turns, "key"), vocabulary, "key")
+    return found.select("key", F.col("pos").cast("long").alias("pos"), "term", F.col("piece_no").cast("long").alias("piece_no"), "piece", "id")
+
+
 @query
 def collection_scan(w: Workload) -> DataFrame:
     """Every row of documents (its text under ``text``) and of pages (its html under ``body``)."""
@@ -312,6 +323,11 @@ def query_vectors_explain(w: Workload) -> DataFrame:
     return told.select("qid", F.array_join("own_terms", " ").alias("own_terms"), F.array_join("expansion_terms", " ").alias("expansion_terms"), "n_vectors")
 
 
+@query
+def rerank_info(w: Workload) -> DataFrame:
+    return rerank.model_info(rerank.query_vectors(w.query_tokens, _importance(w), w.encoder), w.run(CANDIDATES))
+
+
 @query
 def rerank_topk(w: Workload) -> DataFrame:
     return w.reranked.select("qid", "rank", "doc_id", *r("score"))

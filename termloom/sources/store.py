@@ -12,6 +12,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.sources import trec
+
 TABLES = ("queries", "qrels", "documents", "features", "expansion_terms", "statistics")
 
 
@@ -49,11 +51,18 @@ def load_training_set(spark: SparkSession, path: str) -> tuple[dict[str, DataFra
     return tables, load_json(spark, f"{path}/metadata") if exists(spark, f"{path}/metadata") else {}
 
 
-def save_experiment(spark: SparkSession, base: str, name: str, runs: DataFrame, results: DataFrame, weights: tuple | None = None, summary: dict | None = None) -> str:
-    """A folder with a time in its name: runs by run_name, results, weights, summary."""
+def save_experiment(spark: SparkSession, base: str, name: str, runs: DataFrame, results: DataFrame, weights: tuple | None = None, summary: dict | None = None, evaluations: DataFrame | None = None) -> str:
+    """A folder with a time in its name: runs by run_name as tables and as lines, results, weights, summary.
+
+    ``evaluations`` is what each run reached, for instance (run_name, qid, metric, value).
+    """
     path = f"{base}/{name}_{datetime.datetime.now():%Y%m%d_%H%M%S}"
     runs.write.partitionBy("run_name").parquet(f"{path}/runs")
+    ordered = runs.repartitionByRange("run_name", "qid").sortWithinPartitions("run_name", "qid", "rank")
+    ordered.select("run_name", trec.run_line(F.col("run_name")).alias("value")).write.partitionBy("run_name").text(f"{path}/run_lines")
     results.write.parquet(f"{path}/results")
+    if evaluations is not None:
+        evaluations.write.partitionBy("run_name").parquet(f"{path}/evaluations")
     if weights:
         save_weights(spark, weights, f"{path}/weights")
     save_json(spark, summary or {}, f"{path}/summary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
@@ -22,9 +22,14 @@ def parse_qrels(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.select(f.alias("f")).filter(F.size("f") >= 4).select(F.col("f")[0].alias("qid"), F.col("f")[2].alias("doc_id"), F.col("f")[3].cast("int").alias("rel"))
 
 
+def run_line(tag: Column | str) -> Column:
+    """``qid Q0 doc rank score tag`` with six decimals."""
+    return F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), N.fixed(F.col("score"), 6), F.lit(tag))
+
+
 def run_lines(run: DataFrame, tag: str = "run") -> DataFrame:
-    """(value): ``qid Q0 doc rank score tag`` with six decimals."""
-    return run.select(F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), N.fixed(F.col("score"), 6), F.lit(tag)).alias("value"))
+    """(value): one line a row."""
+    return run.select(run_line(tag).alias("value"))
 
 
 def qrels_lines(qrels: DataFrame) -> DataFrame:

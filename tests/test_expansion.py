@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import stem
 from termloom.functions import text as T
-from termloom.operators import bm25, expansion, index
+from termloom.operators import bm25, expansion, index, subwords
 
 DOCS = [
     ("d1", "machine learning algorithms build models from data"),
@@ -51,6 +51,16 @@ def test_subwords_are_merged_with_exclusive_ends(spark):
     assert [(r.word, r.word_idx, r.start_pos, r.end_pos) for r in rows] == [("playing", 0, 0, 2), ("chess", 1, 2, 3)]
 
 
+def test_terms_are_cut_into_the_longest_pieces(spark):
+    vocabulary = spark.createDataFrame([("un", 1), ("una", 2), ("##aff", 3), ("##a", 4), ("##ble", 5), ("a", 6), ("##ff", 7)], "piece string, id int")
+    terms = spark.createDataFrame([("unaffble",), ("unaffx",), ("unaff",), ("a",), ("a",), ("",), (None,), ("a" * 101,)], "term string")
+    got = {r.term: (r.pieces, r.ids) for r in subwords.pieces(terms, vocabulary).collect()}
+    assert got == {"unaffble": (["una", "##ff", "##ble"], [2, 7, 5]), "unaff": (["una", "##ff"], [2, 7]), "a": (["a"], [6])}
+    assert subwords.pieces(terms, vocabulary.limit(0)).count() == 0 and subwords.pieces(terms.limit(0), vocabulary).count() == 0
+    rows = spark.createDataFrame([("k", 0, "a"), ("k", 1, "zz"), ("k", 2, "unaff")], "key string, pos int, term string")
+    assert sorted(tuple(r) for r in subwords.encoded(rows, vocabulary, "key").collect()) == [("k", 0, "a", 0, "a", 6), ("k", 2, "unaff", 0, "una", 2), ("k", 2, "unaff", 1, "##ff", 7)]
+
+
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([("a", "x x y z"), ("b", "y y z z"), ("c", "z z z y")], "doc_id string, text string")
     row = bm25.search(index.build_index(docs), terms(spark, q="x"), 10).collect()

@@ -56,8 +56,11 @@ def test_store_round_trips(spark, tmp_path):
     store.save_folds(folds, f"{base}/f")
     assert {tuple(r) for r in store.load_folds(spark, f"{base}/f").collect()} == {("f", "training", "1"), ("f", "testing", "2")}
     runs = spark.createDataFrame([("r", "q", "d", 1, 0.5)], "run_name string, qid string, doc_id string, rank int, score double")
-    path = store.save_experiment(spark, base, "exp", runs, queries, (1.0, 1.0, 1.0), {"ok": True})
+    reached = spark.createDataFrame([("r", "map", 0.5)], "run_name string, metric string, value double")
+    path = store.save_experiment(spark, base, "exp", runs, queries, (1.0, 1.0, 1.0), {"ok": True}, reached)
     assert store.load_json(spark, f"{path}/summary") == {"ok": True} and spark.read.parquet(f"{path}/runs").count() == 1
+    assert [r.value for r in spark.read.text(f"{path}/run_lines/run_name=r").collect()] == ["q Q0 d 1 0.500000 r"]
+    assert spark.read.parquet(f"{path}/evaluations").first().run_name == "r"
     with pytest.raises(ValueError):
         store.save_training_set(spark, f"{base}/x", other=queries)
 

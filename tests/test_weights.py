@@ -102,6 +102,11 @@ def test_maxsim_by_hand(spark):
     candidates = spark.createDataFrame([("q", 1, 0.5), ("q", 2, 0.4)], "qid string, doc_id long, score double")
     got = {r.doc_id: r.score for r in rerank.rerank(candidates, query, own, docs, fixed).collect()}
     assert got[1] == pytest.approx(3.8) and got[2] == pytest.approx(0.4)
+    whole = spark.createDataFrame([(1, [9.0, 9.0]), (2, [0.0, 3.0])], "doc_id long, vec array<double>")
+    got = {r.doc_id: r.score for r in rerank.rerank(candidates, query, own, docs, fixed, sentences=whole).collect()}
+    assert got[1] == pytest.approx(3.8) and got[2] == pytest.approx(3.0)  # 2 takes its own vector: a 0, b 3, a 0
+    info = rerank.model_info(rerank.query_vectors(query, own, fixed), candidates).first()
+    assert tuple(info) == (1, 3, 3, 2, 2, 64, 512)
     parts = rerank.explain(rerank.query_vectors(query, own, fixed)).first()
     assert parts.own_terms == ["a", "b"] and parts.expansion_terms == ["a"] and parts.n_vectors == 3
 
