@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import licenses, quality
+from termloom.llm import conversations, divergence, licenses, quality
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -139,4 +139,100 @@ FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near ON near.dir = f.dir
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op9_quality_rules": _op9(), "op10_licenses": _op10()}
+def _crc32(expr: str) -> str:
+    """The usual checksum of a text of ASCII characters, bit by bit."""
+    byte = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({expr}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+def _op12() -> str:
+    cost, word = {"R": conversations.REROLE, "D": conversations.DELETE, "I": conversations.INSERT, "t": conversations.CUT_OFF}, "[^\\x20\\x09-\\x0D]"
+    then, wants = (2, 2, 3, 2), "uuau"
+
+    def way(state: int) -> str:
+        options = [f"{{'c': s{state}.c + {cost['D']}, 'a': 'D' || s{state}.a}}"]
+        rest = f"s{then[state]}"
+        options.append(f"{{'c': CASE WHEN known = 'd' THEN 1000000000000 ELSE {rest}.c + {cost['R']} + late END, 'a': 'R' || {rest}.a}}")
+        options.append(f"{{'c': CASE WHEN known = '{wants[state]}' THEN {rest}.c + late ELSE 1000000000000 END, 'a': 'K' || {rest}.a}}")
+        if state == 0:
+            options.append("{'c': CASE WHEN known = 's' THEN s1.c + late ELSE 1000000000000 END, 'a': 'K' || s1.a}")
+        return f"list_min([{', '.join(options)}])"
+
+    insert = lambda s: f"{{'c': {s}.c + {cost['I']}, 'a': 'I' || {s}.a}}"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations
+), r AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE code WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM t WHERE code <> 0
+), f AS (
+  SELECT *, row_number() OVER w AS n, lag(role[1]) OVER w || role[1] AS pair, regexp_extract(text, '({word})[\\x20\\x09-\\x0D]*$', 1, 's') AS last,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), k AS (
+  SELECT *, CASE WHEN last = '' THEN 'b' WHEN dup THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS dup FROM f)
+), told AS (
+  SELECT conv_id, count(n) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv_id
+), s AS (
+  SELECT k.conv_id, n, rows, CASE WHEN fault IN ('b', 'd') THEN 'd' WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS known, CASE fault WHEN 't' THEN {cost['t']} ELSE 0 END AS late
+  FROM k JOIN told ON k.conv_id IS NOT DISTINCT FROM told.conv_id
+), dp AS (
+  SELECT conv_id, rows + 1 AS n, {{'c': 0, 'a': ''}} AS s0, {{'c': {2 * cost['I']}, 'a': 'II'}} AS s1, {{'c': {cost['I']}, 'a': 'I'}} AS s2, {{'c': 0, 'a': ''}} AS s3 FROM told
+  UNION ALL
+  SELECT conv_id, n, list_min([b0, {insert('i2')}]), list_min([b1, {insert('i2')}]), i2, list_min([b3, {insert('b2')}]) FROM (
+    SELECT *, list_min([b2, {insert('b3')}]) AS i2 FROM (
+      SELECT dp.conv_id, s.n, {way(0)} AS b0, {way(1)} AS b1, {way(2)} AS b2, {way(3)} AS b3 FROM dp JOIN s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.n = dp.n - 1))
+), a AS (
+  SELECT conv_id, s0.c::BIGINT AS cost, s0.a AS audit FROM dp WHERE n = 1
+), e AS (
+  SELECT conv_id, p, audit[p] AS edit, length(regexp_replace(audit[1 : p], 'I', '', 'g')) AS n, length(regexp_replace(audit[1 : p], 'D', '', 'g')) AS place FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM a)
+), o AS (
+  SELECT e.conv_id, p, CASE WHEN edit = 'K' THEN role WHEN (place - coalesce(max(CASE WHEN place = 1 AND edit = 'K' AND role[1] = 's' THEN 1 END) OVER (PARTITION BY e.conv_id), 0)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE edit WHEN 'I' THEN '' ELSE text END AS line
+  FROM e LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM e.conv_id AND k.n = e.n WHERE edit <> 'D'
+), h AS (
+  SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY p)) AS repaired_sha256 FROM o GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row_id) >= {divergence.MIN_DOCS}
+), langs AS (
+  SELECT lang, sum(n)::HUGEINT + count(*) AS total FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), totals AS (
+  SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT AS own FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + ({divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + 1)) // (own + v) AS p
+  FROM totals JOIN (SELECT lang, term, count(*) OVER (PARTITION BY lang) AS v FROM kept) USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + ({divergence.SCALE}::HUGEINT * (n + 1)) // total AS q FROM kept JOIN langs USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), term AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    UNION ALL SELECT lang, source, 'term', item, value FROM term)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2, "op9_quality_rules": _op9(), "op10_licenses": _op10(), "op12_conversations": _op12(), "op13_divergence": OP13}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, html_text, langid, licenses, pieces, quality, simhash, substrings, token_ids, toxicity
+from termloom.llm import best_fit, conversations, decontaminate, divergence, html_text, langid, licenses, pieces, quality, simhash, substrings, token_ids, toxicity
 from termloom.llm.oracle import ORACLE_SQL  # noqa: F401  the SQL beside the queries
 
 
@@ -87,6 +87,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), *found.columns)
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit.pack(best_fit.cut(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = conversations.damaged(turns)
+    answers = conversations.cheapest_edits(conversations.signatures(rows, turns))
+    return conversations.digests(rows, answers).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_quality_rules,
         op10_licenses,
+        op11_best_fit,
+        op12_conversations,
+        op13_divergence,
     )
 
 }
