@@ -195,7 +195,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = pieces.sparkSession.sparkContext.broadcast(steps)
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = by_task.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    numbered = pieces.join(before, ["task", "length"]).withColumn("number", F.col("before") + F.col("nth")).drop("before", "nth", "task")
+    numbered = pieces.join(before, ["task", "length"])
+    numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("before") + F.col("nth")).alias("number"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = shared.value
