@@ -29,7 +29,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{o.replace('_', '-')}", default=default, type=type(default) if default is not None else str)
         return c
 
-    command("create-index", "collection", "index", max_docs=0, stemmer="none", buckets=index.BUCKETS)
+    command("create-index", "collection", "index", max_docs=0, stemmer="none", buckets=0)
     command("index-stats", "index", k1=bm25.K1, b=bm25.B)
     command("search", "index", "queries", "output", k=1000, k1=bm25.K1, b=bm25.B, tag="bm25")
     command("expand", "index", "collection", "queries", "output", model="rm3", terms=expansion.TERMS, feedback=expansion.FEEDBACK_DOCS)
@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"termloom-{a.command}").getOrCreate()
     with files.timed(a.command, spark):
         if a.command == "create-index":
-            built = index.write_index(records.collection(records.read(spark, a.collection)), a.index, max_docs=a.max_docs or None, stemmed=a.stemmer == "porter", buckets=a.buckets)
+            built = index.write_index(records.collection(records.read(spark, a.collection)), a.index, max_docs=a.max_docs or None, stemmed=a.stemmer == "porter", buckets=a.buckets or None)
             log.info("valid: %s", index.validate_index(built).first().asDict())
         elif a.command == "index-stats":
             log.info("%s", index.index_statistics(index.open_index(spark, a.index)).first().asDict() | index.index_settings(spark, a.index, a.k1, a.b).first().asDict())

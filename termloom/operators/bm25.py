@@ -3,6 +3,15 @@
 Document lengths are exact. Scores are ranked after rounding to 9 places, ties by the
 smaller doc_id, so that the order does not depend on how sums were grouped. Terms are
 those of the index's analyser: a stop word is in no posting and scores 0.
+
+The best documents of a query are found without scoring every posting of its terms.
+The postings of its rarest terms name documents whose whole scores, taken from the forward
+table, give a score that the best must reach. Terms that together cannot reach it are not
+essential: a document needs an essential term, so only their postings are read, and a
+document stays if its sum can still reach the threshold with the largest parts of the
+other terms, first of the whole collection, then of its block of documents. What stays is scored
+whole. This gives the same rows as summing over all postings, which is what is done where
+an index has no maxima, or where so many documents are wanted that little could be left out.
 """
 
 from __future__ import annotations
@@ -12,20 +21,30 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as T
 from termloom.functions.stem import stems
-from termloom.operators.index import Index
+from termloom.operators.index import K1, B, Index, positions, tf_part
+from termloom.sources import shared
+
+
+
+#: Postings of all queries, and for each wanted document of a query, from which on leaving some out pays for its extra jobs.
+PRUNE_FROM, PRUNE_EACH = 20_000_000, 500
+#: Postings of rare terms that name the documents for the threshold, at least; documents that are scored for it, a wanted one.
+SEED_POSTINGS, SEED_DOCS = 2000, 10
+#: Sums may differ in their last bits.
+_SLACK = 1e-6
 
-K1, B = 1.2, 0.75
+
+def idf() -> Column:
+    return F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
 def formula(k1: Column | float = K1, b: Column | float = B) -> Column:
-    k1, b = (x if isinstance(x, Column) else F.lit(float(x)) for x in (k1, b))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return idf * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
+    return idf() * tf_part(k1, b, F.col("avgdl"))
 
 
 def term_scores(index: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(term, doc_id, score) of every document with one of the terms."""
-    return index.of_terms(terms).crossJoin(F.broadcast(index.collection)).select("term", "doc_id", formula(k1, b).alias("score"))
+    return index.with_size(index.of_terms(terms)).select("term", "doc_id", formula(k1, b).alias("score"))
 
 
 def ranked(df: DataFrame, keys: list[str], k: int | None = None, score: str = "score") -> DataFrame:
@@ -35,14 +54,75 @@ def ranked(df: DataFrame, keys: list[str], k: int | None = None, score: str = "s
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def search(index: Index, query_terms: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, rank, doc_id, score): any term may match, a repeated query term counts each time."""
+def search(index: Index, query_terms: DataFrame, k: int = 10, k1: float = K1, b: float = B, prune_from: int | None = PRUNE_FROM) -> DataFrame:
+    """(qid, rank, doc_id, score): any term may match, a repeated query term counts each time.
+
+    From ``prune_from`` postings on it leaves out what cannot matter; None never does.
+    """
+    if prune_from is not None and index.maxima is not None:
+        wanted, _ = shared.materialize(weights(index, query_terms, k1, b), "query-weights")
+        postings, queries = wanted.agg(F.sum("df"), F.countDistinct("qid")).first()
+        if (postings or 0) >= prune_from and (not prune_from or postings >= PRUNE_EACH * k * queries):
+            return pruned_search(index, wanted, k, k1, b)
     weighted = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
     scored = weighted.join(term_scores(index, query_terms, k1, b), "term")
     summed = scored.groupBy("qid", "doc_id").agg(F.sum(F.col("times") * F.col("score")).alias("score"))
     return ranked(summed, ["qid"], k).select("qid", "rank", "doc_id", "score")
 
 
+def weights(index: Index, query_terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, term, weight, df, most): times * idf of the terms that occur, and the most that a document gets for one."""
+    times = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
+    found = index.with_size(index.stats_of(query_terms)).join(times, "term")
+    bound = F.col("best") if (k1, b) == (K1, B) else tf_part(k1, b, F.col("avgdl"), "max_tf", "min_dl")
+    weight = F.col("times") * idf()
+    return found.select("qid", "term", weight.alias("weight"), "df", (weight * bound).alias("most"))
+
+
+def score_documents(index: Index, wanted: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc_id, score) of pairs (qid, doc_id), from the forward table; ``wanted`` has qid, term and weight."""
+    asked, own = pairs.select("qid", "doc_id"), wanted.select("qid", "term", "weight")
+    terms = index.of_documents(asked).select("doc_id", "dl", F.inline("counts")).join(own.select("term").distinct(), "term", "left_semi")
+    parts = index.with_size(terms).select("doc_id", "term", tf_part(k1, b, F.col("avgdl")).alias("part"))
+    joined = parts.join(asked, "doc_id").join(own, ["qid", "term"])
+    return joined.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+def essential_terms(index: Index, wanted: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """``wanted`` with ``least``, the score that the k best reach at least, ``essential``, and ``rest``, the most of all other terms."""
+    by_df = Window.partitionBy("qid").orderBy("df", "term")
+    seeds = wanted.withColumn("before", F.sum("df").over(by_df) - F.col("df")).filter(F.col("before") < max(SEED_POSTINGS, SEED_DOCS * k))
+    found = index.with_size(index.of_terms(seeds)).select("term", "doc_id", tf_part(k1, b, F.col("avgdl")).alias("part")).join(seeds, "term")
+    sums = found.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    named, _ = shared.materialize(ranked(sums, ["qid"], SEED_DOCS * k).select("qid", "doc_id"), "seeds")
+    whole = ranked(score_documents(index, wanted, named, k1, b), ["qid"], k).filter(F.col("rank") == k)
+    least = whole.select("qid", (F.col("score") - _SLACK).alias("least"))
+    rising = Window.partitionBy("qid").orderBy("most", "term")
+    told = wanted.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    told = told.withColumn("essential", F.sum("most").over(rising) >= F.col("least"))
+    rest = F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(F.lit(0.0))).over(Window.partitionBy("qid"))
+    return told.withColumn("rest", rest)
+
+
+def pruned_search(index: Index, wanted: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """The rows of ``search`` from the ``weights`` of the queries' terms, without reading every posting."""
+    told, _ = shared.materialize(essential_terms(index, wanted, k, k1, b), "essential-terms")
+    return ranked(score_documents(index, wanted, candidates(index, told, k1, b), k1, b), ["qid"], k).select("qid", "rank", "doc_id", "score")
+
+
+def candidates(index: Index, told: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, doc_id) of every document that may reach its query's ``least``, from the postings of essential terms and maxima of the others."""
+    essential, others = told.filter("essential"), told.filter("not essential")
+    found = index.with_size(index.of_terms(essential, "block")).select("term", "doc_id", "block", tf_part(k1, b, F.col("avgdl")).alias("part"))
+    mine = found.join(essential, "term").groupBy("qid", "doc_id", "block")
+    sums = mine.agg(F.sum(F.col("weight") * F.col("part")).alias("sum"), F.first("least").alias("least"), F.first("rest").alias("rest"))
+    sums = sums.filter(F.col("sum") + F.col("rest") >= F.col("least"))
+    maxima = index.with_size(index.maxima_of(others)).select("term", "block", tf_part(k1, b, F.col("avgdl"), "max_tf", "min_dl").alias("most_part"))
+    rooms = maxima.join(others, "term").groupBy("qid", "block").agg(F.sum(F.col("weight") * F.col("most_part")).alias("room"))
+    reaching = sums.join(rooms, ["qid", "block"], "left").filter(F.col("sum") + F.coalesce("room", F.lit(0.0)) >= F.col("least"))
+    return shared.materialize(reaching.select("qid", "doc_id"), "candidates")[0]
+
+
 def document_term_scores(index: Index, requests: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc_id, term, score) for requests (qid, doc_id, term).
 
@@ -67,16 +147,38 @@ def collection_term_scores(index: Index, terms: DataFrame, top: int = 10, k1: fl
     return asked.join(means, "term", "left").select("term", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def token_scores(index: Index, docs: DataFrame, requests: DataFrame, max_length: int = 512) -> DataFrame:
-    """(qid, doc_id, pos, score) of the document positions below ``max_length`` whose word scores for the query.
+def token_scores(index: Index, requests: DataFrame, max_length: int = 512) -> DataFrame:
+    """(qid, doc_id, pos, score) of the pieces below ``max_length`` of words that score for the query.
 
     ``requests`` has qid, doc_id and the query text; words are the query's between spaces.
+    Positions come from the index: each piece of a word's span has the word's score.
     """
     words = requests.select("qid", "doc_id", F.explode(T.whitespace_tokens(F.col("text"))).alias("term")).distinct()
     scores = document_term_scores(index, words).filter("score > 0")
-    wanted = docs.join(requests.select("doc_id").distinct(), "doc_id", "left_semi")
-    places = T.token_rows(wanted, "doc_id", limit=max_length)  # positions among all words
-    return scores.join(places, ["doc_id", "term"]).select("qid", "doc_id", "pos", "score")
+    rows = index.of_documents(requests).select("doc_id", F.inline(F.arrays_zip("counts", "widths", "starts")))
+    rows = rows.select("doc_id", F.col("counts.term").alias("token"), F.col("widths").alias("width"), "starts")
+    token = stems(F.col("term")) if index.stemmed else F.col("term")
+    places = positions(scores.withColumn("token", token).join(rows, ["doc_id", "token"]), "starts", "start").filter(F.col("start") < max_length)
+    spans = places.withColumn("pos", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("width"), F.lit(max_length)) - 1)))
+    # stems of several words of a query may be one token, and the larger score of a piece counts
+    return spans.groupBy("qid", "doc_id", F.col("pos").cast("int").alias("pos")).agg(F.max("score").alias("score"))
+
+
+def phrases(index: Index, queries: DataFrame) -> DataFrame:
+    """(qid, doc_id, n, first): where the terms of a query (qid, text) follow each other, how often and first at which place.
+
+    Stop words are in no place, so they part no terms. Only documents with the phrase's
+    rarest term are read further; a place counts as a start if every term is where it has to be from there.
+    """
+    terms = index.query_terms(queries).select("qid", F.col("pos").alias("offset"), "term")
+    found = index.stats_of(terms).select("term", "df").join(terms, "term")
+    rarest = found.groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    lengths = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
+    with_rarest = index.of_terms(rarest).join(rarest, "term").select("qid", "doc_id")
+    lists = index.of_terms(terms, "places").select("term", "doc_id", "places").join(terms, "term").join(with_rarest, ["qid", "doc_id"], "left_semi")
+    starts = positions(lists.select("qid", "doc_id", "offset", "places"), "places", "place").withColumn("start", F.col("place") - F.col("offset"))
+    whole = starts.groupBy("qid", "doc_id", "start").agg(F.count("*").alias("there")).join(lengths, "qid").filter(F.col("there") == F.col("wanted"))
+    return whole.groupBy("qid", "doc_id").agg(F.count("*").alias("n"), F.min("start").alias("first"))
 
 
 def dense_scores(sparse: DataFrame, max_length: int = 512) -> DataFrame:
@@ -93,7 +195,7 @@ def parameter_sweep(index: Index, query_terms: DataFrame, k1s: list[float], bs:
     """
     pairs = [(float(x), float(y)) for x in k1s for y in bs]
     weighted = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
-    found = index.of_terms(query_terms).crossJoin(F.broadcast(index.collection)).join(weighted, "term")
+    found = index.with_size(index.of_terms(query_terms)).join(weighted, "term")
     sums = found.groupBy("qid", "doc_id").agg(*(F.sum(F.col("times") * formula(x, y)).alias(f"s{i}") for i, (x, y) in enumerate(pairs)))
     rows = F.inline(F.array(*(F.struct(F.lit(x).alias("k1"), F.lit(y).alias("b"), F.col(f"s{i}").alias("score")) for i, (x, y) in enumerate(pairs))))
     return ranked(sums.select("qid", "doc_id", rows), ["k1", "b", "qid"], k).select("k1", "b", "qid", "rank", "doc_id", "score")

@@ -62,7 +62,7 @@ def ablation_from_feedback(queries: DataFrame, feedback: DataFrame, index: Index
     Queries without feedback are left out, as they have no expansion to weigh.
     """
     query_terms, tokens = index.query_terms(queries), T.token_rows(queries, "qid")
-    model = expansion.relevance_model(feedback, docs, stemmed=index.stemmed)
+    model = expansion.indexed_model(index, feedback)
     fed = feedback.select("qid").distinct()
     expanded = expansion.top_terms(expansion.with_query_terms(model, query_terms.join(fed, "qid", "left_semi")), terms)
     expanded, _ = shared.materialize(expanded, "ablation-expansion")

@@ -11,9 +11,10 @@ from termloom.functions import numbers as N
 from termloom.functions import text as T
 from termloom.functions.stem import stems
 from termloom.operators import bm25
-from termloom.operators.index import Index
+from termloom.operators.index import HEAD, Index
+from termloom.sources import shared
 
-FEEDBACK_DOCS, TERMS, MAX_TOKENS = 10, 20, 1000
+FEEDBACK_DOCS, TERMS, MAX_TOKENS = 10, 20, HEAD
 
 
 def document_weights(feedback: DataFrame) -> DataFrame:
@@ -42,7 +43,16 @@ def relevance_model(feedback: DataFrame, docs: DataFrame, max_tokens: int = MAX_
     rows = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
     if stemmed:
         rows = rows.withColumn("term", stems(F.col("term")))
-    shares = rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    return _weighted(feedback, rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")))
+
+
+def indexed_model(index: Index, feedback: DataFrame) -> DataFrame:
+    """``relevance_model`` from the index's counts of the first ``HEAD`` terms, without the texts."""
+    rows = index.of_documents(feedback).select("doc_id", F.least("dl", F.lit(HEAD)).alias("n"), F.inline(F.arrays_zip("counts", "heads")))
+    return _weighted(feedback, rows.select("doc_id", "n", "counts.term", F.col("heads").alias("tf")).filter("tf > 0"))
+
+
+def _weighted(feedback: DataFrame, shares: DataFrame) -> DataFrame:
     weighted = document_weights(feedback).join(shares, "doc_id")
     return weighted.groupBy("qid", "term").agg(F.sum(F.col("doc_weight") * F.col("tf") / F.col("n")).alias("weight"))
 
@@ -71,13 +81,21 @@ def without_query_terms(model: DataFrame, query_terms: DataFrame) -> DataFrame:
     return model.join(query_terms.select("qid", "term").distinct(), ["qid", "term"], "left_anti")
 
 
-def rm1(index: Index, docs: DataFrame, query_terms: DataFrame, feedback_docs: int = FEEDBACK_DOCS, k: int = TERMS, drop_query_terms: bool = False) -> DataFrame:
-    model = relevance_model(bm25.search(index, query_terms, feedback_docs), docs, stemmed=index.stemmed)
+def _feedback_model(index: Index, docs: DataFrame | None, query_terms: DataFrame, feedback_docs: int, max_tokens: int) -> DataFrame:
+    feedback = bm25.search(index, query_terms, feedback_docs)
+    if max_tokens == HEAD:
+        return indexed_model(index, shared.materialize(feedback, "feedback")[0])
+    return relevance_model(feedback, docs, max_tokens, index.stemmed)
+
+
+def rm1(index: Index, docs: DataFrame | None, query_terms: DataFrame, feedback_docs: int = FEEDBACK_DOCS, k: int = TERMS, drop_query_terms: bool = False, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """``docs`` are read only if ``max_tokens`` is not what the index has counted."""
+    model = _feedback_model(index, docs, query_terms, feedback_docs, max_tokens)
     return top_terms(without_query_terms(model, query_terms) if drop_query_terms else model, k)
 
 
-def rm3(index: Index, docs: DataFrame, query_terms: DataFrame, feedback_docs: int = FEEDBACK_DOCS, k: int = TERMS) -> DataFrame:
-    return top_terms(with_query_terms(relevance_model(bm25.search(index, query_terms, feedback_docs), docs, stemmed=index.stemmed), query_terms), k)
+def rm3(index: Index, docs: DataFrame | None, query_terms: DataFrame, feedback_docs: int = FEEDBACK_DOCS, k: int = TERMS, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    return top_terms(with_query_terms(_feedback_model(index, docs, query_terms, feedback_docs, max_tokens), query_terms), k)
 
 
 MODELS: dict[str, Callable[..., DataFrame]] = {"rm1": rm1, "rm3": rm3}

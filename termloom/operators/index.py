@@ -1,42 +1,89 @@
-"""The inverted index: ``postings(bucket, term, doc_id, tf, dl)``, ``terms(bucket, term, df, cf)``, ``doc_stats(doc_id, dl)``.
-
-A document is tokenised once and its terms are counted within its own row, so building
-shuffles postings only to sort them. Written, postings lie in a folder for each bucket (a
-hash of the term), sorted by term and document: a search reads only the folders of its
-terms, and in them the row groups whose range holds them. A very frequent term is spread
-over several files because doc_id is part of the sort key. Postings carry the document's
-length, and the terms their document frequency, so scoring reads the postings once.
-
-The analyser leaves out stop words; stemming is an option, and an index remembers which
-analyser it was built with, so that queries take the same.
+"""The index of a collection: a forward table by document, and postings with maxima by term.
+
+``forward(part, doc_id, dl, block, counts, heads, widths, places, starts)`` is sorted by doc_id
+and lies in a folder for each range of ids (``part``); ``bounds`` tells the ranges, so the
+documents that somebody asks for are read from their own folders. ``counts`` are a document's
+terms in order, each with its number of occurrences; ``heads`` count those among the first
+``HEAD`` terms of the text; ``places`` number the occurrences among the document's terms (stop
+words left out), ``starts`` among the pieces of all its words, of which the term has
+``widths``. Both are delta-coded: the first number, then the gaps.
+
+``postings(bucket, term, doc_id, tf, dl, block, width, places, starts)`` lie in a folder for
+each bucket (a hash of the term), sorted by term and document. A very frequent term is spread
+over several files because doc_id is part of the sort key. A posting tells the spans of its
+occurrences: their starts and ``width``. ``maxima(bucket, term, block, n,
+cf, max_tf, min_dl)`` has a row for each term and block of ``BLOCK_DOCS`` neighbouring
+documents: no document of the block scores higher for the term than one of length ``min_dl``
+that holds it ``max_tf`` times. ``terms(bucket, term, df, cf, max_tf, min_dl, best)`` says the same
+of the collection; ``best`` is the largest term frequency part of any document at the usual
+parameters.
+
+A text is tokenised once, in its own row; the numbering and counting of a batch of documents
+are array operations. Building shuffles the texts into their ranges and the postings into
+their order. The analyser leaves out stop words; stemming is an option, and an index
+remembers which analyser it was built with, so that queries take the same. Ids are to be unique.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
-from termloom.functions.stem import stems
-from termloom.sources import shared
-
-#: Folders of an index. An index of 100 TB has files of some 256 MB with 65,536 of them.
-BUCKETS = 64
+from termloom.functions.stem import stem, stems
+
+#: Text of a folder of postings and of one of documents, as long as there are no more folders than these.
+BUCKET_BYTES, MAX_BUCKETS, PART_BYTES, MAX_PARTS = 64 << 20, 65_536, 64 << 20, 65_536
+#: Text that is worth a task of its own while tasks are fewer than cores.
+TASK_BYTES = 2 << 20
+#: Neighbouring documents whose postings share a maximum.
+BLOCK_DOCS = 16
+#: Terms of a document that a relevance model counts.
+HEAD = 1000
+#: Parameters that ``best`` of the terms is for.
+K1, B = 1.2, 0.75
+_COUNTS = "array<struct<term:string,tf:bigint>>"
+_POSITIONS = "places array<int>, starts array<int>"
+_LISTS = "heads array<int>, widths array<int>, places array<array<int>>, starts array<array<int>>"
 
 
 def bucket_of(term: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def one_piece(terms: list[str]) -> list[int]:
+    """Every word is a piece of its own."""
+    return [1] * len(terms)
+
+
+def fixed_pieces(size: int) -> Callable[[list[str]], list[int]]:
+    """Words are cut into pieces of ``size`` characters, as ``text.subwords`` does."""
+
+    def widths(terms: list[str]) -> list[int]:
+        return [max(1, -(-len(t) // size)) for t in terms]
+
+    return widths
+
+
 @dataclass
 class Index:
     postings: DataFrame
-    doc_stats: DataFrame
+    documents: DataFrame  #: the forward table
     terms: DataFrame | None = None
-    buckets: int = 0  #: of the folders; 0 where postings have none
+    maxima: DataFrame | None = None
+    bounds: DataFrame | None = None  #: (part, first, last) of the folders of documents
+    buckets: int = 0  #: of the folders of postings; 0 where they have none
     stemmed: bool = False
+    size: tuple[int, float | None] | None = field(default=None)  #: documents and their mean length, where known
+
+    @property
+    def doc_stats(self) -> DataFrame:
+        return self.documents.select("doc_id", "dl")
 
     @property
     def term_stats(self) -> DataFrame:
@@ -46,81 +93,254 @@ class Index:
 
     @property
     def collection(self) -> DataFrame:
-        return self.doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        if self.size is not None:
+            return self.documents.sparkSession.range(1, numPartitions=1).select(*self._size())
+        return self.documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+    def _size(self) -> list[Column]:
+        return [F.lit(self.size[0]).cast("long").alias("n"), F.lit(self.size[1]).cast("double").alias("avgdl")]
+
+    def with_size(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with n and avgdl of the collection."""
+        return rows.select("*", *self._size()) if self.size is not None else rows.crossJoin(F.broadcast(self.collection))  # one row
 
     def query_terms(self, queries: DataFrame, key: str = "qid", text_col: str = "text") -> DataFrame:
         """(key, pos, term) of the queries by the index's own analyser."""
         rows = T.token_rows(queries, key, text_col, analyze=True)
         return rows.withColumn("term", stems(F.col("term"))) if self.stemmed else rows
 
-    def of_terms(self, terms: DataFrame) -> DataFrame:
-        """Postings of some terms with df and dl: (term, doc_id, tf, df, dl).
+    def _folders(self, asked: DataFrame) -> Column:
+        """Which folders hold the asked terms (bucket, term): at most as many numbers as there are folders come to the driver."""
+        if self.buckets == 1:
+            return F.lit(True)
+        wanted = [r[0] for r in asked.select("bucket").distinct().collect() if r[0] is not None]
+        return F.col("bucket").isin(wanted) if len(wanted) < self.buckets else F.lit(True)
+
+    def stats_of(self, terms: DataFrame) -> DataFrame:
+        """Rows of ``terms`` for some terms, from their folders alone."""
+        asked = terms.select("term").distinct()
+        if not self.buckets:
+            own = self.postings.join(asked, "term", "left_semi")
+            return own.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        asked = asked.withColumn("bucket", bucket_of("term", self.buckets))
+        return self.terms.filter(self._folders(asked)).join(asked, ["bucket", "term"])
 
-        Where postings lie in folders, those of the terms are named in the plan: at most
-        as many numbers as there are folders come to the driver.
-        """
+    def of_terms(self, terms: DataFrame, *more: str) -> DataFrame:
+        """Postings of some terms with df and dl: (term, doc_id, tf, df, dl), and more columns of postings if named."""
         asked = terms.select("term").distinct()
+        columns = ("term", "doc_id", "tf", "df", "dl", *more)
         if not self.buckets:
             own = self.postings.join(asked, "term", "left_semi")
             df = own.groupBy("term").agg(F.count("*").alias("df"))
-            return own.join(df, "term").select("term", "doc_id", "tf", "df", "dl")
+            return own.join(df, "term").select(*columns)
         asked = asked.withColumn("bucket", bucket_of("term", self.buckets))
-        wanted = [r[0] for r in asked.select("bucket").distinct().collect() if r[0] is not None]
-        here = F.col("bucket").isin(wanted) if len(wanted) < self.buckets else F.lit(True)
+        here = self._folders(asked)
         found = self.terms.filter(here).join(asked, ["bucket", "term"]).select("bucket", "term", "df")
-        return self.postings.filter(here).join(found, ["bucket", "term"]).select("term", "doc_id", "tf", "df", "dl")
+        return self.postings.filter(here).join(found, ["bucket", "term"]).select(*columns)
+
+    def maxima_of(self, terms: DataFrame) -> DataFrame:
+        """(term, block, max_tf, min_dl) of the blocks of some terms."""
+        asked = terms.select("term").distinct().withColumn("bucket", bucket_of("term", self.buckets))
+        return self.maxima.filter(self._folders(asked)).join(asked, ["bucket", "term"]).select("term", "block", "max_tf", "min_dl")
+
+    def of_documents(self, wanted: DataFrame) -> DataFrame:
+        """Rows of the forward table for some doc_ids, from the folders whose ranges hold them."""
+        ids = wanted.select("doc_id").distinct()
+        return self.documents.filter(self._ranges(ids)).join(ids, "doc_id", "left_semi")
+
+    def _ranges(self, ids: DataFrame) -> Column:
+        if self.bounds is None:
+            return F.lit(True)
+        ranges = F.broadcast(self.bounds)  # a row for each folder
+        found = ids.join(ranges, (ids["doc_id"] >= ranges["first"]) & (ids["doc_id"] <= ranges["last"]))
+        parts = [r[0] for r in found.select("part").distinct().collect()]
+        return F.col("part").isin(parts)
+
 
+def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS, stemmed: bool = False, widths: Callable[[list[str]], list[int]] = one_piece) -> DataFrame:
+    """(doc_id, dl, block, counts, heads, widths, places, starts) of each document. A null text is no document.
 
-def forward(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS) -> DataFrame:
-    """(doc_id, dl, counts): the terms of each document, counted in its row. A null text is no document."""
+    ``block`` numbers the documents of a partition in their order, ``BLOCK_DOCS`` at a time.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     if max_docs is not None:
         rows = rows.orderBy("doc_id").limit(max_docs)
-    found = rows.select("doc_id", F.sort_array(T.analyzed(F.col("text"), stopwords)).alias("ordered"))
-    return T.counted(found, "ordered", "counts").select("doc_id", F.size("ordered").cast("long").alias("dl"), "counts")
+    words = rows.select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    kind = words.schema["doc_id"].dataType.simpleString()
+    count = _Counter(frozenset(stopwords or ()), stemmed, widths)
+    return words.mapInArrow(count, f"doc_id {kind}, dl long, block long, counts {_COUNTS}, {_LISTS}")
+
+
+class _Counter:
+    """Batches of (doc_id, tokens) to rows of the forward table."""
+
+    def __init__(self, stopwords: frozenset, stemmed: bool, widths: Callable[[list[str]], list[int]]):
+        self.stopwords, self.stemmed, self.widths = stopwords, stemmed, widths
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        n, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            block = (part << 32) + (n + np.arange(batch.num_rows)) // BLOCK_DOCS
+            n += batch.num_rows
+            yield self.rows(batch, block)
+
+    def rows(self, batch: pa.RecordBatch, block: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column("tokens")
+        n, sizes = batch.num_rows, lists.value_lengths().to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        own = [stem(w) for w in words] if self.stemmed else words
+        terms = sorted(set(own), key=str.encode)
+        number = {t: i for i, t in enumerate(terms)}
+        codes = np.array([number[t] for t in own], np.int64)
+        kept = np.array([w not in self.stopwords for w in words], bool)
+        wide, term_widths = (np.array(self.widths(x), np.int64) for x in (words, terms))
+
+        at = coded.indices.to_numpy().astype(np.int64) if len(coded) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(n), sizes)
+        first = np.cumsum(sizes) - sizes
+        stays, width = kept[at], wide[at]
+        start = _within(np.cumsum(width) - width, doc, first)
+        place = _within(np.cumsum(stays) - stays, doc, first)
+        doc, code, start, place = (x[stays] for x in (doc, codes[at], start, place))
+        dl = np.bincount(doc, minlength=n)
+        order = np.lexsort((place, code, doc))
+        doc, code, start, place = (x[order] for x in (doc, code, start, place))
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+        runs = np.flatnonzero(new)
+        ends = np.append(runs, len(doc))
+        head = np.add.reduceat(place < HEAD, runs) if len(runs) else runs
+        by_doc = np.searchsorted(doc[runs], np.arange(n + 1))
+        counts = pa.StructArray.from_arrays([pa.array(terms, pa.string()).take(pa.array(code[runs])), pa.array(np.diff(ends))], names=["term", "tf"])
+        gaps = [pa.ListArray.from_arrays(_offsets(ends), pa.array(_gaps(x, new), pa.int32())) for x in (place, start)]
+        lists = [pa.ListArray.from_arrays(_offsets(by_doc), x) for x in (counts, pa.array(head, pa.int32()), pa.array(term_widths[code[runs]], pa.int32()), *gaps)]
+        names = ["doc_id", "dl", "block", "counts", "heads", "widths", "places", "starts"]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(dl, pa.int64()), pa.array(block), *lists], names=names)
+
+
+def _within(running: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running sums over all documents as sums within each."""
+    return running - running[first[doc]] if len(running) else running
+
+
+def _gaps(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    out = np.diff(values, prepend=0)
+    out[new] = values[new]
+    return out.astype(np.int32)
+
+
+def _offsets(ends: np.ndarray) -> pa.Array:
+    return pa.array(ends, pa.int32())
+
+
+def positions(rows: DataFrame, gaps: str, into: str) -> DataFrame:
+    """A row for each number of the delta-coded list ``gaps``, as ``into`` in its place."""
+    kept = [c for c in rows.columns if c != gaps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(gaps)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sums, first = np.cumsum(flat), np.cumsum(sizes) - sizes
+            before = np.concatenate([[0], sums])[first]
+            for at in range(0, len(row), 1 << 16):
+                own = row[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own)) for c in kept), pa.array(sums[at : at + len(own)] - before[own])], names=[*kept, into])
+
+    return rows.mapInArrow(run, rows.select(*kept).schema.add(into, "long"))
+
+
+def _postings(documents: DataFrame) -> DataFrame:
+    rows = documents.select("doc_id", "dl", "block", F.inline(F.arrays_zip("counts", "widths", "places", "starts")))
+    return rows.select("counts.term", "doc_id", "counts.tf", "dl", "block", F.col("widths").alias("width"), "places", "starts")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS, stemmed: bool = False, widths: Callable[[list[str]], list[int]] = one_piece) -> Index:
+    """An index that is not written: its tables are computed when they are used."""
+    documents = forward(docs, id_col, text_col, max_docs, stopwords, stemmed, widths)
+    return Index(_postings(documents), documents, stemmed=stemmed)
+
+
+def write_index(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_docs: int | None = None,
+    stopwords=T.STOPWORDS,
+    stemmed: bool = False,
+    buckets: int | None = None,
+    widths: Callable[[list[str]], list[int]] = one_piece,
+) -> Index:
+    """Build and write an index and open it. ``buckets`` follows from the size of the texts unless it is given."""
+    spark = docs.sparkSession
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
+    if max_docs is not None:
+        named = named.orderBy("doc_id").limit(max_docs)
+    bytes_ = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    tasks = max(min(spark.sparkContext.defaultParallelism, -(-bytes_ // TASK_BYTES)), min(MAX_PARTS, -(-bytes_ // PART_BYTES)), 1)
+    buckets = buckets or min(MAX_BUCKETS, max(1, -(-bytes_ // BUCKET_BYTES)))
+    ranged = named.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id")
+    table = forward(ranged, stopwords=stopwords, stemmed=stemmed, widths=widths).withColumn("part", F.shiftright("block", 32).cast("int"))
+    table.write.mode("overwrite").partitionBy("part").parquet(f"{path}/forward")
+    id_type = named.schema["doc_id"].dataType.simpleString()
+    documents = _table(spark, path, "forward", id_type)
+    ranges = documents.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.sum("dl").alias("tokens")).collect()  # a row for each folder
+    spark.createDataFrame(ranges, f"part int, first {id_type}, last {id_type}, n long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
+    n, tokens = sum(r["n"] for r in ranges), sum(r["tokens"] for r in ranges)
+    size = (n, tokens / n if n else None)
 
+    order = ["bucket", "term", "doc_id"]
+    placed = _postings(documents).withColumn("bucket", bucket_of("term", buckets))
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    write_statistics(spark, path, id_type, size)
+    settings = f"SELECT {buckets} AS buckets, {str(stemmed).lower()} AS stemmed, '{id_type}' AS id_type, {size[0]}L AS n, {'NULL' if size[1] is None else repr(size[1])} AS avgdl"
+    spark.sql(settings).select("buckets", "stemmed", "id_type", "n", F.col("avgdl").cast("double")).write.mode("overwrite").parquet(f"{path}/settings")
+    return _opened(spark, path, id_type, buckets, stemmed, size)
 
-def _of_forward(documents: DataFrame, stemmed: bool) -> Index:
-    postings = documents.select("doc_id", "dl", F.inline("counts")).select("term", "doc_id", "tf", "dl")
-    if stemmed:
-        postings = postings.withColumn("term", stems(F.col("term"))).groupBy("term", "doc_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf", "dl")
-    return Index(postings, documents.select("doc_id", "dl"), stemmed=stemmed)
 
+def write_statistics(spark: SparkSession, path: str, id_type: str, size: tuple[int, float | None]) -> None:
+    """The maxima by term and block, and from them the terms."""
+    of_block = _table(spark, path, "postings", id_type).groupBy("bucket", "term", "block")
+    maxima = of_block.agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max(tf_part(K1, B, size[1])).alias("best"))
+    order = ["bucket", "term", "block"]
+    maxima.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/maxima")
+    terms = _table(spark, path, "maxima", id_type).groupBy("bucket", "term")
+    terms = terms.agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), F.max("best").alias("best"))
+    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS, stemmed: bool = False) -> Index:
-    """An index that is not written: its tables are computed when they are used."""
-    return _of_forward(forward(docs, id_col, text_col, max_docs, stopwords), stemmed)
 
+def tf_part(k1: float, b: float, avgdl: Column | float | None, tf: str = "tf", dl: str = "dl") -> Column:
+    """tf / (tf + k1 * (1 - b + b * dl / avgdl)): it grows with tf and falls with dl."""
+    mean = avgdl if isinstance(avgdl, Column) else F.lit(avgdl).cast("double")
+    return F.col(tf) / (F.col(tf) + k1 * (1.0 - b + b * F.col(dl) / mean))
 
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_docs: int | None = None, stopwords=T.STOPWORDS, stemmed: bool = False, buckets: int = BUCKETS) -> Index:
-    """Build and write an index and open it. Texts are read once; the sort reads the counted terms."""
-    spark = docs.sparkSession
-    documents, scratch = shared.materialize(forward(docs, id_col, text_col, max_docs, stopwords), "forward")
-    built = _of_forward(documents, stemmed)
-    built.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    placed = built.postings.withColumn("bucket", bucket_of("term", buckets))
-    order = ["bucket", "term", "doc_id"]
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
-    terms = written.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    settings = spark.range(1, numPartitions=1).select(F.lit(buckets).alias("buckets"), F.lit(stemmed).alias("stemmed"))
-    settings.write.mode("overwrite").parquet(f"{path}/settings")
-    shared.drop_path(spark, scratch)
-    return open_index(spark, path)
 
+def _table(spark: SparkSession, path: str, name: str, id_type: str) -> DataFrame:
+    columns = {
+        "forward": f"doc_id {id_type}, dl long, block long, counts {_COUNTS}, {_LISTS}, part int",
+        "postings": f"term string, doc_id {id_type}, tf long, dl long, block long, {_POSITIONS}, width int, bucket int",
+        "maxima": "term string, block long, n long, cf long, max_tf long, min_dl long, best double, bucket int",
+        "terms": "term string, df long, cf long, max_tf long, min_dl long, best double, bucket int",
+        "bounds": f"part int, first {id_type}, last {id_type}, n long, tokens long",
+    }
+    return spark.read.schema(columns[name]).parquet(f"{path}/{name}")
 
-def open_index(spark: SparkSession, path: str) -> Index:
-    """Raises Spark's own error if there is no index at ``path``."""
-    settings = spark.read.parquet(f"{path}/settings").first()
-    part = "bucket int"
-    postings = spark.read.schema(f"term string, doc_id {_id_type(spark, path)}, tf long, dl long, {part}").parquet(f"{path}/postings")
-    terms = spark.read.schema(f"term string, df long, cf long, {part}").parquet(f"{path}/terms")
-    return Index(postings, spark.read.parquet(f"{path}/doc_stats"), terms, settings["buckets"], settings["stemmed"])
+
+def _opened(spark: SparkSession, path: str, id_type: str, buckets: int, stemmed: bool, size: tuple[int, float | None]) -> Index:
+    postings, documents, terms, maxima, bounds = (_table(spark, path, x, id_type) for x in ("postings", "forward", "terms", "maxima", "bounds"))
+    return Index(postings, documents, terms, maxima, bounds, buckets, stemmed, size)
 
 
-def _id_type(spark: SparkSession, path: str) -> str:
-    return spark.read.parquet(f"{path}/doc_stats").schema["doc_id"].dataType.simpleString()
+def open_index(spark: SparkSession, path: str) -> Index:
+    """Raises Spark's own error if there is no index at ``path``."""
+    s = spark.read.parquet(f"{path}/settings").first()
+    return _opened(spark, path, s["id_type"], s["buckets"], s["stemmed"], (s["n"], s["avgdl"]))
 
 
 def index_name(collection: str, model: str) -> str:
@@ -146,7 +366,7 @@ def validate_index(index: Index) -> DataFrame:
     """One row: documents there, token counts agree, no null or empty terms."""
     bad = F.sum((F.col("term").isNull() | (F.col("term") == "")).cast("long"))
     postings = index.postings.agg(F.sum("tf").alias("tokens"), F.coalesce(bad, F.lit(0)).alias("bad_terms"))
-    docs = index.doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("lengths"))
+    docs = index.documents.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("lengths"))
     return postings.crossJoin(docs).select(
         (F.col("n_docs") > 0).alias("has_documents"), (F.coalesce("tokens", F.lit(0)) == F.col("lengths")).alias("counts_agree"), (F.col("bad_terms") == 0).alias("terms_valid")
     )

@@ -105,7 +105,7 @@ def bm25_collection_term(w: Workload) -> DataFrame:
 @query
 def token_scores(w: Workload) -> DataFrame:
     asked = _top_doc(w).join(w.queries, "qid")
-    return bm25.token_scores(w.index, w.docs, asked).select("qid", "doc_id", F.col("pos").cast("long").alias("pos"), *r("score"))
+    return bm25.token_scores(w.index, asked).select("qid", "doc_id", F.col("pos").cast("long").alias("pos"), *r("score"))
 
 
 @query
@@ -118,7 +118,7 @@ def bm25_param_sweep(w: Workload) -> DataFrame:
 
 
 def _model(w: Workload) -> DataFrame:
-    return expansion.relevance_model(w.run(10), w.docs)
+    return expansion.indexed_model(w.index, w.run(10))
 
 
 def _terms(model: DataFrame, k: int = 20) -> DataFrame:
@@ -168,7 +168,7 @@ def expansion_df_filter(w: Workload) -> DataFrame:
 
 @query
 def expansion_merge(w: Workload) -> DataFrame:
-    early, late = (expansion.top_terms(expansion.relevance_model(w.run(10).filter(c), w.docs), 20) for c in ("rank <= 5", "rank > 5"))
+    early, late = (expansion.top_terms(expansion.indexed_model(w.index, w.run(10).filter(c)), 20) for c in ("rank <= 5", "rank > 5"))
     return expansion.merged(early.unionByName(late)).select("qid", "rank", "term", *r("weight"))
 
 

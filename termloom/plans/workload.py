@@ -90,11 +90,7 @@ class Workload:
             shared_terms = self.index.of_terms(terms).join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("shared"))
             wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
             near = shared_terms.join(wanted, "qid").filter(4 * F.col("shared") >= 3 * F.col("wanted"))
-            padded = lambda c: F.concat(F.lit(" "), F.array_join(T.analyzed(c), " "), F.lit(" "))
-            phrases = self.items.select("qid", padded(F.col("text")).alias("phrase"))
-            whole = near.filter(F.col("shared") == F.col("wanted")).select("qid", "doc_id").join(phrases, "qid")
-            texts = self.docs.join(whole.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", padded(F.col("text")).alias("terms"))
-            exact = whole.join(texts, "doc_id").filter(F.col("terms").contains(F.col("phrase"))).select("qid", "doc_id", F.lit(2).alias("rel"))
+            exact = bm25.phrases(self.index, self.items).select("qid", "doc_id", F.lit(2).alias("rel"))
             some = near.select("qid", "doc_id", F.lit(1).alias("rel"))
             return exact.unionByName(some).groupBy("qid", "doc_id").agg(F.max("rel").alias("rel"))
 
@@ -111,7 +107,7 @@ class Workload:
     @cached_property
     def expansion(self) -> DataFrame:
         def make() -> DataFrame:
-            model = expansion.relevance_model(self.run(10), self.docs)
+            model = expansion.indexed_model(self.index, self.run(10))
             return expansion.top_terms(expansion.with_query_terms(model, self.query_terms), EXPANSION_TERMS)
 
         return keep(self.spark, self.sf_dir, "expansion", make)

@@ -85,7 +85,7 @@ def test_collection_score_is_the_mean_of_the_best(spark, idx):
 
 def test_dense_token_scores(spark, docs, idx):
     asked = spark.createDataFrame([("q", "d1", "machine data")], "qid string, doc_id string, text string")
-    scores = bm25.dense_scores(bm25.token_scores(idx, docs, asked, 10), 10).first().scores
+    scores = bm25.dense_scores(bm25.token_scores(idx, asked, 10), 10).first().scores
     assert [i for i, s in enumerate(scores) if s > 0] == [0, 6] and len(scores) == 10
 
 
