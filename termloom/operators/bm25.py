@@ -26,8 +26,8 @@ from termloom.sources import shared
 
 
 
-#: Postings of all queries, and for each wanted document of a query, from which on leaving some out pays for its extra jobs.
-PRUNE_FROM, PRUNE_EACH = 20_000_000, 500
+#: Documents of a collection, and postings for each wanted document of a query, from which on leaving some out pays for its extra jobs.
+PRUNE_FROM, PRUNE_EACH = 1_000_000, 500
 #: Postings of rare terms that name the documents for the threshold, at least; documents that are scored for it, a wanted one.
 SEED_POSTINGS, SEED_DOCS = 2000, 10
 #: Sums may differ in their last bits.
@@ -54,15 +54,16 @@ def ranked(df: DataFrame, keys: list[str], k: int | None = None, score: str = "s
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def search(index: Index, query_terms: DataFrame, k: int = 10, k1: float = K1, b: float = B, prune_from: int | None = PRUNE_FROM) -> DataFrame:
+def search(index: Index, query_terms: DataFrame, k: int = 10, k1: float = K1, b: float = B, prune_from: int = PRUNE_FROM) -> DataFrame:
     """(qid, rank, doc_id, score): any term may match, a repeated query term counts each time.
 
-    From ``prune_from`` postings on it leaves out what cannot matter; None never does.
+    In a collection of ``prune_from`` documents or more it leaves out what cannot matter,
+    unless many documents are wanted for the postings there are.
     """
-    if prune_from is not None and index.maxima is not None:
+    if index.maxima is not None and index.size is not None and index.size[0] >= prune_from:
         wanted, _ = shared.materialize(weights(index, query_terms, k1, b), "query-weights")
         postings, queries = wanted.agg(F.sum("df"), F.countDistinct("qid")).first()
-        if (postings or 0) >= prune_from and (not prune_from or postings >= PRUNE_EACH * k * queries):
+        if (postings or 0) >= PRUNE_EACH * k * queries:
             return pruned_search(index, wanted, k, k1, b)
     weighted = query_terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
     scored = weighted.join(term_scores(index, query_terms, k1, b), "term")

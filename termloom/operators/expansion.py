@@ -43,18 +43,17 @@ def relevance_model(feedback: DataFrame, docs: DataFrame, max_tokens: int = MAX_
     rows = tokens.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
     if stemmed:
         rows = rows.withColumn("term", stems(F.col("term")))
-    return _weighted(feedback, rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")))
+    shares = rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    weighted = document_weights(feedback).join(shares, "doc_id")
+    return weighted.groupBy("qid", "term").agg(F.sum(F.col("doc_weight") * F.col("tf") / F.col("n")).alias("weight"))
 
 
 def indexed_model(index: Index, feedback: DataFrame) -> DataFrame:
     """``relevance_model`` from the index's counts of the first ``HEAD`` terms, without the texts."""
-    rows = index.of_documents(feedback).select("doc_id", F.least("dl", F.lit(HEAD)).alias("n"), F.inline(F.arrays_zip("counts", "heads")))
-    return _weighted(feedback, rows.select("doc_id", "n", "counts.term", F.col("heads").alias("tf")).filter("tf > 0"))
-
-
-def _weighted(feedback: DataFrame, shares: DataFrame) -> DataFrame:
-    weighted = document_weights(feedback).join(shares, "doc_id")
-    return weighted.groupBy("qid", "term").agg(F.sum(F.col("doc_weight") * F.col("tf") / F.col("n")).alias("weight"))
+    held = index.near(feedback).select("doc_id", F.least("dl", F.lit(HEAD)).alias("n"), "counts", "heads")
+    rows = document_weights(feedback).join(held, "doc_id").select("qid", "doc_weight", "n", F.inline(F.arrays_zip("counts", "heads")))
+    part = F.col("doc_weight") * F.col("heads") / F.col("n")
+    return rows.filter("heads > 0").groupBy("qid", F.col("counts.term").alias("term")).agg(F.sum(part).alias("weight"))
 
 
 def with_query_terms(model: DataFrame, query_terms: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -84,7 +83,7 @@ def without_query_terms(model: DataFrame, query_terms: DataFrame) -> DataFrame:
 def _feedback_model(index: Index, docs: DataFrame | None, query_terms: DataFrame, feedback_docs: int, max_tokens: int) -> DataFrame:
     feedback = bm25.search(index, query_terms, feedback_docs)
     if max_tokens == HEAD:
-        return indexed_model(index, shared.materialize(feedback, "feedback")[0])
+        return indexed_model(index, shared.materialize(feedback, "feedback")[0] if index.bounds is not None else feedback)
     return relevance_model(feedback, docs, max_tokens, index.stemmed)
 
 

@@ -1,7 +1,7 @@
 """The index of a collection: a forward table by document, and postings with maxima by term.
 
 ``forward(part, doc_id, dl, block, counts, heads, widths, places, starts)`` is sorted by doc_id
-and lies in a folder for each range of ids (``part``); ``bounds`` tells the ranges, so the
+and lies in a folder for each range of ids (``part``); ``settings`` tells the ranges, so the
 documents that somebody asks for are read from their own folders. ``counts`` are a document's
 terms in order, each with its number of occurrences; ``heads`` count those among the first
 ``HEAD`` terms of the text; ``places`` number the occurrences among the document's terms (stop
@@ -39,6 +39,8 @@ from termloom.functions.stem import stem, stems
 
 #: Text of a folder of postings and of one of documents, as long as there are no more folders than these.
 BUCKET_BYTES, MAX_BUCKETS, PART_BYTES, MAX_PARTS = 64 << 20, 65_536, 64 << 20, 65_536
+#: As many folders of documents are read rather than chosen from, which is a job.
+FEW_PARTS = 8
 #: Text that is worth a task of its own while tasks are fewer than cores.
 TASK_BYTES = 2 << 20
 #: Neighbouring documents whose postings share a maximum.
@@ -48,6 +50,7 @@ HEAD = 1000
 #: Parameters that ``best`` of the terms is for.
 K1, B = 1.2, 0.75
 _COUNTS = "array<struct<term:string,tf:bigint>>"
+_SETTINGS = "buckets int, stemmed boolean, id_type string, n_docs long, avgdl double"
 _POSITIONS = "places array<int>, starts array<int>"
 _LISTS = "heads array<int>, widths array<int>, places array<array<int>>, starts array<array<int>>"
 
@@ -145,8 +148,11 @@ class Index:
 
     def of_documents(self, wanted: DataFrame) -> DataFrame:
         """Rows of the forward table for some doc_ids, from the folders whose ranges hold them."""
-        ids = wanted.select("doc_id").distinct()
-        return self.documents.filter(self._ranges(ids)).join(ids, "doc_id", "left_semi")
+        return self.near(wanted).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def near(self, wanted: DataFrame) -> DataFrame:
+        """All rows of the folders that hold some doc_ids: for joins that leave the others out themselves."""
+        return self.documents.filter(self._ranges(wanted.select("doc_id").distinct()))
 
     def _ranges(self, ids: DataFrame) -> Column:
         if self.bounds is None:
@@ -291,28 +297,38 @@ def write_index(
     id_type = named.schema["doc_id"].dataType.simpleString()
     documents = _table(spark, path, "forward", id_type)
     ranges = documents.groupBy("part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.sum("dl").alias("tokens")).collect()  # a row for each folder
-    spark.createDataFrame(ranges, f"part int, first {id_type}, last {id_type}, n long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
     n, tokens = sum(r["n"] for r in ranges), sum(r["tokens"] for r in ranges)
     size = (n, tokens / n if n else None)
 
-    order = ["bucket", "term", "doc_id"]
+    # one row at least, so that an index without documents can be opened
+    settings = [(r["part"], r["first"], r["last"], buckets, stemmed, id_type, n, size[1]) for r in ranges] or [(None, None, None, buckets, stemmed, id_type, 0, None)]
+    bounds = spark.createDataFrame(settings, f"part int, first {id_type}, last {id_type}, {_SETTINGS}").coalesce(1)
+    bounds.write.mode("overwrite").parquet(f"{path}/settings")
+
     placed = _postings(documents).withColumn("bucket", bucket_of("term", buckets))
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    write_statistics(spark, path, id_type, size)
-    settings = f"SELECT {buckets} AS buckets, {str(stemmed).lower()} AS stemmed, '{id_type}' AS id_type, {size[0]}L AS n, {'NULL' if size[1] is None else repr(size[1])} AS avgdl"
-    spark.sql(settings).select("buckets", "stemmed", "id_type", "n", F.col("avgdl").cast("double")).write.mode("overwrite").parquet(f"{path}/settings")
-    return _opened(spark, path, id_type, buckets, stemmed, size)
+    order = ["bucket", "term", "doc_id"]
+    _dealt(placed, order, buckets, tasks).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    _write_statistics(spark, path, id_type, size, buckets, tasks)
+    return _opened(spark, path, id_type, buckets, stemmed, size, len(ranges))
 
 
-def write_statistics(spark: SparkSession, path: str, id_type: str, size: tuple[int, float | None]) -> None:
+def _dealt(rows: DataFrame, order: list[str], buckets: int, tasks: int) -> DataFrame:
+    """By ranges of the order; the one folder of a small index by term, which needs no sample."""
+    return rows.repartitionByRange(*order) if buckets > 1 else rows.repartition(tasks, "term")
+
+
+def _write_statistics(spark: SparkSession, path: str, id_type: str, size: tuple[int, float | None], buckets: int, tasks: int) -> None:
     """The maxima by term and block, and from them the terms."""
-    of_block = _table(spark, path, "postings", id_type).groupBy("bucket", "term", "block")
-    maxima = of_block.agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max(tf_part(K1, B, size[1])).alias("best"))
     order = ["bucket", "term", "block"]
-    maxima.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/maxima")
+    rows = _table(spark, path, "postings", id_type).select(*order, "tf", "dl")
+    of_block = (rows if buckets > 1 else _dealt(rows, order, buckets, tasks)).groupBy(*order)
+    maxima = of_block.agg(F.count("*").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max(tf_part(K1, B, size[1])).alias("best"))
+    maxima = _dealt(maxima, order, buckets, tasks) if buckets > 1 else maxima
+    maxima.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/maxima")
     terms = _table(spark, path, "maxima", id_type).groupBy("bucket", "term")
     terms = terms.agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), F.max("best").alias("best"))
-    terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    terms = terms.repartition("bucket") if buckets > 1 else terms
+    terms.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
 
 
 def tf_part(k1: float, b: float, avgdl: Column | float | None, tf: str = "tf", dl: str = "dl") -> Column:
@@ -327,20 +343,21 @@ def _table(spark: SparkSession, path: str, name: str, id_type: str) -> DataFrame
         "postings": f"term string, doc_id {id_type}, tf long, dl long, block long, {_POSITIONS}, width int, bucket int",
         "maxima": "term string, block long, n long, cf long, max_tf long, min_dl long, best double, bucket int",
         "terms": "term string, df long, cf long, max_tf long, min_dl long, best double, bucket int",
-        "bounds": f"part int, first {id_type}, last {id_type}, n long, tokens long",
+        "settings": f"part int, first {id_type}, last {id_type}, {_SETTINGS}",
     }
     return spark.read.schema(columns[name]).parquet(f"{path}/{name}")
 
 
-def _opened(spark: SparkSession, path: str, id_type: str, buckets: int, stemmed: bool, size: tuple[int, float | None]) -> Index:
-    postings, documents, terms, maxima, bounds = (_table(spark, path, x, id_type) for x in ("postings", "forward", "terms", "maxima", "bounds"))
-    return Index(postings, documents, terms, maxima, bounds, buckets, stemmed, size)
+def _opened(spark: SparkSession, path: str, id_type: str, buckets: int, stemmed: bool, size: tuple[int, float | None], parts: int) -> Index:
+    postings, documents, terms, maxima, bounds = (_table(spark, path, x, id_type) for x in ("postings", "forward", "terms", "maxima", "settings"))
+    return Index(postings, documents, terms, maxima, bounds if parts > FEW_PARTS else None, buckets, stemmed, size)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """Raises Spark's own error if there is no index at ``path``."""
-    s = spark.read.parquet(f"{path}/settings").first()
-    return _opened(spark, path, s["id_type"], s["buckets"], s["stemmed"], (s["n"], s["avgdl"]))
+    settings = spark.read.parquet(f"{path}/settings")
+    s = settings.agg(*(F.first(c).alias(c) for c in ("buckets", "stemmed", "id_type", "n_docs", "avgdl")), F.count("part").alias("parts")).first()
+    return _opened(spark, path, s["id_type"], s["buckets"], s["stemmed"], (s["n_docs"], s["avgdl"]), s["parts"])
 
 
 def index_name(collection: str, model: str) -> str:
@@ -358,7 +375,7 @@ def index_settings(spark: SparkSession, path: str, k1: float, b: float) -> DataF
     """One row: size_mb of the files, folders, whether terms are stemmed, and the scoring parameters k1 and b."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
-    own = spark.read.parquet(f"{path}/settings")
+    own = spark.read.parquet(f"{path}/settings").limit(1)
     return own.select(F.lit(round(size / 2**20, 3)).alias("size_mb"), "buckets", "stemmed", F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
 
 
