@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -409,6 +410,43 @@ def test_broken_markup_does_not_crash(parts):
     assert isinstance(html_text.main_text("".join(parts)), str)
 
 
+LONG = "A long paragraph of running text that says a lot of things. " * 6
+PARA = f"<p>{LONG}</p>"
+TEXT = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<body><p>a<![foo[bar]]>b</p>", ["ab"]),
+        ("<body><p>a<![CDATA[x]]>b<![endif]>c<!foo>d<?php x ?>e</p>", ["abcde"]),
+        (f"<form><div class=nav><a href=1>one</a></div><article><h1>T</h1>{PARA}</article></form>", ["T", TEXT]),
+        (f"<form action=x><h1>T</h1>{PARA}{PARA}<input name=q></form>", ["T", TEXT, TEXT]),
+        (f"<form role=search><label>Find</label></form><div>{PARA}{PARA}</div><footer>{PARA * 5}</footer>", [TEXT, TEXT]),
+        (f"<div class=post><div class='post-header'><h1>Title</h1></div>{PARA}{PARA}</div>", ["Title", TEXT, TEXT]),
+        (f"<div class=post><h2><a href=x>Linked title</a></h2>{PARA}<p><a href=y>{LONG}</a></p>{PARA}<ul><li><a href=1>aa</a></li><li><a href=2>{LONG}</a></li></ul></div>", ["Linked title", TEXT, TEXT, TEXT]),
+        (f"<div><h1>T</h1>{PARA}<div id='related-work'><h2>Related</h2>{PARA}</div>{PARA}</div>", ["T", TEXT, "Related", TEXT, TEXT]),
+        (f"<article><h1>T</h1>{PARA}<div class='comment-list'><div>{PARA}</div></div></article>", ["T", TEXT]),
+        (f"<article><h1>T</h1>{PARA}<ol class='commentlist'><li class='comment'>{PARA * 4}</li></ol></article>", ["T", TEXT]),
+        (f"<div class=post><h1>T</h1>{PARA}</div><ol class=commentlist><li class=comment>{PARA * 4}</li></ol>", ["T", TEXT]),
+        (f"<article><h1>T</h1><div class=commentary>{PARA}</div></article>", ["T", TEXT]),
+        (f"<div id=comments>{PARA}</div><footer>Imprint</footer>", [""]),
+        (f"<body>{PARA}<!-- without end {PARA}", [TEXT]),
+        (f"<body>{PARA}<p>5 < 6 and <b un", [TEXT, "5 < 6 and"]),
+    ],
+)
+def test_pages_that_lost_text_or_kept_too_much(html, want):
+    assert html_text.main_text(html).split("\n") == want
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<![", "<![CDATA[", "<?", "<a ", "</", "<!", "<a b='", "<form>", "<div class=nav>", "<!-- x -->"])
+@pytest.mark.parametrize("tail", ["", ">", "x"])
+def test_markup_takes_linear_time(unit, tail):
+    started = time.process_time()
+    html_text.main_text(unit * 30_000 + tail)
+    assert time.process_time() - started < 3
+
+
 def test_extract_frames(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>A &#228; b</p></article>", "x"), (2, None, None, None), (1, "u", "<article><p>A &#228; b</p></article>", "x"), (3, "w", "<p>" + "word " * 100_000, "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
