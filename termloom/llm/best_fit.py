@@ -14,8 +14,9 @@ partitions before come by a join of counts. The steps of the plan are broadcast.
 bounded: a sequence holds at most about ``sqrt(2 * capacity)`` different lengths, and a
 length splits at most two groups of sequences.
 
-The tokenizer drops white space and looks at nothing across it, so the words between
-ASCII white space are encoded on their own and remembered, short ones only.
+A tokenizer that drops white space looks at nothing across it, so the words between
+ASCII white space are encoded on their own and remembered, short ones only; other tokenizers
+get whole texts.
 
 Defined cases: a null text is empty, which gives the end id alone; a null doc_id is packed
 like any other; repeated rows are packed as often as they occur; pieces of one length are
@@ -40,8 +41,10 @@ from pyspark.sql import functions as F
 from termloom.llm import common
 
 CAPACITY, END_ID = 4096, 1
-#: Remembered words of a worker, in two generations, and the longest such word: below 100 MB.
-CACHE_WORDS, CACHE_BYTES = 100_000, 64
+#: Remembered words of a worker, in each of two generations, and the longest such word: some 150 MB at most.
+CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: Marks that are pieces of their own behind a letter or digit.
+MARKS = b".,;:!?%$*&#"
 #: Documents that are looked up together.
 DOCS = 256
 #: Keys of a step: length times this, plus the number of its first piece.
@@ -124,26 +127,49 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 class Encoder:
+    """Ids by words where the tokenizer drops white space, by whole texts otherwise."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = common.Memory(CACHE_WORDS)
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        whole, *words = (self._ids(x) for x in (" Ab\n c.\t\x0b\x0c\rd ", "Ab", "c", ".", "d"))
+        self.by_word = whole == [i for w in words for i in w]
+        self.lowers = self._ids("ABC") == self._ids("abc")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        words = [x.split() for x in texts]
+        if not self.by_word:
+            return [np.array(self._ids(x.decode()), "<u4").tobytes() for x in texts]
+        words = [self._lowered(x).split() for x in texts]
         distinct = set().union(*words)
         new = self.memory.unknown({w for w in distinct if len(w) <= CACHE_BYTES})
-        self.memory.young.update(self._direct(list(new)))
+        # words with marks behind them are their parts: the tokenizer parts letters and digits from marks
+        parted = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core[-1:].isalnum()}
+        parts = {*parted.values(), *(w[len(core) :] for w, core in parted.items())}
+        alone = self.memory.unknown(parts | new.difference(parted), may_age=False)
         known = self.memory.young
+        known.update(self._direct(list(alone)))
+        known.update([(w, known[core] + known[w[len(core) :]]) for w, core in parted.items()])
         known.update(longer := dict(self._direct([w for w in distinct if len(w) > CACHE_BYTES])))
         out = [common.joined(known, w) if w else b"" for w in words]
         for w in longer:
             del known[w]
         return out
 
+    def _lowered(self, text: bytes) -> bytes:
+        """A-Z in lower case where that changes no id: no special token arises, and no letter meets a combining mark."""
+        lowered = text.lower()
+        if not self.lowers or b"\xcc" in text or b"\xcd" in text or any(x in lowered for x in self.special):
+            return text
+        return lowered
+
     def _direct(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return ((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words, found, strict=True))

@@ -73,9 +73,9 @@ class Memory:
         self.young: dict = {}
         self.old: dict = {}
 
-    def unknown(self, keys: set) -> set:
+    def unknown(self, keys: set, may_age: bool = True) -> set:
         """The keys that are in neither generation; those of the old one are taken over."""
-        if len(self.young) > self.size:
+        if may_age and len(self.young) > self.size:
             self.old, self.young = self.young, {}
         new = keys.difference(self.young)
         old = self.old

@@ -63,10 +63,14 @@ def test_plan_of_many_pieces_needs_few_steps():
         best_fit.plan({5: 1}, 4)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("aB 'sT1.é́ßΣİ中　\x85\n\x1c<|>endoftx"), max_size=80))
+PARTS = [*"aB 'sT1.é\u0301ßΣİ中\u3000\x85\n\x1c", "J\u030c", "I\u0307", "T", "\u0308", "\u0338", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "ok...", "3.14%", "don't.", "It'S!", "a,b", "...", " The", " word,", "##", "中.", "é!"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=20).map("".join))
 def test_ids_of_words_are_those_of_texts(text):
     own = best_fit.encoder(WORD_BPE)
+    assert own.by_word and own.lowers
     whole = own.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == whole
 
@@ -79,6 +83,12 @@ def test_long_words_are_not_remembered():
     assert len(own.memory.young) <= before
 
 
+def test_tokenizers_that_keep_white_space_get_whole_texts():
+    own = best_fit.encoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert not own.by_word
+    assert np.frombuffer(own.encode([b"Two  words. "])[0], "<u4").tolist() == own.tokenizer.encode("Two  words. ", add_special_tokens=False).ids
+
+
 def test_packed_documents(spark, sf_dir):
     rows = [(1, "a b c"), (2, None), (3, ""), (None, "no id"), (1, "a b c"), (7, "word " * 9000), (8, "x " * 4094), (9, "x " * 4095)] + [(i, "and so on " * (i % 40)) for i in range(10, 300)]
     docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, length long, ids string, task int").repartition(5)
