@@ -10,8 +10,9 @@ budget keeps at least t = m - q + 1 - k * q of them, and they lie on diagonals
 2. the item's places that are hit are counted in overlapping diagonal bands of width
    2 (k + 1), which leave no interval of k + 1 diagonals undivided; a band with fewer than
    t places cannot hold a passage;
-3. bands that touch are one region; each is verified by an alignment that computes only
-   the cells within k diagonals of it.
+3. bands that touch are one region; a bit-parallel column of the whole item tells whether
+   any part of its text is within the budget, and if so an alignment that computes only the
+   cells within k diagonals of the region tells which.
 
 Items too short for the lemma (t < 1) use a smaller q, down to 1 with their own t.
 The filter compares one byte per character (equal characters have equal bytes, so it
@@ -24,10 +25,12 @@ length times the item's, and memory of one slice.
 The items are a stated query set. The driver indexes them in blocks of at most
 ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters, one at a time, and writes each to a
 file that Spark hands to the executors. Workers map the files into memory, so they share
-them, and take a batch of documents through all blocks.
+them, and take a batch of documents through one block after the other.
 
 Defined cases: null or empty texts hold nothing; null, empty and blank items are
-ignored; equal items each count; repeated documents are judged alike; very long texts
+ignored, and so are items below ``MIN_CHARS`` characters, which any text may hold by chance
+(``ignored_items`` counts them); an item so short that no edit is allowed counts only where no
+letter or digit goes on before or behind it; equal items each count; repeated documents are judged alike; very long texts
 are searched in overlapping parts; an empty table on either side gives its plain result
 (no rows, or no passages).
 """
@@ -54,6 +57,8 @@ EDIT_RATE = 0.1
 Q = 8
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 8 << 20
+#: Characters of the shortest item, normalised.
+MIN_CHARS = 8
 #: Characters of a document that are looked up at once; parts overlap by the longest passage.
 PART = 1 << 18
 #: Hits that are held at once.
@@ -131,6 +136,30 @@ def align(item: np.ndarray, text: np.ndarray, k: int, low: int | None = None, hi
     return best if best[0] <= k else None
 
 
+def within(masks: dict[int, int], m: int, text: list[int], k: int) -> bool:
+    """Whether an item of m characters turns into some part of ``text`` by at most k edits.
+
+    A column of the table of edits is two numbers of m bits, whether a cell is more or less than
+    the one above it; ``masks`` has the item's places of each character.
+    """
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    more, less, cost = full, 0, m
+    for c in text:
+        same = masks.get(c, 0)
+        across = (((same & more) + more) ^ more) | same
+        down = same | less
+        up, fall = less | (full & ~(across | more)), more & across
+        if up & top:
+            cost += 1
+        elif fall & top:
+            cost -= 1
+            if cost <= k:
+                return True
+        up, fall = (up << 1) & full, (fall << 1) & full
+        more, less = fall | (full & ~(down | up)), up & down
+    return cost <= k
+
+
 @dataclass
 class Index:
     """q-grams of a block of items, for one q."""
@@ -175,18 +204,37 @@ class Index:
             start = stop
 
 
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on over the borders of a passage."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not before and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
+@lru_cache(maxsize=512)
+def _masks(item: str) -> dict[int, int]:
+    """The places of each character of an item, as bits."""
+    masks: dict[int, int] = {}
+    for place, c in enumerate(item):
+        masks[ord(c)] = masks.get(ord(c), 0) | 1 << place
+    return masks
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], edit_rate: float, q: int):
         self.ids = [i for i, _ in items]
-        self.text = [t for _, t in items]
-        self.items = [codes(t) for t in self.text]
-        plans = [budget(len(c), edit_rate, q) for c in self.items]
+        coded = [codes(t) for _, t in items]
+        self.starts = np.cumsum([0, *map(len, coded)])
+        self.flat = np.concatenate([np.zeros(0, "<u4"), *coded])
+        plans = [budget(len(c), edit_rate, q) for c in coded]
         self.k, self.t = (np.array([p[j] for p in plans], np.int64) for j in (0, 2))
         by_q: dict[int, list[int]] = {}
         for i, p in enumerate(plans):
             by_q.setdefault(p[1], []).append(i)
-        self.indexes = [Index.of(self.items, which, q_) for q_, which in sorted(by_q.items())]
-        self.longest = max((len(c) + k for c, k in zip(self.items, self.k, strict=True)), default=0)
+        self.indexes = [Index.of(coded, which, q_) for q_, which in sorted(by_q.items())]
+        self.longest = max((len(c) + k for c, k in zip(coded, self.k.tolist(), strict=True)), default=0)
+
+    def item(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.starts[i + 1]]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits) of the passages in a normalised text, the best of each region."""
@@ -195,17 +243,29 @@ class Matcher:
         for start in range(0, max(1, len(c)), PART):
             part = c[start : start + PART + 2 * self.longest]
             for i, low, high in self._regions(part):
-                k, m = int(self.k[i]), len(self.items[i])
-                first, last = max(0, low - k), min(len(part), high + m + k)
-                at = text.find(self.text[i], start + first, start + last)
-                hit = (0, at - start - first, at - start - first + m) if at >= 0 else align(self.items[i], part[first:last], k, low - k - first, high + k - first)
-                if hit:
-                    row = (self.ids[i], int(start + first + hit[1]), int(start + first + hit[2]), int(hit[0]))
+                if hit := self._verified(i, part, text, start, low, high):
+                    row = (self.ids[i], int(start + hit[1]), int(start + hit[2]), int(hit[0]))
                     key = (i, row[2])
                     if key not in found or row[3] < found[key][3]:
                         found[key] = row
         return sorted(found.values())
 
+    def _verified(self, i: int, part: np.ndarray, text: str, start: int, low: int, high: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the item's best passage in a region of a part of the text."""
+        k, item = int(self.k[i]), self.item(i)
+        m = len(item)
+        first, last = max(0, low - k), min(len(part), high + m + k)
+        plain = item.tobytes().decode("utf-32-le")
+        at = text.find(plain, start + first, start + last)
+        while k == 0 and at >= 0 and not _stands_alone(text, at, at + m):
+            at = text.find(plain, at + 1, start + last)
+        if at >= 0:
+            return 0, at - start, at - start + m
+        if k == 0 or not within(_masks(plain), m, part[first:last].tolist(), k):
+            return None
+        hit = align(item, part[first:last], k, low - k - first, high + k - first)
+        return hit and (hit[0], first + hit[1], first + hit[2])
+
     def _regions(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, least, greatest diagonal) where bands hold enough places of the item; bands that touch are joined."""
         base = len(c) + self.longest + 2
@@ -261,26 +321,29 @@ class Block:
     def write(cls, matcher: Matcher, path: str) -> Block:
         arrays = []
         with open(path, "wb") as out:
-            for index in matcher.indexes:
-                for name in ("numbers", "offsets", "item", "place", "table"):
-                    x = getattr(index, name)
-                    out.write(b"\0" * (-out.tell() % 64))
-                    arrays.append((x.dtype.str, out.tell(), len(x)))
-                    out.write(x.tobytes())
-                    setattr(index, name, None)
+            for owner, name in cls._large(matcher):
+                x = getattr(owner, name)
+                out.write(b"\0" * (-out.tell() % 64))
+                arrays.append((x.dtype.str, out.tell(), len(x)))
+                out.write(x.tobytes())
+                setattr(owner, name, None)
             rest = out.tell()
             pickle.dump(matcher, out)
         return cls(os.path.basename(path), arrays, rest)
 
+    @staticmethod
+    def _large(matcher: Matcher) -> list[tuple[object, str]]:
+        own = [(matcher, "flat"), (matcher, "starts")]
+        return own + [(index, name) for index in matcher.indexes for name in ("numbers", "offsets", "item", "place", "table")]
+
     def open(self) -> Matcher:
         path = SparkFiles.get(self.name)
         with open(path, "rb") as source:
             source.seek(self.rest)
             matcher = pickle.load(source)
         views = iter(np.memmap(path, np.dtype(kind), "r", at, (n,)) if n else np.zeros(0, kind) for kind, at, n in self.arrays)
-        for index in matcher.indexes:
-            for name in ("numbers", "offsets", "item", "place", "table"):
-                setattr(index, name, np.asarray(next(views)))
+        for owner, name in self._large(matcher):
+            setattr(owner, name, np.asarray(next(views)))
         return matcher
 
 
@@ -288,36 +351,48 @@ class Block:
 _served: list[tempfile.TemporaryDirectory] = []
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=256)  # what is not mapped from the file is small
 def _opened(name: str, arrays: tuple, rest: int) -> Matcher:
     return Block(name, list(arrays), rest).open()
 
 
-def index_blocks(benchmark: DataFrame, id_col: str, text_col: str, edit_rate: float, q: int) -> list[Block]:
+def index_blocks(benchmark: DataFrame, id_col: str, text_col: str, edit_rate: float, q: int, min_chars: int) -> list[Block]:
     """Index the items block by block; the driver holds one at a time, executors get the files."""
     context = benchmark.sparkSession.sparkContext
     folder = tempfile.TemporaryDirectory(prefix="termloom-items-")
     _served.append(folder)
     out = []
-    for items in item_blocks(benchmark, id_col, text_col):
+    for items in item_blocks(benchmark, id_col, text_col, min_chars):
         path = os.path.join(folder.name, f"items-{uuid.uuid4().hex}")
         out.append(Block.write(Matcher(items, edit_rate, q), path))
         context.addFile(path)
     return out
 
 
-def search_all(blocks: list[Block], text: str | None) -> Iterator[tuple[int, int, int, int]]:
-    plain = normalise(text)
-    for block in blocks if plain else ():
-        yield from _opened(block.name, tuple(block.arrays), block.rest).find(plain)
+def search_all(blocks: list[Block], texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+    """The passages of each text: all texts through a block, then through the next."""
+    plain = [normalise(x) for x in texts]
+    found: list[list[tuple[int, int, int, int]]] = [[] for _ in plain]
+    for block in blocks:
+        matcher = _opened(block.name, tuple(block.arrays), block.rest)
+        for text, own in zip(plain, found, strict=True):
+            if text:
+                own.extend(matcher.find(text))
+    return found
+
+
+def ignored_items(benchmark: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row: n_items, and n_ignored of them that are too short to tell of anything."""
+    rows = benchmark.select(F.length(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?U)\s+", " "))).alias("n"))
+    return rows.agg(F.count("*").alias("n_items"), F.coalesce(F.sum((F.col("n") < min_chars).cast("long")), F.lit(0)).alias("n_ignored"))
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of bounded size; the driver holds one block at a time."""
     block: list[tuple[int, str]] = []
     n = 0
     for row in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
-        if text := normalise(row[1]):
+        if len(text := normalise(row[1])) >= max(1, min_chars):
             block.append((row[0], text))
             n += len(text)
         if len(block) >= BLOCK_ITEMS or n >= BLOCK_CHARS:
@@ -336,32 +411,33 @@ def find_passages(
     item_text_col: str = "text",
     edit_rate: float = EDIT_RATE,
     q: int = Q,
+    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """Every document with the benchmark passages in it: doc_id, n_chars and the array ``passages``.
 
     A passage has item_id, start and end (in the normalised text) and its edits.
     """
     kind = "array<struct<item_id:long,start:long,end:long,edits:long>>"
-    blocks = index_blocks(benchmark, item_col, item_text_col, edit_rate, q)
+    blocks = index_blocks(benchmark, item_col, item_text_col, edit_rate, q, min_chars)
     names = ("item_id", "start", "end", "edits")
 
     def search(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text").to_pylist()
-        found = [[dict(zip(names, p, strict=True)) for p in search_all(blocks, x)] for x in texts]
+        found = [[dict(zip(names, p, strict=True)) for p in own] for own in search_all(blocks, texts)]
         return {"doc_id": batch.column("doc_id"), "n_chars": [len(x or "") for x in texts], "passages": found}
 
     return common.map_batches(common.documents(docs, id_col, text_col), search, f"doc_id long, n_chars long, passages {kind}")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edit_rate: float = EDIT_RATE, q: int = Q) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edit_rate: float = EDIT_RATE, q: int = Q, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
-    blocks = index_blocks(benchmark, "item_id", "text", edit_rate, q)
+    blocks = index_blocks(benchmark, "item_id", "text", edit_rate, q, min_chars)
 
     def keep(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for start in range(0, batch.num_rows, common.BATCH_ROWS):
                 part = batch.slice(start, common.BATCH_ROWS)
-                yield part.filter(pa.array([next(search_all(blocks, x), None) is None for x in part.column(at).to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([not own for own in search_all(blocks, part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -299,6 +299,46 @@ def test_short_items_use_smaller_grams():
     assert D.Matcher([(1, "abc")], 0.1, 8).find("xx abc yy") and not D.Matcher([(1, "abc")], 0.1, 8).find("xx abd yy")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", min_size=1, max_size=12), st.text("ab c", max_size=40), st.integers(0, 4))
+def test_columns_of_bits_tell_what_the_alignment_finds(item, text, k):
+    found = D.align(D.codes(item), D.codes(text), k)
+    assert D.within(D._masks(item), len(item), D.codes(text).tolist(), k) == (found is not None)
+
+
+def test_items_that_share_a_sentence_or_a_vocabulary_cost_little():
+    rng = random.Random(3)
+    words = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
+    sentence = "choose the best answer to the following question and explain it"
+    own = [f"w{i}" for i in range(900)]
+    for items, text, most in (
+        ([f"{sentence} {words(12, own)}" for _ in range(2000)], f"{words(200, own)} {sentence} {words(200, own)}", 1.5),
+        ([words(60, ["one", "two", "three", "four", "five"]) for _ in range(200)], words(500, ["one", "two", "three", "four", "five"]), 3),
+    ):
+        matcher = D.Matcher([(i, D.normalise(x)) for i, x in enumerate(items)], 0.1, 8)
+        started = time.process_time()
+        matcher.find(D.normalise(text))
+        assert time.process_time() - started < most
+
+
+def test_short_items_stand_alone_and_the_shortest_are_ignored(spark):
+    matcher = D.Matcher([(1, "abc def g")], 0.1, 8)
+    assert not matcher.find("xabc def g") and not matcher.find("abc def gh") and matcher.find("xabc def g abc def g.")
+    benchmark = spark.createDataFrame([(1, "Yes."), (2, "abc"), (3, " a  b  c "), (4, None), (5, "abcd efgh"), (6, "a long enough passage")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "said yes. abc"), (2, "xabcd efgh"), (3, "abcd efgh"), (4, "a long enaugh passage")], "doc_id long, text string")
+    assert {r.doc_id: [p.item_id for p in r.passages] for r in D.find_passages(docs, benchmark).collect()} == {1: [], 2: [], 3: [5], 4: [6]}
+    assert tuple(D.ignored_items(benchmark).first()) == (6, 4)
+    assert tuple(D.ignored_items(benchmark.limit(0)).first()) == (0, 0)
+
+
+def test_many_blocks_are_opened_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 1)
+    benchmark = spark.createDataFrame([(i, f"passage number {i} of many") for i in range(70)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"text passage number {i} of many text") for i in range(0, 90, 3)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: [p.item_id for p in r.passages if p.edits == 0] for r in D.find_passages(docs, benchmark).collect()}
+    assert got == {i: [i] if i < 70 else [] for i in range(0, 90, 3)}
+
+
 def test_decontaminate_frames(spark):
     docs = spark.createDataFrame([(1, f"Start. {ITEM.upper()}\n end", "", 0, ""), (2, None, "", 0, ""), (3, "", "", 0, ""), (4, "clean words only", "", 0, ""), (1, f"Start. {ITEM.upper()}\n end", "", 0, ""), (5, "x " * 300_000 + ITEM, "", 0, "")], DOCS)
     benchmark = spark.createDataFrame([(10, ITEM), (11, ITEM.replace(" ", "\n")), (12, None), (13, " ")], "item_id long, text string")
