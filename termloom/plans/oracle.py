@@ -124,6 +124,8 @@ CTES: dict[str, str] = {
     "rm": "SELECT qid, term, sum(doc_weight * tf / n) AS weight FROM weights10 JOIN shares USING (doc_id) GROUP BY ALL",
     "rm3": "SELECT qid, term, sum(weight) AS weight FROM (SELECT * FROM rm UNION ALL SELECT DISTINCT qid, term, 1.0::DOUBLE FROM query_terms) GROUP BY ALL",
     "expansion": f"SELECT * FROM (SELECT *, {best('qid', 'weight', 'term')} AS rank FROM rm3) WHERE rank <= 15",
+    "some_scores": """SELECT d.qid, d.doc_id, p.pos, s.score FROM top_doc d JOIN (SELECT doc_id, unnest(range(least(len(toks), 512))) AS pos, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw) p ON d.doc_id = p.doc_id
+        JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
     "own_terms": "SELECT term FROM query_tokens UNION SELECT term FROM expansion",
     "own_scores": f"SELECT term, doc_id, {_BM25.format(k1=1.2, b=0.75)} AS score FROM (SELECT p.term, p.doc_id, tf, df, dl, n, avgdl FROM postings p JOIN own_terms USING (term) JOIN term_stats t ON p.term = t.term JOIN doc_stats d ON p.doc_id = d.doc_id CROSS JOIN coll)",
     "coll_scores": f"SELECT term, avg(score) AS score FROM (SELECT *, {best('term')} AS i FROM own_scores) WHERE i <= 10 GROUP BY term",
@@ -232,11 +234,22 @@ _STATEMENTS: dict[str, str] = {
     "query_texts": """SELECT p_partkey AS qid, CASE WHEN p_partkey % 3 = 0 AND p_name <> '' THEN p_name
         ELSE concat_ws(' ', CASE WHEN p_partkey % 3 = 1 THEN p_brand END, CASE WHEN p_size > 25 THEN p_type END) END AS text FROM part""",
     "bm25_topk": f"SELECT qid, rank, doc_id, {rnd('score')} AS score FROM top10",
+    "bm25_topk_pruned": f"SELECT qid, rank, doc_id, {rnd('score')} AS score FROM top10",
+    "phrase_hits": """SELECT qid, doc_id, count(*) AS n, min(i) AS first_place FROM (SELECT doc_id, toks, unnest(range(len(toks))) AS i FROM docs_tok) d
+        JOIN (SELECT qid, toks[1] AS a, toks[2] AS b FROM query_toks) q ON toks[i + 1] = a AND (b IS NULL OR toks[i + 2] = b) GROUP BY ALL""",
     "bm25_doc_term": f"SELECT qid, doc_id, term, {rnd('score')} AS score FROM ({_DOC_TERM})",
     "bm25_collection_term": f"SELECT q.term, {rnd('coalesce(score, 0)')} AS score FROM (SELECT DISTINCT term FROM query_terms) q LEFT JOIN coll_scores USING (term)",
     "token_scores": f"""SELECT d.qid, d.doc_id, p.pos::BIGINT AS pos, {rnd('s.score')} AS score FROM top_doc d
         JOIN (SELECT doc_id, unnest(range(least(len(toks), 512))) AS pos, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw) p ON d.doc_id = p.doc_id
         JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
+    "token_spans": f"""WITH words AS (SELECT doc_id, term, width, sum(width) OVER (PARTITION BY doc_id ORDER BY i) - width AS start FROM (
+          SELECT doc_id, i, term, greatest(1, ceil(length(term) / 4.0))::BIGINT AS width FROM (SELECT doc_id, unnest(range(len(toks))) AS i, unnest(toks) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM top_doc))))
+        SELECT d.qid, d.doc_id, pos::BIGINT AS pos, {rnd('s.score')} AS score FROM top_doc d JOIN (SELECT doc_id, term, unnest(range(start, start + width)) AS pos FROM words) p ON d.doc_id = p.doc_id AND pos < 512
+        JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
+    "dense_token_scores": f"""SELECT qid, doc_id, pos::BIGINT AS pos, {rnd('coalesce(score, 0)')} AS score FROM (SELECT DISTINCT qid, doc_id FROM some_scores) CROSS JOIN (SELECT unnest(range(512)) AS pos) LEFT JOIN some_scores USING (qid, doc_id, pos)""",
+    "streaming_index": f"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_ANALYZED}) AS term FROM (
+          SELECT doc_id, CASE WHEN doc_id % 20 = 3 THEN substring(text, 1, 200) WHEN doc_id % 10 = 3 THEN text || ' updated ' || source WHEN doc_id % 20 = 7 THEN 'again ' || lang WHEN doc_id % 10 = 7 THEN NULL ELSE text END AS text FROM documents)
+        WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY term""",
     "bm25_param_sweep": f"""SELECT k1, b, qid, rank, doc_id, {rnd('score')} AS score FROM (SELECT *, {best('k1, b, qid')} AS rank FROM (
         SELECT k1, b, qid, doc_id, sum({_BM25.format(k1='k1', b='b')}) AS score FROM query_terms JOIN wide USING (term)
         CROSS JOIN ({' UNION ALL '.join(_sweep(k, b) for k in (0.9, 1.2, 1.6, 2.0) for b in (0.4, 0.75, 1.0))}) GROUP BY ALL)) WHERE rank <= 5""",
@@ -318,7 +331,7 @@ _STATEMENTS: dict[str, str] = {
     "ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM abl_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
     "ablation_from_feedback": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM abl_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
     "simple_ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM simple_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
-    "custom_feature_importance": f"SELECT qid, rank, i.term, {rnd('coalesce(ln(1.0::DOUBLE + df), 0)')} AS log_df, {rnd('importance - 0.1::DOUBLE * coalesce(ln(1.0::DOUBLE + df), 0)')} AS importance FROM imp i LEFT JOIN term_stats t ON i.term = t.term",
+    "custom_feature_importance": f"SELECT qid, rank, i.term, {rnd('coalesce(ln(1.0::DOUBLE + df), 0)')} AS log_df, {rnd('importance - 0.1::DOUBLE * coalesce(ln(1.0::DOUBLE + df), 0)')} AS importance FROM imp i LEFT JOIN (SELECT term, count(*) AS df FROM postings JOIN own_terms USING (term) GROUP BY term) t ON i.term = t.term",
     "optimizer_comparison": f"""SELECT method, weights_id, {rnd('tr')} AS train_score, {rnd('te')} AS test_score FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY tr DESC, weights_id) AS i FROM (
         SELECT method, weights_id, {rnd("avg(CASE WHEN NOT test THEN ndcg_cut_10 END)", 9)} AS tr, {rnd("avg(CASE WHEN test THEN ndcg_cut_10 END)", 9)} AS te FROM (
           SELECT method, weights_id, ndcg_cut_10, ('0x' || substr(md5(qid::VARCHAR), 1, 8))::BIGINT % 1000 < 500 AS test FROM (

@@ -11,7 +11,8 @@ from termloom.functions import numbers as N
 from termloom.functions import text as T
 from termloom.operators import bm25, crossval, evaluation, expansion, importance, index, metrics, optimize, rerank, similarity, subwords
 from termloom.plans.workload import CANDIDATES, DIM, EXPANSION_TERMS, WEIGHTS, Workload
-from termloom.sources import records, trec
+from termloom.sources import records, shared, trec
+from termloom.streaming import indexing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ALL_METRICS = ["num_ret", "num_rel", "num_rel_ret", "map", "gm_map", "recip_rank", "ndcg", "Rprec", "bpref", "set_P", "set_recall", "set_F", "11pt_avg"]
@@ -84,6 +85,20 @@ def bm25_topk(w: Workload) -> DataFrame:
     return bm25.search(w.index, w.query_terms, 10).select("qid", "rank", "doc_id", *r("score"))
 
 
+@query
+def bm25_topk_pruned(w: Workload) -> DataFrame:
+    """The search that reads the postings of essential terms only, whatever the size of the collection."""
+    wanted = bm25.weights(w.index, w.query_terms)
+    return bm25.pruned_search(w.index, wanted, 10).select("qid", "rank", "doc_id", *r("score"))
+
+
+@query
+def phrase_hits(w: Workload) -> DataFrame:
+    """Where the first two terms of a query follow each other, from the positions in the index."""
+    pairs = w.items.select("qid", F.array_join(T.first(T.analyzed(F.col("text")), 2), " ").alias("text"))
+    return bm25.phrases(w.index, pairs).select("qid", "doc_id", "n", F.col("first").alias("first_place"))
+
+
 def _top_doc(w: Workload) -> DataFrame:
     return w.run(10).filter("rank = 1").select("qid", "doc_id")
 
@@ -108,6 +123,40 @@ def token_scores(w: Workload) -> DataFrame:
     return bm25.token_scores(w.index, asked).select("qid", "doc_id", F.col("pos").cast("long").alias("pos"), *r("score"))
 
 
+@query
+def token_spans(w: Workload) -> DataFrame:
+    """Scores of pieces of four characters: each piece of a word that scores, below the 512th of its document."""
+    asked = _top_doc(w).join(w.queries, "qid")
+    return bm25.token_scores(w.piece_index, asked).select("qid", "doc_id", F.col("pos").cast("long").alias("pos"), *r("score"))
+
+
+@query
+def dense_token_scores(w: Workload) -> DataFrame:
+    """The 512 scores of each query's best document, zeros included."""
+    asked = _top_doc(w).join(w.queries, "qid")
+    dense = bm25.dense_scores(bm25.token_scores(w.index, asked))
+    return dense.select("qid", "doc_id", F.posexplode("scores").alias("pos", "score")).select("qid", "doc_id", F.col("pos").cast("long").alias("pos"), *r("score"))
+
+
+@query
+def streaming_index(w: Workload) -> DataFrame:
+    """Terms of an index that a stream keeps up to date: all documents, then changes, deletions and returns, with merges between."""
+    docs, last = w.table("documents"), F.col("doc_id")
+    updates = [
+        docs.select("doc_id", "text"),
+        docs.filter(last % 10 == 3).select("doc_id", F.concat("text", F.lit(" updated "), "source").alias("text")),
+        docs.filter(last % 10 == 7).select("doc_id", F.lit(None).cast("string").alias("text")),
+        docs.filter(last % 20 == 3).select("doc_id", F.substring("text", 1, 200).alias("text")),
+        docs.filter(last % 20 == 7).select("doc_id", F.concat(F.lit("again "), "lang").alias("text")),
+    ]
+    feed, path, checkpoint = (shared.new_path(w.spark, x) for x in ("feed", "segments", "stream"))
+    for update in updates:  # arrives, and the stream takes it up
+        update.write.mode("append").parquet(feed)
+        stream = w.spark.readStream.schema("doc_id long, text string").parquet(feed)
+        indexing.index_stream(stream, path, checkpoint, fanout=2).awaitTermination()
+    return indexing.open_parts(w.spark, path).term_stats
+
+
 @query
 def bm25_param_sweep(w: Workload) -> DataFrame:
     found = bm25.parameter_sweep(w.index, w.query_terms, [0.9, 1.2, 1.6, 2.0], [0.4, 0.75, 1.0], 5)

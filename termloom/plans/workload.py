@@ -61,9 +61,17 @@ class Workload:
     @cached_property
     def index(self) -> index.Index:
         """The collection's index, built on first use as one builds it before searching."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, state(self.spark, self.sf_dir), "index")
+        return self._index("index")
+
+    @cached_property
+    def piece_index(self) -> index.Index:
+        """The same with spans in pieces of four characters."""
+        return self._index("piece-index", widths=index.fixed_pieces(4))
+
+    def _index(self, name: str, **options) -> index.Index:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, state(self.spark, self.sf_dir), name)
         if key not in _kept:
-            _kept[key] = index.write_index(self.docs, shared.new_path(self.spark, "index"))
+            _kept[key] = index.write_index(self.docs, shared.new_path(self.spark, name), **options)
         return _kept[key]
 
     @cached_property
