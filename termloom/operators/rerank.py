@@ -21,8 +21,11 @@ from termloom.functions import text as T
 from termloom.functions import vectors as V
 from termloom.operators import bm25
 from termloom.operators.similarity import Encoder
+from termloom.sources import shared
 
 MAX_VECTORS, MAX_DOC_TOKENS = 64, 512
+#: Documents of a block, in which a term's vector is there once.
+BLOCK_DOCS = 256
 
 
 def query_vectors(query_terms: DataFrame, importance: DataFrame, encoder: Encoder, keys: list[str] | None = None, max_vectors: int = MAX_VECTORS) -> DataFrame:
@@ -46,59 +49,66 @@ def query_vectors(query_terms: DataFrame, importance: DataFrame, encoder: Encode
     return both.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_vectors).select(*keys, "n", "part", "term", "weight", "vec")
 
 
-def document_matrix(docs: DataFrame, wanted: DataFrame, encoder: Encoder, max_tokens: int = MAX_DOC_TOKENS, sentences: DataFrame | None = None) -> DataFrame:
-    """(doc_id, vecs): the distinct token vectors of wanted documents; repeats cannot change a maximum.
-
-    A document none of whose tokens has a vector takes its own of ``sentences`` (doc_id,
-    vec) where that is given, and is left out otherwise.
-    """
-    own = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    terms = T.token_rows(own, "doc_id", limit=max_tokens).select("doc_id", "term").distinct()
-    found = terms.join(encoder(terms), "term").groupBy("doc_id").agg(F.collect_list("vec").alias("vecs"))
-    if sentences is None:
-        return found
-    every = own.select("doc_id").distinct().join(found, "doc_id", "left").join(sentences.select("doc_id", "vec"), "doc_id", "left")
-    lone = F.when(F.col("vec").isNotNull(), F.array("vec"))
-    return every.select("doc_id", F.coalesce("vecs", lone).alias("vecs")).filter("vecs is not null")
-
-
 def term_similarities(candidates: DataFrame, terms: DataFrame, docs: DataFrame, encoder: Encoder, max_tokens: int = MAX_DOC_TOKENS, sentences: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, term, similarity): the largest dot product of a term's vector with a document's vectors.
 
-    ``terms`` is (qid, term). The products of one candidate are one matrix product over
-    at most ``MAX_VECTORS`` by ``max_tokens`` vectors.
+    ``terms`` is (qid, term). Documents lie in blocks of some ``BLOCK_DOCS``, and a block gets
+    the vector of a term once, however many of its documents and queries have it. Rows carry
+    terms, not vectors; in a block terms are numbers of rows of one matrix, and a document takes one
+    product with the terms of all queries that have it as a candidate. A block holds at most
+    ``BLOCK_DOCS * max_tokens`` vectors of documents besides those of its queries.
     """
-    asked = terms.select("qid", "term").distinct()
-    matrix = asked.join(encoder(asked), "term").groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("vec").alias("query_vecs"))
-    wanted = candidates.select("qid", "doc_id")
-    rows = wanted.join(document_matrix(docs, wanted, encoder, max_tokens, sentences), "doc_id").join(matrix, "qid")
+    wanted, asked = candidates.select("qid", "doc_id").distinct(), terms.select("qid", "term").distinct()
+    of_doc = wanted.groupBy("doc_id").agg(F.collect_list("qid").alias("qids"))  # at most all queries
+    blocks = max(1, -(-of_doc.count() // BLOCK_DOCS))
+    held = docs.select("doc_id", "text").join(of_doc, "doc_id").select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "qids", F.array_distinct(T.first(T.tokens(F.col("text")), max_tokens)).alias("words")
+    )
+    if sentences is not None:
+        held = held.join(sentences.select("doc_id", F.col("vec").alias("lone")), "doc_id", "left")
+    held, _ = shared.materialize(held, "reranked-documents")
+    queries = held.select("block", F.explode("qids").alias("qid")).distinct().join(asked.groupBy("qid").agg(F.collect_list("term").alias("terms")), "qid")
+    vocabulary = held.select("block", F.explode("words").alias("term")).unionByName(queries.select("block", F.explode("terms").alias("term"))).distinct()
+    vectors = vocabulary.join(encoder(vocabulary), "term").select("block", "term", "vec")
+    given = vectors.unionByName(queries, allowMissingColumns=True).toDF("of_block", "term", "vec", "qid", "terms")
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
-
-    def products(batches):
-        for batch in batches:
-            qid, doc_id = batch.column("qid").to_pylist(), batch.column("doc_id").to_pylist()
-            terms = batch.column("terms").to_pylist()
-            best = [(q @ d.T).max(axis=1) for q, d in zip(_matrices(batch.column("query_vecs")), _matrices(batch.column("vecs")), strict=True)]
-            sizes = [len(t) for t in terms]
-            columns = [
-                pa.array([x for x, n in zip(qid, sizes, strict=True) for _ in range(n)], batch.schema.field("qid").type),
-                pa.array([x for x, n in zip(doc_id, sizes, strict=True) for _ in range(n)], batch.schema.field("doc_id").type),
-                pa.array([t for own in terms for t in own], pa.string()),
-                pa.array(np.concatenate([np.zeros(0), *best])),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["qid", "doc_id", "term", "similarity"])
-
-    return rows.select("qid", "doc_id", "terms", "query_vecs", "vecs").mapInArrow(products, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, term string, similarity double")
-
-
-def _matrices(column: pa.ListArray) -> list[np.ndarray]:
-    """A matrix for each row of an array of vectors, without a Python number for each entry."""
-    vectors = column.flatten()
-    ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])
-    flat = vectors.flatten().to_numpy()
-    dim = len(flat) // len(vectors) if len(vectors) else 1
-    flat = flat.reshape(-1, dim)
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return held.groupBy("block").cogroup(given.groupBy("of_block")).applyInArrow(_products, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, term string, similarity double")
+
+
+def _products(held: pa.Table, given: pa.Table) -> pa.Table:
+    """The similarities of a block: its documents, and the vectors and queries that they need."""
+    kinds = [given.schema.field("qid").type, held.schema.field("doc_id").type, pa.string(), pa.float64()]
+    known = given.filter(pc.is_valid(given.column("term")))
+    words, matrix = known.column("term").combine_chunks(), _matrix(known.column("vec").combine_chunks())
+    asked = given.filter(pc.is_valid(given.column("qid")))
+    queries = dict(zip(asked.column("qid").to_pylist(), _codes(asked.column("terms"), words), strict=True))
+    lone = held.column("lone").to_pylist() if "lone" in held.column_names else [None] * held.num_rows
+    qids, doc_ids, terms, best = [], [], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for doc_id, own, codes, spare in zip(held.column("doc_id").to_pylist(), held.column("qids").to_pylist(), _codes(held.column("words"), words), lone, strict=True):
+        vectors = matrix[codes] if len(codes) else np.array([spare], float) if spare is not None else None
+        own = [q for q in own if len(queries.get(q, ()))]
+        if vectors is None or not own:
+            continue
+        rows = np.concatenate([queries[q] for q in own])
+        best.append((matrix[rows] @ vectors.T).max(axis=1))
+        terms.append(rows)
+        qids += [q for q in own for _ in range(len(queries[q]))]
+        doc_ids += [doc_id] * len(rows)
+    columns = [pa.array(qids, kinds[0]), pa.array(doc_ids, kinds[1]), words.take(pa.array(np.concatenate(terms))).cast(pa.string()), pa.array(np.concatenate(best))]
+    return pa.Table.from_arrays(columns, names=["qid", "doc_id", "term", "similarity"])
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    flat = column.flatten().to_numpy()
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _codes(column: pa.ChunkedArray, words: pa.StringArray) -> list[np.ndarray]:
+    """For each list of words the numbers of those that have a vector."""
+    lists = column.combine_chunks()
+    numbers = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy()
+    ends = np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
+    return [x[x >= 0] for x in (numbers[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True))]
 
 
 def scores(vectors: DataFrame, similarities: DataFrame, keys: list[str] | None = None) -> DataFrame:

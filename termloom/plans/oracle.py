@@ -124,8 +124,6 @@ CTES: dict[str, str] = {
     "rm": "SELECT qid, term, sum(doc_weight * tf / n) AS weight FROM weights10 JOIN shares USING (doc_id) GROUP BY ALL",
     "rm3": "SELECT qid, term, sum(weight) AS weight FROM (SELECT * FROM rm UNION ALL SELECT DISTINCT qid, term, 1.0::DOUBLE FROM query_terms) GROUP BY ALL",
     "expansion": f"SELECT * FROM (SELECT *, {best('qid', 'weight', 'term')} AS rank FROM rm3) WHERE rank <= 15",
-    "some_scores": """SELECT d.qid, d.doc_id, p.pos, s.score FROM top_doc d JOIN (SELECT doc_id, unnest(range(least(len(toks), 512))) AS pos, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw) p ON d.doc_id = p.doc_id
-        JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
     "own_terms": "SELECT term FROM query_tokens UNION SELECT term FROM expansion",
     "own_scores": f"SELECT term, doc_id, {_BM25.format(k1=1.2, b=0.75)} AS score FROM (SELECT p.term, p.doc_id, tf, df, dl, n, avgdl FROM postings p JOIN own_terms USING (term) JOIN term_stats t ON p.term = t.term JOIN doc_stats d ON p.doc_id = d.doc_id CROSS JOIN coll)",
     "coll_scores": f"SELECT term, avg(score) AS score FROM (SELECT *, {best('term')} AS i FROM own_scores) WHERE i <= 10 GROUP BY term",
@@ -169,6 +167,10 @@ CTES: dict[str, str] = {
     "fold_best": f"""SELECT fold, weights_id, score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, weights_id) AS i FROM (
         SELECT fold, weights_id, {rnd('avg(ndcg_cut_10)', 9)} AS score FROM grid_eval JOIN folds USING (qid) WHERE split = 'training' GROUP BY ALL)) WHERE i = 1""",
     "top_doc": "SELECT qid, doc_id FROM top10 WHERE rank = 1",
+    "piece_words": """SELECT doc_id, term, width, (sum(width) OVER (PARTITION BY doc_id ORDER BY i) - width)::BIGINT AS start FROM (
+          SELECT doc_id, i, term, greatest(1, ceil(length(term) / 4.0))::BIGINT AS width FROM (SELECT doc_id, unnest(range(len(toks))) AS i, unnest(toks) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM top_doc)))""",
+    "some_scores": """SELECT d.qid, d.doc_id, p.pos, s.score FROM top_doc d JOIN (SELECT doc_id, unnest(range(least(len(toks), 512))) AS pos, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw) p ON d.doc_id = p.doc_id
+        JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
     "doc_requests": """SELECT qid, doc_id, term FROM top_doc JOIN (
         SELECT qid, term FROM query_tokens UNION SELECT qid, array_to_string(list_slice(toks, 1, 2), ' ') FROM query_raw UNION SELECT qid, '?' FROM query_raw) USING (qid)""",
 }
@@ -242,9 +244,7 @@ _STATEMENTS: dict[str, str] = {
     "token_scores": f"""SELECT d.qid, d.doc_id, p.pos::BIGINT AS pos, {rnd('s.score')} AS score FROM top_doc d
         JOIN (SELECT doc_id, unnest(range(least(len(toks), 512))) AS pos, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw) p ON d.doc_id = p.doc_id
         JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
-    "token_spans": f"""WITH words AS (SELECT doc_id, term, width, sum(width) OVER (PARTITION BY doc_id ORDER BY i) - width AS start FROM (
-          SELECT doc_id, i, term, greatest(1, ceil(length(term) / 4.0))::BIGINT AS width FROM (SELECT doc_id, unnest(range(len(toks))) AS i, unnest(toks) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM top_doc))))
-        SELECT d.qid, d.doc_id, pos::BIGINT AS pos, {rnd('s.score')} AS score FROM top_doc d JOIN (SELECT doc_id, term, unnest(range(start, start + width)) AS pos FROM words) p ON d.doc_id = p.doc_id AND pos < 512
+    "token_spans": f"""SELECT d.qid, d.doc_id, pos::BIGINT AS pos, {rnd('s.score')} AS score FROM top_doc d JOIN (SELECT doc_id, term, unnest(range(start, start + width)) AS pos FROM piece_words) p ON d.doc_id = p.doc_id AND pos < 512
         JOIN (SELECT DISTINCT qid, term FROM query_terms) q ON q.qid = d.qid AND q.term = p.term JOIN term_scores s ON s.term = p.term AND s.doc_id = d.doc_id WHERE s.score > 0""",
     "dense_token_scores": f"""SELECT qid, doc_id, pos::BIGINT AS pos, {rnd('coalesce(score, 0)')} AS score FROM (SELECT DISTINCT qid, doc_id FROM some_scores) CROSS JOIN (SELECT unnest(range(512)) AS pos) LEFT JOIN some_scores USING (qid, doc_id, pos)""",
     "streaming_index": f"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_ANALYZED}) AS term FROM (
