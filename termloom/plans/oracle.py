@@ -11,7 +11,7 @@ import re
 from termloom.functions.text import STOPWORDS
 from termloom.operators import optimize
 from termloom.operators.metrics import LEVELS
-from termloom.plans.workload import WEIGHTS
+from termloom.plans.workload import CANDIDATES, WEIGHTS
 
 A, B, G = WEIGHTS
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
@@ -108,7 +108,7 @@ CTES: dict[str, str] = {
     "summed": "SELECT qid, doc_id, sum(score) AS score FROM query_terms JOIN term_scores USING (term) GROUP BY ALL",
     "ranked": f"SELECT qid, doc_id, score, {best('qid')} AS rank FROM summed",
     "top10": "SELECT * FROM ranked WHERE rank <= 10",
-    "top20": "SELECT * FROM ranked WHERE rank <= 20",
+    "candidates": f"SELECT * FROM ranked WHERE rank <= {CANDIDATES}",
     "top100": "SELECT * FROM ranked WHERE rank <= 100",
     "short100": f"SELECT * FROM (SELECT *, {best('qid')} AS rank FROM (SELECT qid, doc_id, sum({_BM25.format(k1=0.9, b=0.4)}) AS score FROM query_terms JOIN wide USING (term) GROUP BY ALL)) WHERE rank <= 100",
     "qrels": """SELECT qid, doc_id, CASE WHEN phrase THEN 2 ELSE 1 END AS rel FROM (
@@ -132,13 +132,13 @@ CTES: dict[str, str] = {
     "query_vecs": "SELECT qid, list(s ORDER BY d) AS vec FROM (SELECT qid, d, sum(vec[d]) AS s FROM query_tokens JOIN query_term_vecs USING (term) CROSS JOIN (SELECT unnest(range(1, 65)) AS d) GROUP BY ALL) GROUP BY qid",
     "semantic": "SELECT e.qid, e.term, greatest(0.0::DOUBLE, list_inner_product(q.vec, t.vec) / (sqrt(list_inner_product(q.vec, q.vec)) * sqrt(list_inner_product(t.vec, t.vec)))) AS similarity FROM expansion e JOIN own_vecs t ON e.term = t.term JOIN query_vecs q ON e.qid = q.qid",
     "features": "SELECT e.qid, e.rank, e.term, e.weight AS rm_weight, coalesce(c.score, 0) AS bm25_score, coalesce(s.similarity, 0) AS semantic_score FROM expansion e LEFT JOIN coll_scores c ON e.term = c.term LEFT JOIN semantic s ON e.qid = s.qid AND e.term = s.term",
-    "doc_vec_terms": "SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM top20))",
+    "doc_vec_terms": "SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM candidates))",
     "wanted_terms": "SELECT DISTINCT qid, term FROM (SELECT qid, term FROM query_tokens UNION ALL SELECT qid, term FROM expansion)",
     "doc_slots": f"SELECT DISTINCT doc_id, {_SLOT} AS slot FROM doc_vec_terms",
     "own_slots": f"SELECT qid, term, {_SLOT} AS slot FROM wanted_terms",
     "dots": "SELECT a.vec_id AS x, b.vec_id AS y, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot FROM embeddings a JOIN (SELECT DISTINCT slot FROM own_slots) s ON a.vec_id = s.slot CROSS JOIN (SELECT e.* FROM embeddings e JOIN (SELECT DISTINCT slot FROM doc_slots) d ON e.vec_id = d.slot) b",
     "pair_dots": "SELECT d.doc_id, x AS slot, max(dot) AS similarity FROM doc_slots d JOIN dots ON y = d.slot GROUP BY ALL",
-    "sims": "SELECT c.qid, c.doc_id, w.term, similarity FROM top20 c JOIN own_slots w ON c.qid = w.qid JOIN pair_dots p ON p.doc_id = c.doc_id AND p.slot = w.slot",
+    "sims": "SELECT c.qid, c.doc_id, w.term, similarity FROM candidates c JOIN own_slots w ON c.qid = w.qid JOIN pair_dots p ON p.doc_id = c.doc_id AND p.slot = w.slot",
     "doc_vecs": f"SELECT term, embedding::DOUBLE[] AS vec FROM (SELECT DISTINCT term FROM doc_vec_terms) JOIN embeddings ON vec_id = {_SLOT}",
     "abl_weights": "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE, {c}::DOUBLE)" for m, a, b, g, c in _ABLATION) + ") v(model, alpha, beta, gamma, constant)",
     "abl": "SELECT model, qid, rank, term, alpha * rm_weight + beta * bm25_score + gamma * semantic_score + constant AS importance FROM features CROSS JOIN abl_weights",
@@ -146,15 +146,17 @@ CTES: dict[str, str] = {
     "base": "SELECT qid, doc_id, sum(similarity) AS base FROM query_tokens JOIN sims USING (qid, term) WHERE pos < 32 GROUP BY ALL",
     "parts": "SELECT qid, doc_id, base, sum(rm_weight * similarity) AS pr, sum(bm25_score * similarity) AS pb, sum(semantic_score * similarity) AS ps FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) GROUP BY qid, doc_id, base",
     "reranked": f"SELECT qid, doc_id, score, {best('qid')} AS rank FROM (SELECT qid, doc_id, base + sum(importance * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN imp USING (qid, term) WHERE importance > 0 GROUP BY qid, doc_id, base)",
+    "reranked_one": f"SELECT qid, doc_id, score, {best('qid')} AS rank FROM (SELECT qid, doc_id, base + sum((rm_weight + bm25_score + semantic_score) * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) WHERE rm_weight + bm25_score + semantic_score > 0 GROUP BY qid, doc_id, base)",
+    "recipe_eval": _evaluated("SELECT 'reranked' AS run_name, qid, doc_id, score FROM reranked_one UNION ALL SELECT 'first_stage', qid, doc_id, score FROM candidates", "run_name, qid"),
     "runs": "SELECT 'bm25' AS run_name, qid, rank, doc_id, score FROM top100 UNION ALL SELECT 'bm25_short', qid, rank, doc_id, score FROM short100 UNION ALL SELECT 'reranked', qid, rank, doc_id, score FROM reranked",
     "runs_eval": _evaluated("SELECT run_name, qid, doc_id, score FROM runs", "run_name, qid"),
     "top_eval": _evaluated("SELECT qid, doc_id, score FROM top100", "qid"),
-    "top20_eval": _evaluated("SELECT qid, doc_id, score FROM top20", "qid"),
+    "first_eval": _evaluated("SELECT qid, doc_id, score FROM candidates", "qid"),
     "reranked_eval": _evaluated("SELECT qid, doc_id, score FROM reranked", "qid"),
     "runs_long": "SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10, avg(ndcg_cut_100) AS ndcg_cut_100, avg(recip_rank) AS recip_rank, avg(recall_100) AS recall_100, avg(\"P_10\") AS \"P_10\", 0.0::DOUBLE AS no_such_metric FROM runs_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10, ndcg_cut_100, recip_rank, recall_100, \"P_10\", no_such_metric))",
-    "abl_runs": "SELECT model AS run_name, qid, doc_id, sum(score) AS score FROM (SELECT model, b.qid, doc_id, base AS score FROM base b CROSS JOIN abl_weights UNION ALL SELECT model, s.qid, s.doc_id, importance * similarity FROM abl JOIN sims s USING (qid, term) WHERE importance > 0) GROUP BY ALL UNION ALL SELECT 'first_stage', qid, doc_id, score FROM top20",
+    "abl_runs": "SELECT model AS run_name, qid, doc_id, sum(score) AS score FROM (SELECT model, b.qid, doc_id, base AS score FROM base b CROSS JOIN abl_weights UNION ALL SELECT model, s.qid, s.doc_id, importance * similarity FROM abl JOIN sims s USING (qid, term) WHERE importance > 0) GROUP BY ALL UNION ALL SELECT 'first_stage', qid, doc_id, score FROM candidates",
     "abl_eval": _evaluated("SELECT * FROM abl_runs", "run_name, qid"),
-    "simple_runs": "SELECT 'uniform_simple' AS run_name, b.qid, b.doc_id, base + sum(similarity) AS score FROM base b JOIN query_tokens q ON b.qid = q.qid AND q.pos < 5 JOIN sims s ON s.qid = b.qid AND s.doc_id = b.doc_id AND s.term = q.term GROUP BY b.qid, b.doc_id, base UNION ALL SELECT 'first_stage', qid, doc_id, score FROM top20",
+    "simple_runs": "SELECT 'uniform_simple' AS run_name, b.qid, b.doc_id, base + sum(similarity) AS score FROM base b JOIN query_tokens q ON b.qid = q.qid AND q.pos < 5 JOIN sims s ON s.qid = b.qid AND s.doc_id = b.doc_id AND s.term = q.term GROUP BY b.qid, b.doc_id, base UNION ALL SELECT 'first_stage', qid, doc_id, score FROM candidates",
     "simple_eval": _evaluated("SELECT * FROM simple_runs", "run_name, qid"),
     "grid": _points(_GRID),
     "grid_eval": _ndcg("grid"),
@@ -299,11 +301,11 @@ _STATEMENTS: dict[str, str] = {
     "query_vectors_explain": "SELECT q.qid, array_to_string(q.toks, ' ') AS own_terms, string_agg(i.term, ' ' ORDER BY i.rank) AS expansion_terms, len(q.toks) + count(*) AS n_vectors FROM (SELECT qid, list_slice(toks, 1, 32) AS toks FROM query_raw) q JOIN imp i ON q.qid = i.qid WHERE importance > 0 GROUP BY q.qid, q.toks",
     "rerank_topk": f"SELECT qid, rank, doc_id, {rnd('score')} AS score FROM reranked",
     "rerank_sentence": f"""SELECT qid, {best('qid')} AS rank, doc_id, {rnd('score')} AS score FROM (
-        SELECT c.qid, c.doc_id, sum(w.weight * list_inner_product(a.vec, b.vec)) AS score FROM top20 c
+        SELECT c.qid, c.doc_id, sum(w.weight * list_inner_product(a.vec, b.vec)) AS score FROM candidates c
         JOIN (SELECT qid, term, 1.0::DOUBLE AS weight FROM query_tokens WHERE pos < 32 UNION ALL SELECT qid, term, importance FROM imp WHERE importance > 0) w ON c.qid = w.qid
         JOIN own_vecs a ON w.term = a.term
         JOIN (SELECT doc_id, list(s ORDER BY d) AS vec FROM (SELECT doc_id, d, sum(x) AS s FROM (SELECT doc_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS d
-              FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM top20)) JOIN doc_vecs USING (term)) GROUP BY ALL) GROUP BY doc_id) b ON b.doc_id = c.doc_id
+              FROM (SELECT doc_id, unnest(list_slice(toks, 1, 512)) AS term FROM docs_raw WHERE doc_id IN (SELECT doc_id FROM candidates)) JOIN doc_vecs USING (term)) GROUP BY ALL) GROUP BY doc_id) b ON b.doc_id = c.doc_id
         GROUP BY ALL)""",
     "p_at_k": _per_query("P_1", "P_5", "P_10", "P_100"),
     "recall_at_k": _per_query("recall_5", "recall_10", "recall_100"),
@@ -319,15 +321,16 @@ _STATEMENTS: dict[str, str] = {
     "evaluate_all": f"""SELECT metric, {rnd('value')} AS value FROM (SELECT sum(num_ret) AS num_ret, sum(num_rel) AS num_rel, sum(num_rel_ret) AS num_rel_ret, avg(map) AS map, exp(avg(ln(greatest(map, 0.00001::DOUBLE)))) AS gm_map,
         avg(recip_rank) AS recip_rank, avg(ndcg) AS ndcg, avg("Rprec") AS "Rprec", avg(bpref) AS bpref, avg("set_P") AS "set_P", avg(set_recall) AS set_recall, avg("set_F") AS "set_F", avg("11pt_avg") AS "11pt_avg" FROM top_eval)
         UNPIVOT (value FOR metric IN (num_ret, num_rel, num_rel_ret, map, gm_map, recip_rank, ndcg, "Rprec", bpref, "set_P", set_recall, "set_F", "11pt_avg"))""",
+    "rerank_for_evaluation": f"SELECT run_name, metric, {rnd('value')} AS value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10, avg(ndcg_cut_100) AS ndcg_cut_100, avg(recip_rank) AS recip_rank, avg(recall_100) AS recall_100 FROM recipe_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10, ndcg_cut_100, recip_rank, recall_100))",
     "evaluate_runs_long": f"SELECT run_name, metric, {rnd('value')} AS value FROM runs_long",
     "compare_runs": _compared("runs_long", "bm25"),
     "results_pivot": """SELECT run_name, run_name = 'bm25' AS is_baseline, any_value(cell) FILTER (metric = 'map') AS map, any_value(cell) FILTER (metric = 'ndcg_cut_10') AS ndcg_cut_10 FROM (
         SELECT r.run_name, r.metric, CASE WHEN run_name = 'bm25' THEN format('{:.4f}', round(value, 9)) ELSE format('{:.4f}', round(value, 9)) || ' (' || CASE WHEN round(round(value, 9) - round(base, 9), 4) >= 0 THEN '+' ELSE '' END || format('{:.4f}', round(round(value, 9) - round(base, 9), 4) + 0.0) || ')' END AS cell
         FROM runs_long r JOIN (SELECT metric, value AS base FROM runs_long WHERE run_name = 'bm25') USING (metric)) GROUP BY run_name""",
     "original_vs_reranked": f"SELECT metric, {rnd('original')} AS original, {rnd('reranked')} AS reranked, {rnd('reranked - original')} AS difference FROM ("
-    + " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT avg({m}) FROM top20_eval) AS original, (SELECT avg({m}) FROM reranked_eval) AS reranked" for m in ("map", "ndcg_cut_10", "recip_rank"))
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT avg({m}) FROM first_eval) AS original, (SELECT avg({m}) FROM reranked_eval) AS reranked" for m in ("map", "ndcg_cut_10", "recip_rank"))
     + ")",
-    "paired_significance": f"SELECT count(*) AS n, {rnd('avg(d)')} AS mean_difference, {rnd('CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END')} AS t, sum((d > 0)::INT)::BIGINT AS better, sum((d < 0)::INT)::BIGINT AS worse, sum((d = 0)::INT)::BIGINT AS equal FROM (SELECT round(b.ndcg_cut_10, 9) - round(a.ndcg_cut_10, 9) AS d FROM top20_eval a JOIN reranked_eval b USING (qid))",
+    "paired_significance": f"SELECT count(*) AS n, {rnd('avg(d)')} AS mean_difference, {rnd('CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END')} AS t, sum((d > 0)::INT)::BIGINT AS better, sum((d < 0)::INT)::BIGINT AS worse, sum((d = 0)::INT)::BIGINT AS equal FROM (SELECT round(b.ndcg_cut_10, 9) - round(a.ndcg_cut_10, 9) AS d FROM first_eval a JOIN reranked_eval b USING (qid))",
     "ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM abl_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
     "ablation_from_feedback": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM abl_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
     "simple_ablation_eval": _compared("(SELECT run_name, metric, value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10 FROM simple_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10)))", "first_stage"),
@@ -359,7 +362,7 @@ _STATEMENTS: dict[str, str] = {
 
 _STATEMENTS["rerank_info"] = f"""SELECT v.*, c.*, 64::BIGINT AS max_vectors, 512::BIGINT AS max_tokens
     FROM (SELECT count(*) AS n_queries, sum(own_n)::BIGINT AS n_vectors, max(own_n) AS most_vectors FROM (SELECT qid, count(*) AS own_n FROM ({_STATEMENTS['query_vectors']}) GROUP BY qid)) v,
-    (SELECT count(*) AS n_candidates, count(DISTINCT doc_id) AS n_documents FROM top20) c"""
+    (SELECT count(*) AS n_candidates, count(DISTINCT doc_id) AS n_documents FROM candidates) c"""
 
 ORACLE_SQL: dict[str, str] = {name: sql(statement) for name, statement in _STATEMENTS.items()}
 

@@ -384,7 +384,7 @@ def rerank_topk(w: Workload) -> DataFrame:
 
 @query
 def rerank_sentence(w: Workload) -> DataFrame:
-    found = rerank.rerank_sentences(w.run(CANDIDATES), w.query_tokens, _importance(w), w.document_vectors, w.encoder, DIM)
+    found = rerank.rerank_sentences(w.run(CANDIDATES), w.query_tokens, _importance(w), w.document_vectors, w.encoder, DIM, CANDIDATES)
     return found.select("qid", "rank", "doc_id", *r("score"))
 
 
@@ -450,20 +450,20 @@ def paired_significance(w: Workload) -> DataFrame:
 @query
 def ablation_eval(w: Workload) -> DataFrame:
     weights = importance.ablation_weights(w.spark, *WEIGHTS)
-    found = evaluation.ablation(w.features, weights, w.run(CANDIDATES), w.query_tokens, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"], similarities=w.similarities)
+    found = evaluation.ablation(w.features, weights, w.run(CANDIDATES), w.query_tokens, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"], CANDIDATES, similarities=w.similarities)
     return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
 
 
 @query
 def ablation_from_feedback(w: Workload) -> DataFrame:
     weights = importance.ablation_weights(w.spark, *WEIGHTS)
-    found = evaluation.ablation_from_feedback(w.items, w.run(10), w.index, weights, w.run(CANDIDATES), w.docs, w.qrels, w.encoder, DIM, ["map", "ndcg_cut_10"], EXPANSION_TERMS)
+    found = evaluation.ablation_from_feedback(w.items, w.run(10), w.index, weights, w.run(CANDIDATES), w.docs, w.qrels, w.encoder, DIM, ["map", "ndcg_cut_10"], EXPANSION_TERMS, CANDIDATES)
     return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
 
 
 @query
 def simple_ablation_eval(w: Workload) -> DataFrame:
-    found = evaluation.simple_ablation(w.queries, w.run(CANDIDATES), w.query_tokens, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"])
+    found = evaluation.simple_ablation(w.queries, w.run(CANDIDATES), w.query_tokens, w.docs, w.qrels, w.encoder, ["map", "ndcg_cut_10"], CANDIDATES)
     return found.select("run_name", "metric", *r("value", "baseline_value", "improvement_pct", "improvement_abs", places=5))
 
 
@@ -551,9 +551,9 @@ def cv_aggregated_run(w: Workload) -> DataFrame:
 @query
 def rerank_for_evaluation(w: Workload) -> DataFrame:
     """The evaluation recipe at full depth: 1,000 candidates, missing feedback leaves a query's own vectors."""
-    candidates = w.run(1000)
+    candidates = w.run(CANDIDATES)
     own = importance.weighted(w.features, 1.0, 1.0, 1.0)
-    runs = rerank.rerank(candidates, w.query_tokens, own, w.docs, w.encoder, 1000)
+    runs = rerank.rerank(candidates, w.query_tokens, own, w.docs, w.encoder, CANDIDATES, similarities=w.similarities)
     both = runs.select(F.lit("reranked").alias("run_name"), "qid", "rank", "doc_id", "score").unionByName(candidates.select(F.lit("first_stage").alias("run_name"), "qid", "rank", "doc_id", "score"))
     return metrics.evaluate(both, w.qrels, metrics.DEFAULT, ["run_name", "qid"]).select("run_name", "metric", *r("value"))
 

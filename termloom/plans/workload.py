@@ -18,7 +18,7 @@ from termloom.operators import bm25, expansion, importance, index, rerank, simil
 from termloom.sources import shared
 
 DIM = 64
-CANDIDATES, EXPANSION_TERMS = 20, 15
+CANDIDATES, EXPANSION_TERMS = 1000, 15
 WEIGHTS = (1.2, 0.8, 1.5)
 _kept: dict[tuple, DataFrame] = {}
 
@@ -146,7 +146,7 @@ class Workload:
     @cached_property
     def reranked(self) -> DataFrame:
         own = importance.weighted(self.features, *WEIGHTS)
-        return keep(self.spark, self.sf_dir, "reranked", lambda: rerank.rerank(self.run(CANDIDATES), self.query_tokens, own, self.docs, self.encoder, similarities=self.similarities))
+        return keep(self.spark, self.sf_dir, "reranked", lambda: rerank.rerank(self.run(CANDIDATES), self.query_tokens, own, self.docs, self.encoder, CANDIDATES, similarities=self.similarities))
 
     @cached_property
     def parts(self) -> DataFrame:

@@ -28,7 +28,7 @@ def norm(v):
 
 
 def test_which_queries_have_no_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"lbfgs_search", "rerank_for_evaluation"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"lbfgs_search"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -48,9 +48,3 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 def test_quasi_newton_search_on_the_objective(spark, sf_dir):
     row = QUERIES["lbfgs_search"](spark, sf_dir).first()
     assert 0 <= row.start_score <= row.score <= 1 and all(0.1 <= row[x] <= 5 for x in ("alpha", "beta", "gamma")) and row.evaluations >= 7
-
-
-def test_reranking_for_evaluation(spark, sf_dir):
-    rows = {(r.run_name, r.metric): r.value for r in QUERIES["rerank_for_evaluation"](spark, sf_dir).collect()}
-    assert len(rows) == 10 and all(0 <= v <= 1 for v in rows.values())
-    assert rows["reranked", "recall_100"] > 0
