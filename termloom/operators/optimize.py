@@ -81,6 +81,76 @@ def batch_objective(parts: DataFrame, qrels: DataFrame, metric: str = "ndcg_cut_
     return values
 
 
+#: Parts of a line that are summed up on their own.
+LINE_PARTS = 256
+
+
+def line_scores(parts: DataFrame, qrels: DataFrame, start: Weights, direction: Weights, low: float = 0.1, high: float = 5.0, k: int = 10) -> DataFrame:
+    """(t, until, score): the mean nDCG at k of the weights ``start + t * direction`` as steps from ``low`` to ``high``.
+
+    A candidate's score is a line in t, so the ranking changes only where two lines cross, and
+    nDCG only where one of them is relevant. The crossings of a query's relevant documents
+    with its candidates, in order, give each one's rank as a running sum; the changes of
+    all queries, in order, give the mean. Between the steps it is constant: nothing is sampled.
+    Crossings are told apart to nine places; lines that coincide keep the order of their ids.
+    """
+    names = ("rm_weight", "bm25_score", "semantic_score")
+    along = lambda w: sum((F.lit(float(x)) * F.col(n) for x, n in zip(w, names, strict=True)), F.lit(0.0))
+    there = F.col("base").isNotNull()
+    lines = parts.select("qid", "doc_id", F.when(there, F.col("base") + along(start)).otherwise(F.col("first_score")).alias("a"), F.when(there, along(direction)).otherwise(F.lit(0.0)).alias("b"))
+    best = metrics.ideal(qrels, (k,)).filter(F.col(f"ideal_{k}") > 0).select("qid", (F.lit(1.0) / F.col(f"ideal_{k}")).alias("unit"))
+    good = qrels.filter("rel > 0").join(best, "qid").select("qid", "doc_id", (F.col("rel") * F.col("unit")).alias("gain"))
+    judged = lines.join(good, ["qid", "doc_id"]).select("qid", F.col("doc_id").alias("good_id"), "gain", F.col("a").alias("good_a"), F.col("b").alias("good_b"))
+    pairs = lines.join(judged, "qid").filter(F.col("doc_id") != F.col("good_id"))
+    d, slope = F.col("a") - F.col("good_a"), F.col("b") - F.col("good_b")
+    pairs = pairs.withColumn("t", F.when(slope != 0, F.round(-d / slope, 9))).withColumn("up", F.when(slope > 0, 1).otherwise(-1))
+    never = (d > 0) | ((d == 0) & (F.col("doc_id").cast("string") > F.col("good_id").cast("string")))
+    ahead = F.when(slope == 0, never).when(slope > 0, F.col("t") <= low).otherwise(F.col("t") > low)
+    key = ["qid", "good_id", "gain"]
+    first = judged.select(*key).join(pairs.groupBy(*key).agg(F.sum(ahead.cast("long")).alias("before")), key, "left").select(*key, F.lit(float(low)).alias("t"), (F.coalesce("before", F.lit(0)) + 1).alias("moved"))
+    moves = pairs.filter((F.col("t") > low) & (F.col("t") < high)).groupBy(*key, "t").agg(F.sum("up").cast("long").alias("moved"))
+    order = Window.partitionBy(*key).orderBy("t")
+    ranks = first.unionByName(moves).withColumn("rank", F.sum("moved").over(order))
+    worth = F.when(F.col("rank") <= k, F.col("gain") / F.log2(F.col("rank") + 1.0)).otherwise(F.lit(0.0))
+    worths = ranks.withColumn("worth", worth).withColumn("change", F.col("worth") - F.coalesce(F.lag("worth").over(order), F.lit(0.0)))
+    n = parts.select("qid").distinct().join(qrels.select("qid").distinct(), "qid").agg(F.count("*").alias("n"))
+    changes = worths.filter((F.col("change") != 0) | (F.col("t") == low)).groupBy("t").agg(F.sum("change").alias("change")).crossJoin(F.broadcast(n))  # one row
+    changes = changes.select("t", (F.col("change") / F.col("n")).alias("change"), F.floor((F.col("t") - low) / ((high - low) / LINE_PARTS)).cast("int").alias("part"))
+    every = Window.orderBy("part")  # a row for each part of the line
+    sums = changes.groupBy("part").agg(F.sum("change").alias("sum"), F.min("t").alias("first"))
+    sums = sums.select("part", (F.sum("sum").over(every) - F.col("sum")).alias("before"), F.lead("first").over(every).alias("next"))
+    within = Window.partitionBy("part").orderBy("t")
+    steps = changes.join(F.broadcast(sums), "part")
+    return steps.select("t", F.coalesce(F.lead("t").over(within), "next", F.lit(float(high))).alias("until"), (F.col("before") + F.sum("change").over(within)).alias("score"))
+
+
+def polished(parts: DataFrame, qrels: DataFrame, result: Result, low: float = 0.1, high: float = 5.0, k: int = 10, rounds: int = 2) -> Result:
+    """A result moved to the best step of each coordinate in turn, as long as that is better.
+
+    The steps are exact; a point is taken only if the objective itself is better there.
+    """
+    values = batch_objective(parts, qrels, f"ndcg_cut_{k}")
+    weights, score, asked, history = result.weights, result.score, result.evaluations, list(result.history)
+    for _ in range(rounds):
+        before = score
+        for axis in range(3):
+            start = tuple(0.0 if i == axis else w for i, w in enumerate(weights))
+            unit = tuple(float(i == axis) for i in range(3))
+            steps = line_scores(parts, qrels, start, unit, low, high, k).filter(F.col("until") - F.col("t") > 1e-6)
+            best = steps.orderBy(F.round("score", 9).desc(), "t").select("t", "until", "score").first()
+            if best is None or best["score"] <= score + 1e-9:
+                continue
+            point = tuple((best["t"] + best["until"]) / 2 if i == axis else w for i, w in enumerate(weights))
+            found = values([point])[0]
+            asked += 1
+            if found > score:
+                weights, score = point, found
+                history.append((point, found))
+        if score <= before:
+            break
+    return Result(weights, score, asked, history)
+
+
 def best_of(scores: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """The best row (of each group); of equals the first."""
     groups = groups or []

@@ -146,6 +146,11 @@ CTES: dict[str, str] = {
     "base": "SELECT qid, doc_id, sum(similarity) AS base FROM query_tokens JOIN sims USING (qid, term) WHERE pos < 32 GROUP BY ALL",
     "parts": "SELECT qid, doc_id, base, sum(rm_weight * similarity) AS pr, sum(bm25_score * similarity) AS pb, sum(semantic_score * similarity) AS ps FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) GROUP BY qid, doc_id, base",
     "reranked": f"SELECT qid, doc_id, score, {best('qid')} AS rank FROM (SELECT qid, doc_id, base + sum(importance * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN imp USING (qid, term) WHERE importance > 0 GROUP BY qid, doc_id, base)",
+    "line_pairs": f"""SELECT qid, good_id, gain, doc_id, d, slope, CASE WHEN slope <> 0 THEN round(-d / slope, 9) END AS t FROM (
+        SELECT p.qid, g.doc_id AS good_id, rel / ideal_10 AS gain, p.doc_id, p.base + {B}::DOUBLE * p.pb + {G}::DOUBLE * p.ps - (g.base + {B}::DOUBLE * g.pb + {G}::DOUBLE * g.ps) AS d, p.pr - g.pr AS slope
+        FROM parts p JOIN parts g ON p.qid = g.qid JOIN qrels j ON j.qid = g.qid AND j.doc_id = g.doc_id AND rel > 0 JOIN ideal i ON i.qid = p.qid AND ideal_10 > 0)""",
+    "line_moves": """SELECT qid, good_id, any_value(gain) AS gain, 0.1::DOUBLE AS t, 1 + count(*) FILTER (doc_id <> good_id AND CASE WHEN slope = 0 THEN d > 0 OR d = 0 AND doc_id::VARCHAR > good_id::VARCHAR WHEN slope > 0 THEN t <= 0.1 ELSE t > 0.1 END) AS moved
+        FROM line_pairs GROUP BY qid, good_id UNION ALL SELECT qid, good_id, any_value(gain), t, sum(CASE WHEN slope > 0 THEN 1 ELSE -1 END) FROM line_pairs WHERE doc_id <> good_id AND t > 0.1 AND t < 5.0 GROUP BY qid, good_id, t""",
     "reranked_one": f"SELECT qid, doc_id, score, {best('qid')} AS rank FROM (SELECT qid, doc_id, base + sum((rm_weight + bm25_score + semantic_score) * similarity) AS score FROM base JOIN sims USING (qid, doc_id) JOIN features USING (qid, term) WHERE rm_weight + bm25_score + semantic_score > 0 GROUP BY qid, doc_id, base)",
     "recipe_eval": _evaluated("SELECT 'reranked' AS run_name, qid, doc_id, score FROM reranked_one UNION ALL SELECT 'first_stage', qid, doc_id, score FROM candidates", "run_name, qid"),
     "runs": "SELECT 'bm25' AS run_name, qid, rank, doc_id, score FROM top100 UNION ALL SELECT 'bm25_short', qid, rank, doc_id, score FROM short100 UNION ALL SELECT 'reranked', qid, rank, doc_id, score FROM reranked",
@@ -321,6 +326,11 @@ _STATEMENTS: dict[str, str] = {
     "evaluate_all": f"""SELECT metric, {rnd('value')} AS value FROM (SELECT sum(num_ret) AS num_ret, sum(num_rel) AS num_rel, sum(num_rel_ret) AS num_rel_ret, avg(map) AS map, exp(avg(ln(greatest(map, 0.00001::DOUBLE)))) AS gm_map,
         avg(recip_rank) AS recip_rank, avg(ndcg) AS ndcg, avg("Rprec") AS "Rprec", avg(bpref) AS bpref, avg("set_P") AS "set_P", avg(set_recall) AS set_recall, avg("set_F") AS "set_F", avg("11pt_avg") AS "11pt_avg" FROM top_eval)
         UNPIVOT (value FOR metric IN (num_ret, num_rel, num_rel_ret, map, gm_map, recip_rank, ndcg, "Rprec", bpref, "set_P", set_recall, "set_F", "11pt_avg"))""",
+    "line_search": f"""SELECT {rnd('t')} AS t, {rnd('coalesce(lead(t) OVER (ORDER BY t), 5.0)')} AS until, {rnd('sum(change) OVER (ORDER BY t)')} AS score FROM (
+        SELECT t, sum(change) / (SELECT count(DISTINCT qid) FROM parts JOIN ideal USING (qid)) AS change FROM (
+          SELECT t, worth - coalesce(lag(worth) OVER (PARTITION BY qid, good_id ORDER BY t), 0) AS change FROM (
+            SELECT qid, good_id, t, CASE WHEN rank <= 10 THEN gain / log2(rank + 1.0::DOUBLE) ELSE 0 END AS worth FROM (SELECT qid, good_id, t, gain, sum(moved) OVER (PARTITION BY qid, good_id ORDER BY t) AS rank FROM line_moves)))
+        WHERE change <> 0 OR t = 0.1 GROUP BY t)""",
     "rerank_for_evaluation": f"SELECT run_name, metric, {rnd('value')} AS value FROM (SELECT run_name, avg(map) AS map, avg(ndcg_cut_10) AS ndcg_cut_10, avg(ndcg_cut_100) AS ndcg_cut_100, avg(recip_rank) AS recip_rank, avg(recall_100) AS recall_100 FROM recipe_eval GROUP BY run_name) UNPIVOT (value FOR metric IN (map, ndcg_cut_10, ndcg_cut_100, recip_rank, recall_100))",
     "evaluate_runs_long": f"SELECT run_name, metric, {rnd('value')} AS value FROM runs_long",
     "compare_runs": _compared("runs_long", "bm25"),

@@ -510,12 +510,20 @@ def random_search(w: Workload) -> DataFrame:
 
 @query
 def lbfgs_search(w: Workload) -> DataFrame:
-    """The quasi-Newton search on the retrieval objective; every step asks for a batch of points, which is a job."""
+    """The quasi-Newton search on the retrieval objective, moved to the best step of each coordinate; a batch of points is a job."""
     found = optimize.LimitedMemoryBFGS().optimize_batches(optimize.batch_objective(w.parts, w.qrels))
     start = found.history[0][1]
+    found = optimize.polished(w.parts, w.qrels, found)
     return optimize.weights_frame(w.spark, [found.weights]).select(*r("alpha", "beta", "gamma"), F.lit(start).alias("start_score"), F.lit(found.score).alias("score"), F.lit(found.evaluations).cast("long").alias("evaluations"))
 
 
+@query
+def line_search(w: Workload) -> DataFrame:
+    """The steps of the objective along the first weight, the others as they are."""
+    steps = optimize.line_scores(w.parts, w.qrels, (0.0, *WEIGHTS[1:]), (1.0, 0.0, 0.0), 0.1, 5.0)
+    return steps.select(*r("t", "until", "score"))
+
+
 @query
 def boundary_check(w: Workload) -> DataFrame:
     """Whether the best weights of the grid lie at its edge."""

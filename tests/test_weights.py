@@ -204,3 +204,35 @@ def test_alignment(spark):
 def test_describe_one_row(spark):
     row = spark.sql("SELECT 2d AS x").agg(*N.describe(F.col("x"))).first()
     assert tuple(row) == (1, 2, 2, 2, 2, 0)
+
+
+def _random_parts(spark, seed):
+    rng = np.random.RandomState(seed)
+    rows = [(q, d, float(rng.rand()), None if d == 3 else float(rng.rand()), *(float(x) for x in rng.rand(3))) for q in range(4) for d in range(12)]
+    rows += [(0, 50 + i, 0.5, 0.4, 0.3, 0.2, 0.1) for i in range(3)]  # equal copies
+    parts = spark.createDataFrame(rows, "qid int, doc_id int, first_score double, base double, rm_weight double, bm25_score double, semantic_score double")
+    judged = [(0, 51, 2), (0, 1, 1), (0, 4, 0), (1, 3, 1), (1, 7, 2), (2, 0, 1), (2, 99, 2), (3, 5, 0), (8, 1, 1)]
+    return parts, spark.createDataFrame(judged, "qid int, doc_id int, rel int")
+
+
+@pytest.mark.parametrize(("start", "direction", "k"), [((0.0, 0.8, 1.5), (1.0, 0.0, 0.0), 8), ((1.0, 1.0, 1.0), (0.5, -0.2, 0.0), 10), ((0.2, 0.0, 0.3), (0.0, 1.0, 0.0), 5), ((0.0, 0.8, 1.5), (1.0, 0.0, 0.0), 1)])
+def test_steps_of_a_line_are_the_objective_between_them(spark, start, direction, k):
+    parts, qrels = _random_parts(spark, 7)
+    steps = sorted(map(tuple, optimize.line_scores(parts, qrels, start, direction, 0.1, 5.0, k).collect()))
+    assert steps[0][0] == 0.1 and steps[-1][1] == 5.0 and all(a[1] == b[0] for a, b in zip(steps, steps[1:], strict=False))
+    wide = [s for s in steps if s[1] - s[0] > 1e-4]
+    assert len(wide) > (2 if k >= 8 else 0)
+    points = [tuple(a + (t + u) / 2 * b for a, b in zip(start, direction, strict=True)) for t, u, _ in wide]
+    found = {r.weights_id: r.score for r in optimize.objective_scores(parts, optimize.weights_frame(spark, points), qrels, f"ndcg_cut_{k}").collect()}
+    assert [s[2] for s in wide] == pytest.approx([found[i] for i in range(len(wide))], abs=1e-8)
+
+
+def test_a_polished_result_is_the_best_of_its_coordinates(spark):
+    parts, qrels = _random_parts(spark, 9)
+    values = optimize.batch_objective(parts, qrels, "ndcg_cut_3")
+    first = (1.0, 1.0, 1.0)
+    got = optimize.polished(parts, qrels, optimize.Result(first, values([first])[0], 1), k=3, rounds=4)
+    assert got.score >= values([first])[0] and got.score == pytest.approx(values([got.weights])[0])
+    for axis in range(3):
+        tried = [tuple(x if i == axis else w for i, w in enumerate(got.weights)) for x in np.linspace(0.1, 5.0, 40)]
+        assert max(values(tried)) <= got.score + 1e-9
