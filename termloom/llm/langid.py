@@ -37,11 +37,16 @@ MARGIN = 0.5
 #: Code points handled at once, so that one very long text needs little memory.
 CHUNK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SHIFT = np.uint32(32 - 12)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its category; fractions and raised digits are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def gram_counts(text: str) -> np.ndarray:
     """Counts of hashed character 1-, 2- and 3-grams; runs of other characters than letters are one space."""
     out = np.zeros(N_BINS, np.int64)
@@ -93,7 +98,7 @@ class LanguageModel:
         out: list[tuple[str, float, bool]] = []
         for start in range(0, len(texts), 256):
             part = texts[start : start + 256]
-            spoken = [x is not None and _LETTER.search(x) is not None for x in part]
+            spoken = [x is not None and has_letter(x) for x in part]
             best = np.zeros(len(part), int)
             cosine = np.zeros(len(part))
             if self.langs and any(spoken):
@@ -122,7 +127,7 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", sample_per_lang:
 
         for batch in batches:
             for text, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     df[lang] = df.get(lang, 0) + (gram_counts(text) > 0)
                     n[lang] = n.get(lang, 0) + 1
                     if len(df) > HELD_LANGS:
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", sample_per_lang:
     sampled = rows.withColumn("slot", slot).filter(F.col("slot") < wanted)
 
     def vectors(batch: pa.RecordBatch) -> dict:
-        return {"lang": batch.column("lang"), "slot": batch.column("slot"), "x": [gram_counts(x).astype("<u4").tobytes() if _LETTER.search(x) else None for x in common.texts(batch)]}
+        return {"lang": batch.column("lang"), "slot": batch.column("slot"), "x": [gram_counts(x).astype("<u4").tobytes() if has_letter(x) else None for x in common.texts(batch)]}
 
     limit = 2 * sample_per_lang * len(langs)
     found_vectors = common.map_batches(sampled, vectors, "lang string, slot long, x binary").filter("x is not null")

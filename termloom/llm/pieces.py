@@ -15,7 +15,8 @@ A piece never has the word mark after another character, so texts are split at t
 marks, and equal words are encoded once. Characters that no piece has go to byte
 pieces if the model has them, else to the unknown piece.
 
-Defined cases: null and empty texts have no pieces. Decoding turns ids back into the
+Defined cases: null and empty texts have no pieces; rows that repeat give a row each; an empty
+table gives no rows; very long texts and words are encoded whole. Decoding turns ids back into the
 normalised text; with a model that normalises nothing that is the text itself.
 """
 

@@ -26,7 +26,8 @@ the same roots as comparing, with work in proportion to the entries.
 
 Defined cases: null and empty texts have fingerprint 0 and are linked like others; a
 null doc_id keeps its fingerprint and gets the component of the others with it (null
-when there are none); repeated doc_ids keep a row each.
+when there are none); repeated doc_ids keep a row each; very long texts are hashed whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ windows of the others start in a smaller document.
 Defined cases: a null text has no words; a row with a null doc_id is no origin and
 keeps all its words; rows that repeat both id and text are one document and give one
 row; rows that share an id but not the text are judged one by one and are no origin for
-each other; texts shorter than a window keep everything.
+each other; texts shorter than a window keep everything; very long texts are cut into
+windows like others; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ pieces are encoded once by the library and remembered. Texts beyond the code poi
 for which both pattern engines surely agree go to the library whole.
 
 Defined cases: a null text is empty and stores the end id alone; a null doc_id is
-not stored; repeated doc_ids are stored as often as they occur; an empty table gives no rows.
+not stored; repeated doc_ids are stored as often as they occur; a very long text spans blocks of its
+file; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ The bias is then moved so that ``CALLED_SHARE`` of the prior's part of the unlab
 sample scores at least 0.5.
 
 Defined cases: null or empty texts have no features and get the score of the bias
-alone (below 0.5); without positives every score is 0. Repeated rows are scored alike.
+alone (below 0.5); without positives every score is 0. Repeated rows are scored alike;
+very long texts are scored whole.
 """
 
 from __future__ import annotations

@@ -254,6 +254,11 @@ def test_language_edges(spark):
     assert unlabelled.langs == []
 
 
+@pytest.mark.parametrize(("text", "letters"), [("²", False), ("½ ³", False), ("Ⅷ 12_", False), ("", False), ("ª", True), ("12 é", True), ("中", True)])
+def test_letters_are_told_by_category(text, letters):
+    assert langid.has_letter(text) is letters
+
+
 def test_a_rejected_language():
     idf = np.ones(langid.N_BINS, np.float32)
     x = langid.normalised(langid.gram_counts("the house and the garden")[None], idf)
