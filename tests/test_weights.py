@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import numbers as N
 from termloom.functions import vectors as V
-from termloom.operators import crossval, importance, optimize, rerank, similarity
+from termloom.operators import crossval, importance, metrics, optimize, rerank, similarity
 
 TARGET = (1.2, 0.8, 1.5)
 
@@ -236,3 +236,19 @@ def test_a_polished_result_is_the_best_of_its_coordinates(spark):
     for axis in range(3):
         tried = [tuple(x if i == axis else w for i, w in enumerate(got.weights)) for x in np.linspace(0.1, 5.0, 40)]
         assert max(values(tried)) <= got.score + 1e-9
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_many_points_lay_out_no_row_a_point_and_candidate(spark, monkeypatch, cells):
+    monkeypatch.setattr(optimize, "CELLS", cells)
+    parts, qrels = _random_parts(spark, 5)
+    points = optimize.weights_frame(spark, [*optimize.grid(0.1, 3.0, 3), (-1.0, -2.0, 0.0)])
+    scores = optimize.objective_scores(parts, points, qrels, "ndcg_cut_3")
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Window" not in plan.split("FlatMapGroupsInArrow")[0]
+    total = F.coalesce(F.expr("base + alpha * rm_weight + beta * bm25_score + gamma * semantic_score"), F.col("first_score"))
+    runs = parts.crossJoin(points).select("weights_id", "qid", "doc_id", total.alias("score"))
+    for k in (1, 3, 100):
+        want = {(r[0], r[1]): r[2] for r in metrics.ndcg_cut(runs, qrels, ["weights_id", "qid"], k).collect()}
+        got = {(r[0], r[1]): r[2] for r in optimize.ndcg_by_query(parts, points, qrels, k).collect()}
+        assert got == pytest.approx(want) and len(want) == 28 * 4
