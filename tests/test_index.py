@@ -143,6 +143,13 @@ def test_an_index_without_documents(spark, tmp_path):
     assert bm25.search(again, terms).count() == 0 and again.size == (0, None)
 
 
+def test_a_repeated_token_of_a_term_counts_once(own, spark):
+    asked = [("q", 5001, t) for t in ("w0", "w0 W0", "lone", "lone w0 lone", "w0 absent", "the", "?")]
+    got = {r.term: r.score for r in bm25.document_term_scores(own, spark.createDataFrame(asked, "qid string, doc_id long, term string")).collect()}
+    assert got["w0 W0"] == pytest.approx(got["w0"]) and got["lone w0 lone"] == pytest.approx(got["lone"] + got["w0"]) and got["w0"] > 0
+    assert got["w0 absent"] == got["the"] == got["?"] == 0
+
+
 # -- a stream of updates
 
 
