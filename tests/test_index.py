@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions.text import STOPWORDS
-from termloom.operators import bm25, expansion, index
+from termloom.operators import bm25, expansion, index, scan
 from termloom.streaming import indexing
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -150,6 +150,50 @@ def test_a_repeated_token_of_a_term_counts_once(own, spark):
     assert got["w0 absent"] == got["the"] == got["?"] == 0
 
 
+@pytest.fixture(scope="module")
+def forward_only(docs, tmp_path_factory):
+    return index.write_index(docs, str(tmp_path_factory.mktemp("f")), inverted=False)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("buffer", [1, 1 << 20])
+def test_batches_of_queries_meet_documents_and_shuffle_no_postings(own, forward_only, queries, spark, monkeypatch, buffer):
+    monkeypatch.setattr(scan, "BUFFER", buffer)
+    monkeypatch.setattr(scan, "DOCS", 7)
+    terms = own.query_terms(queries)
+    jobs = {
+        "search": lambda i: bm25.search(i, terms, 5),
+        "sweep": lambda i: bm25.parameter_sweep(i, terms, [0.9, 2.0], [0.4, 1.0], 3),
+        "means": lambda i: bm25.collection_term_scores(i, terms, 3),
+        "phrases": lambda i: bm25.phrases(i, queries),
+    }
+    rows = lambda df: sorted(tuple(round(x, 8) if isinstance(x, float) else x for x in r) for r in df.collect())
+    found = {name: job(forward_only) for name, job in jobs.items()}
+    assert all("MapInArrow" in _plan(df) and "Generate" not in _plan(df).split("MapInArrow")[1] for df in found.values())
+    got = {name: rows(df) for name, df in found.items()}
+    monkeypatch.setattr(scan, "ASKED_ROWS", 0)  # the joins with postings, for queries too many to go to every task
+    assert got == {name: rows(job(own)) for name, job in jobs.items()} and all(got.values())
+
+
+def test_documents_that_cover_a_query(forward_only, docs, queries):
+    words = {r.doc_id: set(analysed(r.text)) for r in docs.collect()}
+    want = {}
+    for q in queries.collect():
+        asked = set(analysed(q.text))
+        want |= {(q.qid, d): len(asked & own) for d, own in words.items() if asked and 4 * len(asked & own) >= 3 * len(asked)}
+    got = scan.covering(forward_only, forward_only.query_terms(queries), 0.75).collect()
+    assert {(r.qid, r.doc_id): r.shared for r in got} == want and want
+
+
+def test_an_index_without_postings_is_opened_again(forward_only, docs, spark, tmp_path):
+    index.write_index(docs, str(tmp_path / "i"), inverted=False)
+    again = index.open_index(spark, str(tmp_path / "i"))
+    assert again.size == forward_only.size and told(again) == told(index.build_index(docs))
+
+
 # -- a stream of updates
 
 
