@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding.
 
-An Aho-Corasick automaton over the model's pieces drives one pass over each word. At
+An Aho-Corasick automaton over the model's pieces drives one pass over each part of a text. At
 every position the output links give the pieces that end there, and each relaxes the
 best score of the position from the best score where it begins (Viterbi).
 
@@ -11,9 +11,12 @@ step is worth 0 if the piece may follow the last piece of the best path (merging
 two pieces' characters gives the two pieces again) and minus infinity if not. Exactly
 one path survives, and it equals what merging by rank gives.
 
-A piece never has the word mark after another character, so texts are split at the
-marks, and equal words are encoded once. Characters that no piece has go to byte
-pieces if the model has them, else to the unknown piece.
+Texts are cut where no piece can lie across, and equal parts are encoded once. For a BPE model
+that is between two characters that no piece has side by side: neither merging nor a path
+crosses there, so marks of words, of sentences and line ends stand apart and a word is the same part before
+any of them. For a unigram model it is before marks of words, as sums of scores are compared
+by whole words. Characters that no piece has go to byte pieces if the model has them, else to the
+unknown piece.
 
 Defined cases: null and empty texts have no pieces; rows that repeat give a row each; an empty
 table gives no rows; very long texts and words are encoded whole. Decoding turns ids back into the
@@ -22,9 +25,8 @@ normalised text; with a model that normalises nothing that is the text itself.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -34,11 +36,14 @@ from pyspark.sql import DataFrame
 from termloom.llm import common
 
 MARK = "▁"
-#: Remembered words of a generation, some 250 bytes each.
+#: The rank of what is no piece.
+NONE = float("-inf")
+#: Remembered parts of words of a generation, some 250 bytes each.
 CACHE_WORDS = 150_000
 #: Remembered pairs of pieces of a worker, some 100 bytes each.
 CACHE_PAIRS = 500_000
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Characters whose parts are looked up together; a longer text is a block of its own, cut by as many characters at a time.
+BLOCK_CHARS = 1 << 19
 
 
 class Pieces:
@@ -67,9 +72,11 @@ class Pieces:
             self.automaton.add_word(p, (i, len(p)))
         if self.id:
             self.automaton.make_automaton()
+        self.rank = {p: self.score[i] for p, i in self.id.items()}
+        self._find_cuts()
         self.cache = common.Memory(CACHE_WORDS)
         self.pairs: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.ends: dict[int, tuple[tuple, tuple]] = {}
         blob = [self._bytes_of(i) for i in range(self.n)]
         self.decoded = blob
 
@@ -84,43 +91,59 @@ class Pieces:
 
     # -- encoding
 
-    def words(self, text: str) -> list[str]:
-        """The normalised text, in words that no piece crosses."""
-        norm = self.sp.normalize(text)
-        if self.inner_mark:
-            return [norm] if norm else []
-        if MARK + MARK not in norm and norm.startswith(MARK) and not norm.endswith(MARK):
-            return [MARK + w for w in norm[1:].split(MARK)]
-        return _WORD.findall(norm)
+    def _find_cuts(self) -> None:
+        """Classes of characters (0: apart from all others), and whether a part may go on from a class to a class."""
+        if self.kind == "bpe":
+            beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+            number = {c: i for i, c in enumerate(sorted(set("".join(beside))), 1)}
+            joined = [(number[a], number[b]) for a, b in beside]
+        else:
+            number = {c: 2 if c == MARK else 1 for c in self.chars}
+            joined = [(1, 1), (2, 1), (2, 2)] + [(1, 2)] * self.inner_mark
+        self.char_class = np.zeros(0x110000, np.int32)
+        for c, i in number.items():
+            self.char_class[ord(c)] = i
+        self.classes = max(2, *number.values(), 0) + 1
+        self.cut = np.ones(self.classes**2, bool)
+        self.cut[[a * self.classes + b for a, b in joined]] = False
+
+    def parts(self, norm: str) -> list[str]:
+        """The normalised text, in parts that no piece crosses."""
+        cuts = [0]
+        for at in range(0, len(norm), BLOCK_CHARS):
+            codes = np.frombuffer(norm[at : at + BLOCK_CHARS + 1].encode("utf-32-le"), "<u4")
+            found = self.char_class[codes]
+            cuts += (np.flatnonzero(self.cut[found[:-1] * self.classes + found[1:]]) + (at + 1)).tolist()
+        return [norm[a:b] for a, b in zip(cuts, [*cuts[1:], len(norm)])] if norm else []
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        block: list[str] = []
+        size = 0
+        for text in texts:
+            if block and size + len(text) > BLOCK_CHARS:
+                yield from self._encode_block(block)
+                block, size = [], 0
+            block.append(text)
+            size += len(text)
+        yield from self._encode_block(block)
+
+    def _encode_block(self, texts: list[str]) -> Iterator[np.ndarray]:
         cache = self.cache
-        words = self.words(text)
-        try:
-            return np.frombuffer(common.joined(cache.young, words), "<i4")
-        except KeyError:
-            pass
-        for w in cache.unknown(set(words)):
-            cache.young[w] = np.array(self.encode_word(w), "<i4").tobytes()
-        return np.frombuffer(common.joined(cache.young, words), "<i4")
-
-    def encode_word(self, word: str) -> list[int]:
-        """Parts without unknown characters by the automaton, others by bytes."""
-        if self.chars.issuperset(word):
-            return self.viterbi(word)
-        out: list[int] = []
-        start = 0
-        for at, c in enumerate(chain(word, (None,))):
-            if c is None or c not in self.chars:
-                if at > start:
-                    out += self.viterbi(word[start:at])
-                if c is not None:
-                    own = [self.bytes[b] for b in c.encode()]
-                    out += own if min(own) >= 0 else [self.unknown]
-                start = at + 1
-        return out
+        parts = [self.parts(self.sp.normalize(text)) if text else [] for text in texts]
+        new = cache.unknown(set().union(*parts))
+        known = cache.young
+        for part in new:
+            known[part] = np.array(self.encode_part(part), "<i4").tobytes()
+        for of_text in parts:
+            yield np.frombuffer(common.joined(known, of_text), "<i4")
+
+    def encode_part(self, part: str) -> list[int]:
+        """By the automaton; a character that no piece has is a part of its own and goes to bytes."""
+        return self.viterbi(part) if part[0] in self.chars else self._unknown(part)
 
     def viterbi(self, word: str) -> list[int]:
         n = len(word)
@@ -199,29 +222,73 @@ class Pieces:
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            a, b = self.piece[left], self.piece[right]
-            known = self.pairs[key] = self.merge(a + b) == [a, b]
+            known = self.pairs[key] = self._stays_apart(left, right)
         return known
 
-    def _stands_alone(self, i: int) -> bool:
-        if (known := self.alone.get(i)) is None:
-            known = self.alone[i] = self.merge(self.piece[i]) == [self.piece[i]]
+    def _stays_apart(self, left: int, right: int) -> bool:
+        """Whether merging the two pieces' characters gives the two pieces again.
+
+        Each piece is merged as it is alone until a merge across the border has the best rank. So only the
+        symbols at the border count, and the worst rank that must have its turn before such a symbol grows: of the two
+        sides the one with the better worst rank grows first.
+        """
+        a, b = self._ends(left)[1], self._ends(right)[0]
+        if not a or not b:
+            return False
+        i = j = 0
+        while True:
+            (x, worst_x), (y, worst_y) = a[i], b[j]
+            across = self.rank.get(x + y, NONE)
+            if across > worst_x and across >= worst_y:  # of equal ranks the leftmost is merged first
+                return False
+            if worst_x >= worst_y:
+                if worst_x == NONE:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _ends(self, i: int) -> tuple[tuple, tuple]:
+        """The first and the last symbols of a piece while it is merged, with the worst rank merged until each grows; empty if it does not become one."""
+        if (known := self.ends.get(i)) is None:
+            piece, n_symbols = self.piece[i], len(self.piece[i])
+            known = [], []
+            now = [[piece[0], -NONE], [piece[-1], -NONE]]
+            for best, symbols in self._merges(piece):
+                n_symbols = len(symbols)
+                for end, held, symbol in zip(known, now, (symbols[0], symbols[-1])):
+                    held[1] = min(held[1], best)
+                    if symbol != held[0]:
+                        end.append(tuple(held))
+                        held[:] = symbol, -NONE
+            known = tuple((*end, (piece, NONE)) if n_symbols == 1 else () for end in known)
+            self.ends[i] = known
         return known
 
+    def _stands_alone(self, i: int) -> bool:
+        return bool(self._ends(i)[0])
+
     def merge(self, word: str) -> list[str]:
         """Merging by rank, the definition: the best-scored neighbours first, of equals the leftmost."""
         symbols = list(word)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for j in range(len(symbols) - 1):
-                i = self.id.get(symbols[j] + symbols[j + 1])
-                if i is not None and (best is None or self.score[i] > best):
-                    best, at = self.score[i], j
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        for _, symbols in self._merges(word):
+            pass
         return symbols
 
+    def _merges(self, word: str) -> Iterator[tuple[float, list[str]]]:
+        """Rank and symbols of each merge; the list of symbols is one and the same."""
+        symbols, rank = list(word), self.rank.get
+        ranks = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (best := max(ranks)) > NONE:
+            at = ranks.index(best)
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(symbols[at - 1] + symbols[at], NONE)
+            if at < len(ranks):
+                ranks[at] = rank(symbols[at] + symbols[at + 1], NONE)
+            yield best, symbols
+
     # -- decoding
 
     def decode(self, ids) -> str:
@@ -240,11 +307,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def encoded(batch: pa.RecordBatch) -> dict:
         model = pieces(model_path)
-        ids, same = [], []
-        for text in common.texts(batch):
-            x = model.encode(text)
-            ids.append(x)
-            same.append(model.decode(x.tolist()) == text)
+        texts = common.texts(batch)
+        ids = list(model.encode_all(texts))
+        same = [model.decode(x.tolist()) == text for x, text in zip(ids, texts)]
         sizes = [len(x) for x in ids]
         flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)

@@ -35,6 +35,39 @@ def test_pieces_equal_the_library_and_decode(model, text):
     assert model.decode(ids) == text.replace(pieces.MARK, " ")  # the mark itself is a space to the library, too
 
 
+def test_a_word_before_different_marks_is_encoded_once():
+    own = pieces.Pieces(queries.tokenizer_path("piece_bpe_32k.model"))
+    texts = ["a thousandfold word, thousandfold.\nThe thousandfold! thousandfold&&& (thousandfold%%%", "no thousandfold;\tor thousandfold"]
+    assert [own.encode(t).tolist() for t in texts] == own.sp.encode(texts)
+    assert sorted(p for p in own.cache.young if "thous" in p) == ["thousandfold", "▁thousandfold"]
+
+
+def test_parts_of_long_texts_are_cut_alike(model, monkeypatch):
+    texts = ["", "ab " * 9 + "漢字\n\n▁▁x.y,zé  the end." * 5, "x" * 50, "", "to be.\nOr not"]
+    norms = [model.sp.normalize(t) for t in texts]
+    whole = [model.parts(n) for n in norms]
+    assert ["".join(p) for p in whole] == norms and all(p for parts in whole for p in parts)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(pieces, "BLOCK_CHARS", size)
+        assert [model.parts(n) for n in norms] == whole
+        assert [x.tolist() for x in model.encode_all(texts)] == model.sp.encode(texts)
+    assert list(model.encode_all([])) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.text("abc", min_size=2, max_size=5), max_size=25), st.integers(1, 8), st.randoms(use_true_random=False))
+def test_pieces_stay_apart_as_merging_all_their_characters_says(strings, n_ranks, rng):
+    """Any ranks, equal ones and ones that are no order of merges, too."""
+    own = object.__new__(pieces.Pieces)
+    own.piece = ["a", "b", "c", *sorted(strings)]
+    own.n, own.pairs, own.ends = len(own.piece), {}, {}
+    own.rank = {p: float(-rng.randrange(n_ranks)) for p in own.piece}
+    for i, p in enumerate(own.piece):
+        assert own._stands_alone(i) == (own.merge(p) == [p])
+        for j, q in enumerate(own.piece):
+            assert own._follows(i, j) == (own.merge(p + q) == [p, q])
+
+
 def brute_viterbi(word, score):
     best = {0: (0.0, [])}
     for end in range(1, len(word) + 1):
