@@ -22,8 +22,8 @@ def _or_null(df: DataFrame, name: str):
 
 
 def collection(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text): text, else body; rows without either are left out."""
-    text = F.coalesce(_or_null(df, "text"), _or_null(df, "body"))
+    """(doc_id, text): text, else body; an empty one is none, and rows without either are left out."""
+    text = F.coalesce(*(F.when(x != "", x) for x in (_or_null(df, "text"), _or_null(df, "body"))))
     return df.select(F.col(id_col).alias("doc_id"), text.alias("text")).filter("text is not null")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 from termloom import cli
 from termloom.operators import index
+from termloom.plans.oracle import ORACLE_SQL
+from termloom.plans.queries import QUERIES
 from termloom.sources import files, records, store, trec
 from termloom.streaming import indexing
 
@@ -35,6 +38,18 @@ def test_records_fall_back(spark):
     assert {r.qid: r.text for r in records.queries(queries).collect()} == {1: "text", 2: "title more", 3: "title", 4: ""}
 
 
+def test_empty_texts_are_no_records(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "", "b"), (2, "", None), (3, None, ""), (4, " ", "b")], "doc_id int, text string, body string")
+    assert {tuple(r) for r in records.collection(docs).collect()} == {(1, "b"), (4, " ")}
+    spark.createDataFrame([(1, "ünï"), (2, ""), (3, None), (None, "x"), (4, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<p>"), (2, ""), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["collection_scan"]).fetchall()
+    assert sorted(map(tuple, QUERIES["collection_scan"](spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr) and len(want) == 4
+
+
 def test_feedback_sources(spark):
     qrels = spark.createDataFrame([("q", "a", 0), ("q", "b", 1), ("q", "c", 2)], "qid string, doc_id string, rel int")
     assert [r.doc_id for r in records.feedback_source(qrels=qrels).orderBy("rank").collect()] == ["c", "b"]
