@@ -86,6 +86,26 @@ def test_cosine_edges(spark):
     assert tuple(row) == (0, 0, pytest.approx(0.6), 2)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_pairs_by_blocks_have_the_values_of_columns(spark, monkeypatch, metric, few):
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(similarity, "STRIP", 2)
+    monkeypatch.setattr(similarity, "FEW_QUERIES", few)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=5).astype("float32").tolist()) for i in range(40)]
+    rows += [(3, [0.5] * 5), (None, [-1.0] * 5), (50, [0.0] * 5), (51, None), (52, [1.0, None, 1.0, 1.0, 1.0]), (53, [1.0, 2.0]), (54, []), (55, [float("nan")] * 5), (56, [float("inf")] * 5), (57, [2e3, -3.25, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = vectors.filter("vec_id % 5 = 0 or vec_id > 50")
+    pairs = vectors.select("vec_id", V.doubles(F.col("embedding")).alias("b")).crossJoin(asked.select(F.col("vec_id").alias("query_id"), V.doubles(F.col("embedding")).alias("a")))
+    column = {"cosine": V.cosine, "dot": V.dot, "euclidean": V.euclidean}[metric](F.col("a"), F.col("b"))
+    want = pairs.select("query_id", "vec_id", N.rounded(column).alias("value"))
+    got = similarity.pairs(asked, vectors, metric)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.dtypes == want.dtypes
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()  # which are not compiled
+    assert similarity.pairs(asked.filter("false"), vectors, metric).count() == similarity.pairs(asked, vectors.filter("false"), metric).count() == 0
+
+
 VECTORS = {"a": [1.0, 0.0], "b": [0.0, 1.0], "c": [0.6, 0.8]}
 
 
