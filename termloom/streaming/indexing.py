@@ -1,7 +1,9 @@
 """Incremental indexing: a stream of new, changed and deleted documents becomes segments of an index.
 
-Every micro-batch becomes a segment: the forward table and postings of its documents, the
+Every micro-batch becomes a segment: the forward table of its documents, the
 statistics of its terms, and tombstones, the ids whose versions in earlier segments are dead.
+Postings are views of the forward tables: as segments have no folders by term, stored ones would be
+a second copy of all occurrences, sorted anew at each merge, that no search reads a part of.
 A null text deletes a document. When ``fanout`` segments of one level follow each other at
 the end they are merged into one of the next level, without their dead documents; tombstones
 go when nothing is earlier. So a document is rewritten once a level, and the number of segments
@@ -24,9 +26,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termloom.functions import text as T
 from termloom.operators import index
-from termloom.sources import shared
 
 FANOUT = 4
+#: Ids of dead documents that go to every task rather than have forward tables shuffled.
+FEW_DEAD = 2_000_000
 #: (name, level) of the segments, the oldest first.
 Segments = list[tuple[str, int]]
 
@@ -44,11 +47,12 @@ def apply_batch(batch: DataFrame, path: str, batch_id: int, id_col: str = "doc_i
     """Add a batch of updates as a segment, merge what has become too many, and return the segments."""
     spark = batch.sparkSession
     segments = _manifest(spark, path, batch_id)
-    last = F.max(F.struct(F.col(order_col or text_col).alias("at"), F.col(text_col).alias("text")))
-    newest, scratch = shared.materialize(batch.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(last.alias("r")).select("doc_id", "r.text"), "updates")
+    at = F.lit(None) if order_col is None else F.col(order_col)
+    named = batch.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), at.alias("at")).filter("doc_id is not null")
+    last = F.max("text") if order_col is None else F.max(F.struct("at", "text"))["text"]
+    newest = named.groupBy("doc_id").agg(last.alias("text"))
     name = f"{batch_id:08d}-0"
-    _write(spark, f"{path}/segments/{name}", index.forward(newest, stopwords=stopwords, stemmed=stemmed), newest.select("doc_id").filter(F.lit(bool(segments))))
-    shared.drop_path(spark, scratch)
+    _write(spark, f"{path}/segments/{name}", index.forward(newest, stopwords=stopwords, stemmed=stemmed), named.select("doc_id").distinct().filter(F.lit(bool(segments))))
     segments = [*segments, (name, 0)]
     while len(segments) >= fanout and len({level for _, level in segments[-fanout:]}) == 1:
         level = segments[-1][1] + 1
@@ -66,10 +70,8 @@ def apply_batch(batch: DataFrame, path: str, batch_id: int, id_col: str = "doc_i
 def _write(spark: SparkSession, path: str, documents: DataFrame, tombstones: DataFrame) -> None:
     tombstones.write.mode("overwrite").parquet(f"{path}/tombstones")
     documents.write.mode("overwrite").parquet(f"{path}/forward")
-    postings = index._postings(spark.read.schema(documents.schema).parquet(f"{path}/forward"))
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    written = spark.read.schema(postings.schema).parquet(f"{path}/postings")
-    written.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{path}/terms")
+    counts = spark.read.schema(documents.schema).parquet(f"{path}/forward").select(F.inline("counts"))
+    counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -115,7 +117,8 @@ def _live(spark: SparkSession, path: str, segments: Segments, table: str, how: s
     for name, _ in reversed(segments):
         rows = spark.read.parquet(f"{path}/segments/{name}/{table}")
         if later is not None:
-            parts.append(rows.join(later, "doc_id", how))
+            ids = later.distinct()
+            parts.append(rows.join(F.broadcast(ids) if index.is_few(later, FEW_DEAD) else ids, "doc_id", how))
         elif how == "left_anti":
             parts.append(rows)
         own = _tombstones(spark, path, name)
@@ -138,4 +141,5 @@ def open_parts(spark: SparkSession, path: str, stemmed: bool = False) -> index.I
     gone = dead.groupBy("term").agg((-F.count("*")).alias("df"), (-F.sum("tf")).alias("cf"))
     own = [spark.read.parquet(f"{path}/segments/{name}/terms").select("term", "df", "cf") for name, _ in segments]
     terms = reduce(DataFrame.unionByName, [*own, gone]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0")
-    return index.Index(_live(spark, path, segments, "postings"), _live(spark, path, segments, "forward"), terms, stemmed=stemmed)
+    documents = _live(spark, path, segments, "forward")
+    return index.Index(index._postings(documents), documents, terms, stemmed=stemmed)

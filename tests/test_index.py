@@ -223,6 +223,18 @@ def test_a_stream_of_updates_equals_a_rebuilt_index(spark, tmp_path):
     assert rows_of(bm25.search(indexing.open_parts(spark, path), query)) == rows_of(bm25.search(rebuilt, query))
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_segments_hold_occurrences_once(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(indexing, "FEW_DEAD", few)
+    path = str(tmp_path / "s")
+    for batch_id, rows in enumerate(([(1, "w0 w1"), (2, "w0"), (3, "w2 w2")], [(1, None), (1, "w3"), (2, None)], [(3, "w4 w0")])):
+        indexing.apply_batch(spark.createDataFrame(rows, "key int, body string"), path, batch_id, id_col="key", text_col="body", fanout=3 if batch_id < 2 else 9)
+    assert all(set(indexing._names(spark, f"{path}/segments/{x}")) == {"forward", "terms", "tombstones"} for x in indexing._names(spark, f"{path}/segments"))
+    own = indexing.open_parts(spark, path)
+    assert told(own) == told(index.build_index(spark.createDataFrame([(1, "w3"), (3, "w4 w0")], "doc_id int, text string")))
+    assert ("broadcast" in own.documents._jdf.queryExecution().analyzed().toString()) == bool(few)
+
+
 def test_old_segments_go_and_unfinished_manifests_do_not_count(spark, tmp_path):
     path = str(tmp_path / "s")
     for batch_id in range(5):
