@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import STOPWORDS
 from termloom.operators import bm25, expansion, index, scan
+from termloom.plans.queries import QUERIES
+from termloom.plans.workload import Workload
 from termloom.streaming import indexing
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -68,6 +70,28 @@ def test_pruned_search_leaves_postings_out(own, queries, monkeypatch):
     assert rows_of(bm25.search(own, own.query_terms(queries), 2, prune_from=0)) == rows_of(bm25.search(own, own.query_terms(queries), 2))
 
 
+def test_pruned_search_builds_one_index(spark, sf_dir, monkeypatch):
+    def another(w):
+        raise AssertionError("a second index")
+
+    monkeypatch.setattr(Workload, "index", property(another))
+    assert QUERIES["bm25_topk_pruned"](spark, sf_dir).count() == 400
+
+
+def test_pruned_search_shuffles_neither_postings_nor_rows_of_documents(own, queries):
+    made = bm25.weights(own, own.query_terms(queries)), bm25.search(own, own.query_terms(queries), 3).select("qid", "doc_id")
+    wanted, pairs = (queries.sparkSession.createDataFrame(x.collect(), x.schema) for x in made)
+    for found in (own.of_terms(wanted), bm25.score_documents(own, wanted, pairs)):
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") >= 2
+    assert set(own.postings.columns).isdisjoint({"places", "starts", "width"})  # which are in the documents' rows
+
+
+def test_spans_are_those_of_the_documents(own, docs, spark):
+    got = {(r.doc_id, r.term): (r.tf, r.width, r.places) for r in own.spans(spark.createDataFrame([(5001,), (7,)], "doc_id long")).collect()}
+    assert got[5001, "lone"] == (1, 1, [0]) and got[5001, "w0"] == (1200, 1, [1] * 1200) and {d for d, _ in got} <= {5001, 7}
+
+
 def test_bounds_of_blocks_hold(own):
     part = index.tf_part(0.9, 0.4, own.size[1])
     best = own.postings.groupBy("term", "block").agg(F.max(part).alias("best"), F.count("*").alias("there"))
